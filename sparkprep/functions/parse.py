@@ -41,10 +41,15 @@ def numeric_text(col) -> Column:
     return F.regexp_replace(c, MINUS_PATTERN, "-")
 
 
+# A cheap shape test in front of every cast: a failed cast costs a JVM
+# exception per row, a failed regex match costs nothing.
+NUMBER_SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
 def parse_numeric(col) -> Column:
     """S-10: ``'$1,234'`` → 1234.0, ``'(5)'`` → 5.0, ``'5%'`` → 5.0; else null."""
     txt = numeric_text(col)
-    return F.when(txt == "", F.lit(None).cast("double")).otherwise(txt.try_cast("double"))
+    return F.when(txt.rlike(NUMBER_SHAPE), txt.try_cast("double"))
 
 
 def parse_boolean(col) -> Column:
@@ -59,6 +64,33 @@ def is_boolean_text(col) -> Column:
     return low.isin(*TRUE_VALUES, *FALSE_VALUES)
 
 
+_FORMAT_TOKENS = (("yyyy", r"\d{4}"), ("MM", r"\d{1,2}"), ("dd", r"\d{1,2}"), ("HH", r"\d{1,2}"),
+                  ("mm", r"\d{1,2}"), ("ss", r"\d{1,2}"))
+
+
+def format_shape(fmt: str) -> str:
+    """Regex that every text parsable with the (simple) Spark pattern matches."""
+    import re
+    out, i = [], 0
+    while i < len(fmt):
+        if fmt[i] == "'":
+            j = fmt.index("'", i + 1)
+            out.append(re.escape(fmt[i + 1:j]))
+            i = j + 1
+            continue
+        for tok, rx in _FORMAT_TOKENS:
+            if fmt.startswith(tok, i):
+                out.append(rx)
+                i += len(tok)
+                break
+        else:
+            out.append(re.escape(fmt[i]))
+            i += 1
+    return "^" + "".join(out) + "$"
+
+
 def parse_datetime(col, fmt: str) -> Column:
     """S-11: one format for the whole column; failures become null."""
-    return F.try_to_timestamp(_c(col), F.lit(fmt)).cast("timestamp_ntz")
+    c = _c(col)
+    return F.when(c.rlike(format_shape(fmt)),
+                  F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz"))

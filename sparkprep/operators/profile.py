@@ -54,6 +54,17 @@ def categorical_columns(df: DataFrame, threshold: float = 0.03, max_levels: int
     return [c for c in df.columns if counts[c] / n < threshold and 1 < counts[c] <= max_levels]
 
 
+def categorical_table(df: DataFrame, threshold: float = 0.03, max_levels: int = 30) -> DataFrame:
+    """D-02 as a lazy table: (column, levels) for the categorical columns."""
+    one = df.agg(F.count(F.lit(1)).alias("__n"),
+                 *[F.count_distinct(F.col(q(c))).alias(f"d{i}") for i, c in enumerate(df.columns)])
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").cast("long").alias("levels"),
+                     F.col("__n").alias("__n")) for i, c in enumerate(df.columns)]
+    out = one.select(F.inline(F.array(*rows)))
+    return out.where((F.col("levels") / F.col("__n") < threshold) & (F.col("levels") > 1)
+                     & (F.col("levels") <= max_levels)).drop("__n")
+
+
 def profile(df: DataFrame, threshold: float = 0.03, max_levels: int = 30) -> DataFrame:
     """D-01: one row per column: name, dtype, non-null count, null %, categorical."""
     cats = set(categorical_columns(df, threshold, max_levels))
@@ -131,14 +142,19 @@ def is_multiclass(df: DataFrame, col: str) -> DataFrame:
 
 
 def feature_profile(df: DataFrame, cols) -> DataFrame:
-    """D-08: per feature its kind, range (numeric) and distinct count."""
+    """D-08: per feature its kind, numeric range and distinct count.
+
+    The categorical value lists live in ``feature_values`` (a distributed
+    table), so no unbounded list is ever built in one row.
+    """
     fields = {f.name: f.dataType for f in df.schema.fields}
     aggs, rows = [], []
     for i, c in enumerate(cols):
         x = F.col(q(c))
         numeric = kind_of(fields[c]) == "numeric"
-        aggs += [F.min(x).cast("string").alias(f"lo{i}"), F.max(x).cast("string").alias(f"hi{i}"),
-                 F.count_distinct(x).cast("long").alias(f"nd{i}")]
+        lo = F.min(x).cast("double") if numeric else F.lit(None).cast("double")
+        hi = F.max(x).cast("double") if numeric else F.lit(None).cast("double")
+        aggs += [lo.alias(f"lo{i}"), hi.alias(f"hi{i}"), F.count_distinct(x).cast("long").alias(f"nd{i}")]
         rows.append(F.struct(F.lit(c).alias("feature"),
                              F.lit("numeric" if numeric else "categorical").alias("kind"),
                              F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value"),
