@@ -27,7 +27,7 @@ def trig(df: DataFrame, col: str, fns=TRIG_FUNCTIONS) -> DataFrame:
 
 def power(df: DataFrame, col: str, p: float) -> DataFrame:
     """E-09: ``{col}^{p}``."""
-    return df.withColumn(f"{col}^{p}", F.pow(F.col(col).cast("double"), F.lit(float(p))))
+    return df.withColumn(f"{col}^{float(p)}", F.pow(F.col(col).cast("double"), F.lit(float(p))))
 
 
 def logarithm(df: DataFrame, col: str, kind: str = "e") -> DataFrame:
@@ -99,12 +99,17 @@ def clean_text(col) -> Column:
 
 # ---- dates (E-16) ---------------------------------------------------------
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def from_epoch_seconds(col) -> Column:
-    return F.timestamp_seconds(_c(col))
+    """Epoch seconds → wall-clock timestamp (no session time zone involved)."""
+    return F.timestamp_add("SECOND", _c(col), _epoch())
 
 
 def from_epoch_millis(col) -> Column:
-    return F.timestamp_millis(_c(col))
+    return F.timestamp_add("MILLISECOND", _c(col), _epoch())
 
 
 def to_local_second(col, hours: float = 5.5) -> Column:
