@@ -141,7 +141,7 @@ def series_index(df: DataFrame, order_by, partition_by=None, n_buckets: int | No
         *[F.col(k).alias(f"__sk{j}") for j, k in enumerate(keys)], "__start")
     cond = [F.col(k).eqNullSafe(F.col(f"__sk{j}")) for j, k in enumerate(keys)]
     return (idx.join(starts, cond).withColumn(name, F.col("__gidx") - F.col("__start"))
-            .drop("__start", *[f"__sk{j}" for j in range(len(keys))]))
+            .drop("__start", "__gidx", *[f"__sk{j}" for j in range(len(keys))]))
 
 
 def halo_window(df: DataFrame, order_by, partition_by, before: int, after: int, compute,
@@ -150,8 +150,9 @@ def halo_window(df: DataFrame, order_by, partition_by, before: int, after: int,
     """Evaluate window columns over the row frame ``[-before, +after]``.
 
     ``compute(window_spec) -> dict[name, Column]`` builds the new columns from a
-    window partitioned by ``(chunk, keys)`` ordered by the global index.  The
-    result keeps every input row exactly once.
+    window partitioned by ``(chunk, keys)`` ordered by the global index (no
+    frame: callers add ``rowsBetween(-before, after)`` or use ``lag``/``lead``).
+    The result keeps every input row exactly once.
     """
     keys = _as_list(partition_by)
     c = max(chunk_rows or DEFAULT_CHUNK_ROWS, 2 * (before + after) + 1)
@@ -163,7 +164,7 @@ def halo_window(df: DataFrame, order_by, partition_by, before: int, after: int,
     rep = (idx_df.withColumn("__home", home)
            .withColumn("__chunk", F.explode(F.sequence(F.greatest(first_chunk, F.lit(0)).cast("long"),
                                                        last_chunk.cast("long")))))
-    w = Window.partitionBy("__chunk", *keys).orderBy("__idx").rowsBetween(-before, after)
+    w = Window.partitionBy("__chunk", *keys).orderBy("__idx")
     cols = compute(w)
     out = rep.withColumns(cols).where(F.col("__chunk") == F.col("__home"))
     return out.drop("__chunk", "__home")
