@@ -44,7 +44,7 @@ def _as_array(df: DataFrame, col: str) -> DataFrame:
 def _pivot_distance_udf(pivots: np.ndarray):
     piv = pivots
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def dists(v: pd.Series) -> pd.Series:
         if len(v) == 0:
             return pd.Series([], dtype=object)
@@ -55,7 +55,7 @@ def _pivot_distance_udf(pivots: np.ndarray):
     return dists
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def euclid(a: pd.Series, b: pd.Series) -> pd.Series:
     if len(a) == 0:
         return pd.Series([], dtype=np.float64)
@@ -91,7 +91,7 @@ class KNNIndex:
     def _bound_clusters_udf(self, k: int):
         counts = self.counts
 
-        @F.pandas_udf("array<int>")
+        @F.pandas_udf(T.ArrayType(T.IntegerType()))
         def nearest(pdist: pd.Series) -> pd.Series:
             out = []
             for d in pdist:
@@ -106,7 +106,7 @@ class KNNIndex:
     def _search_clusters_udf(self):
         radius = self.radius
 
-        @F.pandas_udf("array<int>")
+        @F.pandas_udf(T.ArrayType(T.IntegerType()))
         def candidates(pdist: pd.Series, bound: pd.Series) -> pd.Series:
             out = []
             for d, b in zip(pdist, bound):

@@ -121,3 +121,145 @@ SELECT a.l AS actual, b.l AS predicted, coalesce(cc.n, 0)::BIGINT AS count
 FROM ls a CROSS JOIN ls b LEFT JOIN cc ON cc.actual = a.l AND cc.predicted = b.l""")
 def m22_confusion(spark, sf):
     return MT.confusion_matrix(_knn_clf_pred(spark, sf), "label", "prediction")
+
+
+# ---- iterative learners: rows-only (property tests in tests/test_ml.py) -------------------
+
+X_REG = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+X_CLF = ["o_totalprice", "o_orderpriority", "c_acctbal", "c_mktsegment"]
+
+
+def lineitem_regression(spark, sf):
+    li = table(spark, sf, "lineitem")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    return li.select(key.alias("row_key"), *X_REG, "l_extendedprice")
+
+
+def orders_classification(spark, sf):
+    o = table(spark, sf, "orders")
+    c = table(spark, sf, "customer")
+    return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", *X_CLF, "o_orderstatus")
+
+
+def documents_binary(spark, sf):
+    lab = table(spark, sf, "labels")
+    doc = table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source")
+    return lab.join(doc, "doc_id").select("doc_id", "n_chars", "lang", "quality", F.col("toxic").cast("string")
+                                          .alias("toxic"))
+
+
+def _reg(kind, scaler="standard"):
+    def run(spark, sf):
+        return M.train(lineitem_regression(spark, sf), X_REG, "l_extendedprice", kind, "regression",
+                       "row_key", 0.2, scaler).metrics
+    return run
+
+
+def _clf(kind, binary=False):
+    def run(spark, sf):
+        if binary:
+            return M.train(documents_binary(spark, sf), ["n_chars", "lang", "quality"], "toxic", kind,
+                           "classification", "doc_id", 0.25, "standard").metrics
+        return M.train(orders_classification(spark, sf), X_CLF, "o_orderstatus", kind, "classification",
+                       "o_orderkey", 0.2, "standard").metrics
+    return run
+
+
+@register("m02_features")
+def m02_features(spark, sf):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    df = lineitem_regression(spark, sf)
+    stages = M.feature_stages(df, X_REG, "regression")
+    out = Pipeline(stages=stages).fit(df).transform(df)
+    return out.select("row_key", vector_to_array("features_raw").alias("features"), "l_extendedprice")
+
+
+@register("m03_scaler")
+def m03_scaler(spark, sf):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    df = lineitem_regression(spark, sf)
+    tr, _ = M.split(df, "row_key", 0.2)
+    stages = M.feature_stages(df, X_REG, "regression") + [M.scaler_stage("robust")]
+    model = Pipeline(stages=stages).fit(tr)  # fitted on the training part only
+    return model.transform(df).select("row_key", vector_to_array("features").alias("features"))
+
+
+register("m05_xgboost_regressor")(_reg("xgboost"))
+register("m06_tree_regressor")(_reg("tree"))
+register("m07_forest_regressor")(_reg("forest"))
+register("m08_gbt_regressor")(_reg("gbt"))
+register("m10_linear_svr")(_reg("svr"))
+register("m11_sgd_regressor")(_reg("sgd"))
+register("m12_logistic")(_clf("logistic"))
+register("m12_logistic_binary")(_clf("logistic", binary=True))
+register("m13_tree_classifier")(_clf("tree"))
+register("m13_forest_classifier")(_clf("forest"))
+register("m15_naive_bayes")(_clf("nb"))
+register("m16_svm_rbf")(_clf("svm"))
+register("m17_gbt_classifier")(_clf("gbt"))
+register("m17_gbt_classifier_binary")(_clf("gbt", binary=True))
+register("m18_adaboost")(_clf("adaboost"))
+register("m19_mlp")(_clf("mlp"))
+
+
+@register("m23_train_many")
+def m23_train_many(spark, sf):
+    from ..ml.runs import train_many
+    _, metrics = train_many(lineitem_regression(spark, sf), X_REG, "l_extendedprice", ["linear", "tree", "sgd"],
+                            "regression", "row_key", 0.2, "minmax")
+    return metrics
+
+
+def _shared_dir(spark, name):
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+
+
+@register("m24_run_log")
+def m24_run_log(spark, sf):
+    from ..ml.runs import log_run, runs
+    import uuid
+    base = _shared_dir(spark, f"runlog-{uuid.uuid4().hex}")
+    res = M.train(lineitem_regression(spark, sf), X_REG, "l_extendedprice", "linear", "regression", "row_key")
+    log_run(spark, base, "lineitem-price", "linear", res.metrics, {"scaler": "standard"})
+    log_run(spark, base, "lineitem-price", "linear", res.metrics, {"scaler": "standard", "note": "rerun"})
+    return runs(spark, base, "lineitem-price")
+
+
+@register("m25_score")
+def m25_score(spark, sf):
+    from ..ml.runs import save_model, score
+    import uuid
+    data = orders_classification(spark, sf)
+    res = M.train(data, X_CLF, "o_orderstatus", "tree", "classification", "o_orderkey")
+    path = save_model(res, _shared_dir(spark, f"model-{uuid.uuid4().hex}"))
+    return score(path, data).select("o_orderkey", "o_orderstatus", "predicted_label")
+
+
+@register("m26_validate_inputs", """
+WITH tr AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' AND o_orderpriority <> '5-LOW'),
+sc AS (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01')
+SELECT sc.*, 'o_orderpriority: unseen value' AS problem FROM sc
+WHERE o_orderpriority NOT IN (SELECT o_orderpriority FROM tr)""")
+def m26_validate_inputs(spark, sf):
+    from ..ml.runs import validate_inputs
+    o = table(spark, sf, "orders")
+    tr = o.where("o_orderdate < timestamp_ntz'1998-01-01' AND o_orderpriority <> '5-LOW'")
+    sc = o.where("o_orderdate >= timestamp_ntz'1998-01-01'")
+    return validate_inputs(sc, tr, ["o_orderstatus", "o_totalprice", "o_orderpriority"])
+
+
+@register("m27_pca")
+def m27_pca(spark, sf):
+    from ..ml.runs import pca2
+    return pca2(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+                keep=["l_orderkey", "l_linenumber"])
+
+
+@register("c10_actual_vs_predicted")
+def c10_actual_vs_predicted(spark, sf):
+    from ..operators.charts import actual_vs_predicted
+    res = M.train(lineitem_regression(spark, sf), X_REG, "l_extendedprice", "linear", "regression", "row_key")
+    return actual_vs_predicted(res.predictions, "row_key", "l_extendedprice", "prediction")
