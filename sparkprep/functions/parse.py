@@ -35,10 +35,16 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# Same rule as the two patterns above, as one character translation (no regex):
+# the Unicode minus becomes '-', the other listed characters are deleted.
+_TRANSLATE_FROM = "−$,%)( \t\n\r\f\u000b"
+_TRANSLATE_TO = "-"
+
+
 def numeric_text(col) -> Column:
-    """The text a numeric parse sees: currency, separators, %, parentheses removed."""
-    c = F.regexp_replace(_c(col), NUMERIC_STRIP_PATTERN, "")
-    return F.regexp_replace(c, MINUS_PATTERN, "-")
+    """The text a numeric parse sees: currency, separators, %, parentheses and
+    whitespace removed, Unicode minus normalised."""
+    return F.translate(_c(col), _TRANSLATE_FROM, _TRANSLATE_TO)
 
 
 # A cheap shape test in front of every cast: a failed cast costs a JVM

@@ -18,23 +18,53 @@ from ..functions.scalar import normalise_name
 from .relational import q
 
 
-def _candidate_counts(df: DataFrame, cols, formats):
-    aggs = []
+PROBE_ROWS = 20000
+
+
+def _candidate_exprs(cols, formats):
+    """Per column: (name, condition) pairs counted by the inference pass."""
+    out = {}
     for i, c in enumerate(cols):
         s = F.trim(F.col(q(c)))
         present = s.isNotNull() & (s != "")
         num_txt = P.numeric_text(s)
-        aggs += [
-            F.count_if(s.isNotNull()).alias(f"nn{i}"),
-            F.count_if(present).alias(f"pr{i}"),
-            F.count_if(present & P.parse_numeric(s).isNotNull()).alias(f"num{i}"),
-            F.count_if(present & num_txt.rlike(r"^[+-]?\d+$")).alias(f"int{i}"),
-            F.count_if(s.isNotNull() & P.is_boolean_text(s)).alias(f"bool{i}"),
-        ]
-        for j, fmt in enumerate(formats):
-            aggs.append(F.count_if(present & P.parse_datetime(s, fmt).isNotNull()).alias(f"dt{i}_{j}"))
-    aggs.append(F.count(F.lit(1)).alias("__rows"))
-    return df.agg(*aggs).first()
+        looks_date = s.rlike(r"^\d{1,4}[-/.]\d")  # cheap gate in front of the format tests
+        out[c] = [(f"num{i}", present & num_txt.rlike(P.NUMBER_SHAPE) & num_txt.try_cast("double").isNotNull()),
+                  (f"int{i}", present & num_txt.rlike(r"^[+-]?\d+$")),
+                  (f"bool{i}", s.isNotNull() & P.is_boolean_text(s))]
+        out[c] += [(f"dt{i}_{j}", present & looks_date & P.parse_datetime(s, fmt).isNotNull())
+                   for j, fmt in enumerate(formats)]
+    return out
+
+
+def _base_counts(cols):
+    aggs = []
+    for i, c in enumerate(cols):
+        s = F.trim(F.col(q(c)))
+        aggs += [F.count_if(s.isNotNull()).alias(f"nn{i}"), F.count_if(s.isNotNull() & (s != "")).alias(f"pr{i}")]
+    return aggs + [F.count(F.lit(1)).alias("__rows")]
+
+
+def _candidate_counts(df: DataFrame, cols, formats):
+    """Counts of converting values per candidate type.
+
+    A type is kept only if *every* value converts, so a failure on any row is
+    final: candidates are first tested on a bounded prefix of rows, and the
+    full scan only counts the survivors (usually one per column)."""
+    cand = _candidate_exprs(cols, formats)
+    probe = df.limit(PROBE_ROWS).agg(*_base_counts(cols), *[e.alias(n) for c in cols for n, e in
+                                                           [(n, F.count_if(x)) for n, x in cand[c]]]).first()
+    alive = []
+    for i, c in enumerate(cols):
+        for n, x in cand[c]:
+            need = probe[f"nn{i}"] if n.startswith("bool") else probe[f"pr{i}"]
+            if probe[n] == need:
+                alive.append((n, x))
+    row = df.agg(*_base_counts(cols), *[F.count_if(x).alias(n) for n, x in alive]).first().asDict()
+    for c in cols:
+        for n, _ in cand[c]:
+            row.setdefault(n, -1)  # eliminated on the probe rows
+    return row
 
 
 def infer_types(df: DataFrame, formats=P.DEFAULT_DATETIME_FORMATS):

@@ -91,7 +91,9 @@ def update_table(df: DataFrame, base: str, name: str) -> str:
 
 def export_csv(df: DataFrame, path: str) -> str:
     """S-15: CSV with header (one file per task; no single-writer bottleneck)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    (df.write.mode("overwrite").option("header", True)
+     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
+     .csv(path))
     return path
 
 
