@@ -63,3 +63,14 @@ def o05_oversample(spark, sf):
 SELECT * FROM {_UNDER.format(cls=0, n=200)} UNION ALL SELECT * FROM {_OVER.format(cls=1, n=150)}""")
 def o06_resample_classes(spark, sf):
     return OL.resample_classes(table(spark, sf, "labels"), "toxic", {0: (200, False), 1: (150, True)}, "doc_id")
+
+
+@register("o07_smote_nc")
+def o07_smote_nc(spark, sf):
+    from ..ml.smote import smote_nc
+    lab = table(spark, sf, "labels")
+    doc = table(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"),
+                                               "lang", "source")
+    data = lab.join(doc, "doc_id").select("doc_id", "n_chars", "quality", "lang", "source", "toxic")
+    return smote_nc(data, "toxic", "doc_id", k=5, seed=10, numeric=["n_chars", "quality"],
+                    categorical=["lang", "source"])
