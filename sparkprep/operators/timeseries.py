@@ -46,10 +46,14 @@ def _agg(col: str, fn: str, ts: str) -> Column:
     raise ValueError(f"unknown resample function {fn!r}")
 
 
-def _spine(spark, n_bins_df: DataFrame, parts: int) -> DataFrame:
-    n = n_bins_df.first()[0]  # one scalar
-    n = int(n or 0)
-    return spark.range(0, n, 1, max(1, min(parts, math.ceil(n / 100000) + 1))).withColumnRenamed("id", "__bin")
+def _spine(spark, bounds: DataFrame, parts: int) -> DataFrame:
+    """Every bin id from the first to the last occupied bin (two scalars read)."""
+    lo, hi = bounds.first()
+    if lo is None:
+        return spark.range(0).withColumnRenamed("id", "__bin")
+    n = int(hi) - int(lo) + 1
+    return spark.range(int(lo), int(hi) + 1, 1, max(1, min(parts, math.ceil(n / 100000) + 1))) \
+        .withColumnRenamed("id", "__bin")
 
 
 def resample(df: DataFrame, ts: str, every: int, unit: str, fn="mean", cols=None) -> DataFrame:
@@ -94,8 +98,8 @@ def resample(df: DataFrame, ts: str, every: int, unit: str, fn="mean", cols=None
             return F.timestamp_add("MICROSECOND", bin_col * F.lit(width), F.col("__o"))
     aggs = [_agg(c, f, ts).alias(c if len(fns) == 1 else f"{c}_{f}") for c in cols for f in fns]
     grouped = binned.groupBy("__bin").agg(*aggs)
-    n_bins = binned.agg((F.max("__bin") + 1).alias("__n"))
-    spine = attach_scalars(_spine(spark, n_bins, parts), origin)
+    bounds = binned.agg(F.min("__bin").alias("__lo"), F.max("__bin").alias("__hi"))
+    spine = attach_scalars(_spine(spark, bounds, parts), origin)
     out = spine.join(grouped, "__bin", "left")
     fills = {}
     for c in cols:

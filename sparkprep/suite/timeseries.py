@@ -17,7 +17,7 @@ WITH o AS (SELECT date_trunc('day', min(ts))::TIMESTAMP AS o FROM events),
 b AS (SELECT floor(date_diff('microsecond', o.o, e.ts) / {width_us})::BIGINT AS bin, e.ts, e.value
       FROM events e, o),
 g AS (SELECT bin, {agg} AS value FROM b GROUP BY bin),
-s AS (SELECT range AS bin FROM range(0, (SELECT max(bin) + 1 FROM b)))
+s AS (SELECT range AS bin FROM range((SELECT min(bin) FROM b), (SELECT max(bin) + 1 FROM b)))
 SELECT o.o + to_microseconds(s.bin * {width_us}) AS ts, round(g.value, 4) AS value
 FROM s CROSS JOIN o LEFT JOIN g ON s.bin = g.bin"""
 
@@ -59,7 +59,7 @@ WITH p AS (SELECT (year(o_orderdate) * 12 + month(o_orderdate) - 1) AS p, o_tota
 p0 AS (SELECT min(p) AS p0 FROM p),
 b AS (SELECT ceil((p - p0) / {n})::BIGINT AS bin, o_totalprice FROM p, p0),
 g AS (SELECT bin, {agg} AS o_totalprice FROM b GROUP BY bin),
-s AS (SELECT range AS bin FROM range(0, (SELECT max(bin) + 1 FROM b)))
+s AS (SELECT range AS bin FROM range((SELECT min(bin) FROM b), (SELECT max(bin) + 1 FROM b)))
 SELECT last_day(make_date(((p0 + s.bin * {n}) // 12)::BIGINT, ((p0 + s.bin * {n}) % 12 + 1)::BIGINT, 1))::TIMESTAMP
        AS o_orderdate, round(g.o_totalprice, 4) AS o_totalprice
 FROM s CROSS JOIN p0 LEFT JOIN g ON s.bin = g.bin"""
@@ -82,7 +82,7 @@ WITH p AS (SELECT year(o_orderdate) AS p, o_totalprice FROM orders),
 p0 AS (SELECT min(p) AS p0 FROM p),
 b AS (SELECT ceil((p - p0) / 2)::BIGINT AS bin, o_totalprice FROM p, p0),
 g AS (SELECT bin, min(o_totalprice) AS o_totalprice FROM b GROUP BY bin),
-s AS (SELECT range AS bin FROM range(0, (SELECT max(bin) + 1 FROM b)))
+s AS (SELECT range AS bin FROM range((SELECT min(bin) FROM b), (SELECT max(bin) + 1 FROM b)))
 SELECT make_timestamp((p0 + s.bin * 2)::BIGINT, 12, 31, 0, 0, 0) AS o_orderdate,
        round(g.o_totalprice, 4) AS o_totalprice
 FROM s CROSS JOIN p0 LEFT JOIN g ON s.bin = g.bin""")
