@@ -14,13 +14,43 @@ QUERIES: dict = {}
 SQL: dict = {}
 
 
+def _positive_zero_rounds(sql: str) -> str:
+    """Wrap every ``round(...)`` as ``(round(...) + 0.0)``.
+
+    DuckDB's round keeps the sign of a value that rounds to zero (-0.0) while
+    Spark's round returns +0.0; adding 0.0 turns -0.0 into +0.0 and leaves
+    every other value unchanged, so value hashes compare numbers, not signs."""
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while k < len(sql):
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = _positive_zero_rounds(sql[j + 6:k])
+        out.append(sql[i:j] + "(round(" + inner + ") + 0.0)")
+        i = k + 1
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         if name in QUERIES:
             raise KeyError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            SQL[name] = sql
+            SQL[name] = _positive_zero_rounds(sql)
         return fn
     return deco
 

@@ -59,10 +59,21 @@ def o05_oversample(spark, sf):
     return OL.oversample(table(spark, sf, "labels"), "toxic", 1, 300, "doc_id", seed=10)
 
 
+_N1 = "(SELECT count(*) FROM labels WHERE toxic = 1)"
+
+
 @register("o06_resample_classes", f"""
-SELECT * FROM {_UNDER.format(cls=0, n=200)} UNION ALL SELECT * FROM {_OVER.format(cls=1, n=150)}""")
+SELECT * FROM (SELECT * FROM labels WHERE toxic = 0 ORDER BY md5(doc_id::VARCHAR || ':10'), doc_id
+               LIMIT (SELECT 3 * count(*) FROM labels WHERE toxic = 1))
+UNION ALL
+SELECT * FROM (WITH m AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM labels WHERE toxic = 1),
+       d AS (SELECT (('0x' || substr(md5(j::VARCHAR || ':10'), 1, 15))::BIGINT) % (SELECT count(*) FROM m) AS idx
+             FROM (SELECT unnest(range(0, 2 * {_N1})) AS j))
+   SELECT m.doc_id, m.quality, m.toxic FROM d JOIN m USING (idx))""")
 def o06_resample_classes(spark, sf):
-    return OL.resample_classes(table(spark, sf, "labels"), "toxic", {0: (200, False), 1: (150, True)}, "doc_id")
+    labels = table(spark, sf, "labels")
+    n1 = labels.where("toxic = 1").count()  # the plan is relative to the minority size
+    return OL.resample_classes(labels, "toxic", {0: (3 * n1, False), 1: (2 * n1, True)}, "doc_id")
 
 
 @register("o07_smote_nc")
