@@ -78,11 +78,9 @@ def group_agg_all(df: DataFrame, key, fn: str, order_by=None, approx: bool = Fal
 
 def quantile(df: DataFrame, col: str, qs=(0.25, 0.5, 0.75), approx: bool = False) -> DataFrame:
     """A-11: exact linear-interpolation quantiles as one row (``q25``, ``q50`` ...)."""
-    exprs = []
-    for p in qs:
-        name = f"q{int(round(p * 100))}"
-        if approx:
-            exprs.append(F.percentile_approx(F.col(q(col)), p, 10000).alias(name))
-        else:
-            exprs.append(F.percentile(F.col(q(col)), F.lit(p)).alias(name))
-    return df.agg(*exprs)
+    names = [f"q{int(round(p * 100))}" for p in qs]
+    if approx:
+        return df.agg(*[F.percentile_approx(F.col(q(col)), p, 10000).alias(nm) for p, nm in zip(qs, names)])
+    from .quantiles import quantile_frame
+    frame = quantile_frame(df.select(F.col(q(col)).alias("x")), ["x"], list(qs), names)
+    return frame.select(*[F.col(f"x_{nm}").alias(nm) for nm in names])

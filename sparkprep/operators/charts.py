@@ -90,8 +90,9 @@ def kde(df: DataFrame, col: str, points: int = 100) -> DataFrame:
 def box_stats(df: DataFrame, col: str) -> DataFrame:
     """C-03: q1, median, q3, whiskers (extreme points within 1.5 IQR), outliers."""
     x = F.col(q(col)).cast("double")
-    p = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__p"))
-    p = p.select(F.col("__p")[0].alias("q1"), F.col("__p")[1].alias("median"), F.col("__p")[2].alias("q3"))
+    from .quantiles import quantile_frame
+    p = quantile_frame(df.select(x.alias("x")), ["x"], [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    p = p.select(F.col("x_q1").alias("q1"), F.col("x_median").alias("median"), F.col("x_q3").alias("q3"))
     p = p.withColumn("__lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("__hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     j = attach_scalars(df.select(x.alias("__x")), p)

@@ -87,7 +87,14 @@ def scale(df: DataFrame, kind: str = "standard", cols=None, in_place: bool | Non
     else:
         cols = [cols] if isinstance(cols, str) else list(cols)
         in_place = False if in_place is None else in_place
-    stats = df.agg(*[e for i, c in enumerate(cols) for e in _stats(c, kind, i)])
+    if kind == "robust":
+        from .quantiles import quantile_frame
+        qf = quantile_frame(df.select(*[F.col(q(c)).alias(f"c{i}") for i, c in enumerate(cols)]),
+                            [f"c{i}" for i in range(len(cols))], [0.25, 0.5, 0.75], ["q1", "med", "q3"])
+        stats = qf.select(*[e for i in range(len(cols)) for e in
+                            (F.col(f"c{i}_med").alias(f"__c{i}"), (F.col(f"c{i}_q3") - F.col(f"c{i}_q1")).alias(f"__s{i}"))])
+    else:
+        stats = df.agg(*[e for i, c in enumerate(cols) for e in _stats(c, kind, i)])
     joined = attach_scalars(df, stats)
     exprs = {}
     for i, c in enumerate(cols):

@@ -61,8 +61,15 @@ def fill_plan(df: DataFrame, plan, order_by=None, partition_by=None) -> DataFram
         if not items:
             return frame
         aggs = [(_stat_expr(c, m)).alias(f"__s{i}") for i, (c, m) in enumerate(items)
-                if m in ("mean", "median", "min", "max")]
+                if m in ("mean", "min", "max")]
         stats = frame.agg(*aggs) if aggs else None
+        medians = [(i, c) for i, (c, m) in enumerate(items) if m == "median"]
+        if medians:
+            from .quantiles import quantile_frame
+            qf = quantile_frame(frame.select(*[F.col(q(c)).alias(f"m{i}") for i, c in medians]),
+                                [f"m{i}" for i, _ in medians], [0.5], ["med"])
+            qf = qf.select(*[F.col(f"m{i}_med").alias(f"__s{i}") for i, _ in medians])
+            stats = qf if stats is None else attach_scalars(stats, qf)
         modes = [(i, c, m) for i, (c, m) in enumerate(items) if m in ("mode", "antimode")]
         joined = frame
         if stats is not None:

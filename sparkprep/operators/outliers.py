@@ -31,10 +31,10 @@ def hash_int(text_col: Column) -> Column:
 # ---- outliers -----------------------------------------------------------------
 
 def iqr_bounds(df: DataFrame, col: str) -> DataFrame:
-    p = F.percentile(F.col(q(col)), F.array(F.lit(0.25), F.lit(0.75)))
-    one = df.agg(p.alias("__p"))
-    return one.select((F.col("__p")[0] - 1.5 * (F.col("__p")[1] - F.col("__p")[0])).alias("__lo"),
-                      (F.col("__p")[1] + 1.5 * (F.col("__p")[1] - F.col("__p")[0])).alias("__hi"))
+    from .quantiles import quantile_frame
+    qf = quantile_frame(df.select(F.col(q(col)).alias("x")), ["x"], [0.25, 0.75], ["q1", "q3"])
+    q1, q3 = F.col("x_q1"), F.col("x_q3")
+    return qf.select((q1 - 1.5 * (q3 - q1)).alias("__lo"), (q3 + 1.5 * (q3 - q1)).alias("__hi"))
 
 
 def _iqr_flag(col: str) -> Column:

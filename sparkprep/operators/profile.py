@@ -88,19 +88,20 @@ def describe(df: DataFrame, cols=None) -> DataFrame:
     Output rows are statistics (column ``statistic``), one column per input
     numeric column, like ``pandas.DataFrame.describe``.
     """
+    from .quantiles import quantile_frame
     cols = cols or columns_of_kind(df, ("numeric",))
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(q(c)).cast("double")
         aggs += [F.count(x).cast("double").alias(f"count_{i}"), F.avg(x).alias(f"mean_{i}"),
-                 F.stddev_samp(x).alias(f"std_{i}"), F.min(x).alias(f"min_{i}"),
-                 F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"pct_{i}"),
-                 F.max(x).alias(f"max_{i}")]
-    one = df.agg(*aggs)
+                 F.stddev_samp(x).alias(f"std_{i}"), F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}")]
+    pos = df.select(*[F.col(q(c)).alias(f"c{i}") for i, c in enumerate(cols)])
+    pct = quantile_frame(pos, [f"c{i}" for i in range(len(cols))], [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
+    one = attach_scalars(df.agg(*aggs), pct)
     stats = [("count", lambda i: F.col(f"count_{i}")), ("mean", lambda i: F.col(f"mean_{i}")),
              ("std", lambda i: F.col(f"std_{i}")), ("min", lambda i: F.col(f"min_{i}")),
-             ("25%", lambda i: F.col(f"pct_{i}")[0]), ("50%", lambda i: F.col(f"pct_{i}")[1]),
-             ("75%", lambda i: F.col(f"pct_{i}")[2]), ("max", lambda i: F.col(f"max_{i}"))]
+             ("25%", lambda i: F.col(f"c{i}_p25")), ("50%", lambda i: F.col(f"c{i}_p50")),
+             ("75%", lambda i: F.col(f"c{i}_p75")), ("max", lambda i: F.col(f"max_{i}"))]
     rows = [F.struct(F.lit(name).alias("statistic"), *[fn(i).alias(c) for i, c in enumerate(cols)])
             for name, fn in stats]
     return one.select(F.inline(F.array(*rows)))
