@@ -145,3 +145,15 @@ SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHER
 def s22_delete_where(spark, sf):
     building = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
     return MT.delete_where(table(spark, sf, "orders"), "o_custkey", building)
+
+
+@register("s06_read_csv_uri", _TYPED_SQL.replace("SELECT l_orderkey, l_linenumber,",
+                                                 "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber,"))
+def s06_read_csv_uri(spark, sf):
+    from .._fs import hadoop_path
+    path = scratch_dir(spark, "csv-uri")
+    _dirty_lineitem(spark, sf).write.option("header", True).csv(path)
+    fs, hpath = hadoop_path(spark, path)
+    uri = fs.makeQualified(hpath).toUri().toString()  # scheme://authority/path, as a URL source would give
+    df, _ = SF.read_csv(spark, uri)
+    return r4(df)
