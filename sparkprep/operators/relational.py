@@ -105,20 +105,28 @@ def _literal_sql(value) -> str:
         return "NULL"
     if isinstance(value, bool):
         return "TRUE" if value else "FALSE"
-    if isinstance(value, (int, float)):
+    if isinstance(value, float):
+        return repr(value) + "D"  # a double literal: compares with double columns without casts
+    if isinstance(value, int):
         return repr(value)
     return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def condition_sql(col: str, op: str, value) -> str:
-    """One condition as SQL with pandas null rules (never null itself)."""
+    """One condition as SQL with pandas null rules (never null itself).
+
+    Written as ``c IS NOT NULL AND c > v`` / ``c IS NULL OR c <> v`` rather
+    than ``coalesce(...)`` so the parts reach the Parquet scan as pushed
+    filters; under ``NOT`` the result is still the pandas one."""
     c, v = q(col), _literal_sql(value)
+    if value is None:
+        return f"({c} IS NULL)" if op == "==" else (f"({c} IS NOT NULL)" if op == "!=" else "false")
     if op == "==":
-        return f"coalesce({c} = {v}, false)"
+        return f"({c} IS NOT NULL AND {c} = {v})"
     if op == "!=":
-        return f"(NOT ({c} <=> {v}))"
+        return f"({c} IS NULL OR {c} <> {v})"
     if op in (">", "<", ">=", "<="):
-        return f"coalesce({c} {op} {v}, false)"
+        return f"({c} IS NOT NULL AND {c} {op} {v})"
     raise ValueError(f"unknown comparison {op!r}")
 
 
