@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.profile import attach_scalars
@@ -40,24 +40,30 @@ def classification_metrics(pred: DataFrame, label: str = "label", prediction: st
                            long: bool = True) -> DataFrame:
     """M-21: accuracy and support-weighted precision / recall / F1, 2 decimals.
 
-    Built from the confusion counts (classes² rows), so it is one shuffle of
-    tiny partial aggregates regardless of the data size."""
+    One lineage: the confusion counts (classes² rows, one shuffle of tiny
+    partial aggregates), per-class support and predicted totals as windows
+    over that small table, then the diagonal.  A class without a correct
+    prediction has precision = recall = F1 = 0, so only diagonal cells add to
+    the weighted sums (and weighted recall equals accuracy)."""
     cc = confusion_counts(pred, label, prediction)
-    n = cc.agg(F.sum("count").alias("__n"))
-    support = cc.groupBy(F.col("actual").alias("cls")).agg(F.sum("count").alias("support"))
-    predicted = cc.groupBy(F.col("predicted").alias("cls")).agg(F.sum("count").alias("npred"))
-    tp = cc.where(F.col("actual") == F.col("predicted")).select(F.col("actual").alias("cls"), F.col("count").alias("tp"))
-    per = (support.join(predicted, "cls", "full").join(tp, "cls", "left")
-           .na.fill(0, ["support", "npred", "tp"]))
-    prec = F.when(F.col("npred") > 0, F.col("tp") / F.col("npred")).otherwise(F.lit(0.0))
-    rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
-    f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
-    per = per.select("cls", "support", "tp", prec.alias("p"), rec.alias("r"), f1.alias("f1"))
-    j = attach_scalars(per, n)
-    one = j.agg((F.sum("tp") / F.first("__n")).alias("Accuracy"),
-                (F.sum(F.col("p") * F.col("support")) / F.first("__n")).alias("Precision"),
-                (F.sum(F.col("r") * F.col("support")) / F.first("__n")).alias("Recall"),
-                (F.sum(F.col("f1") * F.col("support")) / F.first("__n")).alias("F1 Score"))
+    w_actual = Window.partitionBy("actual")
+    w_pred = Window.partitionBy("predicted")
+    w_all = Window.partitionBy(F.lit(1))  # over classes² rows only
+    cells = cc.select("actual", "predicted", "count",
+                      F.sum("count").over(w_actual).alias("support"),
+                      F.sum("count").over(w_pred).alias("npred"),
+                      F.sum("count").over(w_all).alias("n"))
+    diag = cells.where(F.col("actual") == F.col("predicted"))
+    p = F.col("count") / F.col("npred")
+    r = F.col("count") / F.col("support")
+    f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+    one = diag.agg((F.sum("count") / F.first("n")).alias("Accuracy"),
+                   (F.sum(p * F.col("support")) / F.first("n")).alias("Precision"),
+                   (F.sum(r * F.col("support")) / F.first("n")).alias("Recall"),
+                   (F.sum(f1 * F.col("support")) / F.first("n")).alias("F1 Score"))
+    # no correct prediction at all: every metric is 0
+    one = one.select(*[F.coalesce(F.col(q(c)), F.lit(0.0)).alias(c)
+                       for c in ("Accuracy", "Precision", "Recall", "F1 Score")])
     names = ["Accuracy", "Precision", "Recall", "F1 Score"]
     if long:
         return _long(one, names)
