@@ -186,3 +186,54 @@ def quantile_frame(df: DataFrame, cols, probs, names=None, map_limit: int = MAP_
             fields.append(f"`{c}_{nm}` double")
             values.append(None if v is None else float(v))
     return df.sparkSession.createDataFrame([tuple(values)], ", ".join(fields))
+
+
+def largest_group(df: DataFrame, keys, cols) -> int:
+    """Largest per-group count of non-null values over ``cols`` (one aggregate pass)."""
+    per = df.groupBy(*[F.col(q(k)) for k in keys]).agg(
+        *[F.count(F.col(q(c))).alias(f"__n{i}") for i, c in enumerate(cols)])
+    row = per.agg(F.max(F.greatest(*[F.col(f"__n{i}") for i in range(len(cols))], F.lit(0))).alias("m")).first()
+    return int(row["m"] or 0)
+
+
+def grouped_quantiles(df: DataFrame, keys, col: str, probs, names=None) -> DataFrame:
+    """Exact per-group linear-interpolation quantiles of ``col``: ``keys + names``.
+
+    No group is ever held by one task.  The non-null rows are numbered in
+    ``(keys, value)`` order with the range-bucket row index (a hot group is
+    cut across many buckets), so each group owns the contiguous index range
+    ``[start, start + n)``.  The two order statistics around ``p·(n − 1)`` are
+    then fetched by an equi-join on the *unique* row index — at most two rows
+    per group and probability, with no key skew.  Rows with a null key are
+    dropped, as by ``groupBy`` in pandas.  Groups whose values are all null are
+    absent (callers join the result to their group table).
+    """
+    from ..plans.ordered import with_row_index
+
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    names = list(names or [f"q{int(round(p * 100))}" for p in probs])
+    gk = [f"__g{j}" for j in range(len(keys))]
+    present = F.col("__x").isNotNull()
+    for g in gk:
+        present = present & F.col(g).isNotNull()
+    vals = df.select(*[F.col(q(k)).alias(g) for k, g in zip(keys, gk)],
+                     F.col(q(col)).cast("double").alias("__x")).where(present)
+    idx = with_row_index(vals, ["__x"], gk, name="__i")
+    groups = idx.groupBy(*gk).agg(F.min("__i").alias("__s"), F.count(F.lit(1)).alias("__n"))
+    targets = []
+    for t, p in enumerate(probs):
+        h = F.lit(float(p)) * (F.col("__n") - 1)
+        lo, hi = F.floor(h), F.ceil(h)
+        targets.append(F.struct(F.lit(t).alias("t"), (h - lo).alias("frac"),
+                                F.array(F.col("__s") + lo, F.col("__s") + hi).alias("at")))
+    picks = (groups.select(*gk, F.explode(F.array(*targets)).alias("__t"))
+             .select(*gk, F.col("__t.t").alias("__qt"), F.col("__t.frac").alias("__frac"),
+                     F.explode(F.array_distinct("__t.at")).alias("__i")))
+    # the lower order statistic is the smaller value (rows are in value order)
+    stats = (picks.join(idx.select("__i", "__x"), "__i")
+             .groupBy(*gk, "__qt")
+             .agg(F.min("__x").alias("__a"), F.max("__x").alias("__b"), F.first("__frac").alias("__frac"))
+             .withColumn("__v", F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__frac")))
+    wide = stats.groupBy(*gk).agg(*[F.max(F.when(F.col("__qt") == t, F.col("__v"))).alias(nm)
+                                    for t, nm in enumerate(names)])
+    return wide.select(*[F.col(g).alias(k) for g, k in zip(gk, keys)], *names)

@@ -21,3 +21,30 @@ def test_quantile_frame_paths_agree(spark):
     small = quantile_frame(li, ["l_extendedprice", "l_quantity"], [0.25, 0.5, 0.75]).first()
     big = quantile_frame(li, ["l_extendedprice", "l_quantity"], [0.25, 0.5, 0.75], map_limit=0).first()
     assert np.allclose(list(small), list(big), atol=1e-9)
+
+
+def test_grouped_median_by_selection_matches_pandas_with_a_hot_key(spark):
+    import pandas as pd
+
+    from sparkprep.operators.aggregate import group_agg
+
+    rng = np.random.default_rng(5)
+    n = 3000
+    g = np.where(rng.random(n) < 0.34, "hot", rng.choice(["a", "b", "c", "d"], n)).astype(object)
+    g[:7] = None                                        # null keys are dropped
+    v = rng.normal(0, 10, n).round(2)
+    v[rng.random(n) < 0.1] = np.nan                    # null values are skipped
+    pdf = pd.DataFrame({"g": g, "h": rng.integers(0, 2, n), "v": v})
+    pdf.loc[pdf.g == "d", "v"] = np.nan                # an all-null group
+    rows = [(a, int(b), None if np.isnan(c) else float(c)) for a, b, c in pdf.itertuples(index=False)]
+    df = spark.createDataFrame(rows, "g string, h int, v double")
+    spec = {"v": ["median", "count", "mean"]}
+    for keys in (["g"], ["g", "h"]):
+        small = group_agg(df, keys, spec).toPandas()
+        big = group_agg(df, keys, spec, map_limit=0).toPandas()
+        assert list(big.columns) == keys + ["v_median", "v_count", "v_mean"]
+        want = pdf.dropna(subset=["g"]).groupby(keys)["v"].median().reset_index(name="want")
+        for got in (small, big):
+            m = got.merge(want, on=keys, how="outer")
+            assert len(m) == len(want) == len(got)
+            assert np.allclose(m["v_median"].astype(float), m["want"], equal_nan=True, atol=1e-9)
