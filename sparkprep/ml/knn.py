@@ -14,6 +14,13 @@ Pivot blocking with triangle-inequality pruning:
    cluster's rows, distances computed, and the k best kept per query
    (ties broken by training id).
 
+A hot cluster (say a third of the rows are near-copies) is no single task:
+cluster ``c`` is cut into ``ceil(n_c / slice_rows)`` slices by a hash of the
+training id, queries are replicated to each slice, and the join runs on
+(cluster, slice).  The k best are first kept per (query, cluster, slice) on
+the join's own partitioning (no extra shuffle), so only k rows per slice
+reach the per-query ranking.
+
 Vector arithmetic runs in Arrow-batched pandas UDFs (numpy); joins, ranking
 and voting are Spark operators.
 """
@@ -32,6 +39,7 @@ from pyspark.sql import types as T
 from ..operators.relational import q
 
 _TOL = 1e-9
+SLICE_ROWS = 1 << 16   # training rows per join slice of one pivot cluster
 
 
 def _as_array(df: DataFrame, col: str) -> DataFrame:
@@ -68,7 +76,7 @@ class KNNIndex:
     """Training rows blocked by pivot; answers exact k-NN queries."""
 
     def __init__(self, train: DataFrame, id_col: str, features: str = "features", extra=(),
-                 n_pivots: int | None = None, seed: int = 7):
+                 n_pivots: int | None = None, seed: int = 7, slice_rows: int | None = None):
         self.id_col = id_col
         base = _as_array(train, features).select(F.col(q(id_col)).alias("__tid"), "__v",
                                                  *[F.col(q(c)) for c in extra])
@@ -87,6 +95,12 @@ class KNNIndex:
                  assigned.groupBy("__c").agg(F.max("__rc").alias("radius"), F.count(F.lit(1)).alias("cnt")).collect()}
         self.radius = np.array([stats.get(i, (-1.0, 0))[0] for i in range(len(self.pivots))], dtype=np.float64)
         self.counts = np.array([stats.get(i, (0.0, 0))[1] for i in range(len(self.pivots))], dtype=np.int64)
+        # slices per cluster: P small integers, a literal array in the plan
+        per_slice = slice_rows or SLICE_ROWS
+        self.slices = [max(1, -(-int(c) // per_slice)) for c in self.counts]
+        self._per = F.array(*[F.lit(v) for v in self.slices])
+        self.rows = self.rows.withColumn(
+            "__s", F.pmod(F.xxhash64("__tid"), F.element_at(self._per, F.col("__c") + 1)).cast("int"))
 
     def _bound_clusters_udf(self, k: int):
         counts = self.counts
@@ -124,27 +138,28 @@ class KNNIndex:
         qv = qv.withColumn("__pd", self.pd_udf("__v"))
         kk = k + (1 if exclude_self else 0)
 
-        def pairs(clusters_col):
-            cand = qv.select("__qid", F.col("__v").alias("__qv"), F.explode(clusters_col).alias("__c"))
-            j = cand.join(self.rows, "__c")
+        w = Window.partitionBy("__qid").orderBy("__d", "__tid")
+        w_slice = Window.partitionBy("__qid", "__c", "__s").orderBy("__d", "__tid")
+
+        def best(cand):
+            """k best per query over the candidate (query, cluster) pairs."""
+            sliced = cand.withColumn("__s", F.explode(F.sequence(
+                F.lit(0), F.element_at(self._per, F.col("__c") + 1) - 1)))
+            j = sliced.join(self.rows, ["__c", "__s"])
             if exclude_self:
                 j = j.where(F.col("__qid") != F.col("__tid"))
-            return j.withColumn("__d", euclid("__qv", "__v"))
+            j = j.withColumn("__d", euclid("__qv", "__v"))
+            local = j.withColumn("__r", F.row_number().over(w_slice)).where(F.col("__r") <= k)
+            return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-        w = Window.partitionBy("__qid").orderBy("__d", "__tid")
-        first = pairs(self._bound_clusters_udf(kk)("__pd"))
-        bound = (first.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
-                 .groupBy("__qid").agg(F.max("__d").alias("__bound")))
+        first = best(qv.select("__qid", F.col("__v").alias("__qv"),
+                               F.explode(self._bound_clusters_udf(kk)("__pd")).alias("__c")))
+        bound = first.groupBy("__qid").agg(F.max("__d").alias("__bound"))
         qb = qv.join(bound, "__qid", "left").withColumn(
             "__bound", F.coalesce(F.col("__bound"), F.lit(float("inf"))))
-        search = qb.select("__qid", F.col("__v").alias("__qv"),
-                           F.explode(self._search_clusters_udf()("__pd", "__bound")).alias("__c"))
-        j = search.join(self.rows, "__c")
-        if exclude_self:
-            j = j.where(F.col("__qid") != F.col("__tid"))
-        j = j.withColumn("__d", euclid("__qv", "__v"))
-        ranked = j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        extra = [c for c in self.rows.columns if c not in ("__tid", "__v", "__c", "__rc")]
+        ranked = best(qb.select("__qid", F.col("__v").alias("__qv"),
+                                F.explode(self._search_clusters_udf()("__pd", "__bound")).alias("__c")))
+        extra = [c for c in self.rows.columns if c not in ("__tid", "__v", "__c", "__rc", "__s")]
         return ranked.select(F.col("__qid").alias("qid"), F.col("__tid").alias("tid"),
                              F.col("__d").alias("dist"), "rank", *extra)
 

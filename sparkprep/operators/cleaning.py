@@ -29,7 +29,8 @@ def _candidate_exprs(cols, formats):
         present = s.isNotNull() & (s != "")
         num_txt = P.numeric_text(s)
         looks_date = s.rlike(r"^\d{1,4}[-/.]\d")  # cheap gate in front of the format tests
-        out[c] = [(f"num{i}", present & num_txt.rlike(P.NUMBER_SHAPE) & num_txt.try_cast("double").isNotNull()),
+        # every text of the number shape converts to double, so the shape alone decides
+        out[c] = [(f"num{i}", present & num_txt.rlike(P.NUMBER_SHAPE)),
                   (f"int{i}", present & num_txt.rlike(r"^[+-]?\d+$")),
                   (f"bool{i}", s.isNotNull() & P.is_boolean_text(s))]
         out[c] += [(f"dt{i}_{j}", present & looks_date & P.parse_datetime(s, fmt).isNotNull())

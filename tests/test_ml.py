@@ -51,6 +51,23 @@ def test_knn_exact_against_bruteforce(spark):
                 assert got[(q, rank)] == t
 
 
+def test_knn_exact_with_a_hot_cluster_cut_into_slices(spark):
+    rng = np.random.default_rng(4)
+    pts = rng.normal(size=(300, 3))
+    pts[:100] = pts[0] + rng.normal(scale=1e-3, size=(100, 3))  # a third of the rows are near-copies
+    pts[100:110] = pts[0]                                         # exact ties, broken by id
+    vec = spark.createDataFrame([(i, pts[i].tolist()) for i in range(300)], "id long, features array<double>")
+    tr, te = vec.where("id % 5 <> 0"), vec.where("id % 5 = 0")
+    train_ids = np.array([i for i in range(300) if i % 5])
+    for pivots, slice_rows in ((1, 9), (6, 9), (6, None)):
+        index = knn.KNNIndex(tr, "id", "features", n_pivots=pivots, slice_rows=slice_rows)
+        got = {(r.qid, r.rank): r.tid for r in index.query(te, "id", k=4).collect()}
+        for q in range(0, 300, 5):
+            d = np.sqrt(((pts[train_ids] - pts[q]) ** 2).sum(axis=1))
+            order = train_ids[np.lexsort((train_ids, d))[:4]]
+            assert [got[(q, r)] for r in range(1, 5)] == list(order)
+
+
 def test_adaboost_beats_majority(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 2))
