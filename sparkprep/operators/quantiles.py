@@ -209,6 +209,7 @@ def grouped_quantiles(df: DataFrame, keys, col: str, probs, names=None) -> DataF
     absent (callers join the result to their group table).
     """
     from ..plans.ordered import with_row_index
+    from ..session import cut_lineage
 
     keys = [keys] if isinstance(keys, str) else list(keys)
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
@@ -218,7 +219,9 @@ def grouped_quantiles(df: DataFrame, keys, col: str, probs, names=None) -> DataF
         present = present & F.col(g).isNotNull()
     vals = df.select(*[F.col(q(k)).alias(g) for k, g in zip(keys, gk)],
                      F.col(q(col)).cast("double").alias("__x")).where(present)
-    idx = with_row_index(vals, ["__x"], gk, name="__i")
+    # written once to the shared checkpoint folder: both passes below read it,
+    # and a lost executor does not redo the sort
+    idx = cut_lineage(with_row_index(vals, ["__x"], gk, name="__i"))
     groups = idx.groupBy(*gk).agg(F.min("__i").alias("__s"), F.count(F.lit(1)).alias("__n"))
     targets = []
     for t, p in enumerate(probs):
