@@ -67,9 +67,6 @@ def _stats(col: str, kind: str, i: int) -> list[Column]:
         return [F.avg(x).alias(f"__c{i}"), F.stddev_pop(x).alias(f"__s{i}")]
     if kind == "minmax":
         return [F.min(x).alias(f"__c{i}"), (F.max(x) - F.min(x)).alias(f"__s{i}")]
-    if kind == "robust":
-        p = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        return [p[1].alias(f"__c{i}"), (p[2] - p[0]).alias(f"__s{i}")]
     raise ValueError(f"unknown scaling {kind!r}")
 
 
