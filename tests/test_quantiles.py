@@ -48,3 +48,19 @@ def test_grouped_median_by_selection_matches_pandas_with_a_hot_key(spark):
             m = got.merge(want, on=keys, how="outer")
             assert len(m) == len(want) == len(got)
             assert np.allclose(m["v_median"].astype(float), m["want"], equal_nan=True, atol=1e-9)
+
+
+def test_grouped_quantiles_plan_has_no_window_keyed_by_the_group(spark):
+    from sparkprep.operators.quantiles import grouped_quantiles
+
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    out = grouped_quantiles(li, "l_returnflag", "l_extendedprice", [0.5], ["med"])
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    # the range-bucketed row index is read back from the checkpoint: no window
+    # (and so no group held by one task) is left in the plan
+    assert not any("Window" in ln for ln in lines)
+    assert any("ExistingRDD" in ln for ln in lines)
+    # a shuffle on the group key only ever follows a partial aggregate
+    for i, ln in enumerate(lines):
+        if "hashpartitioning(__g0" in ln:
+            assert "partial_" in lines[i + 1]
