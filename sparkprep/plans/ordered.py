@@ -71,18 +71,23 @@ def range_bounds(df: DataFrame, sort_cols, n_buckets: int, seed: int = 17):
     want = min(n, n_buckets * SAMPLE_PER_BUCKET)
     frac = min(1.0, 1.2 * want / n)
     sample = df.select(*sort_cols).sample(False, frac, seed).collect()
-    keys = sorted(tuple(r) for r in sample)
+    keys = sorted((tuple(r) for r in sample), key=_null_first)
     if not keys:
         return []
     step = len(keys) / n_buckets
     bounds = []
     for i in range(1, n_buckets):
         k = keys[min(len(keys) - 1, int(i * step))]
-        if not bounds or k > bounds[-1]:
+        if not bounds or _null_first(k) > _null_first(bounds[-1]):
             bounds.append(k)
     return bounds
 
 
+def _null_first(t):
+    """Sort key of a sampled tuple in Spark's ascending order (nulls first)."""
+    return tuple((v is not None, v) for v in t)
+
+
 def bucket_expr(df: DataFrame, sort_cols, bounds) -> Column:
     """Number of boundaries <= the row's sort tuple, as a balanced CASE tree."""
     types = [df.schema[c].dataType for c in sort_cols]
@@ -116,8 +121,10 @@ def with_bucket(df: DataFrame, order_by, partition_by=None, n_buckets: int | Non
 
 
 def with_row_index(df: DataFrame, order_by, partition_by=None, n_buckets: int | None = None,
-                   name: str = "__idx") -> DataFrame:
-    """Global 0-based row index in ``(partition_by, order_by)`` order (a total order)."""
+                   name: str = "__idx", keep_bucket: bool = False) -> DataFrame:
+    """Global 0-based row index in ``(partition_by, order_by)`` order (a total order).
+
+    ``keep_bucket`` keeps the range bucket (``__bucket``) of every row."""
     sort_cols = _as_list(partition_by) + _as_list(order_by)
     b = with_bucket(df, order_by, partition_by, n_buckets)
     sizes = b.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
@@ -125,23 +132,29 @@ def with_row_index(df: DataFrame, order_by, partition_by=None, n_buckets: int |
     offsets = sizes.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n"))
                            .alias("__off"))
     w = Window.partitionBy("__bucket").orderBy(*sort_cols)
-    return (b.join(F.broadcast(offsets), "__bucket")
-            .withColumn(name, F.col("__off") + F.row_number().over(w) - 1)
-            .drop("__off", "__bucket"))
+    out = (b.join(F.broadcast(offsets), "__bucket")
+           .withColumn(name, F.col("__off") + F.row_number().over(w) - 1)
+           .drop("__off"))
+    return out if keep_bucket else out.drop("__bucket")
 
 
 def series_index(df: DataFrame, order_by, partition_by=None, n_buckets: int | None = None,
                  name: str = "__pos") -> DataFrame:
     """0-based position inside each series (global index minus the series start)."""
     keys = _as_list(partition_by)
-    idx = with_row_index(df, order_by, keys, n_buckets, "__gidx")
     if not keys:
-        return idx.withColumnRenamed("__gidx", name)
-    starts = idx.groupBy(*keys).agg(F.min("__gidx").alias("__start")).select(
-        *[F.col(k).alias(f"__sk{j}") for j, k in enumerate(keys)], "__start")
-    cond = [F.col(k).eqNullSafe(F.col(f"__sk{j}")) for j, k in enumerate(keys)]
+        return with_row_index(df, order_by, None, n_buckets, name)
+    idx = with_row_index(df, order_by, keys, n_buckets, "__gidx", keep_bucket=True)
+    # A series' start reaches its rows through a (bucket, key) table: at most
+    # buckets + series rows, and a hot series is spread over many buckets, so
+    # neither this join nor the per-key window (<= buckets rows) meets a hot key.
+    firsts = idx.groupBy("__bucket", *keys).agg(F.min("__gidx").alias("__bmin"))
+    starts = firsts.select(F.col("__bucket").alias("__sb"), *[F.col(k).alias(f"__sk{j}") for j, k in enumerate(keys)],
+                           F.min("__bmin").over(Window.partitionBy(*keys)).alias("__start"))
+    cond = [F.col("__bucket") == F.col("__sb")] + [F.col(k).eqNullSafe(F.col(f"__sk{j}"))
+                                                  for j, k in enumerate(keys)]
     return (idx.join(starts, cond).withColumn(name, F.col("__gidx") - F.col("__start"))
-            .drop("__start", "__gidx", *[f"__sk{j}" for j in range(len(keys))]))
+            .drop("__start", "__gidx", "__bucket", "__sb", *[f"__sk{j}" for j in range(len(keys))]))
 
 
 def halo_window(df: DataFrame, order_by, partition_by, before: int, after: int, compute,

@@ -77,3 +77,15 @@ def test_same_result_for_one_and_many_partitions(spark, ev):
     one = N.ffill(ev.coalesce(1), ["value"], ["ts", "event_id"]).orderBy("event_id").collect()
     many = N.ffill(ev.repartition(8), ["value"], ["ts", "event_id"]).orderBy("event_id").collect()
     assert one == many
+
+
+@pytest.mark.parametrize("buckets", [1, 5, 23])
+def test_series_index_with_a_hot_and_a_null_series(ev, buckets):
+    # a third of the rows in series 0, some rows without a series key
+    keyed = ev.withColumn("s", F.when(F.col("event_id") % 3 == 0, F.lit(0))
+                          .when(F.col("event_id") % 17 == 1, F.lit(None))
+                          .otherwise(F.col("user_id") % 4 + 1))
+    got = O.series_index(keyed, ["ts", "event_id"], "s", n_buckets=buckets).toPandas()
+    assert len(got) == keyed.count()
+    exp = got.sort_values(["ts", "event_id"]).groupby("s", dropna=False).cumcount()
+    assert (got["__pos"] == exp.reindex(got.index)).all()
