@@ -89,3 +89,16 @@ def test_series_index_with_a_hot_and_a_null_series(ev, buckets):
     assert len(got) == keyed.count()
     exp = got.sort_values(["ts", "event_id"]).groupby("s", dropna=False).cumcount()
     assert (got["__pos"] == exp.reindex(got.index)).all()
+
+
+@pytest.mark.parametrize("buckets", [1, 6])
+def test_keyed_ffill_with_hot_and_null_series(ev, buckets):
+    keyed = ev.withColumn("s", F.when(F.col("event_id") % 3 == 0, F.lit(0))
+                          .when(F.col("event_id") % 17 == 1, F.lit(None))
+                          .otherwise(F.col("user_id") % 4 + 1))
+    base = keyed.toPandas().sort_values(["ts", "event_id"]).reset_index(drop=True)
+    got = N.ffill(keyed, ["value"], ["ts", "event_id"], partition_by="s", n_buckets=buckets).toPandas()
+    got = got.sort_values(["ts", "event_id"]).reset_index(drop=True)
+    exp = base.groupby("s", dropna=False)["value"].ffill()
+    assert ((got["value"] - exp).abs().fillna(0) < 1e-12).all()
+    assert got["value"].isna().sum() == exp.isna().sum()
