@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import ordered as O
-from .profile import attach_scalars
 from .relational import q
 
 # Rolling functions offered by the reference.
@@ -114,14 +113,7 @@ def time_split(df: DataFrame, order_by, test_size: float = 0.2, partition_by=Non
     """W-08: first ``int(n·(1−test_size))`` rows in time order are train, the
     rest test; adds ``split`` ('train' / 'test').  Per series with keys."""
     keys = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
-    pos = O.series_index(df, order_by, keys, name="__pos")
-    if keys:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).select(
-            *[F.col(k).alias(f"__tk{j}") for j, k in enumerate(keys)], "__n")
-        cond = [F.col(k).eqNullSafe(F.col(f"__tk{j}")) for j, k in enumerate(keys)]
-        joined = pos.join(sizes, cond).drop(*[f"__tk{j}" for j in range(len(keys))])
-    else:
-        joined = attach_scalars(pos, df.agg(F.count(F.lit(1)).alias("__n")))
+    joined = O.series_index(df, order_by, keys, name="__pos", size_name="__n")
     cut = F.floor(F.col("__n") * F.lit(1.0 - test_size))
     return (joined.withColumn("split", F.when(F.col("__pos") < cut, F.lit("train")).otherwise(F.lit("test")))
             .drop("__pos", "__n"))

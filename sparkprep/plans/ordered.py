@@ -139,18 +139,28 @@ def with_row_index(df: DataFrame, order_by, partition_by=None, n_buckets: int |
 
 
 def series_index(df: DataFrame, order_by, partition_by=None, n_buckets: int | None = None,
-                 name: str = "__pos") -> DataFrame:
-    """0-based position inside each series (global index minus the series start)."""
+                 name: str = "__pos", size_name: str | None = None) -> DataFrame:
+    """0-based position inside each series (global index minus the series start).
+
+    ``size_name`` also adds the number of rows of the row's series."""
     keys = _as_list(partition_by)
     if not keys:
-        return with_row_index(df, order_by, None, n_buckets, name)
+        out = with_row_index(df, order_by, None, n_buckets, name)
+        if size_name:
+            from ..operators.profile import attach_scalars
+            out = attach_scalars(out, df.agg(F.count(F.lit(1)).alias(size_name)))
+        return out
     idx = with_row_index(df, order_by, keys, n_buckets, "__gidx", keep_bucket=True)
-    # A series' start reaches its rows through a (bucket, key) table: at most
-    # buckets + series rows, and a hot series is spread over many buckets, so
-    # neither this join nor the per-key window (<= buckets rows) meets a hot key.
-    firsts = idx.groupBy("__bucket", *keys).agg(F.min("__gidx").alias("__bmin"))
+    # A series' start (and size) reaches its rows through a (bucket, key) table:
+    # at most buckets + series rows, and a hot series is spread over many
+    # buckets, so neither this join nor the per-key window (<= buckets rows)
+    # meets a hot key.
+    firsts = idx.groupBy("__bucket", *keys).agg(F.min("__gidx").alias("__bmin"),
+                                                F.count(F.lit(1)).alias("__bcnt"))
+    per_key = Window.partitionBy(*keys)
+    size = [F.sum("__bcnt").over(per_key).alias(size_name)] if size_name else []
     starts = firsts.select(F.col("__bucket").alias("__sb"), *[F.col(k).alias(f"__sk{j}") for j, k in enumerate(keys)],
-                           F.min("__bmin").over(Window.partitionBy(*keys)).alias("__start"))
+                           F.min("__bmin").over(per_key).alias("__start"), *size)
     cond = [F.col("__bucket") == F.col("__sb")] + [F.col(k).eqNullSafe(F.col(f"__sk{j}"))
                                                   for j, k in enumerate(keys)]
     return (idx.join(starts, cond).withColumn(name, F.col("__gidx") - F.col("__start"))

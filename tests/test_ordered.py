@@ -85,10 +85,11 @@ def test_series_index_with_a_hot_and_a_null_series(ev, buckets):
     keyed = ev.withColumn("s", F.when(F.col("event_id") % 3 == 0, F.lit(0))
                           .when(F.col("event_id") % 17 == 1, F.lit(None))
                           .otherwise(F.col("user_id") % 4 + 1))
-    got = O.series_index(keyed, ["ts", "event_id"], "s", n_buckets=buckets).toPandas()
+    got = O.series_index(keyed, ["ts", "event_id"], "s", n_buckets=buckets, size_name="n").toPandas()
     assert len(got) == keyed.count()
     exp = got.sort_values(["ts", "event_id"]).groupby("s", dropna=False).cumcount()
     assert (got["__pos"] == exp.reindex(got.index)).all()
+    assert (got["n"] == got.groupby("s", dropna=False)["ts"].transform("size")).all()
 
 
 @pytest.mark.parametrize("buckets", [1, 6])
