@@ -25,9 +25,8 @@ def _candidate_exprs(cols, formats):
     """Per column: (name, condition) pairs counted by the inference pass."""
     out = {}
     for i, c in enumerate(cols):
-        s = F.trim(F.col(q(c)))
+        s, num_txt = F.col(f"__t{i}"), F.col(f"__n{i}")
         present = s.isNotNull() & (s != "")
-        num_txt = P.numeric_text(s)
         looks_date = s.rlike(r"^\d{1,4}[-/.]\d")  # cheap gate in front of the format tests
         # every text of the number shape converts to double, so the shape alone decides
         out[c] = [(f"num{i}", present & num_txt.rlike(P.NUMBER_SHAPE)),
@@ -41,7 +40,7 @@ def _candidate_exprs(cols, formats):
 def _base_counts(cols):
     aggs = []
     for i, c in enumerate(cols):
-        s = F.trim(F.col(q(c)))
+        s = F.col(f"__t{i}")
         aggs += [F.count_if(s.isNotNull()).alias(f"nn{i}"), F.count_if(s.isNotNull() & (s != "")).alias(f"pr{i}")]
     return aggs + [F.count(F.lit(1)).alias("__rows")]
 
@@ -53,6 +52,9 @@ def _candidate_counts(df: DataFrame, cols, formats):
     final: candidates are first tested on a bounded prefix of rows, and the
     full scan only counts the survivors (usually one per column)."""
     cand = _candidate_exprs(cols, formats)
+    # trimmed text and numeric text are projected once per row, not per test
+    trimmed = df.select(*[F.trim(F.col(q(c))).alias(f"__t{i}") for i, c in enumerate(cols)])
+    df = trimmed.select("*", *[P.numeric_text(F.col(f"__t{i}")).alias(f"__n{i}") for i in range(len(cols))])
     probe = df.limit(PROBE_ROWS).agg(*_base_counts(cols), *[e.alias(n) for c in cols for n, e in
                                                            [(n, F.count_if(x)) for n, x in cand[c]]]).first()
     alive = []
