@@ -40,6 +40,7 @@ from ..operators.relational import q
 
 _TOL = 1e-9
 SLICE_ROWS = 1 << 16   # training rows per join slice of one pivot cluster
+CHECKPOINT_ROWS = True
 
 
 def _as_array(df: DataFrame, col: str) -> DataFrame:
@@ -90,6 +91,11 @@ class KNNIndex:
         assigned = base.withColumn("__pd", self.pd_udf("__v"))
         assigned = assigned.withColumn("__c", (F.array_position("__pd", F.array_min("__pd")) - 1).cast("int"))
         assigned = assigned.withColumn("__rc", F.element_at("__pd", F.col("__c") + 1)).drop("__pd")
+        # pivot distances are computed once: the assigned rows are written to the
+        # shared checkpoint folder and read by the statistics and both search passes
+        if CHECKPOINT_ROWS:
+            from ..session import cut_lineage
+            assigned = cut_lineage(assigned)
         self.rows = assigned
         stats = {r["__c"]: (r["radius"], r["cnt"]) for r in
                  assigned.groupBy("__c").agg(F.max("__rc").alias("radius"), F.count(F.lit(1)).alias("cnt")).collect()}
