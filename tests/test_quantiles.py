@@ -64,3 +64,18 @@ def test_grouped_quantiles_plan_has_no_window_keyed_by_the_group(spark):
     for i, ln in enumerate(lines):
         if "hashpartitioning(__g0" in ln:
             assert "partial_" in lines[i + 1]
+
+
+def test_group_agg_medians_only_by_selection(spark):
+    from sparkprep.operators.aggregate import group_agg
+
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    spec = {"l_extendedprice": "median", "l_quantity": ["median"]}
+    small = group_agg(li, ["l_returnflag", "l_linestatus"], spec).toPandas()
+    big = group_agg(li, ["l_returnflag", "l_linestatus"], spec, map_limit=0).toPandas()
+    assert list(big.columns) == ["l_returnflag", "l_linestatus", "l_extendedprice_median", "l_quantity_median"]
+    keys = ["l_returnflag", "l_linestatus"]
+    m = small.merge(big, on=keys, suffixes=("_a", "_b"))
+    assert len(m) == len(small) == len(big)
+    for c in ("l_extendedprice_median", "l_quantity_median"):
+        assert np.allclose(m[f"{c}_a"], m[f"{c}_b"], atol=1e-9)
