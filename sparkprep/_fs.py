@@ -22,3 +22,9 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     import uuid
     from .session import ensure_checkpoint_dir
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote earlier in the same job (a merged run, say)."""
+    fs, hpath = hadoop_path(spark, path)
+    fs.delete(hpath, True)
