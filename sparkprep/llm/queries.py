@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ("line_dedup", "decontaminate", "exact_dedup")
+MODULES = ("line_dedup", "decontaminate", "exact_dedup", "jaccard")
 
 
 def queries() -> dict:
