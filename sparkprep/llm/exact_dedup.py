@@ -79,14 +79,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = keep(normalised(docs, id_col, text_col, rest=False), "rows")
     groups = keep(_groups(rows, "n_bytes", "head"), "groups0")
     more = groups.filter(F.col("n_bytes") > FIRST)
-    marked = rows.join(groups, ["n_bytes", "head"], "left")
+    marked = rows.join(groups.hint("merge"), ["n_bytes", "head"], "left")
     done = [finished(marked.filter(F.col("n").isNull() | (F.col("n_bytes") <= FIRST)))]
     if more.isEmpty():
         return done[0]
 
     # The bytes after the head, fetched once and for the documents of open groups only.
     active = keep(normalised(docs, id_col, text_col, rest=True)
-                  .join(more.select("n_bytes", "head", F.col("g2").alias("g")), ["n_bytes", "head"])
+                  .join(more.select("n_bytes", "head", F.col("g2").alias("g")).hint("merge"), ["n_bytes", "head"])
                   .select("id", "n_cp", "sha", "g", "rest"), "active0")
     level, width = 0, FIRST * WIDER
     while True:
@@ -94,7 +94,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         level += 1
         groups = keep(_groups(split, "g", "piece"), f"groups{level}")
         ended = F.length("rest") <= width
-        step = split.join(groups, ["g", "piece"], "left")
+        step = split.join(groups.hint("merge"), ["g", "piece"], "left")
         done.append(finished(step.filter(F.col("n").isNull() | ended)))
         if groups.filter(F.length("piece") == width).isEmpty():
             break
