@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ("line_dedup", "decontaminate", "exact_dedup", "jaccard")
+MODULES = ("line_dedup", "decontaminate", "exact_dedup", "jaccard", "token_count")
 
 
 def queries() -> dict:
