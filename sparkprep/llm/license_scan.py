@@ -118,6 +118,15 @@ def _in_order(words: list, phrase: list) -> tuple[int, int, int]:
     return rows[-1][-1], first, last
 
 
+def _best(places: list) -> list:
+    """Base places, and of notices that overlap only the one that matches best."""
+    kept = [p for p in places if p[1]]
+    for p in sorted((p for p in places if not p[1]), key=lambda p: (-p[4], p[2] - p[3], p)):
+        if all(p[3] <= q[2] or q[3] <= p[2] for q in kept if not q[1]):
+            kept.append(p)
+    return sorted(kept)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, places) of every row: places are verified (label, base, first word, end, share)."""
     texts, labels = [p.encode().split() for p in [*BASE, *NOTICES]], [*BASE.values(), *NOTICES.values()]
@@ -148,7 +157,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                         share = found / max(len(phrase), last - first + 1)
                         if share >= SHARE:
                             out.append((labels[t], False, a + first - begin, a + last + 1 - begin, share))
-                    places.append([dict(zip(("label", "base", "start", "end", "share"), o)) for o in sorted(out)])
+                    places.append([dict(zip(("label", "base", "start", "end", "share"), o)) for o in _best(out)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(places, place)],
                                              ["id", "n_words", "places"])
 
