@@ -9,9 +9,10 @@ out:
   linked pair has a block whose columns are equal.  Sizes fall into classes a
   factor 1/t apart, so linked documents share a class label and its blocks.
 * Each document sends one hash per block.  Documents that share none can't be
-  linked: they are discarded before any product.  A block that is empty in a
-  document says nothing, so such documents also send their prefix of smallest
-  columns, of which any linked pair shares one.
+  linked: they are discarded before any product.  A block that is empty in
+  both says little, so for each empty block a document sends the block with
+  each column of its prefix, the smallest columns, of which any linked pair
+  shares one.
 * Documents that share a block hash form candidate groups (connected by stars,
   so a group of m sends m links, not m * m).  Within a group the product is
   accumulated exactly, one document against all that are not settled yet, and
@@ -40,9 +41,10 @@ from .kernels import U, VISIBLE, Words, as_bytes, mix, per_text, pieces
 from .registry import read, register
 
 #: Shingles of a candidate group that one task multiplies alone; larger groups go round by round.
-GROUP_SHINGLES = 6_000_000
+GROUP_SHINGLES = 2_000_000
 #: Documents of one large group that a round multiplies with the whole group.
-ROUND = 64
+ROUND = 128
+#: Slices of a large group among which the documents of a round are chosen.
 SALTS = 32
 
 
@@ -104,11 +106,11 @@ def block_hashes(h: np.ndarray, first: np.ndarray, t: Threshold) -> tuple[np.nda
         return np.empty(0, np.int64), np.empty(0, U)
     bounds = t.grow(int(n.max()))
     own, kind = np.repeat(np.arange(len(n)), n), np.searchsorted(bounds, n, side="right") - 1
-    out_i, out_h, gap = [], [], np.zeros(len(n), dtype=bool)
+    out_i, out_h = [], []
     spread, weight = mix(h ^ U(0x5851F42D4C957F2D)), mix(h + U(0x14057B7EF767814F))
     for label in (kind, kind + 1):
         k = np.where(n > 0, t.blocks(bounds[label + 1] - 1), 0)
-        k[k == 1] = 0  # linked means equal: the set hash has them
+        k[k == 1] = 0  # linked means equal: the set key has them
         base = np.concatenate([[0], np.cumsum(k)])
         sel = k[own] > 0
         if not sel.any():
@@ -117,44 +119,68 @@ def block_hashes(h: np.ndarray, first: np.ndarray, t: Threshold) -> tuple[np.nda
         total = int(base[-1])
         filled, sums = np.bincount(g, minlength=total) > 0, _sums(weight[sel], g, total)
         who = np.repeat(np.arange(len(n)), k)
-        block = np.arange(total) - base[who]
-        code = mix(sums + label[who].astype(U) * U(0x2545F4914F6CDD1D) + block.astype(U) * U(0x9E6C63D0876A9A47))
+        name = label[who].astype(U) * U(0x2545F4914F6CDD1D) + (np.arange(total) - base[who]).astype(U) * U(0x9E6C63D0876A9A47)
         out_i.append(who[filled])
-        out_h.append(code[filled])
-        gap[who[~filled]] = True
-    if gap.any():
-        rank = np.arange(len(h)) - first[own]
-        sel = gap[own] & (rank < t.prefix(n)[own])
-        out_i.append(own[sel])
-        out_h.append(mix(h[sel] ^ U(0xD1342543DE82EF95)))
+        out_h.append(mix(sums + name)[filled])
+        empty = np.flatnonzero(~filled)
+        if len(empty):
+            size = t.prefix(n)[who[empty]]
+            each = np.repeat(empty, size)
+            rank = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
+            out_i.append(who[each])
+            out_h.append(mix(mix(h[first[who[each]] + rank] ^ U(0xD1342543DE82EF95)) + name[each]))
     if not out_i:
         return np.empty(0, np.int64), np.empty(0, U)
     return np.concatenate(out_i), np.concatenate(out_h)
 
 
+def _sets_of(texts: list, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_sets`` of many texts, a piece at a time."""
+    cols, sizes = [np.empty(0, U)], [np.zeros(1, np.int64)]
+    for lo, hi in pieces(texts):
+        h, first = shingle_sets(texts[lo:hi], k)
+        cols.append(h)
+        sizes.append(np.diff(first))
+    return np.concatenate(cols), np.cumsum(np.concatenate(sizes))
+
+
 def _group_components(columns: np.ndarray, first: np.ndarray, t: Threshold) -> np.ndarray:
-    """Component label of each set of one group, by exact products against the sets not settled yet."""
-    n = np.diff(first)
+    """Component label of each set of one group.
+
+    One set at a time is multiplied with the unsettled sets whose sizes allow a
+    link, and is settled then.  The next one is taken from outside the component
+    that has most unsettled sets; the group is done when only that one has any."""
+    size = np.diff(first)
+    order = np.argsort(size, kind="stable")
+    n, label = size[order], np.arange(len(size))
     names, ids = np.unique(columns, return_inverse=True)
-    label, left = np.arange(len(n)), np.arange(len(n))
-    own_ids, own_first = ids, first
-    while len(left) > 1:
-        labels, todo = np.unique(label[left], return_counts=True)
-        if len(labels) == 1:
+    ids = ids[np.repeat(first[order] - (np.cumsum(n) - n), n) + np.arange(len(ids))]
+    begin = np.concatenate([[0], np.cumsum(n)])
+    left, left_ids, left_begin, since = np.arange(len(n)), ids, begin, 0
+    open_ = np.ones(len(n), dtype=bool)
+    while True:
+        labels, todo = np.unique(label[open_], return_counts=True)
+        if len(labels) < 2:
             break
-        x = int(left[np.argmax(label[left] != labels[np.argmax(todo)])])
-        flag = np.zeros(len(names), dtype=np.int64)
-        flag[ids[first[x]:first[x + 1]]] = 1
-        both = per_text(flag[own_ids], own_first)
-        hit = left[t.linked(both, n[x], n[left]) & (n[left] > 0)]
-        if len(hit):
+        x = int(np.argmax(open_ & (label != labels[np.argmax(todo)])))
+        lo = np.searchsorted(n[left], -(-n[x] * t.p // t.q), side="left")
+        hi = np.searchsorted(n[left], n[x] * t.q // t.p, side="right")
+        flag = np.zeros(len(names), dtype=np.int32)
+        flag[ids[begin[x]:begin[x + 1]]] = 1
+        a, z = left_begin[lo], left_begin[hi]
+        both = per_text(flag[left_ids[a:z]], left_begin[lo:hi + 1] - a)
+        hit = left[lo:hi][t.linked(both, n[x], n[left[lo:hi]])]
+        if len(hit) > 1:
             label[np.isin(label, label[hit])] = label[hit].min()
-        keep = left != x
-        sizes = n[left]
-        own_ids = own_ids[np.repeat(keep, sizes)]
-        left = left[keep]
-        own_first = np.concatenate([[0], np.cumsum(n[left])])
-    return label
+        open_[x], since = False, since + 1
+        if 2 * since > len(left):
+            keep = open_[left]
+            left_ids = left_ids[np.repeat(keep, n[left])]
+            left, since = left[keep], 0
+            left_begin = np.concatenate([[0], np.cumsum(n[left])])
+    out = np.empty(len(n), np.int64)
+    out[order] = label
+    return out
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -250,11 +276,17 @@ def _unpack(column) -> list:
     return [d.decompress(x) for x in column.to_pylist()]
 
 
+def _stacked(column) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, first) of sets that arrive as bytes."""
+    sets = [np.frombuffer(x, U) for x in column.to_pylist()]
+    return np.concatenate(sets), np.cumsum([0] + [len(x) for x in sets])
+
+
 def _small_groups(members: DataFrame, k: int, t: Threshold) -> DataFrame:
     """(v, root) of the groups that one task can multiply."""
     def multiply(table):
         ids = table.column("id").to_numpy()
-        label = _group_components(*shingle_sets(_unpack(table.column("z")), k), t)
+        label = _group_components(*_sets_of(_unpack(table.column("z")), k), t)
         root = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(root, label, ids)
         return pa.table({"v": pa.array(ids, pa.int64()), "root": pa.array(root[label], pa.int64())})
@@ -276,25 +308,30 @@ def _large_groups(members: DataFrame, k: int, t: Threshold, store: str, block: i
         for b in batches:
             out = []
             for z in b.column("z").to_pylist():
-                h, _ = shingle_sets(_unpack(pa.array([z])), k)
-                out.append(h.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("gid"), b.column("id"), pa.array(out, pa.binary())], ["gid", "id", "h"])
-
-    def products(batches):
-        for b in batches:
-            a, v = [], []
-            for id_, root, h, lead in zip(*[b.column(c).to_pylist() for c in ("id", "root", "h", "lead")]):
-                mine = np.frombuffer(h, U)
-                for x in lead:
-                    if x["root"] != root:
-                        other = np.frombuffer(x["h"], U)
-                        both = len(np.intersect1d(mine, other, assume_unique=True))
-                        if t.linked(both, len(mine), len(other)):
-                            a.append(root)
-                            v.append(x["root"])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(v, pa.int64())], ["a", "b"])
-
-    sets = keep(members.mapInArrow(to_sets, "gid bigint, id bigint, h binary"), "sets")
+                out.append(_sets_of(_unpack(pa.array([z])), k)[0].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("gid"), b.column("salts"), b.column("id"), pa.array(out, pa.binary())],
+                                             ["gid", "salts", "id", "h"])
+
+    def products(mine, lead):
+        links = np.empty((0, 2), np.int64)
+        if mine.num_rows and lead.num_rows:
+            (h, first), (g, begin) = _stacked(mine.column("h")), _stacked(lead.column("h"))
+            names, g = np.unique(g, return_inverse=True)
+            at = np.searchsorted(names, h)
+            at[at == len(names)] = 0
+            own = np.repeat(np.arange(len(first) - 1), np.diff(first))[names[at] == h]
+            at, n, found = at[names[at] == h], np.diff(first), []
+            first = np.searchsorted(own, np.arange(len(n) + 1))
+            roots = mine.column("root").to_numpy()
+            for i, root in enumerate(lead.column("root").to_pylist()):
+                flag = np.zeros(len(names), dtype=np.int32)
+                flag[g[begin[i]:begin[i + 1]]] = 1
+                hit = t.linked(per_text(flag[at], first), begin[i + 1] - begin[i], n) & (roots != root)
+                found.append(np.stack([roots[hit], np.full(int(hit.sum()), root)], axis=1))
+            links = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pa.array(links[:, 0], pa.int64()), "b": pa.array(links[:, 1], pa.int64())})
+
+    sets = keep(members.mapInArrow(to_sets, "gid bigint, salts int, id bigint, h binary"), "sets")
     state = keep(sets.select("gid", "id", F.col("id").alias("root"), F.lit(False).alias("settled")).distinct(), "state0")
     rounds = 0
     while True:
@@ -309,12 +346,14 @@ def _large_groups(members: DataFrame, k: int, t: Threshold, store: str, block: i
                     f"lead{rounds}")
         if lead.isEmpty():
             return state.select(F.col("id").alias("v"), "root")
-        packed = (lead.join(sets, ["gid", "id"]).groupBy("gid").agg(F.collect_list(F.struct("root", "h")).alias("lead"))
-                  .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-        salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-        each = (state.join(sets, ["gid", "id"]).withColumn("salt", salt).join(packed, ["gid", "salt"])
-                .select("id", "root", "h", "lead"))
-        links = keep(each.mapInArrow(products, "a bigint, b bigint").distinct(), f"links{rounds}")
+        # A group's rows are dealt to as many salts as its size asks for; each meets the round's bounded block.
+        salts = sets.select("gid", "salts").distinct()
+        packed = keep(lead.join(sets.drop("salts"), ["gid", "id"]).join(salts, "gid")
+                      .select("gid", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "root", "h"), f"block{rounds}")
+        each = (state.join(sets, ["gid", "id"])
+                .select("gid", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), "root", "h"))
+        links = each.groupBy("gid", "salt").cogroup(packed.groupBy("gid", "salt")).applyInArrow(products, "a bigint, b bigint")
+        links = keep(links.distinct(), f"links{rounds}")
         rounds += 1
         merged = components(links, store, f"round{rounds}").toDF("root", "new")
         done = lead.select("gid", "id", F.lit(True).alias("now"))
@@ -343,14 +382,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = keep(links.join(one, "a").join(two, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
                  .distinct(), "links")
     groups = components(links, store, "groups").toDF("id", "gid")
-    size = F.col("shingles") > group_shingles
     groups = keep(groups.join(reps.filter("id = rep").select("id", "n").distinct(), "id"), "members")
-    weight = groups.groupBy("gid").agg(F.sum("n").alias("shingles")).withColumn("large", size)
-    groups = keep(groups.join(weight, "gid").select("id", "gid", "large"), "groups")
+    weight = groups.groupBy("gid").agg(F.ceil(F.sum("n") / F.lit(group_shingles)).cast("int").alias("salts"))
+    groups = keep(groups.join(weight, "gid").select("id", "gid", "salts", (F.col("salts") > 1).alias("large")), "groups")
     texts = keep(_packed(docs, id_col, text_col).join(groups.hint("merge"), "id"), "texts")
     found = _small_groups(texts.filter("not large").select("gid", "id", "z"), k, t)
     if not groups.filter("large").isEmpty():
-        found = found.unionByName(_large_groups(texts.filter("large").select("gid", "id", "z"), k, t, store, block))
+        found = found.unionByName(_large_groups(texts.filter("large").select("gid", "salts", "id", "z"), k, t, store, block))
     same = found.groupBy("v").agg(F.min("root").alias("root"))
     # Ids that several rows share can tie classes together: one more pass over (id, class) links.
     tie = reps.groupBy("id").agg(F.count_distinct("rep").alias("c")).filter("c > 1")
