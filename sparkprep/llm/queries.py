@@ -6,13 +6,14 @@ import importlib
 
 from . import registry
 
-MODULES = ("line_dedup", "decontaminate", "exact_dedup", "jaccard", "token_count", "license_scan", "toxicity", "quality")
+MODULES = ("line_dedup", "decontaminate", "exact_dedup", "jaccard", "token_count", "license_scan", "toxicity", "quality", "sentence_pieces")
 
 
 def queries() -> dict:
     for m in MODULES:
         importlib.import_module(f"{__package__}.{m}")
-    return dict(registry.QUERIES)
+    import corpus_pipeline
+    return registry.QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
