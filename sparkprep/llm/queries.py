@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ("line_dedup", "decontaminate", "exact_dedup", "jaccard", "token_count", "license_scan", "toxicity", "quality", "sentence_pieces")
+MODULES = ("line_dedup", "decontaminate", "exact_dedup", "jaccard", "token_count", "license_scan", "toxicity", "quality", "sentence_pieces", "language_model")
 
 
 def queries() -> dict:

@@ -51,12 +51,19 @@ def _code_points(texts: list) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
 
 
-def _substring_hashes(points: np.ndarray, size: int) -> np.ndarray:
-    """Hash of points[i:i+size] for every i."""
-    h = np.zeros(max(0, len(points) - size + 1), dtype=U)
-    for j in range(size):
-        h = h * _BASE + points[j:j + len(h)].astype(U)
-    return mix(h + U(size))
+def _substring_hashes(points: np.ndarray, longest: int):
+    """(size, hashes of points[i:i+size] for every i) for sizes 1 .. longest."""
+    p = points.astype(U)
+    h = np.zeros(len(p), dtype=U)
+    for size in range(1, min(longest, len(p)) + 1):
+        h = h[:len(p) - size + 1] * _BASE + p[size - 1:]
+        yield size, mix(h + U(size))
+
+
+def _units(text: str) -> list:
+    """The units of a text with one more blank in front, each without its first blank."""
+    parts = text.split(" ")
+    return (parts if "" not in parts else [u[1:] for u in _UNIT.findall(" " + text)]) if text else []
 
 
 class Pieces:
@@ -84,7 +91,7 @@ class Pieces:
         for size in range(1, self.longest + 1):
             own = [(i, t, s) for i, t, s in normal if len(t) == size]
             if own:
-                h = _substring_hashes(_code_points([t for _, t, _ in own]), size)[::size]
+                h = [x for k, x in _substring_hashes(_code_points([t for _, t, _ in own]), size) if k == size][0][::size]
                 order = np.argsort(h)
                 ids = np.array([i for i, _, _ in own], dtype=np.int32)[order]
                 weight = -theta * np.log(np.array([max(s, 0.0) for _, _, s in own]) + SHIFT)[order]
@@ -103,8 +110,10 @@ class Pieces:
         left = first[unit + 1] - np.arange(len(points))  # characters up to the unit's end
         out = []
         single = np.zeros(len(points), dtype=bool)
-        for k, (hashes, ids, weight, bits) in self.tables.items():
-            h = _substring_hashes(points, k)
+        for k, h in _substring_hashes(points, self.longest):
+            if k not in self.tables:
+                continue
+            hashes, ids, weight, bits = self.tables[k]
             at = np.flatnonzero(bits[(h >> U(46)).astype(np.int64)] & (left[:len(h)] >= k))
             found = np.searchsorted(hashes, h[at])
             found[found == len(hashes)] = 0
@@ -127,7 +136,7 @@ class Pieces:
         return a + own, z + own, ids[order], weight[order], step[order], first[:-1] + np.arange(len(units)), size
 
     def lattice(self, units: list):
-        """Edges grouped by end node with running probabilities: what the backward step draws from."""
+        """Edges by end node, with running probabilities and each node's first edge: what the backward step draws from."""
         a, z, ids, weight, step, base, size = self.edges(units)
         alpha = np.full(int(base[-1] + size[-1]) + 1, -np.inf)
         alpha[base] = 0.0
@@ -143,46 +152,47 @@ class Pieces:
             alpha[ends[head]] = top + np.log(s)
             total[lo:hi] = p / np.repeat(s, count)
         head = np.concatenate([[0], np.flatnonzero(z[1:] != z[:-1]) + 1])
-        group = np.zeros(len(z), dtype=np.int64)
-        group[head[1:]] = 1
-        group = np.cumsum(group)
-        running = np.cumsum(total)
-        before = np.concatenate([[0.0], running])[head]
-        bar = group + np.minimum(running - before[group], 1.0)
-        last = np.append(head[1:], len(z)) - 1
-        bar[last] = np.arange(len(head)) + 1.0
-        group_of = np.full(len(alpha), -1, dtype=np.int64)
-        group_of[z[head]] = np.arange(len(head))
-        return a, ids, bar, last, group_of, base, base + size
+        before = np.concatenate([[0.0], np.cumsum(total)])
+        run = before[1:] - np.repeat(before[head], np.diff(np.append(head, len(z))))
+        run[np.append(head[1:], len(z)) - 1] = 2.0  # the last edge of a node takes what rounding leaves
+        lead = np.full(len(alpha), -1, dtype=np.int64)
+        lead[z[head]] = head
+        return a, ids, run, lead, base, base + size
 
     def sample(self, texts: list, keys: np.ndarray) -> list:
         """Piece ids of each text, drawn with the numbers of its key."""
-        cut = [_UNIT.findall(" " + t) if t else [] for t in texts]
+        cut = [_units(t) for t in texts]
         count = np.array([len(c) for c in cut], dtype=np.int64)
-        number: dict = {}
-        which = np.array([number.setdefault(u, len(number)) for c in cut for u in c], dtype=np.int64)
-        if not len(which):
+        flat = [u for c in cut for u in c]
+        if not flat:
             return [np.empty(0, np.int32) for _ in texts]
-        a, ids, bar, last, group_of, bottom, top = self.lattice(list(number))
+        number = {u: i for i, u in enumerate(dict.fromkeys(flat))}
+        which = np.fromiter(map(number.__getitem__, flat), dtype=np.int64, count=len(flat))
+        a, ids, run, lead, bottom, top = self.lattice([" " + u for u in number])
         own = np.repeat(np.arange(len(texts)), count)
         place = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
         seed = mix(keys[own] + place.astype(U) * U(0x9E3779B97F4A7C15))
         active, node, step, got = np.arange(len(which)), top[which], 0, []
+        length = np.zeros(len(which), dtype=np.int64)
         while len(active):
             u = (mix(seed[active] + U(step * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF)) >> U(11)).astype(np.float64) * 2.0 ** -53
-            g = group_of[node]
-            e = np.minimum(np.searchsorted(bar, g + u, side="right"), last[g])
-            got.append((active, ids[e], a[e]))
+            e = lead[node]
+            late = np.flatnonzero(run[e] <= u)
+            while len(late):
+                e[late] += 1
+                late = late[run[e[late]] <= u[late]]
+            got.append((active, e))
+            length[active] += 1
             node, step = a[e], step + 1
             more = node > bottom[which[active]]
             active, node = active[more], node[more]
-        occurrence = np.concatenate([x[0] for x in reversed(got)])
-        piece = np.concatenate([x[1] for x in reversed(got)])
-        start = np.concatenate([x[2] for x in reversed(got)])
-        order = np.argsort(occurrence, kind="stable")
-        piece, occurrence, start = piece[order], occurrence[order], start[order]
-        ends = np.searchsorted(occurrence, np.concatenate([np.cumsum(count) - count, [len(which)]]))
-        out, units = [], list(number)
+        finish = np.cumsum(length)
+        edge, occurrence = np.empty(int(finish[-1]), dtype=np.int64), np.repeat(np.arange(len(which)), length)
+        for step, (rows, e) in enumerate(got):
+            edge[finish[rows] - 1 - step] = e
+        piece, start = ids[edge], a[edge]
+        ends = np.concatenate([[0], finish])[np.concatenate([[0], np.cumsum(count)])]
+        out, units = [], [" " + u for u in number]
         for lo, hi in zip(ends[:-1], ends[1:]):
             p = piece[lo:hi]
             if len(p) and p.min() < 0:  # byte pieces in the place of characters without a piece
@@ -217,7 +227,7 @@ def encode(docs: DataFrame, name: str, key_col: str = "doc_id", text_col: str =
             filled = ["" if t is None else t for t in texts]
             keys = b.column("__key").to_numpy(zero_copy_only=False).astype(np.int64).view(U)
             parts, sizes = [], [0]
-            for lo, hi in pieces(filled, 1 << 20):
+            for lo, hi in pieces(filled, 1 << 21):
                 for p in m.sample(filled[lo:hi], keys[lo:hi]):
                     parts.append(p)
                     sizes.append(len(p))
