@@ -51,13 +51,14 @@ def _code_points(texts: list) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
 
 
-def _substring_hashes(points: np.ndarray, longest: int):
-    """(size, hashes of points[i:i+size] for every i) for sizes 1 .. longest."""
-    p = points.astype(U)
-    h = np.zeros(len(p), dtype=U)
-    for size in range(1, min(longest, len(p)) + 1):
-        h = h[:len(p) - size + 1] * _BASE + p[size - 1:]
-        yield size, mix(h + U(size))
+def _substring_hashes(points: np.ndarray, left: np.ndarray, longest: int):
+    """(size, starts, hashes) of the substrings of each size 1 .. longest that the ``left`` characters from a start hold."""
+    p, at, h = points.astype(U), np.arange(len(points)), np.zeros(len(points), dtype=U)
+    for size in range(1, longest + 1):
+        fits = left[at] >= size
+        at, h = at[fits], h[fits]
+        h = h * _BASE + p[at + (size - 1)]
+        yield size, at, mix(h + U(size))
 
 
 def _units(text: str) -> list:
@@ -91,7 +92,8 @@ class Pieces:
         for size in range(1, self.longest + 1):
             own = [(i, t, s) for i, t, s in normal if len(t) == size]
             if own:
-                h = [x for k, x in _substring_hashes(_code_points([t for _, t, _ in own]), size) if k == size][0][::size]
+                left = np.tile(np.arange(size, 0, -1), len(own))
+                h = [x for k, _, x in _substring_hashes(_code_points([t for _, t, _ in own]), left, size) if k == size][0]
                 order = np.argsort(h)
                 ids = np.array([i for i, _, _ in own], dtype=np.int32)[order]
                 weight = -theta * np.log(np.array([max(s, 0.0) for _, _, s in own]) + SHIFT)[order]
@@ -110,14 +112,15 @@ class Pieces:
         left = first[unit + 1] - np.arange(len(points))  # characters up to the unit's end
         out = []
         single = np.zeros(len(points), dtype=bool)
-        for k, h in _substring_hashes(points, self.longest):
+        for k, at, h in _substring_hashes(points, left, self.longest):
             if k not in self.tables:
                 continue
             hashes, ids, weight, bits = self.tables[k]
-            at = np.flatnonzero(bits[(h >> U(46)).astype(np.int64)] & (left[:len(h)] >= k))
-            found = np.searchsorted(hashes, h[at])
+            maybe = bits[(h >> U(46)).astype(np.int64)]
+            at, h = at[maybe], h[maybe]
+            found = np.searchsorted(hashes, h)
             found[found == len(hashes)] = 0
-            ok = hashes[found] == h[at]
+            ok = hashes[found] == h
             at, found = at[ok], found[ok]
             if k == 1:
                 single[at] = True
@@ -205,8 +208,7 @@ class Pieces:
         return out
 
     def decode(self, ids) -> str:
-        joined = b"".join([self.bytes_of[i] for i in ids])
-        return joined.decode("utf-8")[1:]
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8")[1:]
 
 
 def model(name: str, theta: float = THETA) -> Pieces:
@@ -215,29 +217,32 @@ def model(name: str, theta: float = THETA) -> Pieces:
     return _models[name, theta]
 
 
-def encode(docs: DataFrame, name: str, key_col: str = "doc_id", text_col: str = "text", theta: float = THETA, seed: int = 0) -> DataFrame:
-    """``docs`` with ``ids``: the sampled piece ids of each text, the same for the same key, seed and theta."""
-    plain = docs.withColumn("__key", F.xxhash64(F.col(key_col), F.lit(seed)))
-    kept = [c for c in docs.columns if c != "ids"]
+def encode(docs: DataFrame, name: str, key_col: str = "doc_id", text_col: str = "text", theta: float = THETA, seed: int = 0,
+           keep: list | None = None) -> DataFrame:
+    """The columns ``keep`` (default: all) with ``ids``, the sampled piece ids of each text, and ``lossless``, whether they decode to it.
+
+    The ids are the same for the same key, seed and theta."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "lossless")]
+    plain = docs.select(*dict.fromkeys([*kept, text_col])).withColumn("__key", F.xxhash64(docs[key_col], F.lit(seed)))
 
     def run(batches):
         m = model(name, theta)
         for b in batches:
             texts = b.column(text_col).to_pylist()
-            filled = ["" if t is None else t for t in texts]
             keys = b.column("__key").to_numpy(zero_copy_only=False).astype(np.int64).view(U)
-            parts, sizes = [], [0]
+            parts, sizes, same = [np.empty(0, np.int32)], [0], []
+            filled = ["" if t is None else t for t in texts]
             for lo, hi in pieces(filled, 1 << 21):
-                for p in m.sample(filled[lo:hi], keys[lo:hi]):
-                    parts.append(p)
-                    sizes.append(len(p))
-            values = np.concatenate(parts) if parts else np.empty(0, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(values, pa.int32()),
-                                           mask=pa.array([t is None for t in texts]))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], ids], [*kept, "ids"])
+                drawn = m.sample(filled[lo:hi], keys[lo:hi])
+                sizes += [len(p) for p in drawn]
+                same += [None if t is None else m.decode(p.tolist()) == t for t, p in zip(texts[lo:hi], drawn)]
+                parts.append(np.concatenate(drawn))
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(parts), pa.int32()),
+                                           mask=pa.array([t is None for t in texts], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], ids, pa.array(same, pa.bool_())], [*kept, "ids", "lossless"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "ids")
-    return plain.mapInArrow(run, f"{fields}, ids array<int>")
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
+    return plain.mapInArrow(run, f"{fields}ids array<int>, lossless boolean")
 
 
 def decode(encoded: DataFrame, name: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -247,7 +252,7 @@ def decode(encoded: DataFrame, name: str, ids_col: str = "ids", out_col: str = "
     def run(batches):
         m = model(name)
         for b in batches:
-            texts = [None if x is None else m.decode(x) for x in b.column(ids_col).to_pylist()]
+            texts = [m.decode(x.as_py()) if x.is_valid else None for x in b.column(ids_col)]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(texts, pa.string())], [*kept, out_col])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name != out_col)
@@ -256,9 +261,8 @@ def decode(encoded: DataFrame, name: str, ids_col: str = "ids", out_col: str = "
 
 def encoded_and_checked(docs: DataFrame, name: str) -> DataFrame:
     """(doc_id, n_tokens, ids, lossless) of every row."""
-    got = decode(encode(docs.select("doc_id", "text"), name), name)
-    return got.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_tokens"), "ids",
-                      F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    got = encode(docs, name, keep=["doc_id"])
+    return got.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_tokens"), "ids", "lossless")
 
 
 @register("op2_sentencepiece")
