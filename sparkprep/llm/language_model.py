@@ -181,15 +181,18 @@ class Trie:
         self.ranks = int(self.arr["width"][1])
 
     @staticmethod
-    def build(path: str, h: np.ndarray, x1: np.ndarray, x2: np.ndarray, hot: np.ndarray, hot_n: np.ndarray, total: int) -> int:
-        """Write the levels of these training tokens; returns the number of words that are not hot."""
-        words, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+    def build(path: str, every: np.ndarray, h: np.ndarray, x1: np.ndarray, x2: np.ndarray, hot: np.ndarray, hot_n: np.ndarray,
+              total: int) -> int:
+        """Write the levels of these training tokens, numbers into the sorted hashes ``every``; returns the number of words that are not hot."""
+        count = np.bincount(h, minlength=len(every))
+        inverse, words, count = (np.cumsum(count > 0) - 1)[h], every[count > 0], count[count > 0]
         at = np.minimum(np.searchsorted(hot, words), max(len(hot) - 1, 0))
         is_hot = hot[at] == words if len(hot) else np.zeros(len(words), dtype=bool)
         count = np.where(is_hot, hot_n[at] if len(hot) else 0, count)
-        names = np.unique(np.concatenate([x1, x2]))
+        used = np.bincount(x1, minlength=len(every)) + np.bincount(x2, minlength=len(every)) > 0
+        names, place = every[used], np.cumsum(used) - 1
         width = U(max(len(names), 1))
-        c1, c2 = np.searchsorted(names, x1).astype(U), np.searchsorted(names, x2).astype(U)
+        c1, c2 = place[x1].astype(U), place[x2].astype(U)
         two, pair, n2 = np.unique(inverse.astype(U) * width + c1, return_inverse=True, return_counts=True)
         own = (two // width).astype(np.int64)
         before, at3 = np.unique(c1 * width + c2, return_inverse=True)
@@ -209,27 +212,32 @@ class Trie:
                       "q3": q3, "s3": s3, "width": np.array([int(width), int(ranks)], dtype=np.int64)})
         return int((~is_hot).sum())
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        at, there = self.seq["words"].successor(h)
+    def counts(self, words: np.ndarray) -> np.ndarray:
+        at, there = self.seq["words"].successor(words)
         return np.where(there, self.arr["count"][np.minimum(at, len(self.arr["count"]) - 1)] if self.seq["words"].n else 0, 0)
 
-    def look_up(self, h, x1, x2, count, total: int) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 numerator, log10 denominator of the context that ends in the token) of every token."""
+    def look_up(self, words, h, x1, x2, count, total: int) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 numerator, log10 denominator of the context that ends in the token) of every token.
+
+        ``h``, ``x1`` and ``x2`` number the sorted hashes ``words``, so each word is searched once."""
         num = np.log10(M * (count + DELTA) / (max(total, 1) * (1 + DELTA)))
         den = np.log10(B * count + M)
         if not self.seq["words"].n:
             return num, den
-        w, ok = self.seq["words"].successor(h)
-        a, ok1 = self.seq["names"].successor(x1)
-        t = np.flatnonzero(ok & ok1)
-        two, found = self.seq["two"].successor(w[t].astype(U) * U(self.width) + a[t].astype(U))
-        t, two = t[found], two[found]
+        own, is_word = self.seq["words"].successor(words)
+        name, is_name = self.seq["names"].successor(words)
+        t = np.flatnonzero(is_word[h] & is_name[x1])
+        a = name[x1[t]]
+        two, found = self.seq["two"].successor(own[h[t]].astype(U) * U(self.width) + a.astype(U))
+        t, two, a = t[found], two[found], a[found]
         num[t] = self.arr["s2"][0] + self.arr["s2"][1] * self.arr["q2"][two]
         den[t] = self.arr["sd"][0] + self.arr["sd"][1] * self.arr["d2"][two]
-        b, ok2 = self.seq["names"].successor(x2[t])
-        t, two, b = t[ok2], two[ok2], b[ok2]
-        rank, found = self.seq["before"].successor(a[t].astype(U) * U(self.width) + b.astype(U))
-        t, two, rank = t[found], two[found], rank[found] - self.arr["begin"][a[t[found]]]
+        ok = is_name[x2[t]]
+        t, two, a = t[ok], two[ok], a[ok]
+        context, back = np.unique(a.astype(U) * U(self.width) + name[x2[t]].astype(U), return_inverse=True)
+        rank, found = self.seq["before"].successor(context)
+        rank, found = rank[back] - self.arr["begin"][a], found[back]
+        t, two, rank = t[found], two[found], rank[found]
         three, found = self.seq["three"].successor(two.astype(U) * U(self.ranks) + rank.astype(U))
         t, three = t[found], three[found]
         num[t] = self.arr["s3"][0] + self.arr["s3"][1] * self.arr["q3"][three]
@@ -239,7 +247,7 @@ class Trie:
 def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; learns where ``train`` is true."""
     spark, store = docs.sparkSession, scratch_dir(docs.sparkSession, "lm")
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = _plain(docs, id_col, text_col, F.coalesce(train, F.lit(False)))
     hot, hot_n, total, n_texts = frequent_words(plain, shards)
     shared = spark.sparkContext.broadcast((hot, hot_n))
@@ -249,29 +257,33 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
         names, counts = shared.value
         d, c = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         cols = {k: table.column(k).to_pylist() for k in ("piece", "words", "ids", "sizes", "train")}
-        h, x1, x2, sizes, learn = [], [], [], [], []
-        for words, ids, size, train_ in zip(cols["words"], cols["ids"], cols["sizes"], cols["train"]):
-            v, ids = _word_hashes(d.decompress(words)), _unplanes(ids, d).reshape(3, -1)
-            for out, i in zip((h, x1, x2), ids):
-                out.append(v[i])
+        every, tokens, sizes, learn = [_word_hashes(d.decompress(z)) for z in cols["words"]], [], [], []
+        words, number = np.unique(np.concatenate(every), return_inverse=True)
+        at = 0
+        for v, ids, size, train_ in zip(every, cols["ids"], cols["sizes"], cols["train"]):
+            tokens.append(number[at:at + len(v)].astype(np.int32)[_unplanes(ids, d).reshape(3, -1)])
+            at += len(v)
             sizes.append(_unplanes(size, d).astype(np.int64))
             learn.append(np.repeat(np.frombuffer(train_, np.uint8) == 1, sizes[-1]))
-        h, x1, x2, learn = map(np.concatenate, (h, x1, x2, learn))
+        del every, number
+        (h, x1, x2), learn = np.concatenate(tokens, axis=1), np.concatenate(learn)
+        del tokens
         path = os.path.join(tempfile.mkdtemp(), "levels")
         try:
-            vocabulary = Trie.build(path, h[learn], x1[learn], x2[learn], names, counts, total)
+            vocabulary = Trie.build(path, words, h[learn], x1[learn], x2[learn], names, counts, total)
             trie = Trie(path)
-            known = trie.counts(h)
+            known = trie.counts(words)
             if len(names):
-                at = np.minimum(np.searchsorted(names, h), len(names) - 1)
-                known = np.where(names[at] == h, counts[at], known)
-            num, den = trie.look_up(h, x1, x2, known, total)
+                at = np.minimum(np.searchsorted(names, words), len(names) - 1)
+                known = np.where(names[at] == words, counts[at], known)
+            known = known[h]
+            num, den = trie.look_up(words, h, x1, x2, known, total)
             del trie
         finally:
             if os.path.exists(path):
                 os.unlink(path)
             os.rmdir(os.path.dirname(path))
-        den[h == END] = begin_den  # each text has one end, which is no context, and one beginning, which is
+        den[words[h] == END] = begin_den  # each text has one end, which is no context, and one beginning, which is
         base = np.log10(known + 1.0)
         out, at = [(-1, None, vocabulary)], 0
         for piece, size in zip(cols["piece"], sizes):
