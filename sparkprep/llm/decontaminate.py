@@ -115,8 +115,8 @@ def _scan_block(docs: DataFrame, text_col: str, broadcast) -> DataFrame:
 def _union_spans(spans):
     """Merged disjoint ranges of flat [start, end, start, end ...] lists of several blocks."""
     pairs = F.array_sort(F.flatten(F.transform(spans, lambda s: F.transform(
-        F.sequence(F.lit(0), F.size(s) / 2 - 1).cast("array<int>"), lambda i: F.struct(
-            s[2 * i].alias("a"), s[2 * i + 1].alias("b"))) if s is not None else None)))
+        F.sequence(F.lit(0), (F.size(s) / 2 - 1).cast("int")), lambda i: F.struct(
+            s[2 * i].alias("a"), s[2 * i + 1].alias("b"))))))
     start = F.array().cast("array<bigint>")
     return F.aggregate(pairs, start, lambda acc, p: F.when(
         (F.size(acc) > 0) & (p["a"] <= F.element_at(acc, -1)),
@@ -145,8 +145,8 @@ def scan(docs: DataFrame, bench: DataFrame, n: int = 10, item_col: str = "item_i
     for p in parts[1:]:
         every = every.unionByName(p)
     merged = (every.filter(F.size("__spans") > 0)
-              .groupBy(F.xxhash64(*docs.columns).alias("__row"), *[F.col(f"`{c}`") for c in ()])
-              .agg(F.collect_list("__spans").alias("s"), F.collect_set("__items").alias("i"), F.count("*").alias("c")))
+              .groupBy(F.xxhash64(*docs.columns).alias("__row"))
+              .agg(F.collect_list("__spans").alias("s"), F.collect_set("__items").alias("i")))
     merged = merged.select("__row", _union_spans(F.col("s")).alias("__s"),
                            F.array_sort(F.array_distinct(F.flatten("i"))).alias("__i"))
     base = parts[0].drop("__spans", "__items").withColumn("__row", F.xxhash64(*docs.columns))
