@@ -13,6 +13,8 @@ are scanned and returned one by one; an empty benchmark hits nothing.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -71,18 +73,20 @@ class _Block:
 _blocks: dict = {}
 
 
-def _block_of(broadcast) -> _Block:
-    key = broadcast.id if hasattr(broadcast, "id") else id(broadcast)
-    if key not in _blocks:
+def _block_of(name: str, broadcast) -> _Block:
+    """The block of this name; a worker keeps the last one it built."""
+    if name not in _blocks:
         _blocks.clear()
-        _blocks[key] = _Block(broadcast.value)
-    return _blocks[key]
+        _blocks[name] = _Block(broadcast.value)
+    return _blocks[name]
 
 
 def _scan_block(docs: DataFrame, text_col: str, broadcast) -> DataFrame:
     """docs with __n_words, __spans (word ranges that windows cover) and __items appended."""
+    name = uuid.uuid4().hex
+
     def scan(batches):
-        block = _block_of(broadcast)
+        block = _block_of(name, broadcast)
         for b in batches:
             texts = as_bytes(b.column(text_col))
             n_words, spans, items = [], [], []
@@ -171,6 +175,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, mode: str = "d
     if mode == "drop":
         return got.filter(F.size("__spans") == 0).select(*docs.columns)
 
+    names = docs.columns
+
     def cut(batches):
         for b in batches:
             texts, kept = b.column(text_col).cast(pa.large_binary()).to_pylist(), []
@@ -182,8 +188,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, mode: str = "d
                         at = int(w.end[z - 1])
                     t = b"".join([*out, t[at:]])
                 kept.append(None if t is None else t.decode("utf-8"))
-            cols = [pa.array(kept, pa.string()) if c == text_col else b.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(cols, docs.columns)
+            cols = [pa.array(kept, pa.string()) if c == text_col else b.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return got.mapInArrow(cut, docs.schema)
 
