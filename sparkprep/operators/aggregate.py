@@ -58,29 +58,22 @@ def agg_expr(col: str, fn: str, order_by=None, approx: bool = False) -> Column:
     raise ValueError(f"unknown aggregation {fn!r}")
 
 
-def group_agg(df: DataFrame, key, spec: dict, order_by=None, approx: bool = False,
-              map_limit: int | None = None) -> DataFrame:
+def group_agg(df: DataFrame, key, spec: dict, order_by=None, approx: bool = False) -> DataFrame:
     """A-01: ``{col: [fn, ...]}`` per key; outputs ``{col}_{fn}``; null keys dropped.
 
-    An exact ``median`` keeps a value map per group that is merged in one
-    task.  That is used only while the largest group holds at most
-    ``map_limit`` values; above it the medians come from the distributed
-    selection of ``quantiles.grouped_quantiles`` and are joined to the other
-    aggregates on the group key (one row per group on both sides).
+    An exact ``median`` as an aggregate would keep a value map per group and
+    merge it in one task.  Medians therefore come from the distributed selection
+    of ``quantiles.grouped_quantiles`` and are joined to the other aggregates on
+    the group key (one row per group on both sides).
     """
-    from .quantiles import MAP_LIMIT, grouped_quantiles, largest_group
+    from .quantiles import grouped_quantiles
 
     keys = [key] if isinstance(key, str) else list(key)
     plan = [(col, fn) for col, fns in spec.items() for fn in ([fns] if isinstance(fns, str) else fns)]
     kept = df.where(" AND ".join(f"{q(k)} IS NOT NULL" for k in keys))
-    group_cols = [F.col(q(k)) for k in keys]
     medians = [] if approx else list(dict.fromkeys(c for c, fn in plan if fn == "median"))
-    limit = MAP_LIMIT if map_limit is None else map_limit
-    if not medians or largest_group(kept, keys, medians) <= limit:
-        return kept.groupBy(*group_cols).agg(*[agg_expr(c, fn, order_by, approx).alias(f"{c}_{fn}")
-                                               for c, fn in plan])
-    others = [agg_expr(c, fn, order_by, approx).alias(f"{c}_{fn}") for c, fn in plan if fn != "median"]
-    out = kept.groupBy(*group_cols).agg(*(others or [F.count(F.lit(1)).alias("__rows")]))
+    others = [agg_expr(c, fn, order_by, approx).alias(f"{c}_{fn}") for c, fn in plan if approx or fn != "median"]
+    out = kept.groupBy(*[F.col(q(k)) for k in keys]).agg(*(others or [F.count(F.lit(1)).alias("__rows")]))
     for c in medians:
         out = out.join(grouped_quantiles(kept, keys, c, [0.5], [f"{c}_median"]), keys, "left")
     return out.select(*[F.col(q(k)) for k in keys], *[F.col(q(f"{c}_{fn}")) for c, fn in plan])

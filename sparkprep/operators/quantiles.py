@@ -3,16 +3,22 @@
 ``percentile`` (exact) keeps a value→count map per column and merges it in
 one final task: at 100 TB a high-cardinality column would put every distinct
 value into that task.  Exact linear-interpolation quantiles are found here by
-distributed selection, batched over all requested columns and ranks:
+distributed selection, batched over all requested columns and ranks, on one
+path at every size:
 
 1. ``percentile_approx`` gives a bracket [v(p − δ), v(p + δ)] around every
    target rank (its rank error is at most n/A, δ = 2/A);
-2. one aggregate counts, per target, the rows below and inside its bracket;
-   a bracket that really contains its rank and holds at most
-   ``max_candidates`` values is *settled*;
-3. one pass emits the values inside settled brackets (a bounded set), and
-   the exact order statistics are read off; unsettled targets repeat 1–2
-   restricted to their bracket (with a wider δ after a miss).
+2. one aggregate counts, per target, the rows below, at both edges of and
+   inside its bracket.  A rank that falls on an edge value is that value,
+   however many rows share it; otherwise the bracket shrinks to the values
+   strictly between its edges;
+3. once the open brackets hold at most ``max_candidates`` rows together, one
+   pass fetches those values and the order statistics are read off.  Larger
+   brackets repeat 1–2 within themselves (with a wider δ after a miss).
+
+Every repeat drops at least the two edge values and leaves about 4/A of the
+rows, so the rounds are few (10^12 distinct values need three) and end without
+a bound on their number.  NaN counts as missing, as in pandas.
 
 Interpolation is ``lo + (hi − lo)·frac`` as in SQL ``quantile_cont``.
 """
@@ -30,112 +36,91 @@ ACCURACY = 10000
 MAX_CANDIDATES = 100000
 
 
+def present(col: str):
+    """The column as double, NaN as null."""
+    return F.nanvl(F.col(q(col)).cast("double"), F.lit(None).cast("double"))
+
+
 def order_statistics(df: DataFrame, wanted: dict, sizes: dict, accuracy: int = ACCURACY,
-                     max_candidates: int = MAX_CANDIDATES, rounds: int = 6) -> dict:
+                     max_candidates: int = MAX_CANDIDATES) -> dict:
     """``wanted``: {column: [0-based ranks]} over the ``sizes[col]`` non-null
     values → {(col, rank): value}."""
-    cols = list(wanted)
-    xs = {c: F.col(q(c)).cast("double") for c in cols}
-    n = dict(sizes)
-    # target state: (col, rank) -> [lo, hi, rows below lo, rows inside, delta]; None bound = open
-    state = {(c, k): [None, None, 0, n[c], 2.0 / accuracy] for c in cols for k in set(wanted[c])}
+    xs = {c: present(c) for c in wanted}
+    delta0 = 2.0 / accuracy
+    # target state: (col, rank) -> open bracket (lo, hi), rows up to lo, rows inside, delta; None bound = open
+    state = {(c, k): (None, None, 0, sizes[c], delta0) for c in wanted for k in set(wanted[c])}
     result = {}
 
     def inside(c, lo, hi):
         cond = xs[c].isNotNull()
         if lo is not None:
-            cond = cond & (xs[c] >= F.lit(lo))
+            cond = cond & (xs[c] > F.lit(lo))
         if hi is not None:
-            cond = cond & (xs[c] <= F.lit(hi))
+            cond = cond & (xs[c] < F.lit(hi))
         return cond
 
-    for _ in range(rounds):
+    while state:
+        # 3. fetch the smallest brackets while they fit together
+        fetch, room = [], max_candidates
+        for key in sorted(state, key=lambda k: state[k][3]):
+            if state[key][3] <= room:
+                fetch.append(key)
+                room -= state[key][3]
+        if fetch:
+            tagged = [F.when(inside(c, *state[(c, k)][:2]), F.struct(F.lit(t).alias("t"), xs[c].alias("v")))
+                      for t, (c, k) in enumerate(fetch)]
+            rows = (df.select(F.explode(F.filter(F.array(*tagged), lambda x: x.isNotNull())).alias("s"))
+                    .select("s.t", "s.v").collect())
+            vals = {}
+            for r in rows:
+                vals.setdefault(r["t"], []).append(r["v"])
+            for t, key in enumerate(fetch):
+                result[key] = sorted(vals[t])[key[1] - state.pop(key)[2]]
         if not state:
             break
-        # 1. approximate brackets, restricted to each target's current bracket
-        keys = list(state)
-        brackets = {}
+        # 1. approximate brackets; equal open brackets of a column share one sketch
+        keys, sketches = list(state), {}
         for key in keys:
-            c, k = key
             lo, hi, below, m, delta = state[key]
-            local = (k - below) / max(m - 1, 1)
-            brackets[key] = (max(0.0, local - delta), min(1.0, local + delta))
-        # open brackets share one sketch per column; narrowed ones get their own
-        open_probs, aggs, where = {}, [], {}
-        for key in keys:
-            if state[key][0] is None and state[key][1] is None:
-                open_probs.setdefault(key[0], []).extend(brackets[key])
-        for i, (c, ps) in enumerate(open_probs.items()):
-            aggs.append(F.percentile_approx(xs[c], F.array(*[F.lit(p) for p in ps]), accuracy).alias(f"o{i}"))
-        for j, key in enumerate(keys):
-            c, _ = key
-            lo, hi = state[key][0], state[key][1]
-            if lo is None and hi is None:
-                continue
-            plo, phi = brackets[key]
-            aggs.append(F.percentile_approx(F.when(inside(c, lo, hi), xs[c]),
-                                            F.array(F.lit(plo), F.lit(phi)), accuracy).alias(f"b{j}"))
-        got = df.agg(*aggs).first()
-        approx, seen = {}, {}
-        for i, c in enumerate(open_probs):
-            vals = got[f"o{i}"]
-            seen[c] = 0
-            for key in keys:
-                if key[0] == c and state[key][0] is None and state[key][1] is None:
-                    approx[f"b{keys.index(key)}"] = vals[seen[c]: seen[c] + 2]
-                    seen[c] += 2
-        for j, key in enumerate(keys):
-            if f"b{j}" not in approx:
-                approx[f"b{j}"] = got[f"b{j}"]
-        # 2. counts below / inside the proposed brackets
-        props = {}
+            local = (key[1] - below) / max(m - 1, 1)
+            sketches.setdefault((key[0], lo, hi), {})[key] = (max(0.0, local - delta), min(1.0, local + delta))
+        got = df.agg(*[F.percentile_approx(F.when(inside(*where), xs[where[0]]),
+                                           F.array(*[F.lit(p) for pair in ps.values() for p in pair]), accuracy).alias(f"s{i}")
+                       for i, (where, ps) in enumerate(sketches.items())]).first()
+        edges = {}
+        for i, ps in enumerate(sketches.values()):
+            for j, key in enumerate(ps):
+                edges[key] = (got[f"s{i}"][2 * j], got[f"s{i}"][2 * j + 1])
+        # 2. rows below, at the edges of and between them
         aggs = []
         for j, key in enumerate(keys):
-            c, _ = key
-            v = approx[f"b{j}"]
-            nlo, nhi = (v[0], v[1]) if v is not None else (None, None)
-            props[key] = (nlo, nhi)
-            aggs.append(F.count_if(xs[c] < F.lit(nlo)).alias(f"u{j}") if nlo is not None
-                        else F.lit(0).alias(f"u{j}"))
-            aggs.append(F.count_if(inside(c, nlo, nhi)).alias(f"w{j}"))
+            x, (lo, hi) = xs[key[0]], edges[key]
+            aggs += [F.count_if(x < F.lit(lo)).alias(f"u{j}"), F.count_if(x == F.lit(lo)).alias(f"l{j}"),
+                     F.count_if(inside(key[0], lo, hi)).alias(f"w{j}"),
+                     F.count_if((x == F.lit(hi)) & F.lit(hi > lo)).alias(f"h{j}")]
         counts = df.agg(*aggs).first()
-        settled = []
         for j, key in enumerate(keys):
-            c, k = key
-            nlo, nhi = props[key]
-            below_new, within = counts[f"u{j}"], counts[f"w{j}"]
-            lo, hi, below, m, delta = state[key]
-            if below_new <= k < below_new + within:
-                state[key] = [nlo, nhi, below_new, within, 2.0 / accuracy]
-                if within <= max_candidates:
-                    settled.append(key)
-            else:  # approximate bracket missed the rank: widen it next round
-                state[key] = [lo, hi, below, m, min(1.0, delta * 4)]
-        # 3. fetch the (bounded) values of settled brackets, all targets in one pass
-        if settled:
-            tagged = [F.when(inside(c, state[(c, k)][0], state[(c, k)][1]),
-                             F.struct(F.lit(t).alias("t"), xs[c].alias("v")))
-                      for t, (c, k) in enumerate(settled)]
-            rows = (df.select(F.explode(F.filter(F.array(*tagged), lambda s: s.isNotNull())).alias("s"))
-                    .select("s.t", "s.v").collect())
-            vals = {}
-            for r in rows:
-                vals.setdefault(r["t"], []).append(r["v"])
-            for t, key in enumerate(settled):
-                c, k = key
-                got = sorted(vals.get(t, []))
-                result[key] = got[k - state[key][2]]
+            (lo, hi), k = edges[key], key[1]
+            first = counts[f"u{j}"]
+            second = first + counts[f"l{j}"]
+            third = second + counts[f"w{j}"]
+            if first <= k < second:
+                result[key] = lo
+                del state[key]
+            elif second <= k < third:
+                state[key] = (lo, hi, second, counts[f"w{j}"], delta0)
+            elif third <= k < third + counts[f"h{j}"]:
+                result[key] = hi
                 del state[key]
-    for key in list(state):  # pragma: no cover - adversarial inputs only
-        c, k = key
-        result[key] = df.where(xs[c].isNotNull()).select(xs[c].alias("v")).orderBy("v").offset(k).first()["v"]
+            else:  # the sketch missed the rank: widen
+                state[key] = (*state[key][:4], min(1.0, state[key][4] * 4))
     return result
 
 
 def exact_quantiles(df: DataFrame, cols, probs, **kw) -> dict:
     """{col: [quantile per prob]} with linear interpolation (None for an all-null column)."""
     cols = [cols] if isinstance(cols, str) else list(cols)
-    n_row = df.agg(*[F.count(F.col(q(c))).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    n_row = df.agg(*[F.count(present(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
     wanted, plan = {}, {}
     for i, c in enumerate(cols):
         n = n_row[f"n{i}"]
@@ -162,40 +147,19 @@ def exact_quantiles(df: DataFrame, cols, probs, **kw) -> dict:
     return out
 
 
-MAP_LIMIT = 5_000_000
-
-
-def quantile_frame(df: DataFrame, cols, probs, names=None, map_limit: int = MAP_LIMIT) -> DataFrame:
-    """One-row frame ``{col}_{name}`` of exact quantiles.
-
-    Up to ``map_limit`` non-null values per column the single-pass exact
-    ``percentile`` aggregate is used (its value map is bounded by the row
-    count, so it fits one task); above it, the distributed selection."""
+def quantile_frame(df: DataFrame, cols, probs, names=None, **kw) -> DataFrame:
+    """One-row frame ``{col}_{name}`` of exact quantiles."""
     cols = [cols] if isinstance(cols, str) else list(cols)
     names = names or [f"q{int(round(p * 100))}" for p in probs]
-    n_row = df.agg(*[F.count(F.col(q(c))).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    if all(n_row[f"n{i}"] <= map_limit for i in range(len(cols))):
-        arr = F.array(*[F.lit(float(p)) for p in probs])
-        one = df.agg(*[F.percentile(F.col(q(c)).cast("double"), arr).alias(f"__p{i}") for i, c in enumerate(cols)])
-        return one.select(*[F.col(f"__p{i}")[j].alias(f"{c}_{nm}") for i, c in enumerate(cols)
-                            for j, nm in enumerate(names)])
-    qs = exact_quantiles(df, cols, probs)
+    qs = exact_quantiles(df, cols, probs, **kw)
     fields, values = [], []
     for c in cols:
         for nm, v in zip(names, qs[c]):
-            fields.append(f"`{c}_{nm}` double")
+            fields.append(f"{q(f'{c}_{nm}')} double")
             values.append(None if v is None else float(v))
     return df.sparkSession.createDataFrame([tuple(values)], ", ".join(fields))
 
 
-def largest_group(df: DataFrame, keys, cols) -> int:
-    """Largest per-group count of non-null values over ``cols`` (one aggregate pass)."""
-    per = df.groupBy(*[F.col(q(k)) for k in keys]).agg(
-        *[F.count(F.col(q(c))).alias(f"__n{i}") for i, c in enumerate(cols)])
-    row = per.agg(F.max(F.greatest(*[F.col(f"__n{i}") for i in range(len(cols))], F.lit(0))).alias("m")).first()
-    return int(row["m"] or 0)
-
-
 def grouped_quantiles(df: DataFrame, keys, col: str, probs, names=None) -> DataFrame:
     """Exact per-group linear-interpolation quantiles of ``col``: ``keys + names``.
 
@@ -214,11 +178,11 @@ def grouped_quantiles(df: DataFrame, keys, col: str, probs, names=None) -> DataF
     keys = [keys] if isinstance(keys, str) else list(keys)
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
     gk = [f"__g{j}" for j in range(len(keys))]
-    present = F.col("__x").isNotNull()
+    there = F.col("__x").isNotNull()
     for g in gk:
-        present = present & F.col(g).isNotNull()
+        there = there & F.col(g).isNotNull()
     vals = df.select(*[F.col(q(k)).alias(g) for k, g in zip(keys, gk)],
-                     F.col(q(col)).cast("double").alias("__x")).where(present)
+                     present(col).alias("__x")).where(there)
     # written once to the shared checkpoint folder: both passes below read it,
     # and a lost executor does not redo the sort
     idx = cut_lineage(with_row_index(vals, ["__x"], gk, name="__i"))
