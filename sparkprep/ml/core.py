@@ -132,6 +132,15 @@ def spark_estimator(kind: str, task: str, n_features: int | None = None, n_class
     return None
 
 
+def room_for_levels(est, df: DataFrame, features: str = "features") -> None:
+    """Tree learners need at least as many bins as the widest categorical feature has levels."""
+    attrs = df.schema[features].metadata.get("ml_attr", {}).get("attrs", {})
+    most = max([len(a.get("vals", ())) for a in attrs.get("nominal", ())], default=0)
+    inner = est.getClassifier() if isinstance(est, MC.OneVsRest) else est
+    if inner.hasParam("maxBins") and most > inner.getOrDefault("maxBins"):
+        inner.set(inner.getParam("maxBins"), most)
+
+
 @dataclass
 class TrainResult:
     kind: str
@@ -180,6 +189,7 @@ def train(df: DataFrame, x_cols, y: str, kind: str, task: str, key: str, test_si
     est = spark_estimator(kind, task, _vector_size(tr_x) if kind == "mlp" else None, n_classes)
     if est is not None:
         est.setFeaturesCol("features").setLabelCol(label)
+        room_for_levels(est, tr_x)
         model = est.fit(tr_x)
         pred = model.transform(te_x)
     elif kind == "knn":

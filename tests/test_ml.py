@@ -27,11 +27,30 @@ def test_sgd_objective_recovers_coefficients(linear_data):
 
 
 def test_linear_svr_fits(linear_data):
-    model = custom.fit_linear_svr(linear_data, "y", rounds=20)
+    model = custom.fit_linear_svr(linear_data, "y")
     pred = model.transform(linear_data).select(F.avg(F.abs(F.col("y") - F.col("prediction")))).first()[0]
     assert pred < 0.5
 
 
+def test_linear_svr_on_a_large_target_at_the_defaults(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 3))
+    y = 50_000 + x @ np.array([300.0, -200.0, 50.0]) + rng.normal(0, 20, 1500)
+    rows = [(x[i].tolist(), float(y[i])) for i in range(len(x))]
+    df = spark.createDataFrame(rows, "v array<double>, y double").withColumn("features", array_to_vector("v"))
+    one, eight = (custom.fit_linear_svr(df.repartition(k), "y") for k in (1, 8))
+    assert np.allclose(one.coef, eight.coef, atol=1e-6) and abs(one.intercept - eight.intercept) < 1e-6
+    pred = x @ one.coef + one.intercept
+    assert 1 - ((y - pred) ** 2).sum() / ((y - y.mean()) ** 2).sum() > 0.9
+
+
+def test_tree_takes_a_feature_of_many_levels(spark):
+    rows = [(i, f"level{i % 50}", float(i % 7), "ab"[i % 50 > 20]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, s string, x double, y string")
+    res = M.train(df, ["s", "x"], "y", "tree", "classification", "id", scaler=None)
+    assert res.predictions.count() > 0
+
+
 def test_knn_exact_against_bruteforce(spark):
     rng = np.random.default_rng(1)
     pts = rng.normal(size=(300, 4))
