@@ -28,6 +28,8 @@ DEFAULT_DATETIME_FORMATS = (
     "dd-MM-yyyy",
     "MM/dd/yyyy",
     "dd/MM/yyyy HH:mm:ss",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
 )
 
 
@@ -84,6 +86,18 @@ def format_shape(fmt: str) -> str:
             out.append(re.escape(fmt[i + 1:j]))
             i = j + 1
             continue
+        if fmt[i] == "[":  # optional part
+            j = fmt.index("]", i)
+            out.append("(" + format_shape(fmt[i + 1:j])[1:-1] + ")?")
+            i = j + 1
+            continue
+        if fmt[i] == "S":  # a fraction of at most so many digits
+            j = i
+            while j < len(fmt) and fmt[j] == "S":
+                j += 1
+            out.append(rf"\d{{1,{j - i}}}")
+            i = j
+            continue
         for tok, rx in _FORMAT_TOKENS:
             if fmt.startswith(tok, i):
                 out.append(rx)

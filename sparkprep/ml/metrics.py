@@ -16,7 +16,9 @@ def _long(one: DataFrame, names) -> DataFrame:
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
                        long: bool = True, with_rmse: bool = True) -> DataFrame:
-    """M-20: MAE, MSE, RMSE, R², MAPE (zero actuals masked, in %), 2 decimals."""
+    """M-20: MAE, MSE, RMSE, R², MAPE (zero actuals masked, in %), 2 decimals.
+
+    Constant actuals: R² is 1 for a perfect prediction, else 0."""
     y = F.col(q(label)).cast("double")
     p = F.col(q(prediction)).cast("double")
     e = y - p
@@ -24,7 +26,8 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
                    F.sum(e * e).alias("__sse"), F.var_pop(y).alias("__vy"), F.count(y).alias("__n"),
                    (F.avg(F.when(y != 0, F.abs(e / y))) * 100).alias("MAPE"))
     one = one.withColumn("RMSE", F.sqrt("MSE")).withColumn(
-        "R2", 1 - F.col("__sse") / (F.col("__vy") * F.col("__n")))
+        "R2", F.when(F.col("__vy") * F.col("__n") != 0, 1 - F.col("__sse") / (F.col("__vy") * F.col("__n")))
+        .when(F.col("__sse") == 0, 1.0).when(F.col("__sse") > 0, 0.0))
     names = ["MAE", "MSE"] + (["RMSE"] if with_rmse else []) + ["R2", "MAPE"]
     if long:
         return _long(one, names)

@@ -66,7 +66,8 @@ def histogram_sum(df: DataFrame, x_col: str, y_cols, bins: int = 10) -> DataFram
 
 def kde(df: DataFrame, col: str, points: int = 100) -> DataFrame:
     """C-02: Gaussian kernel density on ``points`` grid values over [min, max],
-    Scott bandwidth h = std(ddof=1) · n^(-1/5).
+    Scott bandwidth h = std(ddof=1) · n^(-1/5).  Densities are null where the
+    bandwidth is 0 or undefined (a constant column, a single row).
 
     One aggregate pass: accumulator ``k`` sums exp(-(g_k - x)²/(2h²)) over the
     rows, with g_k computed from the attached min/max."""
@@ -79,11 +80,11 @@ def kde(df: DataFrame, col: str, points: int = 100) -> DataFrame:
     acc = []
     for k in range(points):
         g = F.col("__lo") + step * k
-        acc.append(F.sum(F.exp(-F.pow(g - F.col("__x"), 2) / (2 * F.col("__h") * F.col("__h")))).alias(f"__k{k}"))
+        acc.append(F.sum(F.exp(F.try_divide(-F.pow(g - F.col("__x"), 2), 2 * F.col("__h") * F.col("__h")))).alias(f"__k{k}"))
     sums = data.groupBy("__lo", "__hi", "__h", "__n").agg(*acc)
     norm = F.col("__n") * F.col("__h") * F.lit(math.sqrt(2 * math.pi))
     rows = [F.struct(F.lit(k).alias("point"), (F.col("__lo") + step * k).alias("x"),
-                     (F.col(f"__k{k}") / norm).alias("density")) for k in range(points)]
+                     F.try_divide(F.col(f"__k{k}"), norm).alias("density")) for k in range(points)]
     return sums.select(F.inline(F.array(*rows)))
 
 
@@ -116,26 +117,29 @@ def series(df: DataFrame, x: str, ys) -> DataFrame:
 
 
 def pie(df: DataFrame, name: str, value: str) -> DataFrame:
-    """C-07: sum of ``value`` per ``name`` and its share in percent."""
+    """C-07: sum of ``value`` per ``name`` and its share in percent (null when the grand total is 0)."""
     sums = df.where(F.col(q(name)).isNotNull()).groupBy(F.col(q(name))).agg(F.sum(F.col(q(value))).alias("total"))
     grand = sums.agg(F.sum("total").alias("__all"))
     return attach_scalars(sums, grand).select(
-        F.col(q(name)), "total", (F.col("total") * 100.0 / F.col("__all")).alias("percent"))
+        F.col(q(name)), "total", F.try_divide(F.col("total") * 100.0, F.col("__all")).alias("percent"))
 
 
-def points(df: DataFrame, cols, key: str, color: str | None = None, max_rows: int = 5000,
+def points(df: DataFrame, cols, key: str, color: str | None = None, max_rows: int | None = None,
            seed: int = 0) -> DataFrame:
-    """C-08: scatter points; a large table is down-sampled to ``max_rows``
-    rows by hash order of ``key`` (deterministic, engine-independent)."""
+    """C-08: scatter points of every row.  A caller who wants fewer passes
+    ``max_rows``: that many rows by hash order of ``key`` (deterministic,
+    engine-independent)."""
     cols = [cols] if isinstance(cols, str) else list(cols)
     keep = cols + ([color] if color else [])
+    if max_rows is None:
+        return df.select(F.col(q(key)), *[F.col(q(c)) for c in keep])
     h = F.md5(F.concat(F.col(q(key)).cast("string"), F.lit(f":{seed}")))
     return df.select(F.col(q(key)), *[F.col(q(c)) for c in keep], h.alias("__h")) \
              .orderBy("__h", key).limit(max_rows).drop("__h")
 
 
-def pair_points(df: DataFrame, cols, key: str, max_rows: int = 2000, seed: int = 0) -> DataFrame:
-    """C-09: every column pair (a < b) of the sampled rows: (key, x_col, y_col, x, y)."""
+def pair_points(df: DataFrame, cols, key: str, max_rows: int | None = None, seed: int = 0) -> DataFrame:
+    """C-09: every column pair (a < b) of the rows of ``points``: (key, x_col, y_col, x, y)."""
     cols = list(cols)
     sample = points(df, cols, key, None, max_rows, seed)
     pairs = [F.struct(F.lit(a).alias("x_col"), F.lit(b).alias("y_col"),

@@ -30,7 +30,8 @@ def _candidate_exprs(cols, formats):
         looks_date = s.rlike(r"^\d{1,4}[-/.]\d")  # cheap gate in front of the format tests
         # every text of the number shape converts to double, so the shape alone decides
         out[c] = [(f"num{i}", present & num_txt.rlike(P.NUMBER_SHAPE)),
-                  (f"int{i}", present & num_txt.rlike(r"^[+-]?\d+$")),
+                  # whole numbers beyond bigint stay with the double branch
+                  (f"int{i}", present & num_txt.rlike(r"^[+-]?\d+$") & num_txt.try_cast("bigint").isNotNull()),
                   (f"bool{i}", s.isNotNull() & P.is_boolean_text(s))]
         out[c] += [(f"dt{i}_{j}", present & looks_date & P.parse_datetime(s, fmt).isNotNull())
                    for j, fmt in enumerate(formats)]

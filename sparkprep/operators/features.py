@@ -43,17 +43,18 @@ def ordinal_encode(df: DataFrame, col: str, classes) -> DataFrame:
     return df.withColumn(f"{col}_encoded", mapping[F.col(q(col))].cast("long"))
 
 
-def one_hot(df: DataFrame, col: str, drop_first: bool = True, levels_list=None) -> DataFrame:
+def one_hot(df: DataFrame, col: str, drop_first: bool = True, levels_list=None, max_levels: int | None = None) -> DataFrame:
     """E-03 / E-04: int64 indicator per sorted level, ``{col}_{level}``; the
     source column is removed; null rows get all zeros.
 
-    The level list becomes the output schema, so it is read once on the driver
-    (its size is the number of distinct values, checked below)."""
+    The level list becomes the output schema, so it is read once on the driver,
+    unless the caller passes it.  A caller who wants a guard against keys with
+    very many values sets ``max_levels``; more levels then raise."""
     if levels_list is None:
         lv = levels(df, col).orderBy("code").select("level")
-        levels_list = [r[0] for r in lv.limit(10001).collect()]
-        if len(levels_list) > 10000:
-            raise ValueError(f"{col}: more than 10000 levels; one-hot would create that many columns")
+        levels_list = [r[0] for r in (lv if max_levels is None else lv.limit(max_levels + 1)).collect()]
+        if max_levels is not None and len(levels_list) > max_levels:
+            raise ValueError(f"{col}: more than {max_levels} levels")
     use = levels_list[1:] if drop_first else levels_list
     src = F.col(q(col))
     new = [F.coalesce((src == F.lit(v)).cast("long"), F.lit(0).cast("long")).alias(f"{col}_{v}") for v in use]

@@ -130,20 +130,25 @@ def condition_sql(col: str, op: str, value) -> str:
     raise ValueError(f"unknown comparison {op!r}")
 
 
-_REF = re.compile(r"\b[cC]\d+\b")
+_REF = re.compile(r"\b[cC]\d+\b|[&|~]")
+_LOGIC = {"&": " AND ", "|": " OR ", "~": " NOT "}
 
 
 def combine_sql(conditions: dict, combine: str) -> str:
-    """Substitute ``c1``..``cn`` in a boolean text such as ``c1 & (c2 | ~c3)``."""
+    """Substitute ``c1``..``cn`` in a boolean text such as ``c1 & (c2 | ~c3)``.
+
+    One pass over the combine text: values and column names that hold ``&``,
+    ``|`` or ``~`` themselves are never rewritten."""
     def sub(m):
         key = m.group(0)
+        if key in _LOGIC:
+            return _LOGIC[key]
         if key not in conditions:
             raise KeyError(f"condition {key} is not defined")
         col, op, value = conditions[key]
         return "(" + condition_sql(col, op, value) + ")"
 
-    text = _REF.sub(sub, combine)
-    return text.replace("&", " AND ").replace("|", " OR ").replace("~", " NOT ")
+    return _REF.sub(sub, combine)
 
 
 def filter_conditions(df: DataFrame, conditions: dict, combine: str | None = None) -> DataFrame:

@@ -132,7 +132,7 @@ def last_years(df: DataFrame, ts: str, years: int) -> DataFrame:
     """W-14: rows within ``years`` years of the latest timestamp."""
     mx = df.agg(F.max(F.col(q(ts))).alias("__max"))
     return (attach_scalars(df, mx)
-            .where(F.col(q(ts)) >= F.add_months(F.col("__max"), -12 * years).cast(df.schema[ts].dataType))
+            .where(F.col(q(ts)) >= (F.col("__max") - F.make_ym_interval(F.lit(years))).cast(df.schema[ts].dataType))
             .drop("__max"))
 
 
@@ -146,9 +146,10 @@ def future_axis(df: DataFrame, ts: str, horizon: int, freq: str = "D") -> DataFr
     mx = df.agg(F.max(F.col(q(ts))).alias("__max"))
     steps = spark.range(1, horizon + 1).withColumnRenamed("id", "step")
     j = attach_scalars(steps, mx)
-    if freq in ("M", "Y"):
-        months = 1 if freq == "M" else 12
-        nxt = F.last_day(F.add_months(F.col("__max"), F.col("step").cast("int") * months)).cast("timestamp_ntz")
+    if freq == "M":
+        nxt = F.last_day(F.add_months(F.col("__max"), F.col("step").cast("int"))).cast("timestamp_ntz")
+    elif freq == "Y":
+        nxt = F.make_date(F.year("__max") + F.col("step").cast("int"), F.lit(12), F.lit(31)).cast("timestamp_ntz")
     else:
         nxt = F.col("__max") + F.expr(f"INTERVAL {FREQ_STEP[freq]}") * F.col("step")
     return j.select("step", nxt.alias(ts))
@@ -196,7 +197,7 @@ def _lagged(df: DataFrame, col: str, order_by, lags: int, chunk_rows=None) -> Da
 
 
 def acf(df: DataFrame, col: str, order_by, lags: int = 20, chunk_rows: int | None = None) -> DataFrame:
-    """W-11: autocorrelation r_k = Σ (y_t − ȳ)(y_{t−k} − ȳ) / Σ (y_t − ȳ)², k = 0..lags."""
+    """W-11: autocorrelation r_k = Σ (y_t − ȳ)(y_{t−k} − ȳ) / Σ (y_t − ȳ)², k = 0..lags (null for a constant series)."""
     lagged = _lagged(df, col, order_by, lags, chunk_rows)
     mean = lagged.agg(F.avg("__y").alias("__mu"))
     j = attach_scalars(lagged, mean)
@@ -204,7 +205,7 @@ def acf(df: DataFrame, col: str, order_by, lags: int = 20, chunk_rows: int | Non
     sums = [F.sum(d * d).alias("__c0")] + [
         F.sum(d * (F.col(f"__l{k}") - F.col("__mu"))).alias(f"__c{k}") for k in range(1, lags + 1)]
     one = j.agg(*sums)
-    rows = [F.struct(F.lit(k).alias("lag"), (F.col(f"__c{k}") / F.col("__c0")).alias("acf"))
+    rows = [F.struct(F.lit(k).alias("lag"), F.try_divide(F.col(f"__c{k}"), F.col("__c0")).alias("acf"))
             for k in range(0, lags + 1)]
     return one.select(F.inline(F.array(*rows)))
 

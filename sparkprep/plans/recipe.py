@@ -46,7 +46,7 @@ REGISTRY = {
     "drop_duplicates": lambda df, subset=None: R.drop_duplicates(df, subset),
     "drop_outliers": lambda df, col, method="iqr": OL.drop_outliers(df, col, method),
     "resample_classes": lambda df, col, plan, key, seed=10: OL.resample_classes(
-        df, col, {k: tuple(v) for k, v in plan.items()}, key, seed),
+        df, col, {k: tuple(v) for k, v in (plan.items() if isinstance(plan, dict) else plan)}, key, seed),
     "label_encode": lambda df, col: E.label_encode(df, col)[0],
     "ordinal_encode": lambda df, col, classes: E.ordinal_encode(df, col, classes),
     "one_hot": lambda df, col, drop_first=True: E.one_hot(df, col, drop_first),
@@ -67,6 +67,9 @@ REGISTRY = {
 def step(op: str, **args) -> dict:
     if op not in REGISTRY:
         raise KeyError(f"unknown recipe operator {op!r}")
+    if op == "resample_classes" and isinstance(args.get("plan"), dict):
+        # pairs keep the classes' types; JSON would turn object keys into text
+        args = args | {"plan": [[k, list(v)] for k, v in args["plan"].items()]}
     return {"op": op, "args": args}
 
 

@@ -19,14 +19,18 @@ class EmptyTable(ValueError):
     pass
 
 
-def read_csv(spark: SparkSession, paths, clean: bool = True, sep: str = ",", refuse_empty: bool = True):
+def read_csv(spark: SparkSession, paths, clean: bool = True, sep: str = ",", refuse_empty: bool = True,
+             multi_line: bool = True):
     """S-01 / S-06: header CSV (local, HDFS, object store or HTTP-mounted URI).
 
     Every column is read as text, then one aggregate pass infers types.
-    Returns ``(df, log)``; an empty file is refused."""
+    Returns ``(df, log)``; an empty file is refused.  Quoting is RFC 4180:
+    doubled quotes, line breaks inside quotes.  The latter need whole files per
+    task; ``multi_line=False`` lets Spark split large files whose records are
+    known to be one line each."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     raw = (spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
-           .option("mode", "PERMISSIVE").csv(paths))
+           .option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", multi_line).csv(paths))
     if refuse_empty and raw.isEmpty():
         raise EmptyTable("the uploaded table is empty")
     if not clean:
@@ -53,13 +57,17 @@ def read_object(spark: SparkSession, provider: str, bucket: str, key: str, accou
     return read_csv(spark, object_uri(provider, bucket, key, account))
 
 
-def read_json_records(spark: SparkSession, paths, schema=None, flatten: bool = True) -> DataFrame:
-    """S-03: landed JSON API payloads (JSON lines or arrays) → flat table.
+def read_json_records(spark: SparkSession, paths, schema=None, flatten: bool = True,
+                      multi_line: bool = False) -> DataFrame:
+    """S-03: landed JSON API payloads → flat table.
+
+    JSON lines (a record or an array of records a line) split within a file;
+    ``multi_line`` reads pretty-printed documents and arrays, a file per task.
 
     Struct fields become ``parent_child`` columns; arrays of structs are
     exploded (outer) one level at a time."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    reader = spark.read.option("multiLine", False)
+    reader = spark.read.option("multiLine", multi_line)
     df = reader.schema(schema).json(paths) if schema is not None else reader.json(paths)
     return flatten_frame(df) if flatten else df
 

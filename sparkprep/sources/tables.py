@@ -7,10 +7,14 @@ Spark's file index (``_metadata``) rather than a local ``os.listdir``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import normalise_name
+from ..operators.relational import q
 
 
 class TableExists(Exception):
@@ -72,28 +76,39 @@ def update_table(df: DataFrame, base: str, name: str) -> str:
     """S-14: overwrite an existing table.
 
     Spark cannot overwrite a path it is still reading, so the new content is
-    written to a staging path first, then swapped in with two renames.
+    written to a staging path first, then swapped in with two renames.  The
+    side paths carry a fresh name per call.  If the second rename fails the old
+    table is put back, and it is deleted only once the new one is in place.
     """
     spark = df.sparkSession
     path = table_path(base, name)
     if not exists(spark, path):
         raise TableMissing(name)
-    staging = path + ".__staging"
-    df.write.mode("overwrite").parquet(staging)
+    tag = uuid.uuid4().hex
+    staging = f"{path}.__staging-{tag}"
+    df.write.mode("errorifexists").parquet(staging)
     fs, hpath = _hadoop_fs(spark, path)
     _, hstage = _hadoop_fs(spark, staging)
-    _, hold = _hadoop_fs(spark, path + ".__old")
-    fs.rename(hpath, hold)
-    fs.rename(hstage, hpath)
+    _, hold = _hadoop_fs(spark, f"{path}.__old-{tag}")
+    if not fs.rename(hpath, hold):
+        raise OSError(f"table {name} could not be set aside; its new content is at {staging}")
+    if not fs.rename(hstage, hpath):
+        restored = fs.rename(hold, hpath)
+        raise OSError(f"new content of {name} could not be moved in from {staging}; "
+                      + ("the old table is in place" if restored else f"the old table is at {path}.__old-{tag}"))
     fs.delete(hold, True)
     return path
 
 
 def export_csv(df: DataFrame, path: str) -> str:
-    """S-15: CSV with header (one file per task; no single-writer bottleneck)."""
-    (df.write.mode("overwrite").option("header", True)
-     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
-     .csv(path))
+    """S-15: CSV with header (one file per task; no single-writer bottleneck).
+
+    Times keep their microseconds where these are not zero; quotes inside a
+    value are doubled (RFC 4180)."""
+    times = (T.TimestampType, T.TimestampNTZType)
+    text = df.select(*[F.col(q(f.name)).cast("string").alias(f.name) if isinstance(f.dataType, times)
+                       else F.col(q(f.name)) for f in df.schema.fields])
+    text.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
 
 

@@ -85,18 +85,15 @@ def c07_pie(spark, sf):
 
 
 @register("c08_points", """
-SELECT event_id, value, user_id, event_type FROM events
-ORDER BY md5(event_id::VARCHAR || ':0'), event_id LIMIT 500""")
+SELECT event_id, value, user_id, event_type FROM events""")
 def c08_points(spark, sf):
-    return C.points(table(spark, sf, "events"), ["value", "user_id"], "event_id", "event_type", 500)
+    return C.points(table(spark, sf, "events"), ["value", "user_id"], "event_id", "event_type")
 
 
 @register("c09_pair_points", """
-WITH s AS (SELECT event_id, value, user_id, ts FROM events
-           ORDER BY md5(event_id::VARCHAR || ':0'), event_id LIMIT 300)
-SELECT event_id, 'value' AS x_col, 'user_id' AS y_col, value AS x, user_id::DOUBLE AS y FROM s""")
+SELECT event_id, 'value' AS x_col, 'user_id' AS y_col, value AS x, user_id::DOUBLE AS y FROM events""")
 def c09_pair_points(spark, sf):
-    return C.pair_points(table(spark, sf, "events"), ["value", "user_id"], "event_id", 300)
+    return C.pair_points(table(spark, sf, "events"), ["value", "user_id"], "event_id")
 
 
 def _pair_bins_sql(cols, bins):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .._fs import scratch_dir
 from ..operators import maintenance as MT
+from ..operators.profile import attach_scalars
 from ..plans import recipe as RC
 from ..sources import files as SF
 from ..sources import tables as ST
@@ -87,22 +88,29 @@ _RECIPE = [
 ]
 
 
-@register("s18_recipe_log")
+def _replay_sql(src, more=""):
+    return f"""
+WITH f AS (SELECT event_id, user_id, event_type,
+             coalesce(value, (SELECT quantile_cont(value, 0.5) FROM {src} m)) AS value
+           FROM {src} e),
+k AS (SELECT * FROM f WHERE coalesce(value > 10, false) AND NOT (event_type IS NOT DISTINCT FROM 'click'))
+SELECT event_type, round(avg(value), 4) AS value_mean, count(value)::BIGINT AS value_count,
+       count(DISTINCT user_id)::BIGINT AS user_id_nunique{more}
+FROM k WHERE event_type IS NOT NULL GROUP BY event_type"""
+
+
+@register("s18_recipe_log", _replay_sql("events", ", 3::BIGINT AS steps"))
 def s18_recipe_log(spark, sf):
+    """A recipe logged in two appends and replayed on ``events``, with the number of logged steps."""
     base = scratch_dir(spark, "recipes")
     RC.recipe_append(spark, base, "events", _RECIPE[:1])
     RC.recipe_append(spark, base, "events", _RECIPE[1:])
-    return RC.recipe_info(spark, base)
+    out = RC.recipe_replay(table(spark, sf, "events"), RC.recipe_steps(spark, base, "events"))
+    logged = RC.recipe_info(spark, base).where("table = 'events'").select("steps")
+    return r4(attach_scalars(out, logged))
 
 
-@register("s19_recipe_replay", f"""
-WITH f AS (SELECT event_id, user_id, event_type,
-             coalesce(value, (SELECT quantile_cont(value, 0.5) FROM {EVENTS_NULLS} m)) AS value
-           FROM {EVENTS_NULLS} e),
-k AS (SELECT * FROM f WHERE coalesce(value > 10, false) AND NOT (event_type IS NOT DISTINCT FROM 'click'))
-SELECT event_type, round(avg(value), 4) AS value_mean, count(value)::BIGINT AS value_count,
-       count(DISTINCT user_id)::BIGINT AS user_id_nunique
-FROM k WHERE event_type IS NOT NULL GROUP BY event_type""")
+@register("s19_recipe_replay", _replay_sql(EVENTS_NULLS))
 def s19_recipe_replay(spark, sf):
     base = scratch_dir(spark, "recipes")
     RC.recipe_append(spark, base, "events", _RECIPE)
