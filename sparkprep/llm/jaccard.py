@@ -6,13 +6,16 @@ out:
 
 * Two sets of at most s elements with Jaccard similarity t or more differ in
   at most ``2 s (1 - t) / (1 + t)`` columns.  With one block more than that, a
-  linked pair has a block whose columns are equal.  Sizes fall into classes a
-  factor 1/t apart, so linked documents share a class label and its blocks.
-* Each document sends one hash per block.  Documents that share none can't be
-  linked: they are discarded before any product.  A block that is empty in
-  both says little, so for each empty block a document sends the block with
-  each column of its prefix, the smallest columns, of which any linked pair
-  shares one.
+  linked pair has a block whose columns are equal; with spare blocks beyond
+  that it has so many equal blocks more.  Sizes fall into classes a factor 1/t
+  apart, so linked documents share a class label and its blocks.
+* Each document sends one hash per filled block.  Documents that share none
+  can't be linked: they are discarded before any product.  A block that is
+  empty in both says little, but a document with no more empty blocks than
+  there are spare ones has a filled block in common with every document it is
+  linked with.  One with more (short texts, now and then) also sends each empty
+  block with each column of its prefix, the smallest columns, of which any
+  linked pair shares one.  So a document of n shingles sends O(n) hashes.
 * Documents that share a block hash form candidate groups (connected by stars,
   so a group of m sends m links, not m * m).  Within a group the product is
   accumulated exactly, one document against all that are not settled yet, and
@@ -54,6 +57,9 @@ class Threshold:
     def __init__(self, p: int = 90, q: int = 100):
         self.p, self.q = p, q
         self.bounds = [1]
+        # Spare blocks, in thousandths of the set size: twice the blocks that stay empty in the class's smallest sets.
+        d, t = 2 * (q - p) / (q + p), p / q
+        self.spare = next((x for x in range(5, 305, 5) if x >= 2 * (1000 * d + x) * np.exp(-t / (d + x / 1000))), 0)
 
     def grow(self, n: int) -> np.ndarray:
         """Class starts b0 < b1 < ... beyond n and two more; linked sizes lie in the same or the next class."""
@@ -62,9 +68,11 @@ class Threshold:
             self.bounds.append(max(b + 1, (b - 1) * self.q // self.p + 1))
         return np.array(self.bounds)
 
-    def blocks(self, largest: np.ndarray) -> np.ndarray:
-        """Blocks of which two linked sets of at most ``largest`` elements must share one."""
-        return 2 * largest * (self.q - self.p) // (self.q + self.p) + 1
+    def blocks(self, largest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(blocks, spare ones): two linked sets of at most ``largest`` elements share at least one more than the spare ones."""
+        differ = 2 * largest * (self.q - self.p) // (self.q + self.p)
+        spare = np.where(differ > 0, largest * self.spare // 1000, 0)
+        return differ + 1 + spare, spare
 
     def prefix(self, n: np.ndarray) -> np.ndarray:
         return n - -(-n * self.p // self.q) + 1
@@ -100,7 +108,7 @@ def _sums(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
 
 
 def block_hashes(h: np.ndarray, first: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, block hash) of every non-empty block of both class labels, and prefixes where a block is empty."""
+    """(text index, block hash) of every filled block of both class labels, and of empty blocks with prefixes where these outnumber the spare ones."""
     n = np.diff(first)
     if not len(h):
         return np.empty(0, np.int64), np.empty(0, U)
@@ -109,7 +117,8 @@ def block_hashes(h: np.ndarray, first: np.ndarray, t: Threshold) -> tuple[np.nda
     out_i, out_h = [], []
     spread, weight = mix(h ^ U(0x5851F42D4C957F2D)), mix(h + U(0x14057B7EF767814F))
     for label in (kind, kind + 1):
-        k = np.where(n > 0, t.blocks(bounds[label + 1] - 1), 0)
+        k, spare = t.blocks(bounds[label + 1] - 1)
+        k = np.where(n > 0, k, 0)
         k[k == 1] = 0  # linked means equal: the set key has them
         base = np.concatenate([[0], np.cumsum(k)])
         sel = k[own] > 0
@@ -123,6 +132,7 @@ def block_hashes(h: np.ndarray, first: np.ndarray, t: Threshold) -> tuple[np.nda
         out_i.append(who[filled])
         out_h.append(mix(sums + name)[filled])
         empty = np.flatnonzero(~filled)
+        empty = empty[(np.bincount(who[empty], minlength=len(n)) > spare)[who[empty]]]
         if len(empty):
             size = t.prefix(n)[who[empty]]
             each = np.repeat(empty, size)
