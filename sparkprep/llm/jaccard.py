@@ -45,8 +45,8 @@ from .registry import read, register
 
 #: Shingles of a candidate group that one task multiplies alone; larger groups go round by round.
 GROUP_SHINGLES = 2_000_000
-#: Documents of one large group that a round multiplies with the whole group.
-ROUND = 128
+#: Documents of one large group that a round multiplies with the whole group, and the shingles that end a round sooner.
+ROUND, ROUND_SHINGLES = 4096, 1_000_000
 #: Slices of a large group among which the documents of a round are chosen.
 SALTS = 32
 
@@ -342,7 +342,8 @@ def _large_groups(members: DataFrame, k: int, t: Threshold, store: str, block: i
         return pa.table({"a": pa.array(links[:, 0], pa.int64()), "b": pa.array(links[:, 1], pa.int64())})
 
     sets = keep(members.mapInArrow(to_sets, "gid bigint, salts int, id bigint, h binary"), "sets")
-    state = keep(sets.select("gid", "id", F.col("id").alias("root"), F.lit(False).alias("settled")).distinct(), "state0")
+    state = sets.groupBy("gid", "id").agg(F.sum(F.length("h") / 8).cast("bigint").alias("size"))
+    state = keep(state.select("gid", "id", F.col("id").alias("root"), F.lit(False).alias("settled"), "size"), "state0")
     rounds = 0
     while True:
         todo = state.filter(~F.col("settled")).groupBy("gid", "root").agg(F.count("*").alias("n"))
@@ -352,7 +353,9 @@ def _large_groups(members: DataFrame, k: int, t: Threshold, store: str, block: i
         salted = Window.partitionBy("gid", F.pmod(F.xxhash64("id"), F.lit(SALTS))).orderBy(F.xxhash64("id"), "id")
         waiting = waiting.withColumn("r", F.row_number().over(salted)).filter(F.col("r") <= block)
         ranked = Window.partitionBy("gid").orderBy("r", "id")
-        lead = keep(waiting.withColumn("r", F.row_number().over(ranked)).filter(F.col("r") <= block).select("gid", "id", "root"),
+        before = F.coalesce(F.sum("size").over(ranked.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        waiting = waiting.withColumn("before", before).withColumn("r", F.row_number().over(ranked))
+        lead = keep(waiting.filter((F.col("r") <= block) & (F.col("before") < ROUND_SHINGLES)).select("gid", "id", "root"),
                     f"lead{rounds}")
         if lead.isEmpty():
             return state.select(F.col("id").alias("v"), "root")
@@ -369,7 +372,7 @@ def _large_groups(members: DataFrame, k: int, t: Threshold, store: str, block: i
         done = lead.select("gid", "id", F.lit(True).alias("now"))
         state = keep(state.join(merged, "root", "left").join(done, ["gid", "id"], "left")
                      .select("gid", "id", F.coalesce("new", "root").alias("root"),
-                             (F.col("settled") | F.col("now").isNotNull()).alias("settled")), f"state{rounds}")
+                             (F.col("settled") | F.col("now").isNotNull()).alias("settled"), "size"), f"state{rounds}")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, p: int = 90, q: int = 100,
