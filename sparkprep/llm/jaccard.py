@@ -9,13 +9,18 @@ out:
   linked pair has a block whose columns are equal; with spare blocks beyond
   that it has so many equal blocks more.  Sizes fall into classes a factor 1/t
   apart, so linked documents share a class label and its blocks.
+* Columns that very many documents have (passages that go round) are left out
+  of the blocks: linked sets differ in no more columns without them, so the
+  bound holds, and a passage alone makes no candidates.  How common a column is
+  comes from a sketch of all documents, of a fixed size; it decides only what
+  is compared with what, never what is linked.
 * Each document sends one hash per filled block.  Documents that share none
   can't be linked: they are discarded before any product.  A block that is
   empty in both says little, but a document with no more empty blocks than
   there are spare ones has a filled block in common with every document it is
-  linked with.  One with more (short texts, now and then) also sends each empty
-  block with each column of its prefix, the smallest columns, of which any
-  linked pair shares one.  So a document of n shingles sends O(n) hashes.
+  linked with.  One with more (short texts, or mostly common columns) also sends
+  its prefix, the rarest columns, of which any linked pair shares one.  So a
+  document of n shingles sends O(n) hashes.
 * Documents that share a block hash form candidate groups (connected by stars,
   so a group of m sends m links, not m * m).  Within a group the product is
   accumulated exactly, one document against all that are not settled yet, and
@@ -49,6 +54,8 @@ GROUP_SHINGLES = 2_000_000
 ROUND, ROUND_SHINGLES = 4096, 1_000_000
 #: Slices of a large group among which the documents of a round are chosen.
 SALTS = 32
+#: Two-byte counters of the frequency sketch, as a power of two, and the ranges in which tasks' sketches are summed.
+SKETCH_BITS, RANGES = 23, 64
 
 
 class Threshold:
@@ -107,8 +114,49 @@ def _sums(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
     return low.astype(np.int64).astype(U) + (high.astype(np.int64).astype(U) << U(32))
 
 
-def block_hashes(h: np.ndarray, first: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, block hash) of every filled block of both class labels, and of empty blocks with prefixes where these outnumber the spare ones."""
+class Frequencies:
+    """How many documents have a column, by hash bucket; counters stop at 65 535."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts, mean = counts, float(counts.mean())
+        # Above what chance puts into a bucket.
+        self.common = mean + 6 * np.sqrt(mean) + 8
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        return self.counts[h >> U(64 - SKETCH_BITS)]
+
+
+def column_frequencies(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
+    """The counters of ``Frequencies`` over all documents: each task sends its own, compressed, and ranges are summed as they come."""
+    def count(batches):
+        seen, c = np.zeros(1 << SKETCH_BITS, np.uint16), zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            texts = as_bytes(b.column(0))
+            for lo, hi in pieces(texts):
+                at, n = np.unique(shingle_sets(texts[lo:hi], k)[0] >> U(64 - SKETCH_BITS), return_counts=True)
+                seen[at] = np.minimum(seen[at] + n, 65535)
+        parts = [(i, c.compress(x.tobytes())) for i, x in enumerate(np.split(seen, RANGES)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([z for _, z in parts], pa.binary())],
+                                         ["part", "z"])
+
+    def add(batches):
+        total, c = {}, zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            for i, z in zip(b.column(0).to_pylist(), _unpack(b.column(1))):
+                x = np.frombuffer(z, np.uint16)
+                total[i] = np.minimum(total.get(i, np.uint32(0)) + x.astype(np.uint32), 65535).astype(np.uint16)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()),
+                                          pa.array([c.compress(x.tobytes()) for x in total.values()], pa.binary())], ["part", "z"])
+
+    sent = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "part int, z binary")
+    out = np.zeros((RANGES, (1 << SKETCH_BITS) // RANGES), np.uint16)
+    for part, z in sent.repartition(RANGES, "part").mapInArrow(add, "part int, z binary").collect():  # 16 MB at most
+        out[part] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(z)), np.uint16)
+    return out.reshape(-1)
+
+
+def block_hashes(h: np.ndarray, first: np.ndarray, t: Threshold, known: Frequencies) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, hash) of every filled block of both class labels, and of the prefix where empty blocks outnumber the spare ones."""
     n = np.diff(first)
     if not len(h):
         return np.empty(0, np.int64), np.empty(0, U)
@@ -116,29 +164,30 @@ def block_hashes(h: np.ndarray, first: np.ndarray, t: Threshold) -> tuple[np.nda
     own, kind = np.repeat(np.arange(len(n)), n), np.searchsorted(bounds, n, side="right") - 1
     out_i, out_h = [], []
     spread, weight = mix(h ^ U(0x5851F42D4C957F2D)), mix(h + U(0x14057B7EF767814F))
+    often = known.of(h)
+    rare, rarest = often <= known.common, h[np.lexsort((h, often, own))]
     for label in (kind, kind + 1):
         k, spare = t.blocks(bounds[label + 1] - 1)
         k = np.where(n > 0, k, 0)
         k[k == 1] = 0  # linked means equal: the set key has them
         base = np.concatenate([[0], np.cumsum(k)])
-        sel = k[own] > 0
-        if not sel.any():
+        total = int(base[-1])
+        if not total:
             continue
+        sel = (k[own] > 0) & rare
         g = base[own[sel]] + (spread[sel] % k[own[sel]].astype(U)).astype(np.int64)
-        total = int(base[-1])
         filled, sums = np.bincount(g, minlength=total) > 0, _sums(weight[sel], g, total)
         who = np.repeat(np.arange(len(n)), k)
         name = label[who].astype(U) * U(0x2545F4914F6CDD1D) + (np.arange(total) - base[who]).astype(U) * U(0x9E6C63D0876A9A47)
         out_i.append(who[filled])
         out_h.append(mix(sums + name)[filled])
-        empty = np.flatnonzero(~filled)
-        empty = empty[(np.bincount(who[empty], minlength=len(n)) > spare)[who[empty]]]
-        if len(empty):
-            size = t.prefix(n)[who[empty]]
-            each = np.repeat(empty, size)
+        bare = np.flatnonzero(np.bincount(who[~filled], minlength=len(n)) > spare)
+        if len(bare):
+            size = t.prefix(n)[bare]
+            each = np.repeat(bare, size)
             rank = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
-            out_i.append(who[each])
-            out_h.append(mix(mix(h[first[who[each]] + rank] ^ U(0xD1342543DE82EF95)) + name[each]))
+            out_i.append(each)
+            out_h.append(mix(mix(rarest[first[each] + rank] ^ U(0xD1342543DE82EF95)) + label[each].astype(U) * U(0x2545F4914F6CDD1D)))
     if not out_i:
         return np.empty(0, np.int64), np.empty(0, U)
     return np.concatenate(out_i), np.concatenate(out_h)
@@ -219,13 +268,15 @@ def candidate_links(docs: DataFrame, id_col: str, text_col: str, k: int, t: Thre
     A batch sends its block hashes as sorted arrays, one row per part; equal
     hashes within a batch become a local star and travel once."""
     shift = U(40)
+    counters = docs.sparkSession.sparkContext.broadcast(column_frequencies(docs, text_col, k))
 
     def send(batches):
+        known = Frequencies(counters.value)
         for b in batches:
             ids_all, texts = b.column(0).to_numpy(zero_copy_only=False), as_bytes(b.column(1))
             for lo, hi in pieces(texts, 1 << 22):
                 h, first = shingle_sets(texts[lo:hi], k)
-                who, code = block_hashes(h, first, t)
+                who, code = block_hashes(h, first, t, known)
                 ids = ids_all[lo:hi].astype(np.int64)[who]
                 part = (code >> shift) % U(parts)
                 order = np.lexsort((ids, code, part))
