@@ -35,6 +35,8 @@ from .kernels import U, mix, pieces
 from .registry import read, register
 
 SHIFT, THETA = 10.0, 2.0
+#: Characters whose units share one lattice; larger pieces take memory and save little time.
+PIECE = 1 << 19
 _UNIT = re.compile(r" +[^ ]*")
 _BASE = U(0xD1B54A32D192ED03)
 _models: dict = {}
@@ -232,7 +234,7 @@ def encode(docs: DataFrame, name: str, key_col: str = "doc_id", text_col: str =
             keys = b.column("__key").to_numpy(zero_copy_only=False).astype(np.int64).view(U)
             parts, sizes, same = [np.empty(0, np.int32)], [0], []
             filled = ["" if t is None else t for t in texts]
-            for lo, hi in pieces(filled, 1 << 21):
+            for lo, hi in pieces(filled, PIECE):
                 drawn = m.sample(filled[lo:hi], keys[lo:hi])
                 sizes += [len(p) for p in drawn]
                 same += [None if t is None else m.decode(p.tolist()) == t for t, p in zip(texts[lo:hi], drawn)]
