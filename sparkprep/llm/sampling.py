@@ -11,20 +11,29 @@ def held_out(id_col: str = "doc_id", parts: int = 5, rest: int = 0):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == rest, F.lit(True))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int, id_col: str = "doc_id",
-                   text_col: str = "text") -> list:
-    """At most ``per_class`` (text, 0/1) rows of either class, chosen by a hash of the id, of texts of at most ``max_bytes``.
+def usable(labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:
+    """(__id, __y) of every labelled row that is not held out, one row per id."""
+    return (labels.filter(F.col(label).isin(0, 1)).filter(~held_out(id_col))
+            .select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y")).groupBy("__id").agg(F.max("__y").alias("__y")))
+
+
+def sample_texts(docs: DataFrame, own: DataFrame, per_class: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> list:
+    """At most ``per_class`` (id, text, 0/1) rows of either class of ``own``, chosen by a hash of the id, of texts of at most ``max_bytes``.
 
     Ids are picked first, so only a table of at most 2 * per_class ids is broadcast and no text is moved to find them."""
-    usable = (labels.filter(F.col(label).isin(0, 1)).filter(~held_out(id_col))
-              .select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y")).dropDuplicates(["__id"]))
     order = [F.xxhash64("__id"), F.col("__id")]
-    picked = [r for y in (0, 1) for r in usable.filter(F.col("__y") == y).orderBy(*order).limit(per_class).collect()]
+    picked = [r for y in (0, 1) for r in own.filter(F.col("__y") == y).orderBy(*order).limit(per_class).collect()]
     if not picked:
         return []
     spark = docs.sparkSession
-    ids = spark.createDataFrame(picked, usable.schema)
+    ids = spark.createDataFrame(picked, own.schema)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = (docs.select(F.col(id_col).alias("__id"), text.alias("__text")).filter(F.octet_length("__text") <= max_bytes)
-            .join(F.broadcast(ids), "__id").orderBy(*order).select("__text", "__y").collect())
-    return [(r[0], r[1]) for r in rows]
+            .join(F.broadcast(ids), "__id").orderBy(*order).select("__id", "__text", "__y").collect())
+    return [tuple(r) for r in rows]
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int, id_col: str = "doc_id",
+                   text_col: str = "text") -> list:
+    """``sample_texts`` of all usable labels, as (text, 0/1)."""
+    return [r[1:] for r in sample_texts(docs, usable(labels, label, id_col), per_class, max_bytes, id_col, text_col)]

@@ -6,11 +6,15 @@ layer turns these into a probability.  The first embedding dimension starts
 from the smoothed log odds of a word's bucket in the training sample; all
 weights are then trained with Adam.  The probability is calibrated by
 language: texts are told apart by function words (never by a language column),
-each language's threshold is fitted on a part of the sample that training does
-not see, and scores are bent so that the threshold lies at 0.5.
+and scores are bent so that the threshold lies at 0.5.
 
-The model is fitted on a bounded sample of labelled rows (``PER_CLASS`` rows
-of either class of at most ``MAX_BYTES`` bytes) and scores whole texts.
+Only the net is fitted on a bounded sample of labelled rows (``PER_CLASS`` rows
+of either class of at most ``MAX_BYTES`` bytes).  The thresholds come from
+every labelled row that is not held out: Spark scores them all and counts them
+by language, label, score bin and whether the net has learnt from the row.
+Learnt rows are scored too well, so the spread of scores is that of the other
+rows (a fifth of the ids is never learnt from), and the size of each class in
+each language is that of all rows.  Whole texts are scored.
 
 Defined cases: a null or empty text is scored as a text without words; without
 usable labels of both classes every score is the share of toxic labels (0 if
@@ -26,12 +30,15 @@ from pyspark.sql import functions as F
 
 from .kernels import ALNUM, Members, U, Words, as_bytes, mix, per_text, pieces
 from .registry import read, register
-from .sampling import held_out, labelled_texts
+from .sampling import held_out, sample_texts, usable
 
 PER_CLASS, MAX_BYTES = 3000, 20_000
 BITS, DIM, WIDTHS, FILTERS = 17, 8, (1, 2, 3), 8
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 
+#: Bins of the net's answer, in which labelled rows are counted; a threshold is the lower edge of a bin.
+BINS = 4096
+
 #: Function words by language.
 FUNCTION_WORDS = {
     "en": "the and of to in is that for with was are this be by on",
@@ -153,26 +160,25 @@ def _train(texts: list, y: np.ndarray, net: Net, seed: int = 6) -> None:
 
 
 class Toxicity:
-    """A fitted net with a threshold for each language (the last one for texts of no known language)."""
+    """A net and a threshold for each language (the last one for texts of no known language)."""
 
-    def __init__(self, sample: list, seed: int = 6):
+    def __init__(self, sample: list, share: float = 0.0, seed: int = 6):
         y = np.array([s[1] for s in sample], dtype=np.float64)
-        self.net, self.threshold = None, np.full(len(FUNCTION_WORDS) + 1, 0.5)
-        self.share = float(y.mean()) if len(y) else 0.0
-        if not 0 < self.share < 1:
+        self.net, self.threshold, self.share = None, np.full(len(FUNCTION_WORDS) + 1, 0.5), share
+        if len(set(y)) < 2:
             return
-        texts = [s[0].encode("utf-8") for s in sample]
-        fit = np.random.default_rng(seed).random(len(y)) >= 0.2
-        if len(set(y[fit])) < 2 or len(set(y[~fit])) < 2:
-            fit[:] = True
         self.net = Net(seed)
-        _train([t for t, f in zip(texts, fit) if f], y[fit], self.net)
-        own = ~fit if (~fit).any() else fit
-        raw, lang = self.raw([t for t, o in zip(texts, own) if o])
-        every = _cut(raw, y[own], 0.5)
-        for k in range(len(self.threshold)):
-            rows = lang == k
-            self.threshold[k] = _cut(raw[rows], y[own][rows], every) if 0 < y[own][rows].sum() < rows.sum() else every
+        _train([s[0].encode("utf-8") for s in sample], y, self.net)
+
+    def calibrate(self, counts: np.ndarray) -> None:
+        """Thresholds from the number of rows by (language, label, learnt or not, bin)."""
+        every, other = counts.sum(axis=(2, 3)), counts[:, :, 0].sum(axis=2)
+        rows = np.where(other[:, :, None] > 0, counts[:, :, 0], counts[:, :, 1]).astype(np.float64)
+        rows *= (every / np.maximum(rows.sum(axis=2), 1))[:, :, None]
+        if (every.sum(axis=0) > 0).all():
+            self.threshold[:] = _cut(rows.sum(axis=0))
+        for k in np.flatnonzero((every > 0).all(axis=1)):
+            self.threshold[k] = _cut(rows[k])
 
     def raw(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         scores, langs = [np.empty(0)], [np.empty(0, np.int64)]
@@ -190,20 +196,56 @@ class Toxicity:
         return np.clip(np.where(raw < cut, 0.5 * raw / cut, 0.5 + 0.5 * (raw - cut) / (1 - cut)), 0, 1)
 
 
-def _cut(raw: np.ndarray, y: np.ndarray, near: float) -> float:
-    """The threshold with the fewest errors; of several, the one in the middle of the widest gap."""
-    order = np.argsort(raw, kind="stable")
-    s, labels = np.concatenate([[0.0], raw[order], [1.0]]), y[order]
-    below = np.concatenate([[0], np.cumsum(labels)])
-    above = (1 - labels).sum() - np.concatenate([[0], np.cumsum(1 - labels)])
-    errors = below + above
-    best = np.flatnonzero(errors == errors.min())
-    i = best[np.argmax(s[best + 1] - s[best])]
-    return float(np.clip((s[i] + s[i + 1]) / 2 if len(raw) else near, 0.02, 0.98))
+def _bin(raw: np.ndarray) -> np.ndarray:
+    return np.clip((raw * BINS).astype(np.int64), 0, BINS - 1)
+
+
+def _cut(rows: np.ndarray) -> float:
+    """The bin edge with the fewest errors, given the rows of label 0 and 1 in each bin; of several, the middle of the longest run."""
+    below = np.concatenate([[0], np.cumsum(rows[1])])
+    above = rows[0].sum() - np.concatenate([[0], np.cumsum(rows[0])])
+    lo, hi = int(np.ceil(0.02 * BINS)), int(0.98 * BINS)
+    errors = (below + above)[lo:hi + 1]
+    best = np.flatnonzero(errors <= errors.min() + 1e-9 * rows.sum())
+    run = max(np.split(best, np.flatnonzero(np.diff(best) > 1) + 1), key=len)
+    return (lo + int(run[0] + run[-1]) // 2) / BINS
+
+
+def bin_counts(docs: DataFrame, labelled: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """Rows of ``labelled`` (__id, __y, __learnt) by (language, label, learnt or not, bin).
+
+    Documents are scored before they meet their labels, so no text is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in batches:
+            raw, lang = shared.value.raw(as_bytes(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang.astype(np.int32)), pa.array(_bin(raw).astype(np.int32))],
+                                             ["__id", "lang", "bin"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    plain = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).filter(F.col("__id").isNotNull())
+    got = (plain.mapInArrow(run, f"__id {kind}, lang int, bin int").join(labelled, "__id")
+           .groupBy("lang", "__y", "__learnt", "bin").count().collect())
+    counts = np.zeros((len(FUNCTION_WORDS) + 1, 2, 2, BINS), dtype=np.int64)
+    for r in got:
+        counts[r[0], r[1], r[2], r[3]] = r[4]
+    return counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> Toxicity:
-    return Toxicity(labelled_texts(docs, labels, label, per_class, max_bytes))
+    own = usable(labels, label)
+    share = own.agg(F.avg("__y")).first()[0]
+    kept_back = held_out("__id", 5, 1)  # never learnt from: crc32 mod 5 is 0 for held-out rows and 1 for these
+    sample = sample_texts(docs, own.filter(~kept_back), per_class, max_bytes)
+    model = Toxicity([s[1:] for s in sample], share or 0.0)
+    if model.net is None:
+        return model
+    ids = docs.sparkSession.createDataFrame([(i,) for i in {s[0] for s in sample}], own.select("__id").schema)
+    flagged = own.join(F.broadcast(ids.withColumn("__in", F.lit(1))), "__id", "left").select(
+        "__id", "__y", F.coalesce("__in", F.lit(0)).alias("__learnt"))
+    model.calibrate(bin_counts(docs, flagged, model))
+    return model
 
 
 def score(docs: DataFrame, model: Toxicity, text_col: str = "text", name: str = "score") -> DataFrame:

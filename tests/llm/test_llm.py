@@ -231,6 +231,17 @@ def test_classifiers(spark, odd, empty, module, label, name, cut, least):
     assert module.score(empty, model, name="s").count() == 0
 
 
+def test_toxicity_thresholds_at_the_true_class_shares(spark):
+    """Half the toxic rows read as a fifth of the clean ones do: likely toxic in a balanced sample, clean in the whole table."""
+    clean, mixed, toxic = "the cat and the dog of rain", "the grey moor of the fog", "the vile scum of the slime"
+    texts = [mixed if i % 5 == 0 else clean for i in range(2000)] + [mixed if i % 2 else toxic for i in range(200)]
+    docs = spark.createDataFrame([(i, f"{t} z{i}") for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 2000)) for i in range(2200)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, per_class=120)
+    share = lambda t: (model.scores([f"{t} y{i}".encode() for i in range(100)]) >= 0.5).mean()
+    assert share(clean) < 0.05 and share(mixed) < 0.05 and share(toxic) > 0.95
+
+
 def test_pipeline_matches_stagewise_brute_force(spark):
     import corpus_pipeline
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
