@@ -5,11 +5,14 @@ the template positions (a table of fixed size, broadcast).  A match at
 document word p and template word t votes for the diagonal p - t; votes are
 collected per (document, template, diagonal) as a bit set.  Neighbouring
 diagonals of one template, which insertions and deletions cause, are merged;
-clusters with enough votes are verified on the document's words.
+clusters that can hold a place are verified on the document's words.
 
 Base phrases are templates whose words must stand consecutively: one diagonal,
 all votes, equal words.  The other templates are notices and may differ in a
-fifth of their words.
+fifth of their words: a place is a span of words that holds ``SHARE`` of the
+notice's words in order, and of whose own words they are ``SHARE``.  ``bounds``
+gives the votes and the shift of diagonals that every such span has; which
+spans are places is decided on the words alone.
 
 Defined cases: a null or empty text has no words and no labels; ids may be
 null or repeat (rows are told apart by id and text; equal rows get equal
@@ -48,18 +51,27 @@ NOTICES = {
     "this work has been released into the public domain": "public-domain",
 }
 
-#: Share of a notice's words that must be found in order, and diagonals apart that may be merged.
-SHARE, SLACK = 0.8, 2
+#: Share of a notice's words, and of a place's words, that must be found in order.
+SHARE = 0.8
+
+
+def bounds(n: int) -> tuple[int, int]:
+    """(least votes, largest shift of diagonals) of a place of a notice of n words.
+
+    Of the n words m <= n // 5 may be missing, and (n - m) // 4 words may be added, as a place has at most 5 words for 4 found.
+    A missing word breaks at most two 2-grams, an added one at most one; added words shift later diagonals up, missing ones down."""
+    return n - (K - 1) - max(2 * m + (n - m) // 4 for m in range(n // 5 + 1)), n // 4
 
 
 def template_table(spark: SparkSession) -> DataFrame:
-    """(h, template, t, size, base) of every position of every template."""
+    """(h, template, t, need, slack) of every position of every template."""
     rows = []
     for i, phrase in enumerate([*BASE, *NOTICES]):
         w = Words([phrase.encode()], ALNUM)
         at, h = w.grams(K)
-        rows += [(int(x), i, int(t), len(w), i < len(BASE)) for t, x in zip(at, h.view(np.int64))]
-    return spark.createDataFrame(rows, "h bigint, template int, t int, size int, base boolean")
+        need, slack = (len(w) - (K - 1), 0) if i < len(BASE) else bounds(len(w))
+        rows += [(int(x), i, int(t), need, slack) for t, x in zip(at, h.view(np.int64))]
+    return spark.createDataFrame(rows, "h bigint, template int, t int, need int, slack int")
 
 
 def grams(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -85,37 +97,41 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, spans): merged diagonals with enough votes, as (template, first, last diagonal)."""
     spark = docs.sparkSession
     hits = grams(docs, id_col, text_col).join(F.broadcast(template_table(spark)), "h")
-    by = ["id", "key", "template", "size", "base"]
+    by = ["id", "key", "template", "need", "slack"]
     votes = hits.groupBy(*by, (F.col("pos") - F.col("t")).alias("d")).agg(
         F.bit_or(F.expr("shiftleft(1L, t)")).alias("votes"))
     w = Window.partitionBy("id", "key", "template").orderBy("d")
-    slack = F.when(F.col("base"), 0).otherwise(SLACK)
-    run = votes.withColumn("new", (F.coalesce(F.col("d") - F.lag("d").over(w), F.lit(1 << 30)) > slack).cast("int"))
+    run = votes.withColumn("new", (F.coalesce(F.col("d") - F.lag("d").over(w), F.lit(1 << 30)) > F.col("slack")).cast("int"))
     run = run.withColumn("cluster", F.sum("new").over(w))
     merged = run.groupBy(*by, "cluster").agg(F.bit_or("votes").alias("votes"), F.min("d").alias("a"), F.max("d").alias("z"))
-    need = F.when(F.col("base"), F.col("size") - (K - 1)).otherwise(F.ceil((F.col("size") - (K - 1)) * (2 * SHARE - 1)))
-    return (merged.filter(F.bit_count("votes") >= need)
+    return (merged.filter(F.bit_count("votes") >= F.col("need"))
             .groupBy("id", "key").agg(F.collect_list(F.struct("template", "a", "z")).alias("spans")))
 
 
-def _in_order(words: list, phrase: list) -> tuple[int, int, int]:
-    """(words of the phrase found in order, first, last word index) by a longest common subsequence."""
-    rows = [[0] * (len(phrase) + 1)]
-    for x in words:
-        prev, row = rows[-1], [0]
-        for j, y in enumerate(phrase):
-            row.append(prev[j] + 1 if x == y else max(prev[j + 1], row[j]))
-        rows.append(row)
-    i, j, first, last = len(words), len(phrase), len(words), -1
-    while i and j:
-        if words[i - 1] == phrase[j - 1] and rows[i][j] == rows[i - 1][j - 1] + 1:
-            first, last = i - 1, max(last, i - 1)
-            i, j = i - 1, j - 1
-        elif rows[i - 1][j] >= rows[i][j - 1]:
-            i -= 1
-        else:
-            j -= 1
-    return rows[-1][-1], first, last
+def _places(words: list, phrase: list) -> list:
+    """(share, start, end) of the spans of words that hold enough of the phrase in order, the best first and without overlaps.
+
+    Every span that starts with a word of the phrase is tried, by longest common subsequences of its prefixes."""
+    n, known, out = len(phrase), set(phrase), []
+    longest = n + n // 4
+    inside = np.concatenate([[0], np.cumsum([x in known for x in words], dtype=np.int64)]).tolist()
+    for i, x in enumerate(words):
+        if x not in known or inside[min(i + longest, len(words))] - inside[i] < n * SHARE:
+            continue
+        row, best = [0] * (n + 1), (0.0, 0)
+        for j in range(i, min(i + longest, len(words))):
+            if words[j] in known:
+                prev, row = row, [0]
+                for q, y in enumerate(phrase):
+                    row.append(prev[q] + 1 if words[j] == y else max(prev[q + 1], row[q]))
+            best = max(best, (row[-1] / max(n, j - i + 1), i - j - 1))
+        if best[0] >= SHARE:
+            out.append((best[0], i, i - best[1]))
+    kept = []
+    for p in sorted(out, key=lambda p: (-p[0], p[2] - p[1], p[1])):
+        if all(p[2] <= q[1] or q[2] <= p[1] for q in kept):
+            kept.append(p)
+    return kept
 
 
 def _best(places: list) -> list:
@@ -146,17 +162,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     out, begin, stop = [], int(w.first[i - lo]), int(w.first[i - lo + 1])
                     for s in spans[i] or ():
                         t, phrase = s["template"], texts[s["template"]]
-                        slack = 0 if t < n_base else SLACK
+                        slack = 0 if t < n_base else bounds(len(phrase))[1]
                         a, z = max(begin, begin + s["a"] - slack), min(stop, begin + s["z"] + len(phrase) + slack)
                         words = [w.word(j) for j in range(a, z)]
                         if t < n_base:
                             if words == phrase:
                                 out.append((labels[t], True, a - begin, z - begin, 1.0))
                             continue
-                        found, first, last = _in_order(words, phrase)
-                        share = found / max(len(phrase), last - first + 1)
-                        if share >= SHARE:
-                            out.append((labels[t], False, a + first - begin, a + last + 1 - begin, share))
+                        out += [(labels[t], False, a + i - begin, a + j - begin, share) for share, i, j in _places(words, phrase)]
                     places.append([dict(zip(("label", "base", "start", "end", "share"), o)) for o in _best(out)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(places, place)],
                                              ["id", "n_words", "places"])

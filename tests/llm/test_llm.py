@@ -169,6 +169,48 @@ def test_license_notice_with_a_changed_word(spark):
     assert [p["label"] for p in license_scan.scan(docs).first().places] == ["bsd"]
 
 
+def _lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        prev, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(prev[j] + 1 if x == y else max(prev[j + 1], row[j]))
+    return row[-1]
+
+
+def test_license_notices_with_every_admissible_change(spark):
+    """Each number of replaced, left out and added words, spread and in one place, against all spans of all notices."""
+    r, texts = np.random.default_rng(3), []
+    for notice in license_scan.NOTICES:
+        w = notice.split()
+        n = len(w)
+        for m in range(n // 5 + 2):
+            for left_out in (False, True):
+                for e in range((n - m) // 4 + 2 if left_out or not m else 1):
+                    for spread in (False, True):
+                        out = list(w)
+                        at = r.choice(np.arange(1, n - 1, 2), min(m, (n - 1) // 2), replace=False) if spread else np.arange(1, m + 1)
+                        for i in at:
+                            out[i] = None if left_out else f"q{i}"
+                        for i in r.choice(np.arange(1, n), e, replace=False) if spread else [n // 2] * e:
+                            out[i] = f"q z{i} {out[i] or ''}".replace("q z", "z")
+                        texts.append(" ".join(["a b c", *[x for x in out if x], "d e f"]))
+    texts += ["licensed under the creative commons attribution 3 0 international license", "released under an mit license",
+              "released under the mit license and then released under the old mit license"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.id: x.places for x in license_scan.scan(docs).collect()}
+    for i, t in enumerate(texts):
+        w, best = t.split(), 0
+        for notice in license_scan.NOTICES:
+            p = notice.split()
+            for a in range(len(w)):
+                for z in range(a + 1, min(len(w), a + len(p) + len(p) // 4) + 1):
+                    best = max(best, _lcs(w[a:z], p) / max(len(p), z - a))
+        notices = [x["share"] for x in got[i] if not x["base"]]
+        assert max(notices, default=0) == (best if best >= license_scan.SHARE else 0), t
+    assert [(x["label"], x["start"], x["end"]) for x in got[len(texts) - 1]] == [("mit", 0, 5), ("mit", 7, 13)]
+
+
 def test_language_model_brute_force(spark, odd, empty):
     got = {r.id: r for r in language_model.score(odd.filter("doc_id is not null").dropDuplicates(["doc_id"]),
                                                 ~language_model.held_out("doc_id", 7, 2)).collect()}
