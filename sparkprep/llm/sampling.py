@@ -20,16 +20,19 @@ def usable(labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:
 def sample_texts(docs: DataFrame, own: DataFrame, per_class: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> list:
     """At most ``per_class`` (id, text, 0/1) rows of either class of ``own``, chosen by a hash of the id, of texts of at most ``max_bytes``.
 
-    Ids are picked first, so only a table of at most 2 * per_class ids is broadcast and no text is moved to find them."""
+    Ids are picked among those of short enough documents, so long or missing ones use up no place.  They are picked before texts are
+    fetched, so only a table of at most 2 * per_class ids is broadcast and no text is moved to find them."""
     order = [F.xxhash64("__id"), F.col("__id")]
-    picked = [r for y in (0, 1) for r in own.filter(F.col("__y") == y).orderBy(*order).limit(per_class).collect()]
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    short = docs.select(F.col(id_col).alias("__id"), text.alias("__text")).filter(F.octet_length("__text") <= max_bytes)
+    found = own.join(short.select("__id"), "__id", "left_semi")
+    classes = [found.filter(F.col("__y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
+    picked = classes[0].union(classes[1]).collect()
     if not picked:
         return []
     spark = docs.sparkSession
     ids = spark.createDataFrame(picked, own.schema)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = (docs.select(F.col(id_col).alias("__id"), text.alias("__text")).filter(F.octet_length("__text") <= max_bytes)
-            .join(F.broadcast(ids), "__id").orderBy(*order).select("__id", "__text", "__y").collect())
+    rows = short.join(F.broadcast(ids), "__id").orderBy(*order).select("__id", "__text", "__y").collect()
     return [tuple(r) for r in rows]
 
 

@@ -262,8 +262,11 @@ def score(docs: DataFrame, model: Toxicity, text_col: str = "text", name: str =
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score below 0.5, with the columns of ``docs``."""
-    return score(docs, fit(docs, labels), name="__toxic").filter(F.col("__toxic") < 0.5).select(*docs.columns)
+    """The documents that score below 0.5, with the columns of ``docs``; all of them if the labels are of one class only."""
+    model = fit(docs, labels)
+    if model.net is None:
+        return docs
+    return score(docs, model, name="__toxic").filter(F.col("__toxic") < 0.5).select(*docs.columns)
 
 
 @register("op6_toxicity")

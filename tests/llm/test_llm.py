@@ -11,7 +11,7 @@ import pytest
 
 import __spark_entry__ as E
 from sparkprep.llm import (decontaminate, elias_fano, exact_dedup, jaccard, kernels, language_model, license_scan, line_dedup, quality,
-                           sentence_pieces, token_count, toxicity)
+                           sampling, sentence_pieces, token_count, toxicity)
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, n_words string, score string"
@@ -284,6 +284,22 @@ def test_toxicity_thresholds_at_the_true_class_shares(spark):
     assert share(clean) < 0.05 and share(mixed) < 0.05 and share(toxic) > 0.95
 
 
+def test_long_and_missing_documents_use_up_no_sample(spark):
+    """Nine of ten clean rows are too long for the sample or have no document; the others must fill it."""
+    docs = spark.createDataFrame([(i, f"row {i} " + "long " * (300 if i % 10 else 0)) for i in range(600) if i % 10 != 1],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 400)) for i in range(600)], "doc_id long, toxic int")
+    got = sampling.labelled_texts(docs, labels, "toxic", 12, 1000)
+    assert [sum(y == k for _, y in got) for k in (0, 1)] == [12, 12] and all(len(t) <= 1000 for t, _ in got)
+
+
+def test_without_a_classifier_no_document_goes(spark, odd):
+    for y in (0, 1):
+        labels = spark.createDataFrame([(i, y) for i in range(len(ODD))], "doc_id long, toxic int")
+        left = toxicity.without_toxic(odd, labels)
+        assert left.columns == odd.columns and left.count() == odd.count()
+
+
 def test_pipeline_matches_stagewise_brute_force(spark):
     import corpus_pipeline
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
