@@ -2,7 +2,8 @@
 
 Terms are the byte trigrams of a text whose letters and digits are replaced by
 their kind, hashed into ``TERMS`` columns: what junk, shouting, tables and
-prose differ in.  Term weights are log frequencies times inverse document
+prose differ in; and its words, hashed into ``WORDS`` columns beside them: what
+texts of one layout differ in.  Term weights are log frequencies times inverse document
 frequency; a truncated singular value decomposition of the labelled sample
 gives the latent space.  The labelled vectors are broadcast (their number is
 bounded), and every document is compared with all of them by blocked matrix
@@ -24,12 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import as_bytes, pieces
+from .kernels import ALNUM, U, Words, as_bytes, pieces
 from .registry import read, register
 from .sampling import held_out, labelled_texts
 
 PER_CLASS, MAX_BYTES = 2000, 50_000
-TERMS, RANK, K, POWER, BLOCK = 4096, 48, 25, 8, 512
+TERMS, WORDS, RANK, K, POWER, BLOCK = 4096, 4096, 48, 25, 8, 512
+
+#: Weight of word columns against shape columns, so that topics and languages do not outweigh the layout.
+WORD_WEIGHT = 0.25
 
 #: Kind of each byte: lower-case and non-ASCII letters, capitals, digits, then ASCII signs as they are.
 KIND = np.arange(256, dtype=np.int64)
@@ -49,11 +53,22 @@ def term_counts(texts: list) -> np.ndarray:
     return np.bincount(own * TERMS + term, minlength=len(texts) * TERMS).reshape(len(texts), TERMS)
 
 
-def _weights(counts: np.ndarray) -> np.ndarray:
+def word_counts(texts: list) -> np.ndarray:
+    """Word counts, one row of WORDS columns per text."""
+    w = Words(texts, ALNUM)
+    term = (w.hash % U(WORDS)).astype(np.int64)
+    return np.bincount(w.owner() * WORDS + term, minlength=len(texts) * WORDS).reshape(len(texts), WORDS)
+
+
+def _log_shares(counts: np.ndarray) -> np.ndarray:
     share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
     return np.log1p(1000 * share).astype(np.float32)
 
 
+def _weights(texts: list) -> np.ndarray:
+    return np.concatenate([_log_shares(term_counts(texts)), np.float32(WORD_WEIGHT) * _log_shares(word_counts(texts))], axis=1)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
@@ -68,12 +83,12 @@ class Neighbours:
             return
         texts, parts = [s[0].encode("utf-8") for s in sample], []
         for lo, hi in pieces(texts):
-            parts.append(_weights(term_counts(texts[lo:hi])))
+            parts += [_weights(texts[a:min(hi, a + BLOCK)]) for a in range(lo, hi, BLOCK)]
         x = np.concatenate(parts)
         self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
         x *= self.idf
-        r, rank = np.random.default_rng(1), min(RANK, len(x), TERMS)
-        basis = np.linalg.qr(x @ r.normal(size=(TERMS, rank + 16)).astype(np.float32))[0]
+        r, rank = np.random.default_rng(1), min(RANK, len(x), TERMS + WORDS)
+        basis = np.linalg.qr(x @ r.normal(size=(TERMS + WORDS, rank + 16)).astype(np.float32))[0]
         for _ in range(3):  # power iterations of the randomised decomposition
             basis = np.linalg.qr(x @ (x.T @ basis))[0]
         self.space = np.linalg.svd(basis.T @ x, full_matrices=False)[2][:rank].T.copy()
@@ -88,7 +103,7 @@ class Neighbours:
         for lo, hi in pieces(texts, 1 << 20):
             for a in range(lo, hi, BLOCK):
                 z = min(hi, a + BLOCK)
-                q = (_weights(term_counts(texts[a:z])) * self.idf) @ self.space
+                q = (_weights(texts[a:z]) * self.idf) @ self.space
                 filled = np.linalg.norm(q, axis=1) > 1e-9
                 cosine = _unit(q) @ self.vectors.T
                 k = min(K, cosine.shape[1])

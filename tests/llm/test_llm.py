@@ -300,6 +300,16 @@ def test_without_a_classifier_no_document_goes(spark, odd):
         assert left.columns == odd.columns and left.count() == odd.count()
 
 
+def test_quality_tells_words_apart_in_one_layout():
+    """Good and bad rows of equal word lengths and signs, which differ in their words only."""
+    r = np.random.default_rng(4)
+    vocab = [["".join(chr(97 + c) for c in r.integers(26, size=5)) for _ in range(30)] for _ in (0, 1)]
+    make = lambda y, n: [" ".join(r.choice(vocab[y], 20)) + "." for _ in range(n)]
+    model = quality.Neighbours([(t, y) for y in (0, 1) for t in make(y, 150)], 0.5)
+    good, bad = (model.scores([t.encode() for t in make(y, 50)]) for y in (1, 0))
+    assert (good >= 0.5).mean() > 0.95 and (bad < 0.5).mean() > 0.95
+
+
 def test_pipeline_matches_stagewise_brute_force(spark):
     import corpus_pipeline
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
