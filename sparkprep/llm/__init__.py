@@ -1 +1 @@
-"""Operators of a training-data pipeline: ten independent modules and their queries."""
+"""Operators of a training-data pipeline: independent modules and their queries."""

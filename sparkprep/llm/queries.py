@@ -6,7 +6,8 @@ import importlib
 
 from . import registry
 
-MODULES = ("line_dedup", "decontaminate", "exact_dedup", "jaccard", "token_count", "license_scan", "toxicity", "quality", "sentence_pieces", "language_model")
+MODULES = ("line_dedup", "decontaminate", "exact_dedup", "jaccard", "token_count", "license_scan", "toxicity", "quality", "sentence_pieces",
+           "language_model", "periodic_runs")
 
 
 def queries() -> dict:
