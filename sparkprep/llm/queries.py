@@ -7,7 +7,7 @@ import importlib
 from . import registry
 
 MODULES = ("line_dedup", "decontaminate", "exact_dedup", "jaccard", "token_count", "license_scan", "toxicity", "quality", "sentence_pieces",
-           "language_model", "bit_sliced_search", "periodic_runs")
+           "language_model", "bit_sliced_search", "lexical_search", "periodic_runs")
 
 
 def queries() -> dict:
