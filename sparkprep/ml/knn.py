@@ -1,173 +1,230 @@
-"""Exact k-nearest neighbours without an all-pairs join (M-09, M-14, O-07).
-
-Pivot blocking with triangle-inequality pruning:
-
-1. ``P`` pivots are drawn from the training rows (hash order; P·d numbers on
-   the driver).  Every training row is assigned to its nearest pivot; each
-   cluster keeps its radius R_c (``P`` rows of statistics).
-2. Bound: for each query the nearest clusters (by pivot distance) that hold at
-   least ``k`` rows are searched; the k-th distance found, D_k, is an upper
-   bound of the true k-th neighbour distance.
-3. Exact search: a training row x in cluster c satisfies
-   d(q, x) >= d(q, p_c) - R_c, so only clusters with d(q, p_c) - R_c <= D_k
-   can hold a neighbour.  Those (query, cluster) pairs are joined with the
-   cluster's rows, distances computed, and the k best kept per query
-   (ties broken by training id).
-
-A hot cluster (say a third of the rows are near-copies) is no single task:
-cluster ``c`` is cut into ``ceil(n_c / slice_rows)`` slices by a hash of the
-training id, queries are replicated to each slice, and the join runs on
-(cluster, slice).  The k best are first kept per (query, cluster, slice) on
-the join's own partitioning (no extra shuffle), so only k rows per slice
-reach the per-query ranking.
-
-Vector arithmetic runs in Arrow-batched pandas UDFs (numpy); joins, ranking
-and voting are Spark operators.
+"""Exact k-nearest neighbours by blocked matrix products (M-09, M-14, O-07).
+
+No (query, row) pair ever becomes a row of a DataFrame:
+
+* training rows are dealt evenly to dense blocks of about ``BLOCK_ROWS``
+  vectors (one row of a Parquet table holds a block), queries to groups of
+  about ``GROUP_ROWS``;
+* each (block, group) pair meets in one task, where one matrix product gives
+  all squared distances.  Rounding errors of that form are bounded, so every
+  row within the bound of a query's k-th distance gets its distance by
+  differences, and the k best stay, ties by training id;
+* the k best of a group travel as one packed row.  Packed rows are merged
+  ``FAN`` blocks at a time, level by level, so a merge holds at most
+  ``FAN * GROUP_ROWS * k`` neighbours, however many blocks there are.
+
+Blocks hold any vectors, so near-copies or a skewed region make no block
+larger.  ``categorical`` counts trailing components that are codes: each
+mismatch adds ``mismatch**2`` to the squared distance.  Vectors must not be
+null; a NaN distance is the largest.
 """
 
 from __future__ import annotations
 
-import math
+import json
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .._fs import scratch_dir
 from ..operators.relational import q
 
-_TOL = 1e-9
-SLICE_ROWS = 1 << 16   # training rows per join slice of one pivot cluster
-CHECKPOINT_ROWS = True
-
-
-def _as_array(df: DataFrame, col: str) -> DataFrame:
-    dt = df.schema[col].dataType
-    if isinstance(dt, T.ArrayType):
-        return df.withColumn("__v", F.col(q(col)).cast("array<double>"))
-    return df.withColumn("__v", vector_to_array(F.col(q(col))))
-
-
-def _pivot_distance_udf(pivots: np.ndarray):
-    piv = pivots
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def dists(v: pd.Series) -> pd.Series:
-        if len(v) == 0:
-            return pd.Series([], dtype=object)
-        m = np.stack(v.to_numpy()).astype(np.float64)
-        d = np.sqrt(((m[:, None, :] - piv[None, :, :]) ** 2).sum(axis=2))
-        return pd.Series(list(d))
-
-    return dists
-
-
-@F.pandas_udf(T.DoubleType())
-def euclid(a: pd.Series, b: pd.Series) -> pd.Series:
-    if len(a) == 0:
-        return pd.Series([], dtype=np.float64)
-    x = np.stack(a.to_numpy()).astype(np.float64)
-    y = np.stack(b.to_numpy()).astype(np.float64)
-    return pd.Series(np.sqrt(((x - y) ** 2).sum(axis=1)))
+BLOCK_ROWS, GROUP_ROWS, FAN = 8192, 2048, 64
+#: Queries whose distances to a block are held at once, and components of the differences that are.
+PART_ROWS, PART_CELLS = 256, 1 << 22
+
+
+def _vectors(df: DataFrame, id_col: str, features: str, extra=()) -> DataFrame:
+    dt = df.schema[features].dataType
+    v = F.col(q(features)).cast("array<double>") if isinstance(dt, T.ArrayType) else vector_to_array(F.col(q(features)))
+    return df.select(F.col(q(id_col)).alias("__id"), v.alias("__v"), *[F.col(q(c)) for c in extra])
+
+
+def _packed(rows: DataFrame, size: int, parts: int) -> DataFrame:
+    """Rows (__id, __v, extra...) dealt evenly to ``parts`` parts, one packed row each (more if a part exceeds twice ``size``)."""
+    names = [c for c in rows.columns if c != "__v"]
+    fields = ["part int", "piece int", "data binary"] + [f"{q(c)} array<{rows.schema[c].dataType.simpleString()}>" for c in names]
+
+    def pack(batches):
+        part, piece, have, n = TaskContext.get().partitionId(), 0, [], 0
+        for b in batches:
+            have.append(b)
+            n += b.num_rows
+            while n >= 2 * size:
+                t = pa.Table.from_batches(have)
+                yield one(part, piece, t.slice(0, size))
+                have, n, piece = t.slice(size).to_batches(), n - size, piece + 1
+        if n:
+            yield one(part, piece, pa.Table.from_batches(have))
+
+    def one(part, piece, t):
+        data = t.column("__v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        cols = [pa.array([part], pa.int32()), pa.array([piece], pa.int32()), pa.array([data.astype(np.float64).tobytes()], pa.binary())]
+        for c in names:
+            x = t.column(c).combine_chunks()
+            cols.append(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x))
+        return pa.RecordBatch.from_arrays(cols, ["part", "piece", "data", *names])
+
+    return rows.repartition(parts).mapInArrow(pack, ", ".join(fields))
+
+
+def _matrix(row: dict) -> np.ndarray:
+    return np.frombuffer(row["data"], dtype=np.float64).reshape(len(row["__id"]), -1)
+
+
+def nearest(queries: np.ndarray, rows: np.ndarray, rank: np.ndarray, k: int, own: list, categorical: int = 0, mismatch: float = 0.0) -> tuple:
+    """(query, row, distance) of the k nearest rows of each query, by query, distance and ``rank``; ``own[i]``: rows that query i leaves out."""
+    d = rows.shape[1] - categorical
+    x, xc = rows[:, :d], rows[:, d:]
+    xx = (x ** 2).sum(axis=1)
+    far = float(np.nanmax(np.sqrt(xx), initial=0.0))
+    got: list = []
+    for lo in range(0, len(queries), PART_ROWS):
+        some = queries[lo:lo + PART_ROWS]
+        a, ac = some[:, :d], some[:, d:]
+        aa = (a ** 2).sum(axis=1)
+        near = aa[:, None] + xx - 2 * (a @ x.T)
+        for c in range(categorical):
+            near += mismatch ** 2 * (ac[:, c, None] != xc[None, :, c])
+        near[np.isnan(near)] = np.inf
+        for i, gone in enumerate(own[lo:lo + PART_ROWS]):
+            near[i, gone] = np.nan
+        worst = np.partition(near, k - 1, axis=1)[:, k - 1] if near.shape[1] > k else np.full(len(a), np.inf)
+        worst[np.isnan(worst)] = np.inf
+        slack = 8e-16 * (d + 8) * (np.sqrt(aa) + far) ** 2
+        i, j = np.nonzero(near <= (worst + np.where(np.isfinite(slack), slack, np.inf))[:, None])
+        dist = np.empty(len(i))
+        step = max(1, PART_CELLS // max(1, rows.shape[1]))
+        for s in range(0, len(i), step):
+            p, r = i[s:s + step], j[s:s + step]
+            dist[s:s + step] = np.sqrt(((a[p] - x[r]) ** 2).sum(axis=1) + mismatch ** 2 * (ac[p] != xc[r]).sum(axis=1))
+        order = np.lexsort((rank[j], dist, i))
+        order = order[_place(i[order]) < k]
+        got.append((i[order] + lo, j[order], dist[order]))
+    return tuple(np.concatenate(c) for c in zip(*got)) if got else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
+def _place(groups: np.ndarray) -> np.ndarray:
+    """The place of each element within its run of equal ones."""
+    new = np.ones(len(groups), dtype=bool)
+    new[1:] = groups[1:] != groups[:-1]
+    return np.arange(len(groups)) - np.maximum.accumulate(np.where(new, np.arange(len(groups)), 0)) if len(groups) else np.empty(0, np.int64)
+
+
+def _search(k: int, extra: list, exclude_self: bool, categorical: int, mismatch: float):
+    """One (block, group) pair: the packed k best of each query of the group."""
+    def run(blocks: pa.Table, groups: pa.Table) -> pa.Table:
+        asked = groups.sort_by("piece")
+        found = []
+        for b, row in enumerate(blocks.to_pylist()):
+            x, ids = _matrix(row), row["__id"]
+            rank = np.empty(len(ids), dtype=np.int64)
+            rank[sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i]))] = np.arange(len(ids))
+            where: dict = {}
+            if exclude_self:
+                for at, i in enumerate(ids):
+                    where.setdefault(i, []).append(at)
+            tid, kept = blocks.column("__id")[b].values, [blocks.column(c)[b].values for c in extra]
+            seat = 0
+            for g in range(asked.num_rows):
+                qid = asked.column("__id")[g].values
+                v = np.frombuffer(asked.column("data")[g].as_py(), dtype=np.float64).reshape(len(qid), -1)
+                own = [where.get(i, []) for i in qid.to_pylist()] if exclude_self else [[]] * len(qid)
+                i, j, dist = nearest(v, x, rank, k, own, categorical, mismatch)
+                at = pa.array(j)
+                found.append(pa.table([pa.array(i + seat), qid.take(pa.array(i)), tid.take(at), pa.array(dist), *[c.take(at) for c in kept]],
+                                      names=["seat", "qid", "tid", "dist", *extra]))
+                seat += len(qid)
+        if not found:
+            return None
+        return _best(pa.concat_tables(found), k)
+
+    def whole(blocks, groups):
+        rest = [t for t in (blocks, groups) if not t.num_rows]
+        out = None if rest else run(blocks, groups)
+        if out is None:
+            return _none(blocks, groups, extra)
+        key = [pa.array([t.column(c)[0].as_py()], pa.int32()) for t, c in ((groups, "turn"), (blocks, "lane"))]
+        return pa.table([*key, *out], names=["turn", "lane", "seat", "qid", "tid", "dist", "rank", *extra])
+    return whole
+
+
+def _best(t: pa.Table, k: int) -> list:
+    """Packed columns (seat, qid, tid, dist, rank, extra...) of the k best of each seat."""
+    t = t.sort_by([("seat", "ascending"), ("dist", "ascending"), ("tid", "ascending")])
+    place = _place(t.column("seat").to_numpy())
+    t = t.filter(pa.array(place < k)).append_column("rank", pa.array((place[place < k] + 1).astype(np.int32)))
+    names = ["seat", "qid", "tid", "dist", "rank", *[c for c in t.column_names if c not in ("seat", "qid", "tid", "dist", "rank")]]
+    return [pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t.column(c).combine_chunks()) for c in names]
+
+
+def _none(blocks: pa.Table, groups: pa.Table, extra: list) -> pa.Table:
+    of = lambda t, c: t.schema.field(c).type
+    kinds = {"turn": pa.int32(), "lane": pa.int32(), "seat": pa.list_(pa.int64()), "qid": of(groups, "__id"), "tid": of(blocks, "__id"),
+             "dist": pa.list_(pa.float64()), "rank": pa.list_(pa.int32())} | {c: of(blocks, c) for c in extra}
+    return pa.table([pa.array([], t) for t in kinds.values()], names=list(kinds))
+
+
+def _merge(k: int, extra: list):
+    """The packed k best of several packed rows of one group of queries."""
+    names = ["seat", "qid", "tid", "dist", *extra]
+
+    def run(packed: pa.Table) -> pa.Table:
+        flat = pa.table([pa.chunked_array([c.flatten() for c in packed.column(n).chunks]) for n in names], names=names)
+        key = [pa.array([packed.column(c)[0].as_py()], pa.int32()) for c in ("turn", "lane")]
+        return pa.table([*key, *_best(flat, k)], names=["turn", "lane", "seat", "qid", "tid", "dist", "rank", *extra])
+    return run
 
 
 class KNNIndex:
-    """Training rows blocked by pivot; answers exact k-NN queries."""
-
-    def __init__(self, train: DataFrame, id_col: str, features: str = "features", extra=(),
-                 n_pivots: int | None = None, seed: int = 7, slice_rows: int | None = None):
-        self.id_col = id_col
-        base = _as_array(train, features).select(F.col(q(id_col)).alias("__tid"), "__v",
-                                                 *[F.col(q(c)) for c in extra])
-        n = base.count()
-        self.n = n
-        p = n_pivots or max(1, min(256, int(math.sqrt(max(n, 1)) / 2)))
-        h = F.md5(F.concat(F.col("__tid").cast("string"), F.lit(f":{seed}")))
-        rows = base.select("__v", h.alias("__h")).orderBy("__h").limit(p).collect()  # P vectors
-        self.pivots = np.array([r[0] for r in rows], dtype=np.float64)
-        self.pd_udf = _pivot_distance_udf(self.pivots)
-        assigned = base.withColumn("__pd", self.pd_udf("__v"))
-        assigned = assigned.withColumn("__c", (F.array_position("__pd", F.array_min("__pd")) - 1).cast("int"))
-        assigned = assigned.withColumn("__rc", F.element_at("__pd", F.col("__c") + 1)).drop("__pd")
-        # pivot distances are computed once: the assigned rows are written to the
-        # shared checkpoint folder and read by the statistics and both search passes
-        if CHECKPOINT_ROWS:
-            from ..session import cut_lineage
-            assigned = cut_lineage(assigned)
-        self.rows = assigned
-        stats = {r["__c"]: (r["radius"], r["cnt"]) for r in
-                 assigned.groupBy("__c").agg(F.max("__rc").alias("radius"), F.count(F.lit(1)).alias("cnt")).collect()}
-        self.radius = np.array([stats.get(i, (-1.0, 0))[0] for i in range(len(self.pivots))], dtype=np.float64)
-        self.counts = np.array([stats.get(i, (0.0, 0))[1] for i in range(len(self.pivots))], dtype=np.int64)
-        # slices per cluster: P small integers, a literal array in the plan
-        per_slice = slice_rows or SLICE_ROWS
-        self.slices = [max(1, -(-int(c) // per_slice)) for c in self.counts]
-        self._per = F.array(*[F.lit(v) for v in self.slices])
-        self.rows = self.rows.withColumn(
-            "__s", F.pmod(F.xxhash64("__tid"), F.element_at(self._per, F.col("__c") + 1)).cast("int"))
-
-    def _bound_clusters_udf(self, k: int):
-        counts = self.counts
-
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def nearest(pdist: pd.Series) -> pd.Series:
-            out = []
-            for d in pdist:
-                order = np.argsort(np.asarray(d), kind="stable")
-                cum = np.cumsum(counts[order])
-                stop = int(np.searchsorted(cum, k)) + 1
-                out.append([int(c) for c in order[:stop] if counts[c] > 0])
-            return pd.Series(out)
-
-        return nearest
-
-    def _search_clusters_udf(self):
-        radius = self.radius
-
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def candidates(pdist: pd.Series, bound: pd.Series) -> pd.Series:
-            out = []
-            for d, b in zip(pdist, bound):
-                lower = np.asarray(d) - radius
-                ok = (radius >= 0) & (lower <= b + _TOL * (1.0 + abs(b)))
-                out.append([int(c) for c in np.nonzero(ok)[0]])
-            return pd.Series(out)
-
-        return candidates
-
-    def query(self, queries: DataFrame, id_col: str, k: int = 5, features: str = "features",
-              exclude_self: bool = False) -> DataFrame:
-        """(qid, tid, dist, rank, extra...) for the k nearest training rows."""
-        qv = _as_array(queries, features).select(F.col(q(id_col)).alias("__qid"), "__v")
-        qv = qv.withColumn("__pd", self.pd_udf("__v"))
-        kk = k + (1 if exclude_self else 0)
-
-        w = Window.partitionBy("__qid").orderBy("__d", "__tid")
-        w_slice = Window.partitionBy("__qid", "__c", "__s").orderBy("__d", "__tid")
-
-        def best(cand):
-            """k best per query over the candidate (query, cluster) pairs."""
-            sliced = cand.withColumn("__s", F.explode(F.sequence(
-                F.lit(0), F.element_at(self._per, F.col("__c") + 1) - 1)))
-            j = sliced.join(self.rows, ["__c", "__s"])
-            if exclude_self:
-                j = j.where(F.col("__qid") != F.col("__tid"))
-            j = j.withColumn("__d", euclid("__qv", "__v"))
-            local = j.withColumn("__r", F.row_number().over(w_slice)).where(F.col("__r") <= k)
-            return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-        first = best(qv.select("__qid", F.col("__v").alias("__qv"),
-                               F.explode(self._bound_clusters_udf(kk)("__pd")).alias("__c")))
-        bound = first.groupBy("__qid").agg(F.max("__d").alias("__bound"))
-        qb = qv.join(bound, "__qid", "left").withColumn(
-            "__bound", F.coalesce(F.col("__bound"), F.lit(float("inf"))))
-        ranked = best(qb.select("__qid", F.col("__v").alias("__qv"),
-                                F.explode(self._search_clusters_udf()("__pd", "__bound")).alias("__c")))
-        extra = [c for c in self.rows.columns if c not in ("__tid", "__v", "__c", "__rc", "__s")]
-        return ranked.select(F.col("__qid").alias("qid"), F.col("__tid").alias("tid"),
-                             F.col("__d").alias("dist"), "rank", *extra)
+    """Training rows in dense blocks; answers exact k-NN queries."""
+
+    def __init__(self, train: DataFrame, id_col: str, features: str = "features", extra=(), block_rows: int = BLOCK_ROWS,
+                 categorical: int = 0, mismatch: float = 0.0, path: str | None = None):
+        self.id_col, self.extra, self.categorical, self.mismatch = id_col, list(extra), categorical, mismatch
+        rows = _vectors(train, id_col, features, extra)
+        self.path = path or scratch_dir(train.sparkSession, "knn")
+        self.lanes = -(-rows.count() // block_rows) or 1
+        packed = _packed(rows, block_rows, self.lanes)
+        packed.write.parquet(self.path)
+        self.blocks = train.sparkSession.read.schema(packed.schema).parquet(self.path)
+
+    def describe(self) -> str:
+        return json.dumps({"id_col": self.id_col, "extra": self.extra, "categorical": self.categorical, "mismatch": self.mismatch, "lanes": self.lanes})
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, described: str) -> "KNNIndex":
+        """The index that an earlier session wrote to ``path``."""
+        index = cls.__new__(cls)
+        index.__dict__.update(json.loads(described))
+        index.path, index.blocks = path, spark.read.parquet(path)
+        return index
+
+    def query(self, queries: DataFrame, id_col: str, k: int = 5, features: str = "features", exclude_self: bool = False,
+              group_rows: int = GROUP_ROWS) -> DataFrame:
+        """(qid, tid, dist, rank, extra...) of the k nearest training rows; with ``exclude_self`` rows of the query's own id stay out."""
+        rows = _vectors(queries, id_col, features)
+        turns = -(-rows.count() // group_rows) or 1
+        right = (_packed(rows, group_rows, turns).withColumnRenamed("part", "turn")
+                 .withColumn("lane", F.explode(F.expr(f"sequence(0, {self.lanes - 1})"))))
+        left = self.blocks.withColumnRenamed("part", "lane").withColumn("turn", F.explode(F.expr(f"sequence(0, {turns - 1})")))
+        of = lambda df, c: df.schema[c].dataType.simpleString()
+        fields = ["turn int", "lane int", "seat array<bigint>", f"qid {of(right, '__id')}", f"tid {of(left, '__id')}", "dist array<double>",
+                  "rank array<int>", *[f"{q(c)} {of(left, c)}" for c in self.extra]]
+        best = left.groupBy("lane", "turn").cogroup(right.groupBy("lane", "turn")).applyInArrow(
+            _search(k, self.extra, exclude_self, self.categorical, self.mismatch), ", ".join(fields))
+        lanes = self.lanes
+        while lanes > 1:
+            best = (best.withColumn("lane", F.floor(F.col("lane") / FAN).cast("int")).groupBy("turn", "lane")
+                    .applyInArrow(_merge(k, self.extra), ", ".join(fields)))
+            lanes = -(-lanes // FAN)
+        names = ["qid", "tid", "dist", "rank", *self.extra]
+        return best.select(F.inline(F.arrays_zip(*[F.col(q(c)) for c in names])))
 
 
 class KNNModel:
@@ -175,9 +232,9 @@ class KNNModel:
     ties → smallest label), k = 5 by default."""
 
     def __init__(self, train: DataFrame, id_col: str, label: str, k: int = 5, task: str = "regression",
-                 features: str = "features", n_pivots: int | None = None):
+                 features: str = "features", block_rows: int = BLOCK_ROWS):
         self.k, self.task, self.label, self.features = k, task, label, features
-        self.index = KNNIndex(train.withColumnRenamed(label, "__label"), id_col, features, ["__label"], n_pivots)
+        self.index = KNNIndex(train.withColumnRenamed(label, "__label"), id_col, features, ["__label"], block_rows)
 
     def transform(self, test: DataFrame, id_col: str | None = None) -> DataFrame:
         id_col = id_col or self.index.id_col

@@ -5,30 +5,30 @@ synthetic rows.  Per class:
 
 * neighbours: exact k-NN inside the class (``ml.knn``, self excluded); a
   categorical mismatch costs the median of the class's numeric standard
-  deviations, done by one-hot encoding each categorical with value
-  median/√2 (two differing entries add exactly median² to the squared
-  distance);
+  deviations.  Categoricals travel as exact level codes, so a column may have
+  any number of levels;
 * draw ``j`` picks base row ``md5(j:seed) mod n``, neighbour rank
   ``md5(j:seed:nn) mod k``, and ``u = md5(j:seed:u)`` in [0, 1): numerics are
   ``x + u·(neighbour − x)``, categoricals the most frequent value among the
   base row's k neighbours (ties → smallest).
 
-Everything is joins and aggregates over the class rows and the draws; only
-per-class sizes and standard deviations reach the driver.
+The numbered rows and the neighbour table are written once and read by every
+step after.  Everything is joins and aggregates over the class rows and the
+draws; only per-class sizes and standard deviations reach the driver.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.features import levels
 from ..operators.outliers import hash_int
 from ..operators.relational import kind_of, q
 from ..plans import ordered as O
+from ..session import cut_lineage
 from .knn import KNNIndex
 
 
@@ -63,17 +63,16 @@ def _grow(members, cls, need, target, key, numeric, categorical, k, seed):
     if numeric and len(numeric) % 2 == 0:
         vals = sorted(stds[c] or 0.0 for c in numeric)
         med = (vals[len(vals) // 2 - 1] + vals[len(vals) // 2]) / 2
-    level_cols = []
-    for c in categorical:
-        lv = [r[0] for r in members.select(c).distinct().orderBy(c).collect()]  # class's levels
-        level_cols += [F.when(F.col(q(c)) == F.lit(v), F.lit(med / math.sqrt(2))).otherwise(F.lit(0.0))
-                       for v in lv]
-    vec = F.array(*[F.col(q(c)).cast("double") for c in numeric], *level_cols)
-    indexed = O.with_row_index(members, [key], name="__i")
-    enc = indexed.withColumn("__vec", array_to_vector(vec))
-    index = KNNIndex(enc.select("__i", "__vec"), "__i", "__vec")
-    nn = index.query(enc.select("__i", "__vec"), "__i", k=k, features="__vec", exclude_self=True)
-    n = members.count()
+    coded = members
+    for i, c in enumerate(categorical):
+        lv = levels(members, c).select(F.col("level").alias(f"__l{i}"), F.col("code").alias(f"__c{i}"))
+        coded = coded.join(lv, F.col(q(c)) == F.col(f"__l{i}")).drop(f"__l{i}")
+    vec = F.array(*[F.col(q(c)).cast("double") for c in numeric], *[F.col(f"__c{i}").cast("double") for i in range(len(categorical))])
+    indexed = cut_lineage(O.with_row_index(coded.withColumn("__vec", vec), [key], name="__i"))
+    points = indexed.select("__i", "__vec")
+    index = KNNIndex(points, "__i", "__vec", categorical=len(categorical), mismatch=med)
+    nn = cut_lineage(index.query(points, "__i", k=k, features="__vec", exclude_self=True))
+    n = indexed.count()
     draws = spark.range(need).select(F.col("id").alias("__j"))
     tag = F.concat(F.col("__j").cast("string"), F.lit(f":{seed}"))
     draws = draws.select("__j", F.pmod(hash_int(tag), F.lit(n)).alias("qid"),

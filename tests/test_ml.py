@@ -59,9 +59,9 @@ def test_knn_exact_against_bruteforce(spark):
     vec = spark.createDataFrame([(i, pts[i].tolist()) for i in range(300)], "id long, v array<double>")
     data = df.join(vec, "id").withColumn("features", array_to_vector("v"))
     tr, te = data.where("id < 240"), data.where("id >= 240")
-    for pivots in (1, 4, 30):
-        index = knn.KNNIndex(tr, "id", "features", n_pivots=pivots)
-        got = index.query(te, "id", k=5).select("qid", "tid", "rank").collect()
+    for rows, group in ((300, 300), (60, 7), (2, 25)):  # one block, some, and enough for two levels of merging
+        index = knn.KNNIndex(tr, "id", "features", block_rows=rows)
+        got = index.query(te, "id", k=5, group_rows=group).select("qid", "tid", "rank").collect()
         got = {(r.qid, r.rank): r.tid for r in got}
         for q in range(240, 300):
             d = np.sqrt(((pts[:240] - pts[q]) ** 2).sum(axis=1))
@@ -70,7 +70,7 @@ def test_knn_exact_against_bruteforce(spark):
                 assert got[(q, rank)] == t
 
 
-def test_knn_exact_with_a_hot_cluster_cut_into_slices(spark):
+def test_knn_exact_with_a_hot_cluster_in_many_blocks(spark):
     rng = np.random.default_rng(4)
     pts = rng.normal(size=(300, 3))
     pts[:100] = pts[0] + rng.normal(scale=1e-3, size=(100, 3))  # a third of the rows are near-copies
@@ -78,8 +78,8 @@ def test_knn_exact_with_a_hot_cluster_cut_into_slices(spark):
     vec = spark.createDataFrame([(i, pts[i].tolist()) for i in range(300)], "id long, features array<double>")
     tr, te = vec.where("id % 5 <> 0"), vec.where("id % 5 = 0")
     train_ids = np.array([i for i in range(300) if i % 5])
-    for pivots, slice_rows in ((1, 9), (6, 9), (6, None)):
-        index = knn.KNNIndex(tr, "id", "features", n_pivots=pivots, slice_rows=slice_rows)
+    for block_rows in (9, 54, 1000):
+        index = knn.KNNIndex(tr, "id", "features", block_rows=block_rows)
         got = {(r.qid, r.rank): r.tid for r in index.query(te, "id", k=4).collect()}
         for q in range(0, 300, 5):
             d = np.sqrt(((pts[train_ids] - pts[q]) ** 2).sum(axis=1))
@@ -87,6 +87,23 @@ def test_knn_exact_with_a_hot_cluster_cut_into_slices(spark):
             assert [got[(q, r)] for r in range(1, 5)] == list(order)
 
 
+def test_knn_self_excluded_with_categorical_codes(spark):
+    """Mismatching codes cost a fixed distance; ids are strings, copies tie, far-off points make the products cancel."""
+    rng = np.random.default_rng(9)
+    pts = np.c_[rng.normal(size=(120, 2)) + 1e6, rng.integers(0, 3, (120, 2))]
+    pts[60:80] = pts[0]
+    df = spark.createDataFrame([(f"r{i:03d}", pts[i].tolist()) for i in range(120)], "id string, v array<double>")
+    index = knn.KNNIndex(df, "id", "v", block_rows=25, categorical=2, mismatch=0.7)
+    nn = index.query(df, "id", k=6, features="v", exclude_self=True, group_rows=50)
+    assert not any("Join" in line for line in nn._jdf.queryExecution().executedPlan().toString().splitlines())
+    got = {(r.qid, r["rank"]): (r.tid, r.dist) for r in nn.collect()}
+    assert len(got) == 720
+    for i in range(120):
+        d = np.sqrt(((pts[:, :2] - pts[i, :2]) ** 2).sum(axis=1) + 0.7 ** 2 * (pts[:, 2:] != pts[i, 2:]).sum(axis=1))
+        order = [j for j in np.lexsort((np.arange(120), d)) if j != i][:6]
+        assert [got[(f"r{i:03d}", r + 1)] for r in range(6)] == [(f"r{j:03d}", d[j]) for j in order]
+
+
 def test_adaboost_beats_majority(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 2))
