@@ -7,11 +7,15 @@ plain ``Window.orderBy(...)`` without keys moves every row into one task, and
 a keyed window puts a hot key (a third of the rows) into one task.  The
 helpers here avoid both:
 
-* **range buckets** – ``P`` boundary tuples are taken from a bounded sample of
-  the sort tuple ``(partition_by..., order_by...)``; a row's bucket is a pure
-  expression (binary search over the literals), so it is identical on every
-  recomputation, including after an executor loss.
-* **row index** – bucket sizes (``P`` rows) give offsets; ``idx`` = offset +
+* **range buckets** – boundary tuples are taken from a sample of the sort tuple
+  ``(partition_by..., order_by...)``; a row's bucket is found by binary search in
+  a sorted array that is broadcast, so it is a pure expression of the row.  Up
+  to ``ONE_LEVEL`` buckets need one array.  More need two levels: the square
+  root of them as coarse ranges, and for each range the array of its own
+  boundaries, taken in Spark from a second sample and written once.  The number
+  of buckets follows the rows (``ROWS_PER_BUCKET``), and every bucket gets a
+  shuffle partition of its own once there are more than the session has.
+* **row index** – bucket sizes (one row each) give offsets; ``idx`` = offset +
   ``row_number`` inside the bucket.
 * **halo windows** – rows are grouped into chunks of ``C`` consecutive indices;
   a row is copied into the neighbouring chunk when it lies within the frame
@@ -24,15 +28,16 @@ helpers here avoid both:
 
 from __future__ import annotations
 
-import datetime as _dt
-import decimal
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MAX_BUCKETS = 4096          # binary-search expression stays small enough for codegen
+from ..session import cut_lineage, default_parallelism
+
+ROWS_PER_BUCKET = 1 << 20
+ONE_LEVEL = 512             # buckets that one boundary array serves
+MAX_BUCKETS = 1 << 20       # bounds the broadcast boundaries; beyond 10^12 rows the buckets grow instead
 SAMPLE_PER_BUCKET = 64      # sample rows per bucket used to choose boundaries
 DEFAULT_CHUNK_ROWS = 1 << 20
 
@@ -43,81 +48,84 @@ def _as_list(x):
     return [x] if isinstance(x, str) else list(x)
 
 
-def _literal(value, dtype: T.DataType) -> Column:
-    if value is None:
-        return F.lit(None).cast(dtype)
-    if isinstance(value, (_dt.datetime, _dt.date)):
-        # text → type cast involves no time zone for NTZ / date columns
-        text = value.isoformat(sep=" ") if isinstance(value, _dt.datetime) else value.isoformat()
-        return F.lit(text).cast(dtype)
-    if isinstance(value, decimal.Decimal):
-        return F.lit(str(value)).cast(dtype)
-    return F.lit(value).cast(dtype)
-
-
-def _tuple_col(cols) -> Column:
-    return F.struct(*[F.col(c) for c in cols])
+def _sort_key(t):
+    """Sort key of a sampled tuple in Spark's ascending order (nulls first, NaN last)."""
+    return tuple((0 if v is None else 2 if v != v else 1, v if v is not None and v == v else 0) for v in t)
 
 
-def _bound(row, cols, types) -> Column:
-    return F.struct(*[_literal(row[i], types[i]).alias(c) for i, c in enumerate(cols)])
+def choose_buckets(df: DataFrame, rows: int, n_buckets: int | None = None) -> int:
+    want = n_buckets or max(default_parallelism(df.sparkSession), -(-rows // ROWS_PER_BUCKET))
+    return max(1, min(MAX_BUCKETS, want))
 
 
-def range_bounds(df: DataFrame, sort_cols, n_buckets: int, seed: int = 17):
-    """Boundary tuples (sorted, at most ``n_buckets - 1``) from a bounded sample."""
-    n = df.count()
-    if n == 0 or n_buckets <= 1:
-        return []
-    want = min(n, n_buckets * SAMPLE_PER_BUCKET)
-    frac = min(1.0, 1.2 * want / n)
-    sample = df.select(*sort_cols).sample(False, frac, seed).collect()
-    keys = sorted((tuple(r) for r in sample), key=_null_first)
-    if not keys:
-        return []
-    step = len(keys) / n_buckets
-    bounds = []
-    for i in range(1, n_buckets):
-        k = keys[min(len(keys) - 1, int(i * step))]
-        if not bounds or _null_first(k) > _null_first(bounds[-1]):
-            bounds.append(k)
-    return bounds
-
+def _search(df: DataFrame, edges: str, name: str, longest: int) -> DataFrame:
+    """``name`` = number of elements of the sorted array ``edges`` (of at most ``longest``) that are <= ``__key``.
 
-def _null_first(t):
-    """Sort key of a sampled tuple in Spark's ascending order (nulls first)."""
-    return tuple((v is not None, v) for v in t)
+    One projection a step, all in one stage of generated code; a place beyond
+    the array (or a missing array) reads as null and adds nothing."""
+    steps = [1 << j for j in range(longest.bit_length() - 1, -1, -1)]
+    df = df.withColumn(name, F.lit(0))
+    for step in steps:
+        df = df.withColumn(name, F.col(name) + F.when(F.col("__key") >= F.get(F.col(edges), F.col(name) + (step - 1)), step).otherwise(0))
+    return df
 
 
-def bucket_expr(df: DataFrame, sort_cols, bounds) -> Column:
-    """Number of boundaries <= the row's sort tuple, as a balanced CASE tree."""
-    types = [df.schema[c].dataType for c in sort_cols]
-    key = _tuple_col(sort_cols)
-    lits = [_bound(b, sort_cols, types) for b in bounds]
+_LONGEST = 1023             # elements of a boundary array at most
 
-    def build(lo, hi):  # answer in [lo, hi]
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2  # is key >= bounds[mid-1]?
-        return F.when(key >= lits[mid - 1], build(mid, hi)).otherwise(build(lo, mid - 1))
 
-    return build(0, len(bounds)).cast("int")
+def coarse_edges(df: DataFrame, sort_cols, rows: int, n_buckets: int) -> list:
+    """Sorted boundary tuples, at most ``n_buckets - 1``, from a bounded sample."""
+    want = min(rows, n_buckets * SAMPLE_PER_BUCKET)
+    keys = sorted((tuple(r) for r in df.select(*sort_cols).sample(False, min(1.0, 1.2 * want / rows), 17).collect()), key=_sort_key)
+    out = []
+    for i in range(1, n_buckets if keys else 0):
+        k = keys[min(len(keys) - 1, int(i * len(keys) / n_buckets))]
+        if not out or _sort_key(k) > _sort_key(out[-1]):
+            out.append(k)
+    return out
 
 
-def choose_buckets(df: DataFrame, n_buckets: int | None) -> int:
-    if n_buckets:
-        return max(1, min(MAX_BUCKETS, n_buckets))
-    try:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:  # pragma: no cover
-        parts = 200
-    return max(1, min(MAX_BUCKETS, parts))
+def _fine_edges(coarse: DataFrame, rows: int, n_buckets: int, per_range: int) -> DataFrame:
+    """(__c, __fine): the boundaries inside each coarse range, written once so that every use sees the same ones."""
+    share = min(1.0, 1.2 * n_buckets * SAMPLE_PER_BUCKET / rows)
+    got = coarse.select("__c", "__key").sample(False, share, 29).groupBy("__c").agg(F.sort_array(F.collect_list("__key")).alias("s"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(per_range - 1)), lambda i: F.get("s", F.floor(i * F.size("s") / per_range).cast("int")))
+    return cut_lineage(got.select("__c", F.array_distinct(F.filter(at, lambda x: x.isNotNull())).alias("__fine")))
 
 
 def with_bucket(df: DataFrame, order_by, partition_by=None, n_buckets: int | None = None,
                 name: str = "__bucket") -> DataFrame:
+    return _bucketed(df, order_by, partition_by, n_buckets, name)[0]
+
+
+def _bucketed(df: DataFrame, order_by, partition_by=None, n_buckets: int | None = None, name: str = "__bucket"):
+    """(``df`` with its range bucket, number of rows).  Bucket numbers ascend with the sort tuple; some may be unused."""
     sort_cols = _as_list(partition_by) + _as_list(order_by)
-    bounds = range_bounds(df, sort_cols, choose_buckets(df, n_buckets))
-    return df.withColumn(name, bucket_expr(df, sort_cols, bounds))
+    rows = df.count()
+    buckets = choose_buckets(df, rows, n_buckets)
+    if buckets == 1 or rows == 0:
+        return df.withColumn(name, F.lit(0).cast("long")), rows
+    ranges = buckets if buckets <= ONE_LEVEL else min(_LONGEST + 1, math.isqrt(buckets - 1) + 1)
+    edges = coarse_edges(df, sort_cols, rows, ranges)
+    kinds = ", ".join(f"k{i}: {df.schema[c].dataType.simpleString()}" for i, c in enumerate(sort_cols))
+    one = df.sparkSession.createDataFrame([(0, edges)], f"__one int, __edges array<struct<{kinds}>>")
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(sort_cols)])
+    out = df.withColumns({"__key": key, "__one": F.lit(0)}).join(F.broadcast(one), "__one")
+    out = _search(out, "__edges", "__c", len(edges)).drop("__edges", "__one")
+    number = F.col("__c").cast("long")
+    if buckets > ONE_LEVEL:
+        per_range = min(_LONGEST + 1, -(-buckets // (len(edges) + 1)))
+        fine = _fine_edges(out, rows, buckets, per_range)
+        out = _search(out.join(F.broadcast(fine), "__c", "left"), "__fine", "__f", per_range)
+        number = F.col("__c").cast("long") * (_LONGEST + 1) + F.col("__f")
+    out = out.withColumn(name, number).select(*[F.col(c) for c in df.columns], name)
+    return _spread(out, rows, name), rows
+
+
+def _spread(df: DataFrame, rows: int, *cols: str) -> DataFrame:
+    """One partition for about ``ROWS_PER_BUCKET`` rows, where the session's shuffle partitions would hold more."""
+    parts = min(MAX_BUCKETS, -(-rows // ROWS_PER_BUCKET))
+    return df.repartition(parts, *cols) if parts > default_parallelism(df.sparkSession) else df
 
 
 def with_row_index(df: DataFrame, order_by, partition_by=None, n_buckets: int | None = None,
@@ -125,17 +133,21 @@ def with_row_index(df: DataFrame, order_by, partition_by=None, n_buckets: int |
     """Global 0-based row index in ``(partition_by, order_by)`` order (a total order).
 
     ``keep_bucket`` keeps the range bucket (``__bucket``) of every row."""
+    return _indexed(df, order_by, partition_by, n_buckets, name, keep_bucket)[0]
+
+
+def _indexed(df: DataFrame, order_by, partition_by, n_buckets, name: str, keep_bucket: bool = False):
     sort_cols = _as_list(partition_by) + _as_list(order_by)
-    b = with_bucket(df, order_by, partition_by, n_buckets)
+    b, rows = _bucketed(df, order_by, partition_by, n_buckets)
     sizes = b.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    # P rows at most: the running offset is a tiny single-task window
+    # one row a bucket: the running offset is a small single-task window
     offsets = sizes.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n"))
                            .alias("__off"))
     w = Window.partitionBy("__bucket").orderBy(*sort_cols)
     out = (b.join(F.broadcast(offsets), "__bucket")
            .withColumn(name, F.col("__off") + F.row_number().over(w) - 1)
            .drop("__off"))
-    return out if keep_bucket else out.drop("__bucket")
+    return (out if keep_bucket else out.drop("__bucket")), rows
 
 
 def series_index(df: DataFrame, order_by, partition_by=None, n_buckets: int | None = None,
@@ -168,8 +180,7 @@ def series_index(df: DataFrame, order_by, partition_by=None, n_buckets: int | No
 
 
 def halo_window(df: DataFrame, order_by, partition_by, before: int, after: int, compute,
-                chunk_rows: int | None = None, n_buckets: int | None = None,
-                indexed: DataFrame | None = None) -> DataFrame:
+                chunk_rows: int | None = None, n_buckets: int | None = None) -> DataFrame:
     """Evaluate window columns over the row frame ``[-before, +after]``.
 
     ``compute(window_spec) -> dict[name, Column]`` builds the new columns from a
@@ -179,7 +190,7 @@ def halo_window(df: DataFrame, order_by, partition_by, before: int, after: int,
     """
     keys = _as_list(partition_by)
     c = max(chunk_rows or DEFAULT_CHUNK_ROWS, 2 * (before + after) + 1)
-    idx_df = indexed if indexed is not None else with_row_index(df, order_by, keys, n_buckets)
+    idx_df, rows = _indexed(df, order_by, keys, n_buckets, "__idx")
     idx = F.col("__idx")
     first_chunk = F.floor((idx - after) / c)
     last_chunk = F.floor((idx + before) / c)
@@ -187,6 +198,7 @@ def halo_window(df: DataFrame, order_by, partition_by, before: int, after: int,
     rep = (idx_df.withColumn("__home", home)
            .withColumn("__chunk", F.explode(F.sequence(F.greatest(first_chunk, F.lit(0)).cast("long"),
                                                        last_chunk.cast("long")))))
+    rep = _spread(rep, rows, "__chunk")
     w = Window.partitionBy("__chunk", *keys).orderBy("__idx")
     cols = compute(w)
     out = rep.withColumns(cols).where(F.col("__chunk") == F.col("__home"))

@@ -1,5 +1,6 @@
 """The distributed ordered core equals plain global windows, for any chunk/bucket sizes."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import Window
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from sparkprep.operators import nulls as N
 from sparkprep.operators import windows as W
 from sparkprep.plans import ordered as O
+from sparkprep.session import cut_lineage
 
 
 @pytest.fixture(scope="module")
@@ -103,3 +105,54 @@ def test_keyed_ffill_with_hot_and_null_series(ev, buckets):
     exp = base.groupby("s", dropna=False)["value"].ffill()
     assert ((got["value"] - exp).abs().fillna(0) < 1e-12).all()
     assert got["value"].isna().sum() == exp.isna().sum()
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """60 000 rows of 40 series, a third of them in one; times repeat, ids break ties."""
+    r = np.random.default_rng(12)
+    n = 60_000
+    pdf = pd.DataFrame({"s": np.where(r.random(n) < 0.33, 0, r.integers(1, 40, n)), "t": r.integers(0, 5000, n) / 7, "id": r.permutation(n),
+                        "v": np.where(r.random(n) < 0.3, np.nan, r.normal(size=n))})
+    df = spark.createDataFrame(pdf).withColumn("v", F.nanvl("v", F.lit(None))).withColumn("s", F.when(F.col("s") != 7, F.col("s")))
+    return cut_lineage(df), pdf.assign(s=pdf.s.where(pdf.s != 7))
+
+
+def test_20000_buckets_on_8_shuffle_partitions(many):
+    """Two levels of boundaries: no bucket exceeds its bound, and results equal pandas."""
+    df, pdf = many
+    n, buckets = len(pdf), 20_000
+    b = O.with_bucket(df, ["t", "id"], "s", n_buckets=buckets)
+    sizes = b.groupBy("__bucket").agg(F.count("*").alias("n"), F.min(F.struct("s", "t", "id")).alias("lo"), F.max(F.struct("s", "t", "id")).alias("hi"))
+    got = sizes.orderBy("__bucket").collect()
+    assert len(got) > buckets / 2 and max(r.n for r in got) <= 6 * n / buckets
+    key = [((r.lo.s is not None, r.lo.s or 0, r.lo.t, r.lo.id), (r.hi.s is not None, r.hi.s or 0, r.hi.t, r.hi.id)) for r in got]
+    assert all(a[1] < b[0] for a, b in zip(key, key[1:]))  # ranges do not overlap
+    idx = O.with_row_index(df, ["t", "id"], "s", n_buckets=buckets).toPandas()
+    assert (idx.sort_values(["s", "t", "id"], na_position="first")["__idx"].to_numpy() == np.arange(n)).all()
+    f = O.fill(df, ["v"], ["t", "id"], "s", n_buckets=buckets).toPandas().set_index("id").sort_index()
+    want = pdf.sort_values(["t", "id"]).groupby("s", dropna=False)["v"].ffill()
+    assert np.allclose(f["v"].to_numpy(), pdf.assign(w=want).set_index("id").sort_index()["w"].to_numpy(), equal_nan=True)
+
+
+def test_buckets_follow_the_rows(many, monkeypatch):
+    """Few rows a bucket: as many buckets and shuffle partitions, without being told a number."""
+    df, pdf = many
+    monkeypatch.setattr(O, "ROWS_PER_BUCKET", 500)
+    b = O.with_bucket(df, ["t", "id"])
+    assert b.rdd.getNumPartitions() == 120
+    assert b.groupBy("__bucket").count().agg(F.max("count")).first()[0] <= 1000
+    plan = b._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "CASE WHEN (__key" in plan
+    got = W.rolling(df, "v", 4, "sum", 1, order_by=["t", "id"], chunk_rows=300).toPandas().sort_values(["t", "id"])
+    assert np.allclose(got["v_sum_rolling"], got["v"].rolling(4, min_periods=1).sum(), equal_nan=True)
+
+
+@pytest.mark.parametrize("kind", ["decimal(20,2)", "date", "timestamp_ntz", "timestamp", "string", "boolean", "binary", "float"])
+def test_boundaries_of_every_type(spark, kind):
+    make = {"date": "date_add(date'2020-01-01', cast(id as int))", "timestamp_ntz": "timestamp_ntz'2020-01-01' + make_interval(0,0,0,0,0,id)",
+            "timestamp": "timestamp'2020-01-01' + make_interval(0,0,0,0,0,id)", "boolean": "id % 2 = 0", "binary": "cast(cast(id as string) as binary)",
+            "float": "if(id % 9 = 0, cast('NaN' as float), cast(id as float))"}.get(kind, f"cast(id as {kind})")
+    df = spark.range(3000).selectExpr("id", f"if(id % 11 = 0, null, {make}) as k")
+    got = [r[0] for r in O.with_row_index(df, ["k", "id"], n_buckets=40).orderBy("__idx").select("id").collect()]
+    assert got == [r[0] for r in df.orderBy("k", "id").select("id").collect()]
