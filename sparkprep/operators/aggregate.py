@@ -63,19 +63,20 @@ def group_agg(df: DataFrame, key, spec: dict, order_by=None, approx: bool = Fals
 
     An exact ``median`` as an aggregate would keep a value map per group and
     merge it in one task.  Medians therefore come from the distributed selection
-    of ``quantiles.grouped_quantiles`` and are joined to the other aggregates on
-    the group key (one row per group on both sides).
+    of ``quantiles.grouped_statistics``, whose first scan also computes the other
+    aggregates and whose second serves all medians together.
     """
-    from .quantiles import grouped_quantiles
+    from .quantiles import grouped_statistics
 
     keys = [key] if isinstance(key, str) else list(key)
     plan = [(col, fn) for col, fns in spec.items() for fn in ([fns] if isinstance(fns, str) else fns)]
     kept = df.where(" AND ".join(f"{q(k)} IS NOT NULL" for k in keys))
     medians = [] if approx else list(dict.fromkeys(c for c, fn in plan if fn == "median"))
     others = [agg_expr(c, fn, order_by, approx).alias(f"{c}_{fn}") for c, fn in plan if approx or fn != "median"]
-    out = kept.groupBy(*[F.col(q(k)) for k in keys]).agg(*(others or [F.count(F.lit(1)).alias("__rows")]))
-    for c in medians:
-        out = out.join(grouped_quantiles(kept, keys, c, [0.5], [f"{c}_median"]), keys, "left")
+    if medians:
+        out = grouped_statistics(kept, keys, {c: [(0.5, f"{c}_median")] for c in medians}, others)
+    else:
+        out = kept.groupBy(*[F.col(q(k)) for k in keys]).agg(*others)
     return out.select(*[F.col(q(k)) for k in keys], *[F.col(q(f"{c}_{fn}")) for c, fn in plan])
 
 

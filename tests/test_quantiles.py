@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkprep.operators.quantiles import exact_quantiles, quantile_frame
 
@@ -98,3 +99,40 @@ def test_group_agg_medians_only_by_selection(spark):
     assert len(m) == len(want) == len(got)
     for c in ("l_extendedprice", "l_quantity"):
         assert np.allclose(m[f"{c}_median"], m[c], atol=1e-9)
+
+
+@pytest.mark.parametrize("limits", [{}, {"GROUP_CANDIDATES": 0}, {"BROADCAST_GROUPS": 0, "SLICE_ROWS": 100}, {"BROADCAST_GROUPS": 0, "GROUP_CANDIDATES": 0}])
+def test_grouped_quantiles_of_several_columns_on_every_path(spark, monkeypatch, limits):
+    """Groups of 1 to 6 000 rows, tied and all-null values; candidates gathered or numbered, brackets broadcast or joined by salt."""
+    import pandas as pd
+
+    from sparkprep.operators import quantiles as Q
+
+    for k, v in limits.items():
+        monkeypatch.setattr(Q, k, v)
+    rng = np.random.default_rng(21)
+    sizes = [1, 2, 3, 7, 16, 60, 700, 6000]
+    g = np.repeat(np.arange(len(sizes)), sizes)
+    pdf = pd.DataFrame({"g": g, "a": rng.normal(0, 5, len(g)), "b": rng.integers(0, 4, len(g)).astype(float), "c": rng.exponential(1, len(g)).round(1)})
+    pdf.loc[rng.random(len(g)) < 0.1, "a"] = np.nan
+    pdf.loc[pdf.g == 2, "b"] = np.nan
+    df = spark.createDataFrame(pdf)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = Q.grouped_statistics(df, "g", {c: [(p, f"{c}{i}") for i, p in enumerate(probs)] for c in "abc"}, [F.count("*").alias("rows")], accuracy=100)
+    got = got.toPandas().set_index("g").sort_index()
+    assert got["rows"].tolist() == sizes
+    for c in "abc":
+        for i, p in enumerate(probs):
+            assert np.allclose(got[f"{c}{i}"].astype(float), pdf.groupby("g")[c].quantile(p), equal_nan=True, atol=1e-12)
+
+
+def test_two_scans_serve_all_medians_of_a_group_by(spark, monkeypatch):
+    from sparkprep.operators.aggregate import group_agg
+    from sparkprep import session
+
+    plans, cut = [], session.cut_lineage
+    monkeypatch.setattr(session, "cut_lineage", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or cut(d))
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    out = group_agg(li, "l_returnflag", {"l_quantity": ["median", "mean"], "l_tax": "median", "l_extendedprice": ["median", "max"]})
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("FileScan parquet") for p in plans) == 2 and not any("Window" in p for p in plans)
