@@ -257,66 +257,118 @@ def mackinnon_p(t: float) -> float:
     return _norm_cdf(large[0] + large[1] * t + large[2] * t * t + large[3] * t ** 3)
 
 
+CHUNK_ROWS = 1 << 17
+
+
+def _lag_sums(indexed: DataFrame, lags: int, chunk_rows: int) -> tuple:
+    """(P, Q) of a series (``__idx``, ``__y``) with differences d: P[k] = Σ d_s d_{s−k} for k = 0..lags and
+    Q[k] = Σ y_{s−1} d_{s−k}, summed over every s whose terms exist.
+
+    A chunk of consecutive rows, with ``lags + 1`` rows before it, is one task's array work; 2 (lags + 1) sums leave it."""
+    import numpy as np
+    import pyarrow as pa
+
+    reach = lags + 1
+    first, last = F.floor(F.col("__idx") / chunk_rows), F.floor((F.col("__idx") + reach) / chunk_rows)
+    chunks = indexed.withColumn("__chunk", F.explode(F.sequence(first, last)))
+
+    def sums(key, table):
+        table = table.sort_by("__idx")
+        idx, y = table.column("__idx").to_numpy(), table.column("__y").to_numpy()
+        at = int(np.searchsorted(idx, key[0].as_py() * chunk_rows))  # rows of the chunk itself start here
+        d = np.concatenate([[0.0], np.diff(y)])                      # the first row has no difference: a term of 0
+        out = np.zeros((2, lags + 1))
+        before = np.concatenate([[0.0], y[:-1]])
+        for k in range(lags + 1):
+            s = max(at, k + 1)                                       # s - k >= 1 within the rows at hand
+            if s < len(y):
+                out[0, k] = d[s:] @ d[s - k:len(y) - k]
+                out[1, k] = before[s:] @ d[s - k:len(y) - k]
+        return pa.table([pa.array([out[0].tolist()]), pa.array([out[1].tolist()])], names=["p", "q"])
+
+    parts = chunks.groupBy("__chunk").applyInArrow(sums, "p array<double>, q array<double>")
+    rows = (parts.select(F.posexplode(F.arrays_zip("p", "q")).alias("k", "v")).groupBy("k")
+            .agg(F.sum("v.p"), F.sum("v.q")).collect())
+    got = {r[0]: (r[1], r[2]) for r in rows}
+    return tuple(np.array([got[k][j] for k in range(lags + 1)]) for j in (0, 1))
+
+
 def adf(df: DataFrame, col: str, order_by, max_lag: int | None = None, chunk_rows: int | None = None) -> DataFrame:
     """W-13: augmented Dickey–Fuller test with a constant, lag order by AIC.
 
-    Regression Δy_t = a + b·y_{t−1} + Σ c_i Δy_{t−i}.  All cross products of the
-    regressors are summed in one Spark aggregate; each candidate lag order is
-    then an OLS solve on a (p+2)×(p+2) matrix.  Returns one row: statistic,
-    p-value, used lag, n, stationary (p < 0.05).
+    Regression Δy_t = a + b·y_{t−1} + Σ c_i Δy_{t−i}.  Its cross products depend
+    on the distance of two lags only, but for products at the ends of the
+    series.  So Spark sums one product per lag (``_lag_sums``), the driver takes
+    the first and last ``max_lag + 2`` values, and corrects the sums for any lag
+    order and sample.  One Cholesky factor gives the residuals of all orders.
+    Returns one row: statistic, p-value, used lag, n, stationary (p < 0.05).
+
+    Missing values are left out.  The series is centred first, which changes
+    neither b nor its error.
     """
     import numpy as np
 
-    n = df.count()
+    from ..session import cut_lineage
+
+    order = [order_by] if isinstance(order_by, str) else list(order_by)
+    raw = F.col(q(col)).cast("double")
+    there = df.where(raw.isNotNull() & ~F.isnan(raw)).select(*order, raw.alias("__raw"))
+    n, mean = there.agg(F.count(F.lit(1)), F.avg("__raw")).first()
     if max_lag is None:
         max_lag = int(math.ceil(12.0 * (n / 100.0) ** 0.25))
     max_lag = max(0, min(max_lag, n // 2 - 2))
-    order = [order_by] if isinstance(order_by, str) else list(order_by)
-    y = F.col(q(col)).cast("double")
-
-    def compute(w):
-        cols = {"__y1": F.lag(F.col("__y"), 1).over(w)}
-        for k in range(0, max_lag + 2):
-            cols[f"__d{k}"] = F.lag(F.col("__y"), k).over(w) - F.lag(F.col("__y"), k + 1).over(w)
-        return cols
-
-    lagged = O.halo_window(df.select(*order, y.alias("__y")), order, None, max_lag + 2, 0, compute, chunk_rows)
-    names = ["__d0", "__one", "__y1"] + [f"__d{k}" for k in range(1, max_lag + 1)]
-
-    def moments(frame):
-        cols = [F.lit(1.0) if c == "__one" else F.col(c) for c in names]
-        aggs = [F.count(F.lit(1)).alias("n")]
-        for i in range(len(names)):
-            for j in range(i, len(names)):
-                aggs.append(F.sum(cols[i] * cols[j]).alias(f"m{i}_{j}"))
-        row = frame.agg(*aggs).first()
-        m = np.zeros((len(names), len(names)))
-        for i in range(len(names)):
-            for j in range(i, len(names)):
-                m[i, j] = m[j, i] = row[f"m{i}_{j}"] or 0.0
-        return row["n"], m
-
-    def fit(m, nobs, p):
-        idx = [1, 2] + list(range(3, 3 + p))
-        xtx = m[np.ix_(idx, idx)]
-        xty = m[idx, 0]
-        beta = np.linalg.solve(xtx, xty)
-        rss = m[0, 0] - beta @ xty
-        k = len(idx)
-        sigma2 = rss / (nobs - k)
-        se = math.sqrt(sigma2 * np.linalg.inv(xtx)[1, 1])
-        llf = -nobs / 2.0 * (math.log(2 * math.pi) + math.log(rss / nobs) + 1)
-        return beta, se, -2 * llf + 2 * k
-
-    # common sample: rows where every lag up to max_lag exists
-    common = lagged.where(F.col(f"__d{max_lag}").isNotNull() & F.col("__y1").isNotNull())
-    nobs, m = moments(common)
-    best = min(range(0, max_lag + 1), key=lambda p: fit(m, nobs, p)[2])
-    full = lagged.where(F.col(f"__d{best}").isNotNull() & F.col("__y1").isNotNull())
-    nobs2, m2 = moments(full)
-    beta, se, _ = fit(m2, nobs2, best)
-    t = float(beta[1] / se)
+    centred = there.select(*order, (F.col("__raw") - F.lit(mean or 0.0)).alias("__y"))
+    indexed = cut_lineage(O.with_row_index(centred, order).select("__idx", "__y"))
+    P, Q = _lag_sums(indexed, max_lag, chunk_rows or CHUNK_ROWS)
+    sum_y, sum_yy = indexed.agg(F.sum("__y"), F.sum(F.col("__y") * F.col("__y"))).first()
+    reach = max_lag + 2
+    ends = dict(indexed.where((F.col("__idx") < reach) | (F.col("__idx") >= n - reach)).select("__idx", "__y").collect())
+    y = np.zeros(n if n <= 2 * reach else 2 * reach)  # the first and last values; place(t) finds value t
+    for t, v in ends.items():
+        y[t if t < reach else t - n + len(y)] = v
+
+    def place(t):
+        return t if t < reach else t - n + len(y)
+
+    def value(t):
+        return y[place(t)]
+
+    def diff(t):
+        return y[place(t)] - y[place(t) - 1]
+
+    head, tail = range(1, reach), range(max(reach, n - reach + 1), n)
+    d = {t: diff(t) for t in (*head, *tail)}
+
+    def moments(p):
+        """Cross products of (d_t, 1, y_{t−1}, d_{t−1}, ..., d_{t−p}) over t = p + 1 .. n − 1."""
+        size, start = p + 3, p + 1
+        m = np.zeros((size, size))
+        col_of = lambda i: 0 if i == 0 else i + 2
+        for k in range(p + 1):
+            early = np.cumsum([0.0] + [d[s] * d[s - k] for s in range(k + 1, start)])           # products of s = k + 1, k + 2, ...
+            late = np.cumsum([0.0] + [d[s] * d[s - k] for s in range(n - 1, n - 1 - (p - k), -1)])  # of s = n − 1, n − 2, ...
+            for i in range(p + 1 - k):
+                a, b = col_of(i), col_of(i + k)
+                m[a, b] = m[b, a] = P[k] - early[start - i - k - 1] - late[i]
+            # y_{s−1} d_{s−k}, s = start .. n − 1
+            b = col_of(k)
+            m[2, b] = m[b, 2] = Q[k] - sum(value(s - 1) * d[s - k] for s in range(k + 1, start))
+            m[1, b] = m[b, 1] = value(n - 1 - k) - value(start - k - 1)
+        m[1, 1] = n - start
+        m[1, 2] = m[2, 1] = sum_y - value(n - 1) - sum(value(s) for s in range(start - 1))
+        m[2, 2] = sum_yy - value(n - 1) ** 2 - sum(value(s) ** 2 for s in range(start - 1))
+        return n - start, m
+
+    # all orders on the sample of the largest: the residuals fall by one squared term a regressor
+    nobs, m = moments(max_lag)
+    terms = np.linalg.solve(np.linalg.cholesky(m[1:, 1:]), m[1:, 0])
+    rss = m[0, 0] - np.cumsum(terms ** 2)[1:]
+    aic = [nobs * (math.log(2 * math.pi) + math.log(r / nobs) + 1) + 2 * (p + 2) for p, r in enumerate(rss)]
+    best = int(np.argmin(aic))
+    nobs, m = moments(best)
+    beta = np.linalg.solve(m[1:, 1:], m[1:, 0])
+    sigma2 = (m[0, 0] - beta @ m[1:, 0]) / (nobs - best - 2)
+    t = float(beta[1] / math.sqrt(sigma2 * np.linalg.inv(m[1:, 1:])[1, 1]))
     p = mackinnon_p(t)
-    spark = df.sparkSession
-    return spark.createDataFrame([(t, p, best, int(nobs2), p < 0.05)],
-                                 "statistic double, p_value double, used_lag int, nobs long, stationary boolean")
+    return df.sparkSession.createDataFrame([(t, p, best, int(nobs), p < 0.05)],
+                                           "statistic double, p_value double, used_lag int, nobs long, stationary boolean")

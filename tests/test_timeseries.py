@@ -55,6 +55,44 @@ def test_adf_separates_random_walk_from_noise(spark):
     assert r_noise.p_value < 0.01 and r_noise.stationary
 
 
+def _adf_by_least_squares(y, max_lag):
+    """All regressors written out, one least squares fit for each lag order."""
+    d = np.diff(y)
+
+    def fit(p, start):
+        rows = range(start, len(d))
+        x = np.array([[1.0, y[t], *[d[t - i] for i in range(1, p + 1)]] for t in rows])
+        z = d[start:]
+        beta, *_ = np.linalg.lstsq(x, z, rcond=None)
+        rss = ((z - x @ beta) ** 2).sum()
+        n, k = x.shape
+        se = np.sqrt(rss / (n - k) * np.linalg.inv(x.T @ x)[1, 1])
+        return beta[1] / se, n * (np.log(2 * np.pi) + np.log(rss / n) + 1) + 2 * k, n
+    best = min(range(max_lag + 1), key=lambda p: fit(p, max_lag)[1])
+    t, _, n = fit(best, best)
+    return t, best, n
+
+
+@pytest.mark.parametrize("n,chunk", [(500, 64), (500, 7), (40, 1000), (9, 4)])
+def test_adf_equals_least_squares_for_any_chunks(spark, n, chunk):
+    rng = np.random.default_rng(n)
+    y = 1e4 + np.cumsum(rng.normal(size=n)) + rng.normal(size=n)
+    lag = max(0, min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2))
+    got = TS.adf(_series(spark, y), "y", "t", chunk_rows=chunk).first()
+    t, best, nobs = _adf_by_least_squares(y, lag)
+    assert (got.used_lag, got.nobs) == (best, nobs) and abs(got.statistic - t) < 1e-6
+
+
+def test_adf_over_many_rows_leaves_missing_values_out(spark):
+    """60 lags over 60 000 rows: a number of sums that is linear in the lags."""
+    rng = np.random.default_rng(3)
+    y = rng.normal(size=60_000)
+    got = TS.adf(_series(spark, y), "y", "t").first()
+    assert got.stationary and got.nobs > 59_900
+    gaps = _series(spark, y[:300]).withColumn("y", F.when(F.col("y") < 1.5, F.col("y")))
+    assert abs(TS.adf(gaps, "y", "t").first().statistic - _adf_by_least_squares(y[:300][y[:300] < 1.5], 16)[0]) < 1e-6
+
+
 def test_mackinnon_reference_points():
     assert abs(TS.mackinnon_p(-2.8615) - 0.05) < 0.003
     assert abs(TS.mackinnon_p(-3.43) - 0.01) < 0.002
