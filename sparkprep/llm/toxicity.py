@@ -9,7 +9,8 @@ language: texts are told apart by function words (never by a language column),
 and scores are bent so that the threshold lies at 0.5.
 
 Only the net is fitted on a bounded sample of labelled rows (``PER_CLASS`` rows
-of either class of at most ``MAX_BYTES`` bytes).  The thresholds come from
+of either class of at most ``MAX_BYTES`` bytes), by one task that returns the
+weights, so that no text reaches the driver.  The thresholds come from
 every labelled row that is not held out: Spark scores them all and counts them
 by language, label, score bin and whether the net has learnt from the row.
 Learnt rows are scored too well, so the spread of scores is that of the other
@@ -23,6 +24,8 @@ there are none); ids are passed through; repeated rows are scored one by one.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .kernels import ALNUM, Members, U, Words, as_bytes, mix, per_text, pieces
 from .registry import read, register
-from .sampling import held_out, sample_texts, usable
+from .sampling import held_out, sample_frame, sample_order, usable
 
 PER_CLASS, MAX_BYTES = 3000, 20_000
 BITS, DIM, WIDTHS, FILTERS = 17, 8, (1, 2, 3), 8
@@ -110,13 +113,14 @@ class Net:
 
 
 def _train(texts: list, y: np.ndarray, net: Net, seed: int = 6) -> None:
-    w = Words(texts, ALNUM)
-    both, own = _buckets(w), w.owner()
     seen = np.zeros((2, 1 << BITS))
-    pair = np.unique(np.concatenate([own * (1 << BITS) + both[:, 0], own * (1 << BITS) + both[:, 1]]))
-    for label in (0, 1):
-        rows = pair[y[pair >> BITS] == label]
-        seen[label] = np.bincount(rows & ((1 << BITS) - 1), minlength=1 << BITS)
+    for lo, hi in pieces(texts, 1 << 20):
+        w = Words(texts[lo:hi], ALNUM)
+        both, own = _buckets(w), w.owner()
+        pair = np.unique(np.concatenate([own * (1 << BITS) + both[:, 0], own * (1 << BITS) + both[:, 1]]))
+        for label in (0, 1):
+            rows = pair[y[lo + (pair >> BITS)] == label]
+            seen[label] += np.bincount(rows & ((1 << BITS) - 1), minlength=1 << BITS)
     odds = np.log((seen[1] + 0.5) / (y.sum() + 1)) - np.log((seen[0] + 0.5) / ((1 - y).sum() + 1))
     known = seen.sum(axis=0)
     net.emb[:, 0] = np.where(known >= 3, np.clip(odds * known / (known + 4), -4, 4), 0) / 2
@@ -168,7 +172,7 @@ class Toxicity:
         if len(set(y)) < 2:
             return
         self.net = Net(seed)
-        _train([s[0].encode("utf-8") for s in sample], y, self.net)
+        _train([s[0] for s in sample], y, self.net)
 
     def calibrate(self, counts: np.ndarray) -> None:
         """Thresholds from the number of rows by (language, label, learnt or not, bin)."""
@@ -226,30 +230,42 @@ def bin_counts(docs: DataFrame, labelled: DataFrame, model: Toxicity, id_col: st
     kind = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).filter(F.col("__id").isNotNull())
     got = (plain.mapInArrow(run, f"__id {kind}, lang int, bin int").join(labelled, "__id")
-           .groupBy("lang", "__y", "__learnt", "bin").count().collect())
+           .groupBy("lang", "__y", "__learnt", "bin").count().toArrow())
     counts = np.zeros((len(FUNCTION_WORDS) + 1, 2, 2, BINS), dtype=np.int64)
-    for r in got:
-        counts[r[0], r[1], r[2], r[3]] = r[4]
+    at = [got.column(i).to_numpy() for i in range(5)]
+    counts[at[0], at[1], at[2], at[3]] = at[4]
     return counts
 
 
+def trained(sample: DataFrame | None, share: float) -> Toxicity:
+    """The net of a bounded sample (__id, __text, __y), fitted in one task that returns the weights only."""
+    def train(batches):
+        rows = [r for b in batches for r in zip(as_bytes(b.column(0)), b.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Toxicity(rows, share))], pa.binary())], ["model"])
+
+    if sample is None:
+        return Toxicity([], share)
+    one = sample.repartition(1).sortWithinPartitions(*sample_order()).select("__text", "__y")
+    return pickle.loads(one.mapInArrow(train, "model binary").first()[0])
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> Toxicity:
     own = usable(labels, label)
     share = own.agg(F.avg("__y")).first()[0]
     kept_back = held_out("__id", 5, 1)  # never learnt from: crc32 mod 5 is 0 for held-out rows and 1 for these
-    sample = sample_texts(docs, own.filter(~kept_back), per_class, max_bytes)
-    model = Toxicity([s[1:] for s in sample], share or 0.0)
+    sample, ids = sample_frame(docs, own.filter(~kept_back), per_class, max_bytes)
+    model = trained(sample, share or 0.0)
     if model.net is None:
         return model
-    ids = docs.sparkSession.createDataFrame([(i,) for i in {s[0] for s in sample}], own.select("__id").schema)
-    flagged = own.join(F.broadcast(ids.withColumn("__in", F.lit(1))), "__id", "left").select(
+    flagged = own.join(F.broadcast(ids.select("__id").withColumn("__in", F.lit(1))), "__id", "left").select(
         "__id", "__y", F.coalesce("__in", F.lit(0)).alias("__learnt"))
     model.calibrate(bin_counts(docs, flagged, model))
     return model
 
 
 def score(docs: DataFrame, model: Toxicity, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with one more column; the model is of a fixed size and is broadcast."""
+    """``docs`` with one more column, in place of one of that name; the model is of a fixed size and is broadcast."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
