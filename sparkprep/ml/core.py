@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.relational import kind_of, q
+from .scaler import KINDS, ExactScaler
 
 SEED = 42
 
@@ -80,13 +81,10 @@ def scaler_stage(kind: str | None, inp: str = "features_raw", out: str = "featur
     """M-03: standard / minmax / robust scaler stage (fitted on train only)."""
     if kind in (None, "none"):
         return MF.VectorAssembler(inputCols=[inp], outputCol=out)
-    if kind in ("standard", "Standard Scaler"):
-        return MF.StandardScaler(inputCol=inp, outputCol=out, withMean=True, withStd=True)
-    if kind in ("minmax", "Min Max Scaler"):
-        return MF.MinMaxScaler(inputCol=inp, outputCol=out)
-    if kind in ("robust", "Robust Scaler"):
-        return MF.RobustScaler(inputCol=inp, outputCol=out, withCentering=True, withScaling=True)
-    raise ValueError(f"unknown scaler {kind!r}")
+    name = {"Standard Scaler": "standard", "Min Max Scaler": "minmax", "Robust Scaler": "robust"}.get(kind, kind)
+    if name not in KINDS:
+        raise ValueError(f"unknown scaler {kind!r}")
+    return ExactScaler(inputCol=inp, outputCol=out, kind=name)
 
 
 def prepare_stages(df: DataFrame, x_cols, y: str, task: str, scaler: str | None):
@@ -104,24 +102,21 @@ REGRESSORS = ("linear", "xgboost", "tree", "forest", "gbt", "knn", "svr", "sgd")
 CLASSIFIERS = ("logistic", "tree", "forest", "knn", "nb", "svm", "gbt", "adaboost", "mlp")
 
 
-def spark_estimator(kind: str, task: str, n_features: int | None = None, n_classes: int | None = None):
-    """The Spark ML estimator for a model name, or None when it is a custom one."""
+def spark_estimator(kind: str, task: str, n_features: int | None = None, n_classes: int | None = None, depth: int | None = None):
+    """The Spark ML estimator for a model name, or None when it is a custom one; ``depth`` is that of a forest's trees (at most 30)."""
     if task == "regression":
         return {
             "linear": lambda: MR.LinearRegression(solver="normal", regParam=0.0),
             "xgboost": lambda: MR.GBTRegressor(maxDepth=6, stepSize=0.3, maxIter=100, seed=SEED),
-            "tree": lambda: MR.DecisionTreeRegressor(maxDepth=20, seed=SEED),
-            "forest": lambda: MR.RandomForestRegressor(numTrees=100, maxDepth=12, seed=SEED),
+            "forest": lambda: MR.RandomForestRegressor(numTrees=100, maxDepth=depth or 12, seed=SEED),
             "gbt": lambda: MR.GBTRegressor(maxDepth=3, stepSize=0.1, maxIter=100, seed=SEED),
         }.get(kind, lambda: None)()
     multi = (n_classes or 2) > 2
     if kind == "logistic":
         lr = MC.LogisticRegression(maxIter=100)
         return MC.OneVsRest(classifier=lr) if multi else lr
-    if kind == "tree":
-        return MC.DecisionTreeClassifier(maxDepth=20, seed=SEED)
     if kind == "forest":
-        return MC.RandomForestClassifier(numTrees=100, maxDepth=12, seed=SEED)
+        return MC.RandomForestClassifier(numTrees=100, maxDepth=depth or 12, seed=SEED)
     if kind == "nb":
         return MC.NaiveBayes(modelType="gaussian")
     if kind == "gbt":
@@ -151,22 +146,37 @@ class TrainResult:
     test: DataFrame
     predictions: DataFrame
     metrics: DataFrame
+    key: str = ""
     extra: dict = field(default_factory=dict)
 
 
+@dataclass
+class Prepared:
+    """One split of a table with its fitted preparation; several learners can share it."""
+    task: str
+    key: str
+    label: str
+    prep: PipelineModel
+    train: DataFrame
+    test: DataFrame
+    n_classes: int | None
+    held: list
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
+
+
 def _vector_size(df: DataFrame, col: str = "features") -> int:
     return df.select(F.size(vector_to_array(F.col(col)))).first()[0]
 
 
-def train(df: DataFrame, x_cols, y: str, kind: str, task: str, key: str, test_size: float = 0.2,
-          scaler: str | None = "standard", order_by=None) -> TrainResult:
-    """Fit one model on the train split and score the test split.
+def prepare(df: DataFrame, x_cols, y: str, task: str, key: str, test_size: float = 0.2, scaler: str | None = "standard", order_by=None) -> Prepared:
+    """Split and preparation, from one scan of ``df``: its columns are held until ``release``.
 
     Nulls are filled forward then backward in ``order_by`` order when given
     (the reference's preparation), otherwise rows with nulls are dropped.
     """
-    from . import custom, knn
-    from .metrics import classification_metrics, regression_metrics
     from ..operators.nulls import impute_for_model
 
     order = [] if order_by is None else ([order_by] if isinstance(order_by, str) else list(order_by))
@@ -178,44 +188,57 @@ def train(df: DataFrame, x_cols, y: str, kind: str, task: str, key: str, test_si
     data = data.select(*[F.col(q(c)) for c in dict.fromkeys([key] + list(x_cols) + [y])]).dropna()
     if task == "regression":
         data = data.withColumn(y, F.col(q(y)).cast("double"))
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     tr, te = split(data, key, test_size)
     prep = Pipeline(stages=prepare_stages(data, x_cols, y, task, scaler)).fit(tr)
     tr_x = prep.transform(tr).persist(StorageLevel.MEMORY_AND_DISK)
-    te_x = prep.transform(te)
-    label = y if task == "regression" else "label"
-    n_classes = None
-    if task == "classification":
-        n_classes = len(prep.stages[-1].labels)
-    est = spark_estimator(kind, task, _vector_size(tr_x) if kind == "mlp" else None, n_classes)
+    return Prepared(task, key, y if task == "regression" else "label", prep, tr_x, prep.transform(te),
+                    len(prep.stages[-1].labels) if task == "classification" else None, [tr_x, data])
+
+
+def fit(p: Prepared, kind: str, **options) -> TrainResult:
+    """Fit one model on a prepared train split and score its test split; ``options`` go to the learner (``depth`` of trees, say)."""
+    from . import custom, knn, trees
+    from .metrics import classification_metrics, regression_metrics
+
+    tr_x, label, regression = p.train, p.label, p.task == "regression"
+    est = spark_estimator(kind, p.task, _vector_size(tr_x) if kind == "mlp" else None, p.n_classes, options.get("depth"))
     if est is not None:
         est.setFeaturesCol("features").setLabelCol(label)
         room_for_levels(est, tr_x)
         model = est.fit(tr_x)
-        pred = model.transform(te_x)
+    elif kind == "tree":
+        model = trees.fit_deep_tree(tr_x, label, p.task, n_classes=p.n_classes or 0, **options)
     elif kind == "knn":
-        model = knn.KNNModel(tr_x, key, label, k=5, task=task)
-        pred = model.transform(te_x)
-    elif kind == "svr":
-        model = custom.fit_linear_svr(tr_x, label)
-        pred = model.transform(te_x)
-    elif kind == "sgd":
-        model = custom.fit_sgd_regressor(tr_x, label)
-        pred = model.transform(te_x)
-    elif kind == "svm":
-        model = custom.fit_rbf_svm(tr_x, label, n_classes)
-        pred = model.transform(te_x)
-    elif kind == "adaboost":
-        model = custom.fit_adaboost(tr_x, label, n_classes)
-        pred = model.transform(te_x)
+        model = knn.KNNModel(tr_x, p.key, label, k=5, task=p.task)
+    elif kind == "svr" and regression:
+        model = custom.fit_linear_svr(tr_x, label, **options)
+    elif kind == "sgd" and regression:
+        model = custom.fit_sgd_regressor(tr_x, label, **options)
+    elif kind == "svm" and not regression:
+        model = custom.fit_rbf_svm(tr_x, label, p.n_classes, **options)
+    elif kind == "adaboost" and not regression:
+        model = custom.fit_adaboost(tr_x, label, p.n_classes, **options)
     else:
-        raise ValueError(f"unknown {task} model {kind!r}")
+        raise ValueError(f"unknown {p.task} model {kind!r}")
+    pred = model.transform(p.test)
     pred = pred.withColumn("prediction", F.col("prediction").cast("double"))
-    if task == "regression":
+    if regression:
         metrics = regression_metrics(pred, label, "prediction")
     else:
         pred = pred.withColumn("label", F.col("label").cast("double"))
         metrics = classification_metrics(pred, "label", "prediction")
-    return TrainResult(kind, task, prep, model, tr_x, te_x, pred, metrics)
+    return TrainResult(kind, p.task, p.prep, model, tr_x, p.test, pred, metrics, p.key)
+
+
+def train(df: DataFrame, x_cols, y: str, kind: str, task: str, key: str, test_size: float = 0.2,
+          scaler: str | None = "standard", order_by=None, **options) -> TrainResult:
+    """Fit one model on the train split and score the test split."""
+    prepared = prepare(df, x_cols, y, task, key, test_size, scaler, order_by)
+    try:
+        return fit(prepared, kind, **options)
+    finally:
+        prepared.release()
 
 
 def inverse_labels(prep: PipelineModel, pred: DataFrame, col: str = "prediction", out: str = "predicted_label"):

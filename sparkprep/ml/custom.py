@@ -2,11 +2,11 @@
 
 * ``fit_sgd_regressor`` – the objective of a default SGD linear regressor
   (squared loss + α/2·‖w‖², α = 1e-4, unpenalised intercept) solved exactly
-  from one distributed pass of Gram sums (d×d numbers reach the driver).
+  from one distributed pass of blocked Gram sums (d×d numbers reach the driver).
 * ``fit_linear_svr`` – ε-insensitive linear SVR (C = 1, ε = 0.1) by Newton
   steps whose sums cover the whole table.
-* ``fit_rbf_svm`` – RBF-kernel SVM approximated with random Fourier features
-  (Rahimi & Recht 2007) feeding ``LinearSVC`` (one-vs-rest when multiclass).
+* ``fit_rbf_svm`` – RBF-kernel SVM over Nyström landmarks, as many as a measured
+  kernel error asks for, feeding ``LinearSVC`` (one-vs-rest when multiclass).
 * ``fit_adaboost`` – SAMME with 50 weighted depth-1 trees; sample weights are
   a column, lineage is cut by checkpoints into the shared checkpoint folder.
 """
@@ -18,6 +18,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml import classification as MC
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -26,6 +27,8 @@ from pyspark.sql import types as T
 
 from ..operators.relational import q
 from ..session import cut_lineage
+from .gram import gram
+from .persist import read_arrays, write_arrays
 
 
 class LinearModel:
@@ -35,11 +38,18 @@ class LinearModel:
         self.features = features
 
     def transform(self, df: DataFrame) -> DataFrame:
-        x = vector_to_array(F.col(self.features))
-        dot = F.lit(self.intercept)
-        for i, c in enumerate(self.coef):
-            dot = dot + F.lit(float(c)) * x[i]
-        return df.withColumn("prediction", dot)
+        coef = F.array(*[F.lit(float(c)) for c in self.coef]).cast("array<double>")
+        terms = F.zip_with(vector_to_array(F.col(self.features)), coef, lambda x, c: x * c)
+        return df.withColumn("prediction", F.aggregate(terms, F.lit(self.intercept), lambda total, v: total + v))
+
+    def save(self, spark, path: str) -> str:
+        write_arrays(spark, path, {"coef": self.coef, "intercept": [self.intercept]})
+        return self.features
+
+    @classmethod
+    def load(cls, spark, path: str, described: str) -> "LinearModel":
+        a = read_arrays(spark, path)
+        return cls(a["coef"], a["intercept"][0], described)
 
 
 def _xy(df: DataFrame, label: str, features: str = "features") -> DataFrame:
@@ -49,23 +59,10 @@ def _xy(df: DataFrame, label: str, features: str = "features") -> DataFrame:
 def fit_sgd_regressor(train: DataFrame, label: str, alpha: float = 1e-4, features: str = "features") -> LinearModel:
     """M-11: minimiser of mean ½(y − w·x − b)² + α/2‖w‖² from one aggregate pass."""
     xy = _xy(train, label, features)
-    d = xy.select(F.size("x")).first()[0]
-    xs = [F.col("x")[i] for i in range(d)]
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy")]
-    aggs += [F.sum(xs[i]).alias(f"s{i}") for i in range(d)]
-    aggs += [F.sum(xs[i] * F.col("y")).alias(f"xy{i}") for i in range(d)]
-    aggs += [F.sum(xs[i] * xs[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d)]
-    r = xy.agg(*aggs).first()
-    n = r["n"]
-    mx = np.array([r[f"s{i}"] for i in range(d)]) / n
-    my = r["sy"] / n
-    g = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            g[i, j] = g[j, i] = r[f"g{i}_{j}"] / n - mx[i] * mx[j]
-    cxy = np.array([r[f"xy{i}"] / n - mx[i] * my for i in range(d)])
-    w = np.linalg.solve(g + alpha * np.eye(d), cxy)
-    return LinearModel(w, my - mx @ w, features)
+    n, mean, sums = gram(xy.select(F.concat("x", F.array("y")).alias("x")))
+    g = sums[:-1, :-1] / n
+    w = np.linalg.solve(g + alpha * np.eye(len(g)), sums[:-1, -1] / n)
+    return LinearModel(w, mean[-1] - mean[:-1] @ w, features)
 
 
 def fit_linear_svr(train: DataFrame, label: str, c: float = 1.0, epsilon: float = 0.1, smooth: float = 1e-3,
@@ -134,50 +131,81 @@ def fit_linear_svr(train: DataFrame, label: str, c: float = 1.0, epsilon: float
     return LinearModel(w, my + sy * u[-1] - float(w @ mx), features)
 
 
-class RFFModel:
-    def __init__(self, w, b, svm, features="features"):
-        self.w, self.b, self.svm, self.features = w, b, svm, features
+class NystroemModel:
+    """Features ``K(x, landmarks) · K(landmarks, landmarks)^(−1/2)`` of the RBF kernel, then a linear SVM."""
+
+    def __init__(self, landmarks, gamma: float, svm=None, error: float = 0.0, features="features"):
+        self.landmarks, self.gamma, self.svm, self.error, self.features = np.asarray(landmarks), gamma, svm, error, features
+        values, vectors = np.linalg.eigh(rbf(self.landmarks, self.landmarks, gamma))
+        good = values > 1e-10 * values.max()
+        self.root = vectors[:, good] / np.sqrt(values[good])
+
+    def lift_array(self, x: np.ndarray) -> np.ndarray:
+        return rbf(x, self.landmarks, self.gamma) @ self.root
 
     def lift(self, df: DataFrame) -> DataFrame:
-        w, b = self.w, self.b
-        scale = math.sqrt(2.0 / w.shape[0])
+        landmarks, root, gamma = self.landmarks, self.root, self.gamma
 
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def rff(v: pd.Series) -> pd.Series:
+        def lifted(v: pd.Series) -> pd.Series:
             if len(v) == 0:
                 return pd.Series([], dtype=object)
             x = np.stack(v.to_numpy()).astype(np.float64)
-            return pd.Series(list(scale * np.cos(x @ w.T + b)))
+            return pd.Series([row for lo in range(0, len(x), 1024) for row in rbf(x[lo:lo + 1024], landmarks, gamma) @ root])
 
-        return df.withColumn("__rff", array_to_vector(rff(vector_to_array(F.col(self.features)))))
+        # a lifted row has up to MAX_RANK numbers
+        return df.withColumn("__rbf", array_to_vector(lifted(vector_to_array(F.col(self.features)))))
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = self.svm.transform(self.lift(df))
-        return out.drop("__rff", "rawPrediction")
+        return out.drop("__rbf", "rawPrediction")
+
+    def save(self, spark, path: str) -> str:
+        write_arrays(spark, f"{path}/kernel", {"landmarks": self.landmarks, "gamma": [self.gamma], "error": [self.error]})
+        PipelineModel(stages=[self.svm]).write().overwrite().save(f"{path}/svm")
+        return self.features
+
+    @classmethod
+    def load(cls, spark, path: str, described: str) -> "NystroemModel":
+        a = read_arrays(spark, f"{path}/kernel")
+        return cls(a["landmarks"], float(a["gamma"][0]), PipelineModel.load(f"{path}/svm").stages[0], float(a["error"][0]), described)
+
 
+def rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
+    d = (a ** 2).sum(axis=1)[:, None] + (b ** 2).sum(axis=1) - 2 * a @ b.T
+    return np.exp(-gamma * np.maximum(d, 0))
 
-def fit_rbf_svm(train: DataFrame, label: str, n_classes: int, components: int = 300, seed: int = 42,
-                features: str = "features") -> RFFModel:
-    """M-16: exp(−γ‖x−y‖²) kernel with γ = 1 / (d · Var(X)) ('scale'), approximated
-    by ``components`` random Fourier features, then a linear SVM."""
+
+#: Rows that are landmarks at most, rows on which the kernel's error is measured, and the error (root mean square) that is small enough.
+MAX_RANK, TEST_ROWS, KERNEL_ERROR = 1024, 512, 0.01
+
+
+def fit_rbf_svm(train: DataFrame, label: str, n_classes: int, kernel_error: float = KERNEL_ERROR, max_rank: int = MAX_RANK,
+                features: str = "features") -> NystroemModel:
+    """M-16: SVM with the kernel exp(−γ‖x−y‖²), γ = 1 / (d · Var(X)) ('scale'), approximated by landmarks (Nyström).
+
+    Landmarks are training rows in hash order.  Their number doubles until the
+    kernel of ``TEST_ROWS`` other rows is met with a root mean square error of at
+    most ``kernel_error``, or ``max_rank`` is reached; ``error`` tells what it is."""
     arr = vector_to_array(F.col(features))
-    stats = train.select(arr.alias("a")).select(
-        F.size("a").alias("d"),
-        F.aggregate("a", F.lit(0.0), lambda acc, x: acc + x).alias("s"),
-        F.aggregate("a", F.lit(0.0), lambda acc, x: acc + x * x).alias("ss")).agg(
-        F.first("d").alias("d"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum("d").alias("m")).first()
-    d, m = stats["d"], stats["m"]
-    mean = stats["s"] / m
-    var = stats["ss"] / m - mean * mean
+    n, mean, sums = gram(train.select(arr.alias("x")))
+    d = len(mean)
+    var = np.trace(sums) / (n * d) + ((mean - mean.mean()) ** 2).mean()
     gamma = 1.0 / (d * var) if var > 0 else 1.0
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(components, d))
-    b = rng.uniform(0.0, 2 * math.pi, size=components)
-    model = RFFModel(w, b, None, features)
-    lifted = model.lift(train)
-    svc = MC.LinearSVC(featuresCol="__rff", labelCol=label, regParam=1.0 / max(train.count(), 1), maxIter=100)
-    est = MC.OneVsRest(classifier=svc, featuresCol="__rff", labelCol=label) if n_classes > 2 else svc
-    model.svm = est.fit(lifted)
+    distinct = train.select(arr.alias("x")).distinct().orderBy(F.xxhash64("x"), "x").limit(max_rank + TEST_ROWS)
+    rows = np.array([r[0] for r in distinct.collect()], dtype=np.float64)
+    test, pool = rows[:min(TEST_ROWS, len(rows) // 3)], rows[min(TEST_ROWS, len(rows) // 3):]
+    exact, rank = rbf(test, test, gamma), min(64, len(pool))
+    while True:
+        model = NystroemModel(pool[:rank], gamma, features=features)
+        lifted = model.lift_array(test)
+        model.error = float(np.sqrt(((lifted @ lifted.T - exact) ** 2).mean())) if len(test) else 0.0
+        if model.error <= kernel_error or rank >= min(max_rank, len(pool)):
+            break
+        rank = min(2 * rank, max_rank, len(pool))
+    svc = MC.LinearSVC(featuresCol="__rbf", labelCol=label, regParam=1.0 / max(n, 1), maxIter=100)
+    est = MC.OneVsRest(classifier=svc, featuresCol="__rbf", labelCol=label) if n_classes > 2 else svc
+    model.svm = est.fit(model.lift(train))
     return model
 
 
@@ -188,6 +216,16 @@ class AdaBoostModel:
     def __init__(self, stumps, alphas, n_classes, features="features"):
         self.stumps, self.alphas, self.n_classes, self.features = stumps, alphas, n_classes, features
 
+    def save(self, spark, path: str) -> str:
+        write_arrays(spark, path, {"stumps": self.stumps, "alphas": self.alphas, "classes": [self.n_classes]})
+        return self.features
+
+    @classmethod
+    def load(cls, spark, path: str, described: str) -> "AdaBoostModel":
+        a = read_arrays(spark, path)
+        stumps = [(int(f), float(t), int(lo), int(hi)) for f, t, lo, hi in a["stumps"].reshape(-1, 4)]
+        return cls(stumps, [float(x) for x in a["alphas"]], int(a["classes"][0]), described)
+
     def votes(self, x):
         scores = []
         for k in range(self.n_classes):

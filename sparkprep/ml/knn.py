@@ -247,3 +247,14 @@ class KNNModel:
             pred = (votes.withColumn("__r", F.row_number().over(w)).where("__r = 1")
                     .select("qid", F.col("__label").cast("double").alias("prediction")))
         return test.join(pred.withColumnRenamed("qid", id_col), id_col, "left")
+
+    def save(self, spark: SparkSession, path: str) -> str:
+        self.index.blocks.write.mode("overwrite").parquet(path)
+        return json.dumps({"k": self.k, "task": self.task, "label": self.label, "features": self.features, "index": self.index.describe()})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, described: str) -> "KNNModel":
+        model, about = cls.__new__(cls), json.loads(described)
+        model.index = KNNIndex.open(spark, path, about.pop("index"))
+        model.__dict__.update(about)
+        return model

@@ -1,15 +1,14 @@
 """Training sessions, run log, batch scoring, input checks, PCA (M-23 .. M-27).
 
 The run log replaces an external tracking server with an append-only Parquet
-table ``<base>/_runs`` (one row per metric); batch scoring loads a saved
-``PipelineModel`` and is an ordinary DataFrame transform.
+table ``<base>/_runs`` (one row per metric); batch scoring loads what
+``ml.persist`` saved and is an ordinary DataFrame transform.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 import uuid
-from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml import feature as MF
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from ..operators.features import scale
 from ..operators.profile import feature_values
 from ..operators.relational import kind_of, q
-from . import core
+from . import core, persist
 
 RUN_SCHEMA = ("run_id string, experiment string, model string, metric string, value double, "
               "tags map<string,string>, ts timestamp_ntz")
@@ -29,13 +28,23 @@ RUN_SCHEMA = ("run_id string, experiment string, model string, metric string, va
 def train_many(df: DataFrame, x_cols, y: str, kinds, task: str, key: str, test_size: float = 0.2,
                scaler: str | None = "standard", order_by=None):
     """M-23: fit several models on the same split; returns ({kind: TrainResult},
-    metrics frame with a ``model`` column)."""
-    results = {}
-    for kind in kinds:
-        results[kind] = core.train(df, x_cols, y, kind, task, key, test_size, scaler, order_by)
-    metrics = reduce(lambda a, b: a.unionByName(b),
-                     [r.metrics.select(F.lit(k).alias("model"), "*") for k, r in results.items()])
-    return results, metrics
+    metrics frame with a ``model`` column).
+
+    Split and preparation are computed once, from one scan of ``df``, and
+    released at the end; the metrics (a few numbers a model) are computed before."""
+    prepared = core.prepare(df, x_cols, y, task, key, test_size, scaler, order_by)
+    results, rows = {}, []
+    try:
+        prepared.test = prepared.test.persist()
+        prepared.held.append(prepared.test)
+        for kind in kinds:
+            r = results[kind] = core.fit(prepared, kind)
+            own = [(kind, m["metric"], m["value"]) for m in r.metrics.collect()]
+            rows += own
+            r.metrics = df.sparkSession.createDataFrame([m[1:] for m in own], "metric string, value double")
+    finally:
+        prepared.release()
+    return results, df.sparkSession.createDataFrame(rows, "model string, metric string, value double")
 
 
 def runs_path(base: str) -> str:
@@ -71,20 +80,24 @@ def runs(spark: SparkSession, base: str, experiment: str | None = None, tag: tup
 
 
 def save_model(result: core.TrainResult, path: str) -> str:
-    """Persist preparation + estimator as one ``PipelineModel`` (Spark ML estimators)."""
-    PipelineModel(stages=list(result.prep.stages) + [result.model]).write().overwrite().save(path)
-    return path
+    """M-25: persist preparation and model of any learner in one folder."""
+    return persist.save(result, path)
 
 
 def score(path: str, df: DataFrame, inverse_labels: bool = True) -> DataFrame:
     """M-25: batch scoring with the stored preprocessing; class indices are
-    mapped back to the training labels."""
-    model = PipelineModel.load(path)
-    out = model.transform(df)
-    indexers = [s for s in model.stages if isinstance(s, MF.StringIndexerModel) and s.getOutputCol() == "label"]
-    if inverse_labels and indexers:
+    mapped back to the training labels.  ``df`` needs no label column."""
+    prep, model, about = persist.load(df.sparkSession, path)
+    label = prep.stages[-1]
+    indexed = isinstance(label, MF.StringIndexerModel) and label.getOutputCol() == "label"
+    if indexed and label.getInputCol() not in df.columns:
+        prep = PipelineModel(stages=prep.stages[:-1])
+    elif indexed:
+        label.setHandleInvalid("keep")  # a label that training never saw is no reason not to score its row
+    out = model.transform(prep.transform(df))
+    if inverse_labels and indexed:
         out = MF.IndexToString(inputCol="prediction", outputCol="predicted_label",
-                               labels=indexers[0].labels).transform(out)
+                               labels=label.labels).transform(out.withColumn("prediction", F.col("prediction").cast("double")))
     return out
 
 

@@ -186,6 +186,70 @@ def m03_scaler(spark, sf):
     return model.transform(df).select("row_key", vector_to_array("features").alias("features"))
 
 
+@register("m02_feature_columns", """
+WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS f0, l_discount::DOUBLE AS f1, l_returnflag, l_linestatus FROM lineitem),
+r AS (SELECT l_returnflag, row_number() OVER (ORDER BY l_returnflag) - 1 AS k FROM (SELECT DISTINCT l_returnflag FROM l)),
+s AS (SELECT l_linestatus, row_number() OVER (ORDER BY l_linestatus) - 1 AS k FROM (SELECT DISTINCT l_linestatus FROM l))
+SELECT l_orderkey, l_linenumber, f0, f1, (r.k = 0)::INT::DOUBLE AS f2, (r.k = 1)::INT::DOUBLE AS f3, (r.k = 2)::INT::DOUBLE AS f4,
+       (s.k = 0)::INT::DOUBLE AS f5, (s.k = 1)::INT::DOUBLE AS f6
+FROM l JOIN r USING (l_returnflag) JOIN s USING (l_linestatus)""")
+def m02_feature_columns(spark, sf):
+    """The assembled vector, one column a component: numbers as they are, then the levels of each text column in order."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus")
+    stages = M.feature_stages(df, ["l_quantity", "l_discount", "l_returnflag", "l_linestatus"], "regression")
+    v = Pipeline(stages=stages).fit(df).transform(df).withColumn("v", vector_to_array("features_raw"))
+    return v.select("l_orderkey", "l_linenumber", *[F.col("v")[i].alias(f"f{i}") for i in range(7)])
+
+
+#: Centre and spread of each scaler in SQL.
+_SCALERS = {"standard": ("avg({c})", "stddev_pop({c})"), "minmax": ("min({c})", "max({c}) - min({c})"),
+            "robust": ("quantile_cont({c}, 0.5)", "quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)")}
+
+
+def _scaler_sql(kind):
+    cols = ("l_quantity", "l_extendedprice", "constant")
+    stats = ", ".join(f"{e.format(c=c)} AS {n}_{c}" for c in cols for n, e in zip("cs", _SCALERS[kind]))
+    out = ", ".join(f"round(({c} - c_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END, 4) AS {c}_scaled" for c in cols)
+    return f"""
+WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS l_quantity, l_extendedprice::DOUBLE AS l_extendedprice, 7.0::DOUBLE AS constant,
+                  {_HASH_UNIT.format(k='l_orderkey')} >= 0.2 AS train FROM lineitem),
+s AS (SELECT {stats} FROM l WHERE train)
+SELECT l_orderkey, l_linenumber, {out} FROM l, s"""
+
+
+def _scaled(kind):
+    def run(spark, sf):
+        """A scaler stage fitted on the training part and applied to all rows, a constant column among them."""
+        from pyspark.ml import Pipeline
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.functions import vector_to_array
+        cols = ["l_quantity", "l_extendedprice", "constant"]
+        df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice").withColumn("constant", F.lit(7.0))
+        tr, _ = M.split(df, "l_orderkey", 0.2)
+        stages = [VectorAssembler(inputCols=cols, outputCol="features_raw"), M.scaler_stage(kind)]
+        out = Pipeline(stages=stages).fit(tr).transform(df).withColumn("v", vector_to_array("features"))
+        return r4(out.select("l_orderkey", "l_linenumber", *[F.col("v")[i].alias(f"{c}_scaled") for i, c in enumerate(cols)]))
+    return run
+
+
+for _kind in _SCALERS:
+    register(f"m03_scaler_{_kind}", _scaler_sql(_kind))(_scaled(_kind))
+
+
+@register("m11_sgd_one_feature", """
+WITH w AS (SELECT covar_pop(l_extendedprice, l_quantity) / (var_pop(l_quantity) + 0.0001) AS slope,
+                  avg(l_extendedprice) AS my, avg(l_quantity) AS mx FROM lineitem)
+SELECT round(slope, 4) AS slope, round(my - slope * mx, 4) AS intercept FROM w""")
+def m11_sgd_one_feature(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+    from ..ml.custom import fit_sgd_regressor
+    x = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(table(spark, sf, "lineitem"))
+    model = fit_sgd_regressor(x, "l_extendedprice")
+    return r4(spark.createDataFrame([(float(model.coef[0]), model.intercept)], "slope double, intercept double"))
+
+
 register("m05_xgboost_regressor")(_reg("xgboost"))
 register("m06_tree_regressor")(_reg("tree"))
 register("m07_forest_regressor")(_reg("forest"))
