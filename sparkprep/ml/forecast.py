@@ -4,13 +4,18 @@ The reference fits one automatic seasonal ARIMA / Prophet / recurrent network
 per request on one pandas series.  Here every series of a panel is fitted in
 the same Spark jobs:
 
-* the design columns (lags, trend hinges, Fourier terms) are window or scalar
-  expressions, computed on the halo-chunk plan;
-* each series' least-squares problem is reduced to its cross-product sums by
-  one ``groupBy(key).agg`` (partial aggregation first, so a hot series is
-  pre-aggregated on every task);
-* only the tiny per-series solves and the h-step recursions run in
-  ``applyInPandas`` (one row of sums, or the last few values, per series).
+* missing values are filled forward, then backward within their series (N-12);
+* ``_panel`` numbers the rows once, by (keys, time), and writes them: a series
+  is known by the index of its first row, so null keys are keys like others,
+  and what a series has in common (size, first and last time) reaches its rows
+  by (range bucket, key).  No join or window holds a whole series;
+* the design (lags, trend hinges, Fourier terms) of a batch of rows is an
+  array, and its cross products are one matrix a run of rows of a series;
+  matrices are added in two levels (``_grams``);
+* only the tiny per-series solves and the h-step recursions see one row of
+  sums, or the last few values, per series.
+
+A series without any value has no forecast.
 """
 
 from __future__ import annotations
@@ -19,61 +24,83 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import windows as W
+from ..operators.nulls import impute_for_model
 from ..operators.timeseries import FREQ_STEP
 from ..plans import ordered as O
+from ..session import cut_lineage
 
-_ONE = "__one"
+#: Matrices of one series that are added by one task.
+FAN = 1024
 
 
 def _keys(key):
     return [] if key is None else ([key] if isinstance(key, str) else list(key))
 
 
-def _with_key(df: DataFrame, key):
-    """A single string series key (``__series``) for the grouped steps."""
-    keys = _keys(key)
-    if not keys:
-        return df.withColumn("__series", F.lit("all"))
-    return df.withColumn("__series", F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
-
-
-def _moments(df: DataFrame, names, target: str) -> DataFrame:
-    """Per series: n and all sums x_i·x_j, x_i·y, y·y over complete rows."""
-    cols = [F.lit(1.0) if c == _ONE else F.col(c).cast("double") for c in names]
-    y = F.col(target).cast("double")
-    ok = F.lit(True)
-    for c in names:
-        if c != _ONE:
-            ok = ok & F.col(c).isNotNull()
-    ok = ok & y.isNotNull()
-    d = df.where(ok)
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(y * y).alias("yy")]
-    aggs += [F.sum(cols[i] * y).alias(f"xy_{i}") for i in range(len(names))]
-    aggs += [F.sum(cols[i] * cols[j]).alias(f"xx_{i}_{j}") for i in range(len(names)) for j in range(i, len(names))]
-    return d.groupBy("__series").agg(*aggs)
-
-
-def _unpack(row, k):
-    xtx = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            xtx[i, j] = xtx[j, i] = row[f"xx_{i}_{j}"]
-    xty = np.array([row[f"xy_{i}"] for i in range(k)])
-    return xtx, xty
-
-
-def _solve(xtx, xty, ridge=1e-8, penalised=None):
+def _panel(df: DataFrame, ts: str, y: str, keys: list) -> DataFrame:
+    """(keys, ts, y, __sid, __pos, __n, __t0, __t1) of every row, filled, numbered and written once."""
+    filled = impute_for_model(df.select(*keys, ts, F.col(y).cast("double").alias(y)), [ts], [y], keys or None)
+    rows = O.series_index(filled, [ts], keys or None, name="__pos", size_name="__n", id_name="__sid", ends=(ts, "__t0", "__t1"))
+    return cut_lineage(rows.where(F.col(y).isNotNull()))
+
+
+def _series(panel: DataFrame, keys: list) -> DataFrame:
+    """One row per series: __sid, keys, __n, __t0, __t1."""
+    return panel.where("__pos = 0").select("__sid", *keys, "__n", "__t0", "__t1")
+
+
+def _grams(rows: DataFrame, design) -> DataFrame:
+    """(__sid, m): for each series the cross products of ``design(batch)``, an array with the target as its last column.
+
+    ``rows`` has ``__sid``; rows that ``design`` marks with NaN are left out.  A task adds up while the series stays the same."""
+    def partial(batches):
+        part, slot, sid, total = TaskContext.get().partitionId(), 0, None, None
+        for b in batches:
+            x = design(b)
+            ids = b.column(b.schema.get_field_index("__sid")).to_numpy()
+            good = ~np.isnan(x).any(axis=1)
+            x, ids = x[good], ids[good]
+            cut = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]]) if len(ids) else []
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                if ids[lo] != sid:
+                    if total is not None:
+                        yield one(sid, part + slot, total)
+                        slot += 1
+                    sid, total = ids[lo], 0.0
+                total = total + x[lo:hi].T @ x[lo:hi]
+        if total is not None:
+            yield one(sid, part + slot, total)
+
+    def one(sid, slot, total):
+        return pa.RecordBatch.from_arrays([pa.array([sid], pa.int64()), pa.array([slot % FAN], pa.int32()), pa.array([total.tobytes()], pa.binary())],
+                                          ["__sid", "slot", "m"])
+
+    def added(t: pa.Table) -> pa.Table:
+        m = sum(np.frombuffer(v.as_buffer(), dtype=np.float64) for v in t.column("m"))
+        return pa.table([t.column("__sid")[:1], t.column("slot")[:1], pa.array([m.tobytes()], pa.binary())], names=["__sid", "slot", "m"])
+
+    fields = "__sid bigint, slot int, m binary"
+    parts = rows.mapInArrow(partial, fields)
+    for keys in (["__sid", "slot"], ["__sid"]):
+        parts = parts.groupBy(*keys).applyInArrow(added, fields)
+    return parts.select("__sid", "m")
+
+
+def _matrix(m: bytes) -> np.ndarray:
+    flat = np.frombuffer(m, dtype=np.float64)
+    return flat.reshape(math.isqrt(len(flat)), -1)
+
+
+def _solve(xtx, xty, ridge=1e-8):
     k = len(xty)
-    reg = np.zeros(k)
-    if penalised is not None:
-        reg[penalised] = 1.0
-    else:
-        reg[1:] = 1.0
+    reg = np.ones(k)
+    reg[0] = 0.0
     scale = max(1.0, float(np.trace(xtx)) / k)
     return np.linalg.solve(xtx + ridge * scale * np.diag(reg), xty)
 
@@ -94,82 +121,81 @@ def forecast_ar(df: DataFrame, ts: str, y: str, m: int = 0, horizon: int = 12, k
     steps.  Output: key columns, ``step``, ``ts``, ``forecast``."""
     keys = _keys(key)
     reach = max(max_p, m)
-    base = _with_key(df.select(*keys, ts, y), key)
+    panel = _panel(df, ts, y, keys)
+    lags = [*range(1, max_p + 1), *([m] if m > 0 else [])]
 
     def compute(w):
-        out = {f"__l{k}": F.lag(F.col(y), k).over(w) for k in range(1, max_p + 1)}
-        if m > 0:
-            out["__lm"] = F.lag(F.col(y), m).over(w)
-        return out
-
-    lagged = O.halo_window(base, [ts], ["__series"], reach, 0, compute, chunk_rows)
-    names = [_ONE] + [f"__l{k}" for k in range(1, max_p + 1)] + (["__lm"] if m > 0 else [])
-    mom = _moments(lagged, names, y)
-    n_names = len(names)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf.iloc[0]
-        xtx, xty = _unpack(row, n_names)
-        n, best = row["n"], None
-        for p in range(1, max_p + 1):
-            idx = [0] + list(range(1, p + 1)) + ([n_names - 1] if m > 0 else [])
-            if n <= len(idx) + 1:
-                continue
-            a, b = xtx[np.ix_(idx, idx)], xty[idx]
-            beta = _solve(a, b)
-            rss = max(row["yy"] - 2 * beta @ b + beta @ a @ beta, 1e-12)
-            aic = n * math.log(rss / n) + 2 * len(idx)
-            if best is None or aic < best[0]:
-                coef = np.zeros(n_names)
-                coef[idx] = beta
-                best = (aic, p, coef)
-        if best is None:
-            coef = np.zeros(n_names)
-            coef[0] = row["xy_0"] / max(row["n"], 1)
-            best = (0.0, 0, coef)
-        return pd.DataFrame({"__series": [row["__series"]], "p": [best[1]], "coef": [best[2].tolist()]})
-
-    coefs = mom.groupBy("__series").applyInPandas(fit, "__series string, p int, coef array<double>")
-    # last `reach` values of every series (bounded per series), oldest first
-    pos = O.series_index(base, [ts], ["__series"], name="__pos")
-    n_per = base.groupBy("__series").agg(F.count(F.lit(1)).alias("__n"), F.max(ts).alias("__last"))
-    tail = (pos.join(n_per, "__series").where(F.col("__pos") >= F.col("__n") - reach)
-            .select("__series", "__pos", F.col(y).cast("double").alias("__y")))
-    job = tail.join(coefs, "__series")
-
-    def recurse(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__pos")
-        hist = list(pdf["__y"].astype(float))
-        coef = np.array(pdf["coef"].iloc[0], dtype=float)
-        out = []
-        for step in range(1, horizon + 1):
-            x = [1.0] + [hist[-k] if len(hist) >= k else 0.0 for k in range(1, max_p + 1)]
-            if m > 0:
-                x.append(hist[-m] if len(hist) >= m else 0.0)
-            yhat = float(np.dot(coef, x))
-            hist.append(yhat)
-            out.append((pdf["__series"].iloc[0], step, yhat))
-        return pd.DataFrame(out, columns=["__series", "step", "forecast"])
-
-    fc = job.groupBy("__series").applyInPandas(recurse, "__series string, step int, forecast double")
-    return _label(fc, n_per, base, keys, ts, freq)
-
-
-def _label(fc: DataFrame, n_per: DataFrame, base: DataFrame, keys, ts: str, freq: str) -> DataFrame:
-    key_map = base.select("__series", *keys).dropDuplicates(["__series"])
-    out = fc.join(n_per.select("__series", "__last"), "__series").join(key_map, "__series")
-    return out.select(*keys, "step", _step_expr(F.col("__last"), F.col("step"), freq).alias(ts), "forecast")
+        return {"__x": F.array(*[F.lag(F.col(y), k).over(w) for k in lags], F.col(y))}
+
+    indexed = panel.select("__sid", "__pos", y, (F.col("__sid") + F.col("__pos")).alias("__idx"))
+    rows = O.halo(indexed, panel.count(), ["__sid"], reach, 0, compute, chunk_rows).where(F.col("__pos") >= reach).select("__sid", "__x")
+
+    def design(b):
+        x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+        return np.hstack([np.ones((len(x), 1)), x])
+
+    names = 1 + len(lags)
+
+    def fit(pdfs):
+        for pdf in pdfs:
+            out = []
+            for sid, own in zip(pdf["__sid"], pdf["m"]):
+                g = _matrix(own)
+                n, xtx, xty, yy, best = g[0, 0], g[:names, :names], g[:names, names], g[names, names], None
+                for p in range(1, max_p + 1):
+                    idx = [0, *range(1, p + 1), *([names - 1] if m > 0 else [])]
+                    if n <= len(idx) + 1:
+                        continue
+                    beta = _solve(xtx[np.ix_(idx, idx)], xty[idx])
+                    rss = max(yy - 2 * beta @ xty[idx] + beta @ xtx[np.ix_(idx, idx)] @ beta, 1e-12)
+                    aic = n * math.log(rss / n) + 2 * len(idx)
+                    if best is None or aic < best[0]:
+                        coef = np.zeros(names)
+                        coef[idx] = beta
+                        best = (aic, coef)
+                if best is None:  # too short for any lag: the mean of what there is
+                    best = (0.0, np.r_[xty[0] / n, np.zeros(names - 1)])
+                out.append((sid, best[1].tolist()))
+            yield pd.DataFrame(out, columns=["__sid", "coef"])
+
+    coefs = _grams(rows, design).mapInPandas(fit, "__sid bigint, coef array<double>")
+    # the last `reach` values of every series (bounded per series), oldest first; a series of no more rows has no sums: its mean
+    tail = panel.where(F.col("__pos") >= F.col("__n") - reach).groupBy("__sid").agg(
+        F.sort_array(F.collect_list(F.struct("__pos", y))).getField(y).alias("hist"))
+    job = tail.join(coefs, "__sid", "left")
+
+    def recurse(pdfs):
+        for pdf in pdfs:
+            out = []
+            for sid, hist, coef in zip(pdf["__sid"], pdf["hist"], pdf["coef"]):
+                hist = [float(v) for v in hist]
+                coef = np.r_[np.mean(hist), np.zeros(names - 1)] if coef is None else np.asarray(coef, dtype=float)
+                for step in range(1, horizon + 1):
+                    x = [1.0] + [hist[-k] if len(hist) >= k else 0.0 for k in lags]
+                    hist.append(float(coef @ x))
+                    out.append((sid, step, hist[-1]))
+            yield pd.DataFrame(out, columns=["__sid", "step", "forecast"])
+
+    fc = job.mapInPandas(recurse, "__sid bigint, step int, forecast double")
+    return _label(fc, panel, keys, ts, freq)
+
+
+def _label(fc: DataFrame, panel: DataFrame, keys: list, ts: str, freq: str) -> DataFrame:
+    out = fc.join(_series(panel, keys), "__sid")
+    return out.select(*keys, "step", _step_expr(F.col("__t1"), F.col("step"), freq).alias(ts), "forecast")
 
 
 # ---- F-02 trend + Fourier seasonality -------------------------------------------------------
 
-def _fourier(t_days, period: float, order: int, prefix: str):
-    cols = {}
-    for k in range(1, order + 1):
-        ang = F.lit(2 * math.pi * k / period) * t_days
-        cols[f"{prefix}s{k}"] = F.sin(ang)
-        cols[f"{prefix}c{k}"] = F.cos(ang)
-    return cols
+def _trend_design(days, total, n_changepoints, changepoint_range, weekly, yearly):
+    """Columns 1, share of the span, hinges, then sines and cosines of the week and the year, for days since the first row."""
+    share = days / total
+    cols = [np.ones(len(days)), share]
+    cols += [np.maximum(share - changepoint_range * (j + 1) / (n_changepoints + 1), 0.0) for j in range(n_changepoints)]
+    for period, order in ((7.0, weekly), (365.25, yearly)):
+        for k in range(1, order + 1):
+            cols += [np.sin(2 * math.pi * k / period * days), np.cos(2 * math.pi * k / period * days)]
+    return np.stack(cols, axis=1)
 
 
 def forecast_trend_seasonal(df: DataFrame, ts: str, y: str, horizon: int = 30, key=None, freq: str = "D",
@@ -179,48 +205,38 @@ def forecast_trend_seasonal(df: DataFrame, ts: str, y: str, horizon: int = 30, k
     first 80 % of each series' span) plus weekly and yearly Fourier terms,
     fitted per series by ridge least squares; forecasts ``horizon`` steps."""
     keys = _keys(key)
-    base = _with_key(df.select(*keys, ts, y), key)
-    span = base.groupBy("__series").agg(F.min(ts).alias("__t0"), F.max(ts).alias("__t1"),
-                                        F.count(F.lit(1)).alias("__n"))
-
-    def design(frame, t_col):
-        days = F.timestamp_diff("SECOND", F.col("__t0"), t_col) / 86400.0
-        total = F.greatest(F.timestamp_diff("SECOND", F.col("__t0"), F.col("__t1")) / 86400.0, F.lit(1e-9))
-        cols = {"__t": days / total}
-        for j in range(n_changepoints):
-            c = changepoint_range * (j + 1) / (n_changepoints + 1)
-            cols[f"__h{j}"] = F.greatest(days / total - F.lit(c), F.lit(0.0))
-        if weekly:
-            cols.update(_fourier(days, 7.0, weekly, "__w"))
-        if yearly:
-            cols.update(_fourier(days, 365.25, yearly, "__y"))
-        return frame.withColumns(cols)
-
-    train = design(base.join(span, "__series"), F.col(ts))
-    feat = ["__t"] + [f"__h{j}" for j in range(n_changepoints)]
-    feat += [f"__w{p}{k}" for k in range(1, weekly + 1) for p in "sc"] if weekly else []
-    feat += [f"__y{p}{k}" for k in range(1, yearly + 1) for p in "sc"] if yearly else []
-    names = [_ONE] + feat
-    mom = _moments(train, names, y)
-    k = len(names)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf.iloc[0]
-        xtx, xty = _unpack(row, k)
-        beta = _solve(xtx, xty, ridge=ridge)
-        return pd.DataFrame({"__series": [row["__series"]], "coef": [beta.tolist()]})
-
-    coefs = mom.groupBy("__series").applyInPandas(fit, "__series string, coef array<double>")
-    future = (span.join(coefs, "__series")
+    panel = _panel(df, ts, y, keys)
+    shape = (n_changepoints, changepoint_range, weekly, yearly)
+
+    def days(frm, to):
+        return F.timestamp_diff("SECOND", frm, to) / 86400.0
+
+    span = F.greatest(days(F.col("__t0"), F.col("__t1")), F.lit(1e-9))
+    rows = panel.select("__sid", days(F.col("__t0"), F.col(ts)).alias("d"), span.alias("total"), y)
+
+    def design(b):
+        d, total, value = (b.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in (1, 2, 3))
+        return np.hstack([_trend_design(d, total, *shape), value[:, None]])
+
+    def fit(pdfs):
+        for pdf in pdfs:
+            own = [_matrix(m) for m in pdf["m"]]
+            yield pd.DataFrame({"__sid": pdf["__sid"], "coef": [_solve(g[:-1, :-1], g[:-1, -1], ridge).tolist() for g in own]})
+
+    coefs = _grams(rows, design).mapInPandas(fit, "__sid bigint, coef array<double>")
+    future = (_series(panel, keys).join(coefs, "__sid")
               .withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))  # horizon rows per series
-              .withColumn("__ft", _step_expr(F.col("__t1"), F.col("step"), freq)))
-    future = design(future, F.col("__ft"))
-    pred = F.col("coef")[0]
-    for i, c in enumerate(feat):
-        pred = pred + F.col("coef")[i + 1] * F.col(c)
-    key_map = base.select("__series", *keys).dropDuplicates(["__series"])
-    return (future.join(key_map, "__series")
-            .select(*keys, "step", F.col("__ft").alias(ts), pred.alias("forecast")))
+              .withColumn("__ft", _step_expr(F.col("__t1"), F.col("step"), freq))
+              .withColumns({"__d": days(F.col("__t0"), F.col("__ft")), "__total": span}))
+
+    @F.pandas_udf("double")
+    def predicted(d: pd.Series, total: pd.Series, coef: pd.Series) -> pd.Series:
+        if not len(d):
+            return pd.Series([], dtype=float)
+        x = _trend_design(d.to_numpy(), total.to_numpy(), *shape)
+        return pd.Series((x * np.stack(coef.to_numpy())).sum(axis=1))
+
+    return future.select(*keys, "step", F.col("__ft").alias(ts), predicted("__d", "__total", "coef").alias("forecast"))
 
 
 # ---- F-03 windowed sequence model -----------------------------------------------------------
@@ -233,35 +249,27 @@ def forecast_windows(df: DataFrame, ts: str, y: str, length: int = 10, horizon:
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import GBTRegressor
 
-    from ..session import cut_lineage
-
     keys = _keys(key)
-    base = _with_key(df.select(*keys, ts, y), key)
-    wins = W.sequence_windows(base, y, length, [ts], ["__series"], chunk_rows)
+    panel = _panel(df, ts, y, keys)
+    wins = W.sequence_windows(panel.select("__sid", ts, y), y, length, [ts], ["__sid"], chunk_rows)
     train = wins.select(array_to_vector("window").alias("features"), F.col("target").alias("label"))
     model = GBTRegressor(maxIter=max_iter, maxDepth=4, seed=42).fit(train)
-    pos = O.series_index(base, [ts], ["__series"], name="__pos")
-    n_per = base.groupBy("__series").agg(F.count(F.lit(1)).alias("__n"), F.max(ts).alias("__last"))
-    last = (pos.join(n_per, "__series").where(F.col("__pos") >= F.col("__n") - length)
-            .groupBy("__series", "__n")
-            .agg(F.sort_array(F.collect_list(F.struct("__pos", F.col(y).cast("double").alias("v")))).alias("__s"))
-            .where(F.col("__n") >= length)
-            .select("__series", F.transform("__s", lambda s: s["v"]).alias("window")))
-    cur = last
+    cur = (panel.where((F.col("__pos") >= F.col("__n") - length) & (F.col("__n") >= length)).groupBy("__sid")
+           .agg(F.sort_array(F.collect_list(F.struct("__pos", y))).getField(y).alias("window")))
     outs = []
     for step in range(1, horizon + 1):
         scored = model.transform(cur.withColumn("features", array_to_vector("window")))
-        scored = scored.select("__series", "window", F.col("prediction").alias("forecast")).withColumn(
+        scored = scored.select("__sid", "window", F.col("prediction").alias("forecast")).withColumn(
             "step", F.lit(step))
         if step % 5 == 0:
             scored = cut_lineage(scored)  # one row per series; keeps the recursion plan short
-        outs.append(scored.select("__series", "step", "forecast"))
-        cur = scored.select("__series", F.concat(F.slice("window", 2, length - 1),
-                                                 F.array(F.col("forecast"))).alias("window"))
+        outs.append(scored.select("__sid", "step", "forecast"))
+        cur = scored.select("__sid", F.concat(F.slice("window", 2, length - 1),
+                                              F.array(F.col("forecast"))).alias("window"))
     fc = outs[0]
     for o in outs[1:]:
         fc = fc.unionByName(o)
-    return _label(fc, n_per, base, keys, ts, freq)
+    return _label(fc, panel, keys, ts, freq)
 
 
 # ---- F-05 backtest ----------------------------------------------------------------------------
@@ -279,6 +287,9 @@ def backtest(df: DataFrame, ts: str, y: str, method: str = "ar", test_size: floa
     horizon = int(test.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) if keys else test.count()
     fn = {"ar": forecast_ar, "trend": forecast_trend_seasonal, "windows": forecast_windows}[method]
     fc = fn(train, ts, y, horizon=max(horizon, 1), key=key, freq=freq, **kw)
-    tpos = O.series_index(test, [ts], keys or None, name="__pos").withColumn("step", F.col("__pos") + 1)
-    joined = tpos.join(fc.drop(ts), keys + ["step"]) if keys else tpos.join(fc.drop(ts), ["step"])
-    return regression_metrics(joined, y, "forecast", with_rmse=False)
+    tpos = O.series_index(test, [ts], keys or None, name="__pos").select(*keys, y, (F.col("__pos") + 1).alias("__step"))
+    fc = fc.select(*[F.col(k).alias(f"__k{j}") for j, k in enumerate(keys)], "step", "forecast")
+    same = F.col("__step") == F.col("step")
+    for j, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{j}"))
+    return regression_metrics(tpos.join(fc, same).select(y, "forecast"), y, "forecast", with_rmse=False)

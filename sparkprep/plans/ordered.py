@@ -151,32 +151,43 @@ def _indexed(df: DataFrame, order_by, partition_by, n_buckets, name: str, keep_b
 
 
 def series_index(df: DataFrame, order_by, partition_by=None, n_buckets: int | None = None,
-                 name: str = "__pos", size_name: str | None = None) -> DataFrame:
+                 name: str = "__pos", size_name: str | None = None, id_name: str | None = None, ends: tuple | None = None) -> DataFrame:
     """0-based position inside each series (global index minus the series start).
 
-    ``size_name`` also adds the number of rows of the row's series."""
+    ``size_name`` also adds the number of rows of the row's series, ``id_name``
+    a number of the series (the index of its first row), and ``ends`` =
+    (column, first, last) the column's smallest and largest value in the series."""
     keys = _as_list(partition_by)
+    extra = [c for c in (size_name, id_name, *(ends or ())[1:]) if c]
     if not keys:
         out = with_row_index(df, order_by, None, n_buckets, name)
-        if size_name:
+        if id_name:
+            out = out.withColumn(id_name, F.lit(0).cast("long"))
+        aggs = [F.count(F.lit(1)).alias(size_name)] if size_name else []
+        aggs += [F.min(ends[0]).alias(ends[1]), F.max(ends[0]).alias(ends[2])] if ends else []
+        if aggs:
             from ..operators.profile import attach_scalars
-            out = attach_scalars(out, df.agg(F.count(F.lit(1)).alias(size_name)))
-        return out
+            out = attach_scalars(out, df.agg(*aggs))
+        return out.select(*[F.col(c) for c in df.columns], name, *extra)
     idx = with_row_index(df, order_by, keys, n_buckets, "__gidx", keep_bucket=True)
-    # A series' start (and size) reaches its rows through a (bucket, key) table:
+    # What a series has in common reaches its rows through a (bucket, key) table:
     # at most buckets + series rows, and a hot series is spread over many
     # buckets, so neither this join nor the per-key window (<= buckets rows)
     # meets a hot key.
+    edge = [F.min(ends[0]).alias("__e0"), F.max(ends[0]).alias("__e1")] if ends else []
     firsts = idx.groupBy("__bucket", *keys).agg(F.min("__gidx").alias("__bmin"),
-                                                F.count(F.lit(1)).alias("__bcnt"))
+                                                F.count(F.lit(1)).alias("__bcnt"), *edge)
     per_key = Window.partitionBy(*keys)
-    size = [F.sum("__bcnt").over(per_key).alias(size_name)] if size_name else []
-    starts = firsts.select(F.col("__bucket").alias("__sb"), *[F.col(k).alias(f"__sk{j}") for j, k in enumerate(keys)],
-                           F.min("__bmin").over(per_key).alias("__start"), *size)
+    common = [F.min("__bmin").over(per_key).alias("__start")]
+    common += [F.sum("__bcnt").over(per_key).alias(size_name)] if size_name else []
+    common += [F.min("__e0").over(per_key).alias(ends[1]), F.max("__e1").over(per_key).alias(ends[2])] if ends else []
+    starts = firsts.select(F.col("__bucket").alias("__sb"), *[F.col(k).alias(f"__sk{j}") for j, k in enumerate(keys)], *common)
     cond = [F.col("__bucket") == F.col("__sb")] + [F.col(k).eqNullSafe(F.col(f"__sk{j}"))
                                                   for j, k in enumerate(keys)]
-    return (idx.join(starts, cond).withColumn(name, F.col("__gidx") - F.col("__start"))
-            .drop("__start", "__gidx", "__bucket", "__sb", *[f"__sk{j}" for j in range(len(keys))]))
+    out = idx.join(starts, cond).withColumn(name, F.col("__gidx") - F.col("__start"))
+    if id_name:
+        out = out.withColumn(id_name, F.col("__start"))
+    return out.select(*[F.col(c) for c in df.columns], name, *extra)
 
 
 def halo_window(df: DataFrame, order_by, partition_by, before: int, after: int, compute,
@@ -189,19 +200,22 @@ def halo_window(df: DataFrame, order_by, partition_by, before: int, after: int,
     The result keeps every input row exactly once.
     """
     keys = _as_list(partition_by)
-    c = max(chunk_rows or DEFAULT_CHUNK_ROWS, 2 * (before + after) + 1)
     idx_df, rows = _indexed(df, order_by, keys, n_buckets, "__idx")
+    return halo(idx_df, rows, keys, before, after, compute, chunk_rows)
+
+
+def halo(indexed: DataFrame, rows: int, keys, before: int, after: int, compute, chunk_rows: int | None = None) -> DataFrame:
+    """``halo_window`` over ``rows`` rows that have their global index ``__idx`` already."""
+    c = max(chunk_rows or DEFAULT_CHUNK_ROWS, 2 * (before + after) + 1)
     idx = F.col("__idx")
     first_chunk = F.floor((idx - after) / c)
     last_chunk = F.floor((idx + before) / c)
-    home = F.floor(idx / c)
-    rep = (idx_df.withColumn("__home", home)
+    rep = (indexed.withColumn("__home", F.floor(idx / c))
            .withColumn("__chunk", F.explode(F.sequence(F.greatest(first_chunk, F.lit(0)).cast("long"),
                                                        last_chunk.cast("long")))))
     rep = _spread(rep, rows, "__chunk")
     w = Window.partitionBy("__chunk", *keys).orderBy("__idx")
-    cols = compute(w)
-    out = rep.withColumns(cols).where(F.col("__chunk") == F.col("__home"))
+    out = rep.withColumns(compute(w)).where(F.col("__chunk") == F.col("__home"))
     return out.drop("__chunk", "__home")
 
 

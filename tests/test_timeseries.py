@@ -104,3 +104,48 @@ def test_forecast_ar_recovers_seasonal_pattern(spark):
     y = np.tile(pattern, 30) + np.random.default_rng(7).normal(scale=0.01, size=210)
     fc = forecast_ar(_series(spark, y), "t", "y", m=7, horizon=7, max_p=2).orderBy("step").toPandas()
     assert np.allclose(fc["forecast"].values, pattern, atol=0.2)
+
+
+def _panel_frame(spark, days=60):
+    """Four series over two keys, with nulls in either; values differ by series and a gap stands near one's end."""
+    import datetime as dt
+    rows, t0 = [], dt.datetime(2021, 1, 1)
+    for s, (a, b, level) in enumerate([("a", None, 10.0), (None, "a", 500.0), ("a", "a", 2000.0), ("a|", "a", 7000.0)]):
+        for i in range(days):
+            v = level + [3, 1, 4, 1, 5, 9, 2][i % 7]
+            rows.append((a, b, t0 + dt.timedelta(days=i), None if s == 0 and i == days - 3 else v))
+    rows.append(("empty", None, t0, None))
+    return spark.createDataFrame(rows, "a string, b string, t timestamp_ntz, y double")
+
+
+@pytest.mark.parametrize("name,kw,tol", [("forecast_ar", dict(m=7, max_p=2, chunk_rows=25), 3.0), ("forecast_trend_seasonal", dict(yearly=0, ridge=1e-8), 2.0),
+                                         ("forecast_windows", dict(length=7, max_iter=20), 400.0)])
+def test_forecasts_keep_series_with_null_keys_apart(spark, name, kw, tol):
+    from sparkprep.ml import forecast as FC
+    fc = getattr(FC, name)(_panel_frame(spark), "t", "y", horizon=7, key=["a", "b"], **kw).toPandas()
+    assert len(fc) == 4 * 7 and fc["forecast"].notna().all()
+    for (a, b), level in {("a", None): 10, (None, "a"): 500, ("a", "a"): 2000, ("a|", "a"): 7000}.items():
+        own = fc[(fc.a.isna() if a is None else fc.a == a) & (fc.b.isna() if b is None else fc.b == b)].sort_values("step")
+        want = level + np.array([[3, 1, 4, 1, 5, 9, 2][(60 + i) % 7] for i in range(7)])
+        assert list(own.step) == list(range(1, 8)) and np.abs(own.forecast.to_numpy() - want).max() < tol
+        assert str(own.t.iloc[0].date()) == "2021-03-02"
+
+
+def test_backtest_scores_null_keyed_series(spark):
+    from sparkprep.ml import forecast as FC
+    got = {r.metric: r.value for r in FC.backtest(_panel_frame(spark).where("y IS NOT NULL"), "t", "y", key=["a", "b"], m=7, max_p=2).collect()}
+    assert got["R2"] == 1.0 and got["MAE"] < 1
+
+
+def test_forecast_sums_equal_a_direct_fit(spark):
+    """The trend model of one long series, dealt over many partitions, equals ridge least squares on the whole design."""
+    from sparkprep.ml import forecast as FC
+    rng = np.random.default_rng(15)
+    y = np.cumsum(rng.normal(size=400)) + 5 * np.sin(np.arange(400) / 7)
+    df = _series(spark, y).repartition(9)
+    got = FC.forecast_trend_seasonal(df, "t", "y", horizon=5, ridge=1e-4).orderBy("step").toPandas()["forecast"].to_numpy()
+    days = np.arange(405) * (df.agg((F.max("t") - F.min("t")).alias("d")).first()[0].total_seconds() / 86400 / 399)
+    x = FC._trend_design(days, np.full(405, days[399]), 10, 0.8, 3, 10)
+    g, c = x[:400].T @ x[:400], x[:400].T @ y
+    reg = np.r_[0, np.ones(len(c) - 1)] * 1e-4 * max(1.0, np.trace(g) / len(c))
+    assert np.allclose(got, x[400:] @ np.linalg.solve(g + np.diag(reg), c), rtol=1e-6, atol=1e-6)
