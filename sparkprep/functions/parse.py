@@ -30,6 +30,26 @@ DEFAULT_DATETIME_FORMATS = (
     "dd/MM/yyyy HH:mm:ss",
     "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
     "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
+    # with a zone: the moment in UTC
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]XXX",
+    # day or month first, times, twelve hours, dots
+    "dd/MM/yyyy",
+    "MM/dd/yyyy HH:mm:ss",
+    "MM/dd/yyyy HH:mm",
+    "MM/dd/yyyy hh:mm:ss a",
+    "MM/dd/yyyy hh:mm a",
+    "dd-MM-yyyy HH:mm:ss",
+    "dd-MM-yyyy HH:mm",
+    "dd.MM.yyyy HH:mm:ss",
+    "dd.MM.yyyy",
+    # month names
+    "dd MMM yyyy HH:mm:ss",
+    "dd MMM yyyy",
+    "dd-MMM-yyyy",
+    "dd MMMM yyyy",
+    "MMM dd, yyyy",
+    "MMMM dd, yyyy",
 )
 
 
@@ -72,8 +92,10 @@ def is_boolean_text(col) -> Column:
     return low.isin(*TRUE_VALUES, *FALSE_VALUES)
 
 
-_FORMAT_TOKENS = (("yyyy", r"\d{4}"), ("MM", r"\d{1,2}"), ("dd", r"\d{1,2}"), ("HH", r"\d{1,2}"),
-                  ("mm", r"\d{1,2}"), ("ss", r"\d{1,2}"))
+_FORMAT_TOKENS = (("yyyy", r"\d{4}"), ("MMMM", r"(?i:january|february|march|april|may|june|july|august|september|october|november|december)"),
+                  ("MMM", r"(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"), ("MM", r"\d{1,2}"), ("dd", r"\d{1,2}"),
+                  ("HH", r"\d{1,2}"), ("hh", r"\d{1,2}"), ("mm", r"\d{1,2}"), ("ss", r"\d{1,2}"), ("a", r"(?i:am|pm)"),
+                  ("XXX", r"(Z|[+-]\d{2}:\d{2})"))
 
 
 def format_shape(fmt: str) -> str:
@@ -110,7 +132,20 @@ def format_shape(fmt: str) -> str:
 
 
 def parse_datetime(col, fmt: str) -> Column:
-    """S-11: one format for the whole column; failures become null."""
+    """S-11: one format for the whole column; failures become null.
+
+    Month names and AM/PM are read in any case.  A format with a zone gives the
+    moment in UTC, whatever the session's zone."""
     c = _c(col)
-    return F.when(c.rlike(format_shape(fmt)),
-                  F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz"))
+    text = F.initcap(c) if "MMM" in fmt else F.upper(c) if fmt.endswith(" a") else c
+    shape = c.rlike(format_shape(fmt))
+    if "XXX" in fmt:
+        # the text without its zone is a wall time; the zone's minutes are taken off
+        zone = F.regexp_extract(c, r"(Z|[+-]\d{2}:\d{2})$", 1)
+        sign = F.when(zone.startswith("-"), -1).otherwise(1)
+        off = F.when(zone == "Z", 0).otherwise(sign * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int")))
+        wall = F.try_to_timestamp(F.regexp_replace(c, r"(Z|[+-]\d{2}:\d{2})$", ""), F.lit(fmt.replace("XXX", ""))).cast("timestamp_ntz")
+        return F.when(shape, F.timestamp_add("MINUTE", -off, wall))
+    # one-digit days, months and hours are as good as two-digit ones
+    loose = fmt.replace("dd", "d").replace("HH", "H").replace("hh", "h") if "MMM" in fmt or fmt.endswith(" a") else fmt
+    return F.when(shape, F.try_to_timestamp(text, F.lit(loose)).cast("timestamp_ntz"))

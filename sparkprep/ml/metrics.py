@@ -73,14 +73,18 @@ def classification_metrics(pred: DataFrame, label: str = "label", prediction: st
     return one.select(*[F.round(F.col(q(n)), 2).alias(n) for n in names])
 
 
-def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction", labels=None) -> DataFrame:
     """M-22: (actual, predicted, count) for every pair of labels seen in either
-    column, zeros included."""
+    column, zeros included.  ``labels`` (those of the label indexer) maps class
+    numbers back to the original labels."""
     cc = confusion_counts(pred, label, prediction)
-    labels = (cc.select(F.col("actual").alias("l")).union(cc.select(F.col("predicted").alias("l")))
+    if labels is not None:
+        names = F.array(*[F.lit(x) for x in labels])
+        cc = cc.select(*[F.get(names, F.col(c).cast("int")).alias(c) for c in ("actual", "predicted")], "count")
+    seen = (cc.select(F.col("actual").alias("l")).union(cc.select(F.col("predicted").alias("l")))
               .distinct().where(F.col("l").isNotNull()))
     # the label grid is classes² rows: built from the sorted label list of one small aggregate
-    grid = labels.agg(F.sort_array(F.collect_set("l")).alias("ls")).select(
+    grid = seen.agg(F.sort_array(F.collect_set("l")).alias("ls")).select(
         F.explode("ls").alias("actual"), F.col("ls")).select("actual", F.explode("ls").alias("predicted"))
     return grid.join(cc, ["actual", "predicted"], "left").select(
         "actual", "predicted", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))

@@ -27,7 +27,8 @@ def _candidate_exprs(cols, formats):
     for i, c in enumerate(cols):
         s, num_txt = F.col(f"__t{i}"), F.col(f"__n{i}")
         present = s.isNotNull() & (s != "")
-        looks_date = s.rlike(r"^\d{1,4}[-/.]\d")  # cheap gate in front of the format tests
+        # a cheap gate in front of the format tests
+        looks_date = s.rlike(r"(?i)^(\d{1,4}[-/. ]\w|(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d)")
         # every text of the number shape converts to double, so the shape alone decides
         out[c] = [(f"num{i}", present & num_txt.rlike(P.NUMBER_SHAPE)),
                   # whole numbers beyond bigint stay with the double branch

@@ -2,9 +2,9 @@
 
 Whole-table statistics are computed in one aggregate pass and turned into rows
 with ``inline(array(struct ...))`` on the one-row result, so nothing but a
-handful of numbers per column reaches the driver.  Exact distinct counts over
-many columns (an ``Expand`` of the data per column) are only computed for the
-columns an approximate HyperLogLog pass could not already rule out.
+handful of numbers per column reaches the driver.  Distinct counts meet by
+(column, value), and where only few levels matter, a pass of sketches first
+rules out the columns that have many.
 """
 
 from __future__ import annotations
@@ -27,42 +27,55 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
             .drop("__one"))
 
 
-def _distinct_counts(df: DataFrame, cols, cap: int) -> dict:
-    """Exact distinct (non-null) counts for columns whose count may be <= cap;
-    columns clearly above the cap report their approximate count."""
-    if not cols:
-        return {}
-    approx_row = df.agg(*[F.approx_count_distinct(F.col(q(c))).alias(f"a{i}")
-                          for i, c in enumerate(cols)]).first()
-    approx = {c: approx_row[f"a{i}"] for i, c in enumerate(cols)}
-    # HLL error is a few percent; anything at most twice the cap is rechecked exactly
-    near = [c for c in cols if approx[c] <= 2 * cap + 2]
-    out = dict(approx)
-    if near:
-        exact_row = df.agg(*[F.count_distinct(F.col(q(c))).alias(f"e{i}") for i, c in enumerate(near)]).first()
-        for i, c in enumerate(near):
-            out[c] = exact_row[f"e{i}"]
-    return out
+def _values(df: DataFrame, cols) -> DataFrame:
+    """(i, v): the non-null values of column number i as text, one row a value."""
+    def text(c):
+        x, kind = F.col(q(c)), df.schema[c].dataType
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            return (x + F.lit(0.0)).cast("string")  # one zero
+        if isinstance(kind, T.BinaryType):
+            return F.hex(x)
+        return F.to_json(x) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else x.cast("string")
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), text(c).alias("v")) for i, c in enumerate(cols)])
+    return df.select(F.explode(pairs).alias("s")).select("s.i", "s.v").where("v IS NOT NULL")
+
+
+def distinct_counts(df: DataFrame, cols) -> DataFrame:
+    """(i, n): exact number of different values of each column, a column without any absent.
+
+    Values meet by (column, value): a partial aggregate on every task, and no column's values in one place."""
+    return _values(df, cols).groupBy("i", "v").agg(F.lit(1)).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+
+
+def few_levels(df: DataFrame, cols, cap: int) -> tuple[int, dict]:
+    """(rows, {column: exact number of different non-null values}) of the columns with at most ``cap``.
+
+    A first pass of mergeable sketches rules out the columns with many more, so
+    the exact pass keeps a bounded number of values a column on every task."""
+    cols = list(cols)
+    sketch = df.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(F.col(q(c))).alias(f"a{i}") for i, c in enumerate(cols)]).first()
+    # the sketch errs by a few percent; anything at most twice the cap is counted exactly
+    near = [c for i, c in enumerate(cols) if sketch[f"a{i}"] <= 2 * cap + 2]
+    if not near or not sketch["n"]:
+        return sketch["n"], {}
+    got = {near[r["i"]]: r["n"] for r in distinct_counts(df, near).collect()}  # one row a column
+    return sketch["n"], {c: got.get(c, 0) for c in near if got.get(c, 0) <= cap}
 
 
 def categorical_columns(df: DataFrame, threshold: float = 0.03, max_levels: int = 30) -> list[str]:
     """D-02: distinct/rows < threshold and 1 < distinct <= max_levels."""
-    n = df.count()
-    if n == 0:
-        return []
-    counts = _distinct_counts(df, df.columns, max_levels)
-    return [c for c in df.columns if counts[c] / n < threshold and 1 < counts[c] <= max_levels]
+    n, levels = few_levels(df, df.columns, max_levels)
+    return [c for c in df.columns if levels.get(c, 0) > 1 and levels[c] / n < threshold]
+
+
+def _levels_table(df: DataFrame, rows: list) -> DataFrame:
+    return df.sparkSession.createDataFrame(rows, "column string, levels long")
 
 
 def categorical_table(df: DataFrame, threshold: float = 0.03, max_levels: int = 30) -> DataFrame:
-    """D-02 as a lazy table: (column, levels) for the categorical columns."""
-    one = df.agg(F.count(F.lit(1)).alias("__n"),
-                 *[F.count_distinct(F.col(q(c))).alias(f"d{i}") for i, c in enumerate(df.columns)])
-    rows = [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").cast("long").alias("levels"),
-                     F.col("__n").alias("__n")) for i, c in enumerate(df.columns)]
-    out = one.select(F.inline(F.array(*rows)))
-    return out.where((F.col("levels") / F.col("__n") < threshold) & (F.col("levels") > 1)
-                     & (F.col("levels") <= max_levels)).drop("__n")
+    """D-02 as a table: (column, levels) for the categorical columns."""
+    n, levels = few_levels(df, df.columns, max_levels)
+    return _levels_table(df, [(c, k) for c, k in levels.items() if k > 1 and k / n < threshold])
 
 
 def profile(df: DataFrame, threshold: float = 0.03, max_levels: int = 30) -> DataFrame:
@@ -107,6 +120,28 @@ def describe(df: DataFrame, cols=None) -> DataFrame:
     return one.select(F.inline(F.array(*rows)))
 
 
+def describe_datetimes(df: DataFrame, cols=None) -> DataFrame:
+    """D-03 for datetime columns: (column, count, mean, min, p25, p50, p75, max), exact, to the second."""
+    from .quantiles import quantile_frame
+    cols = cols or columns_of_kind(df, ("datetime",))
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, count long, " + ", ".join(
+            f"{c} timestamp_ntz" for c in ("mean", "min", "p25", "p50", "p75", "max")))
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    seconds = df.select(*[F.when(F.col(q(c)).isNotNull(), F.timestamp_diff("MICROSECOND", start, F.col(q(c)).cast("timestamp_ntz")) / 1e6).alias(f"c{i}")
+                          for i, c in enumerate(cols)])
+    names = [f"c{i}" for i in range(len(cols))]
+    one = attach_scalars(seconds.agg(*[x for c in names for x in (F.count(c).alias(f"{c}_count"), F.avg(c).alias(f"{c}_mean"), F.min(c).alias(f"{c}_min"),
+                                                                  F.max(c).alias(f"{c}_max"))]),
+                         quantile_frame(seconds, names, [0.25, 0.5, 0.75], ["p25", "p50", "p75"]))
+
+    def moment(x):
+        return F.timestamp_add("SECOND", F.round(x).cast("long"), start)
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"c{i}_count").alias("count"), *[moment(F.col(f"c{i}_{s}")).alias(s) for s in (
+        "mean", "min", "p25", "p50", "p75", "max")]) for i, c in enumerate(cols)]
+    return one.select(F.inline(F.array(*rows)))
+
+
 def null_columns(df: DataFrame) -> DataFrame:
     """D-04: (column, null_count) for columns holding at least one null."""
     one = df.agg(*[F.count_if(F.col(q(c)).isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)])
@@ -115,25 +150,24 @@ def null_columns(df: DataFrame) -> DataFrame:
     return one.select(F.inline(F.array(*rows))).where("null_count > 0")
 
 
-def imbalance_columns(df: DataFrame, max_levels: int = 10) -> list[str]:
-    """D-05: string columns with at most ``max_levels`` distinct values, null counted."""
+def _imbalance(df: DataFrame, max_levels: int) -> list:
     cols = columns_of_kind(df, ("string",))
     if not cols:
         return []
-    counts = _distinct_counts(df, cols, max_levels)
-    has_null = df.agg(*[F.max(F.col(q(c)).isNull().cast("int")).alias(f"h{i}")
-                        for i, c in enumerate(cols)]).first()
-    return [c for i, c in enumerate(cols) if counts[c] + (has_null[f"h{i}"] or 0) <= max_levels]
+    _, levels = few_levels(df, cols, max_levels)
+    nulls = df.agg(*[F.max(F.col(q(c)).isNull().cast("int")).alias(f"h{i}") for i, c in enumerate(cols)]).first()
+    levels = [(c, levels[c] + (nulls[f"h{i}"] or 0)) for i, c in enumerate(cols) if c in levels]
+    return [(c, k) for c, k in levels if k <= max_levels]
+
+
+def imbalance_columns(df: DataFrame, max_levels: int = 10) -> list[str]:
+    """D-05: string columns with at most ``max_levels`` distinct values, null counted."""
+    return [c for c, _ in _imbalance(df, max_levels)]
 
 
 def imbalance_table(df: DataFrame, max_levels: int = 10) -> DataFrame:
     """D-05 as a table: (column, levels) where levels counts null as a level."""
-    cols = columns_of_kind(df, ("string",))
-    one = df.agg(*[(F.count_distinct(F.col(q(c))) + F.max(F.col(q(c)).isNull().cast("int"))).alias(f"d{i}")
-                   for i, c in enumerate(cols)])
-    rows = [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").cast("long").alias("levels"))
-            for i, c in enumerate(cols)]
-    return one.select(F.inline(F.array(*rows))).where(F.col("levels") <= max_levels)
+    return _levels_table(df, _imbalance(df, max_levels))
 
 
 def is_multiclass(df: DataFrame, col: str) -> DataFrame:
@@ -155,27 +189,38 @@ def feature_profile(df: DataFrame, cols) -> DataFrame:
         numeric = kind_of(fields[c]) == "numeric"
         lo = F.min(x).cast("double") if numeric else F.lit(None).cast("double")
         hi = F.max(x).cast("double") if numeric else F.lit(None).cast("double")
-        aggs += [lo.alias(f"lo{i}"), hi.alias(f"hi{i}"), F.count_distinct(x).cast("long").alias(f"nd{i}")]
-        rows.append(F.struct(F.lit(c).alias("feature"),
+        aggs += [lo.alias(f"lo{i}"), hi.alias(f"hi{i}")]
+        rows.append(F.struct(F.lit(i).alias("i"), F.lit(c).alias("feature"),
                              F.lit("numeric" if numeric else "categorical").alias("kind"),
-                             F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value"),
-                             F.col(f"nd{i}").alias("n_distinct")))
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+                             F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value")))
+    ranges = df.agg(F.count(F.lit(1)), *aggs).select(F.inline(F.array(*rows)))
+    return (ranges.join(distinct_counts(df, cols), "i", "left").drop("i")
+            .withColumn("n_distinct", F.coalesce(F.col("n"), F.lit(0)).cast("long")).drop("n"))
 
 
 def feature_values(df: DataFrame, cols) -> DataFrame:
     """D-08 (categorical part): every (feature, value) seen in training, distributed."""
     fields = {f.name: f.dataType for f in df.schema.fields}
     cats = [c for c in cols if kind_of(fields[c]) != "numeric"]
+    if not cats:
+        return df.sparkSession.createDataFrame([], "feature string, value string")
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(q(c)).cast("string").alias("value")) for c in cats
     ])).alias("fv")).select("fv.*")
     return stacked.where(F.col("value").isNotNull()).distinct()
 
 
-def correlation(df: DataFrame, cols=None) -> DataFrame:
-    """D-09: Pearson, pairwise-complete, as long rows (column, other, corr)."""
-    cols = cols or columns_of_kind(df, ("numeric",))
+def correlation(df: DataFrame, cols=None, dummies=()) -> DataFrame:
+    """D-09: Pearson, pairwise-complete, as long rows (column, other, corr).
+
+    Each of the categorical columns ``dummies`` takes part as one indicator a level, ``{col}_{level}``."""
+    cols = list(cols or columns_of_kind(df, ("numeric",)))
+    if dummies:
+        from .features import one_hot
+        before = set(df.columns)
+        for c in dummies:
+            df = one_hot(df, c, drop_first=False)
+        cols += [c for c in df.columns if c not in before]
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     one = df.agg(*[F.corr(F.col(q(cols[i])).cast("double"), F.col(q(cols[j])).cast("double")).alias(f"r{i}_{j}")
                    for i, j in pairs]) if pairs else df.limit(1).select(F.lit(1).alias("__x"))

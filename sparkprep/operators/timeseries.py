@@ -26,7 +26,7 @@ MONTH_UNITS = {"month": 1, "M": 1, "year": 12, "Y": 12}
 RESAMPLE_FUNCTIONS = ("first", "last", "mean", "min", "max")
 
 
-def _agg(col: str, fn: str, ts: str) -> Column:
+def _agg(col: str, fn: str, ts: str, order_by=()) -> Column:
     c = F.col(q(col))
     if fn == "mean":
         return F.avg(c)
@@ -38,7 +38,7 @@ def _agg(col: str, fn: str, ts: str) -> Column:
         return F.sum(c)
     if fn == "count":
         return F.count(c)
-    o = F.when(c.isNotNull(), F.col(q(ts)))
+    o = F.when(c.isNotNull(), F.struct(*[F.col(q(x)) for x in (ts, *order_by)]))
     if fn == "first":
         return F.min_by(c, o)
     if fn == "last":
@@ -56,7 +56,7 @@ def _spine(spark, bounds: DataFrame, parts: int) -> DataFrame:
         .withColumnRenamed("id", "__bin")
 
 
-def resample(df: DataFrame, ts: str, every: int, unit: str, fn="mean", cols=None) -> DataFrame:
+def resample(df: DataFrame, ts: str, every: int, unit: str, fn="mean", cols=None, order_by=()) -> DataFrame:
     """W-05 .. W-07: pandas ``resample(f'{every}{unit}').agg(fn)``.
 
     Sub-month units: bins of ``every`` units anchored at midnight of the first
@@ -64,10 +64,14 @@ def resample(df: DataFrame, ts: str, every: int, unit: str, fn="mean", cols=None
     periods labelled at the period end; a bin of ``every`` periods ends at the
     first timestamp's period and then every ``every`` periods.  Every bin from
     the first to the last is present; empty bins hold nulls (0 for count).
+    ``order_by`` (a row number or key) tells rows of equal times apart for
+    ``first`` and ``last``; without it the smallest and the largest of their
+    values are taken, whatever the partitioning.
     """
     spark = df.sparkSession
+    order_by = [order_by] if isinstance(order_by, str) else list(order_by)
     fns = [fn] if isinstance(fn, str) else list(fn)
-    cols = cols or [c for c in df.columns if c != ts]
+    cols = cols or [c for c in df.columns if c != ts and c not in order_by]
     t = F.col(q(ts))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if unit in MONTH_UNITS:
@@ -96,7 +100,7 @@ def resample(df: DataFrame, ts: str, every: int, unit: str, fn="mean", cols=None
 
         def label(bin_col):
             return F.timestamp_add("MICROSECOND", bin_col * F.lit(width), F.col("__o"))
-    aggs = [_agg(c, f, ts).alias(c if len(fns) == 1 else f"{c}_{f}") for c in cols for f in fns]
+    aggs = [_agg(c, f, ts, order_by or [c]).alias(c if len(fns) == 1 else f"{c}_{f}") for c in cols for f in fns]
     grouped = binned.groupBy("__bin").agg(*aggs)
     bounds = binned.agg(F.min("__bin").alias("__lo"), F.max("__bin").alias("__hi"))
     spine = attach_scalars(_spine(spark, bounds, parts), origin)

@@ -20,15 +20,18 @@ class EmptyTable(ValueError):
 
 
 def read_csv(spark: SparkSession, paths, clean: bool = True, sep: str = ",", refuse_empty: bool = True,
-             multi_line: bool = True):
+             multi_line: bool | None = None):
     """S-01 / S-06: header CSV (local, HDFS, object store or HTTP-mounted URI).
 
     Every column is read as text, then one aggregate pass infers types.
     Returns ``(df, log)``; an empty file is refused.  Quoting is RFC 4180:
     doubled quotes, line breaks inside quotes.  The latter need whole files per
-    task; ``multi_line=False`` lets Spark split large files whose records are
-    known to be one line each."""
+    task, so by default the lines are looked at first: unless one has an odd
+    number of quotes, every record is one line and Spark splits large files."""
     paths = [paths] if isinstance(paths, str) else list(paths)
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+        multi_line = not spark.read.text(paths).where(quotes % 2 == 1).isEmpty()
     raw = (spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
            .option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", multi_line).csv(paths))
     if refuse_empty and raw.isEmpty():
@@ -165,3 +168,20 @@ def refresh_slice(df: DataFrame, ts: str, start, now, period_days: int = 0, roll
     if rolling:
         lo = lo - F.expr(f"INTERVAL {int(period_days)} DAYS")
     return df.where((t >= lo) & (t <= F.lit(now).cast(df.schema[ts].dataType)))
+
+
+def refresh_table(spark: SparkSession, source: DataFrame, base: str, name: str, ts: str, start, now, period_days: int = 0,
+                  rolling: bool = False, steps=None) -> DataFrame:
+    """S-20: fetch the window, replay the table's stored recipe (or ``steps``) on it and put the result in the table's place.
+
+    The table is created if it is missing; readers see the old content or the new one."""
+    from ..plans.recipe import recipe_replay, recipe_steps
+    from . import tables
+
+    fresh = refresh_slice(source, ts, start, now, period_days, rolling)
+    fresh = recipe_replay(fresh, recipe_steps(spark, base, name) if steps is None else steps)
+    if tables.exists(spark, tables.table_path(base, name)):
+        tables.update_table(fresh, base, name)
+    else:
+        tables.create_table(fresh, base, name, clean=False)
+    return tables.read_table(spark, base, name)

@@ -58,6 +58,17 @@ def s11_parse_datetime(spark, sf):
                     P.parse_datetime(iso, "dd/MM/yyyy HH:mm:ss").alias("wrong_fmt"))
 
 
+@register("s11_datetime_formats", """
+SELECT o_orderkey, date_trunc('day', o_orderdate)::TIMESTAMP AS named, (date_trunc('day', o_orderdate) + INTERVAL 13 HOUR + INTERVAL 5 MINUTE)::TIMESTAMP AS
+       twelve, (date_trunc('day', o_orderdate) - INTERVAL 330 MINUTE)::TIMESTAMP AS zoned, date_trunc('day', o_orderdate)::TIMESTAMP AS day_first FROM orders""")
+def s11_datetime_formats(spark, sf):
+    """Month names, twelve hours, a zone and days before months, each found by inference over the whole column."""
+    o = table(spark, sf, "orders").withColumn("d", F.date_trunc("day", "o_orderdate").cast("timestamp_ntz"))
+    text = o.select("o_orderkey", F.date_format("d", "dd MMM yyyy").alias("named"), F.concat(F.date_format("d", "MM/dd/yyyy"), F.lit(" 01:05 PM")).alias("twelve"),
+                    F.concat(F.date_format("d", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+05:30")).alias("zoned"), F.date_format("d", "dd/MM/yyyy").alias("day_first"))
+    return infer_types(text)[0]
+
+
 @register("s12_parse_boolean", """
 SELECT o_orderkey,
   CASE WHEN o_orderstatus = 'F' THEN true WHEN o_orderstatus = 'O' THEN false ELSE NULL END AS done

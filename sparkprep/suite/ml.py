@@ -123,6 +123,28 @@ def m22_confusion(spark, sf):
     return MT.confusion_matrix(_knn_clf_pred(spark, sf), "label", "prediction")
 
 
+@register("m22_confusion_labels", f"""{_KNN_CLF},
+c AS (SELECT 'class ' || label::INT AS actual, 'class ' || prediction::INT AS predicted FROM p),
+cc AS (SELECT actual, predicted, count(*) AS n FROM c GROUP BY 1, 2),
+ls AS (SELECT actual AS l FROM cc UNION SELECT predicted FROM cc)
+SELECT a.l AS actual, b.l AS predicted, coalesce(cc.n, 0)::BIGINT AS count
+FROM ls a CROSS JOIN ls b LEFT JOIN cc ON cc.actual = a.l AND cc.predicted = b.l""")
+def m22_confusion_labels(spark, sf):
+    """Class numbers come back as the labels that were indexed."""
+    top = int(table(spark, sf, "embeddings").agg(F.max("label")).first()[0])
+    return MT.confusion_matrix(_knn_clf_pred(spark, sf), "label", "prediction", labels=[f"class {i}" for i in range(top + 1)])
+
+
+@register("m26_validate_numeric", """
+SELECT l_orderkey, l_linenumber, 'l_tax: missing' AS problem FROM lineitem WHERE l_tax = 0.05""")
+def m26_validate_numeric(spark, sf):
+    """Numeric features only: the one problem is a missing value."""
+    from ..ml.runs import validate_inputs
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax")
+    holes = li.withColumn("l_tax", F.when(F.col("l_tax") != 0.05, F.col("l_tax")))
+    return validate_inputs(holes, li, ["l_quantity", "l_tax"]).select("l_orderkey", "l_linenumber", "problem")
+
+
 # ---- iterative learners: rows-only (property tests in tests/test_ml.py) -------------------
 
 X_REG = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]

@@ -61,6 +61,19 @@ def d03_describe(spark, sf):
     return r4(D.describe(table(spark, sf, "lineitem")))
 
 
+@register("d03_describe_datetimes", """
+WITH o AS (SELECT epoch(o_orderdate) AS s FROM orders),
+e AS (SELECT epoch(ts) AS s FROM events),
+r AS (SELECT 'o_orderdate' AS "column", count(s)::BIGINT AS count, avg(s) AS mean, min(s) AS min, quantile_cont(s, 0.25) AS p25,
+             quantile_cont(s, 0.5) AS p50, quantile_cont(s, 0.75) AS p75, max(s) AS max FROM o
+      UNION ALL SELECT 'ts', count(s)::BIGINT, avg(s), min(s), quantile_cont(s, 0.25), quantile_cont(s, 0.5), quantile_cont(s, 0.75), max(s) FROM e)
+SELECT "column", count, make_timestamp((round(mean) * 1000000)::BIGINT) AS mean, make_timestamp((round(min) * 1000000)::BIGINT) AS min,
+       make_timestamp((round(p25) * 1000000)::BIGINT) AS p25, make_timestamp((round(p50) * 1000000)::BIGINT) AS p50,
+       make_timestamp((round(p75) * 1000000)::BIGINT) AS p75, make_timestamp((round(max) * 1000000)::BIGINT) AS max FROM r""")
+def d03_describe_datetimes(spark, sf):
+    return D.describe_datetimes(table(spark, sf, "orders")).unionByName(D.describe_datetimes(table(spark, sf, "events")))
+
+
 @register("d04_null_columns", f"""
 SELECT * FROM (
   SELECT 'event_type' AS "column", count_if(event_type IS NULL)::BIGINT AS null_count FROM {EVENTS_NULLS} e
@@ -112,6 +125,17 @@ def d08_feature_values(spark, sf):
     return D.feature_values(table(spark, sf, "orders"), ["o_orderstatus", "o_totalprice", "o_orderpriority"])
 
 
+@register("d08_feature_profile_numeric", """
+SELECT 'l_quantity' AS feature, 'numeric' AS kind, min(l_quantity)::DOUBLE AS min_value, max(l_quantity)::DOUBLE AS max_value,
+       count(DISTINCT l_quantity)::BIGINT AS n_distinct, 0::BIGINT AS listed FROM lineitem
+UNION ALL SELECT 'l_tax', 'numeric', min(l_tax)::DOUBLE, max(l_tax)::DOUBLE, count(DISTINCT l_tax)::BIGINT, 0::BIGINT FROM lineitem""")
+def d08_feature_profile_numeric(spark, sf):
+    """Features without any categorical one: the profile stands, and no value is listed."""
+    li, cols = table(spark, sf, "lineitem"), ["l_quantity", "l_tax"]
+    listed = D.feature_values(li, cols).groupBy("feature").agg(F.count("*").alias("listed"))
+    return D.feature_profile(li, cols).join(listed, "feature", "left").withColumn("listed", F.coalesce("listed", F.lit(0)).cast("long"))
+
+
 _CORR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -130,6 +154,18 @@ def d09_correlation(spark, sf):
     return r4(D.correlation(table(spark, sf, "lineitem"), _CORR))
 
 
+def _dummy_corr_sql():
+    cols = {"o_totalprice": "o_totalprice", **{f"o_orderstatus_{k}": f"(o_orderstatus = '{k}')::INT" for k in "FOP"}}
+    parts = [f"""SELECT '{a}' AS "column", '{b}' AS other, {"1.0::DOUBLE" if a == b else f"round(corr({x}, {y}), 4)"} AS corr FROM orders{" LIMIT 1" if a == b else ""}"""
+             for a, x in cols.items() for b, y in cols.items()]
+    return " UNION ALL ".join(f"({p})" for p in parts)
+
+
+@register("d09_correlation_dummies", _dummy_corr_sql())
+def d09_correlation_dummies(spark, sf):
+    return r4(D.correlation(table(spark, sf, "orders"), ["o_totalprice"], dummies=["o_orderstatus"]))
+
+
 @register("d10_class_share", """
 WITH c AS (SELECT role AS class, count(*)::BIGINT AS count FROM conversations GROUP BY role)
 SELECT class, CASE WHEN length(class) > 11 THEN substr(class, 1, 8) || '...' ELSE class END AS label,

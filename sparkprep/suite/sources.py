@@ -132,6 +132,19 @@ def s20_refresh_slice_fixed(spark, sf):
                             period_days=3, rolling=False)
 
 
+@register("s20_refresh_table", """
+SELECT user_id, round(sum(value), 4) AS total, count(*)::BIGINT AS n FROM events
+WHERE ts >= TIMESTAMP '2024-01-17 00:00:00' AND ts <= TIMESTAMP '2024-01-25 12:00:00' AND value > 20 GROUP BY user_id""")
+def s20_refresh_table(spark, sf):
+    """An earlier window is stored, then re-fetched from further back, the recipe replayed and the table replaced."""
+    from ..plans.recipe import recipe_append, step
+    base, ev = scratch_dir(spark, "refresh"), table(spark, sf, "events")
+    recipe_append(spark, base, "ev", [step("filter", conditions={"c1": ["value", ">", 20]})])
+    SF.refresh_table(spark, ev, base, "ev", "ts", "2024-01-20 00:00:00", "2024-01-21 00:00:00")
+    now = SF.refresh_table(spark, ev, base, "ev", "ts", "2024-01-20 00:00:00", "2024-01-25 12:00:00", period_days=3, rolling=True)
+    return r4(now.groupBy("user_id").agg(F.sum("value").alias("total"), F.count("*").alias("n")))
+
+
 @register("s21_upsert_latest", """
 WITH t AS (SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice, 0 AS prio FROM orders
            WHERE o_orderdate < TIMESTAMP '1998-01-01'),

@@ -46,6 +46,17 @@ def w07_resample_days_first(spark, sf):
     return r4(TS.resample(ev, "ts", 2, "day", "first"))
 
 
+@register("w07_resample_ties", """
+WITH o AS (SELECT last_day(o_orderdate)::DATE AS d, o_orderkey, o_totalprice FROM orders),
+b AS (SELECT d, arg_min(o_totalprice, o_orderkey) AS first, arg_max(o_totalprice, o_orderkey) AS last FROM o GROUP BY d),
+s AS (SELECT range::DATE AS d FROM range((SELECT min(d) FROM b)::TIMESTAMP, (SELECT max(d) FROM b)::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY))
+SELECT s.d::TIMESTAMP AS ts, round(b.first, 4) AS o_totalprice_first, round(b.last, 4) AS o_totalprice_last FROM s LEFT JOIN b USING (d)""")
+def w07_resample_ties(spark, sf):
+    """Every order of a month at the same time: a key says which row is the first and which the last."""
+    o = table(spark, sf, "orders").select(F.last_day("o_orderdate").cast("timestamp_ntz").alias("ts"), "o_orderkey", "o_totalprice")
+    return r4(TS.resample(o, "ts", 1, "day", ["first", "last"], ["o_totalprice"], order_by="o_orderkey"))
+
+
 @register("w07_resample_days_min", _resample_sql(86400 * 1_000_000, "min"))
 def w07_resample_days_min(spark, sf):
     ev = table(spark, sf, "events").select("ts", "value")

@@ -103,3 +103,38 @@ def test_scatter_points_are_whole(spark):
     assert C.points(df, ["v"], "id").count() == 6000
     assert C.pair_points(df, ["v", "w"], "id").count() == 6000
     assert C.points(df, ["v"], "id", max_rows=10).count() == 10
+
+
+def test_profiles_without_categorical_or_datetime_columns(spark):
+    from sparkprep.ml.runs import validate_inputs
+    from sparkprep.operators import profile as D
+    df = spark.createDataFrame([(1, 2.0), (2, None), (2, 5.0)], "a int, b double")
+    assert D.feature_values(df, ["a", "b"]).count() == 0
+    assert {r.feature: r.n_distinct for r in D.feature_profile(df, ["a", "b"]).collect()} == {"a": 2, "b": 2}
+    assert [r.problem for r in validate_inputs(df, df, ["a", "b"]).collect()] == ["b: missing"]
+    assert D.describe_datetimes(df).count() == 0 and D.categorical_table(df.limit(0)).count() == 0 and D.imbalance_table(df).count() == 0
+
+
+def test_distinct_counts_use_no_expand_and_know_zeros_and_odd_types(spark):
+    from sparkprep.operators import profile as D
+    df = spark.sql("SELECT id % 7 AS a, if(id % 2 = 0, 0.0D, -0.0D) AS z, cast(cast(id % 3 as string) as binary) AS y, array(id % 4) AS l, id FROM range(500)")
+    assert D.few_levels(df, df.columns, 30) == (500, {"a": 7, "z": 1, "y": 3, "l": 4})
+    assert "Expand" not in D.distinct_counts(df, df.columns)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(D.categorical_columns(df)) == ["a", "l", "y"]
+
+
+def test_confusion_matrix_in_original_labels(spark):
+    from sparkprep.ml.metrics import confusion_matrix
+    pred = spark.createDataFrame([(0.0, 0.0), (0.0, 2.0), (2.0, 2.0)], "label double, prediction double")
+    got = {(r.actual, r.predicted): r["count"] for r in confusion_matrix(pred, labels=["F", "O", "P"]).collect()}
+    assert got == {("F", "F"): 1, ("F", "P"): 1, ("P", "F"): 0, ("P", "P"): 1}
+
+
+def test_resample_ties_do_not_depend_on_the_partitioning(spark):
+    from sparkprep.operators import timeseries as TS
+    df = spark.range(300).selectExpr("timestamp_ntz'2024-01-01' + make_interval(0,0,0,cast(id % 3 as int)) AS ts", "id", "pmod(id * 7919, 301) AS v")
+    for by, first in ((None, "min(v)"), ("id", "min_by(v, id)")):
+        want = {r[0]: r[1] for r in df.groupBy("ts").agg(__import__("pyspark").sql.functions.expr(first)).collect()}
+        for n in (1, 8):
+            got = TS.resample(df.repartition(n), "ts", 1, "day", "first", ["v"], order_by=by or ())
+            assert {r.ts: r.v for r in got.collect()} == want

@@ -70,3 +70,36 @@ def test_stream_refresh_processes_only_new_files(spark, events):
     ev.where("day >= '2024-01-10'").write.mode("append").partitionBy("day").parquet(src)
     stream_refresh(spark, src, dst, ck, ev.schema)
     assert spark.read.parquet(dst).count() == events.count()
+
+
+def test_csv_files_are_split_unless_a_quoted_line_break_needs_them_whole(spark, tmp_path):
+    plain, broken = tmp_path / "plain.csv", tmp_path / "broken.csv"
+    plain.write_text('a,b\n' + ''.join(f'{i},"x ""{i}"" y"\n' for i in range(40_000)))
+    broken.write_text('a,b\n1,"two\nlines"\n2,one\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        raw, _ = SF.read_csv(spark, str(plain), clean=False)
+        assert raw.rdd.getNumPartitions() > 3 and raw.count() == 40_000 and raw.where("b = 'x \"7\" y'").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [tuple(r) for r in SF.read_csv(spark, str(broken), clean=False)[0].collect()] == [("1", "two\nlines"), ("2", "one")]
+
+
+def test_refresh_creates_then_replaces_a_table(spark, events):
+    base = scratch_dir(spark, "fresh")
+    steps = [RC.step("filter", conditions={"c1": ["value", ">", 10]})]
+    a = SF.refresh_table(spark, events, base, "ev", "ts", "2024-01-10 00:00:00", "2024-01-11 00:00:00", steps=steps).count()
+    b = SF.refresh_table(spark, events, base, "ev", "ts", "2024-01-10 00:00:00", "2024-01-12 00:00:00", period_days=2, rolling=True, steps=steps)
+    assert b.count() > a and b.where("value <= 10").count() == 0
+    assert b.count() == SF.refresh_slice(events, "ts", "2024-01-08 00:00:00", "2024-01-12 00:00:00").where("value > 10").count()
+
+
+@pytest.mark.parametrize("text,want", [("5 jan 2021", "2021-01-05 00:00:00"), ("05-Mar-2021", "2021-03-05 00:00:00"), ("March 7, 2021", "2021-03-07 00:00:00"),
+                                       ("MAR 07, 2021", "2021-03-07 00:00:00"), ("02/28/2021 12:30 am", "2021-02-28 00:30:00"), ("28.02.2021", "2021-02-28 00:00:00"),
+                                       ("2021-02-28T23:30:00-02:00", "2021-03-01 01:30:00"), ("2021-02-28T23:30:00.25Z", "2021-02-28 23:30:00.250000"),
+                                       ("31/12/2021", "2021-12-31 00:00:00"), ("5 apples", None), ("May be", None)])
+def test_date_texts_are_recognised(spark, text, want):
+    from sparkprep.operators.cleaning import infer_types
+    typed, kinds = infer_types(spark.createDataFrame([(text,), (None,)], "d string"))
+    assert kinds["d"].startswith("timestamp") == (want is not None)
+    assert [str(r[0]) if r[0] else None for r in typed.collect()] == ([want, None] if want else [text, None])
