@@ -17,6 +17,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> str:
+    """Write one small file; returns its full URI."""
+    fs, hpath = hadoop_path(spark, path)
+    out = fs.create(hpath)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return fs.makeQualified(hpath).toString()
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory (never a machine-local temp dir)."""
     import uuid

@@ -7,8 +7,11 @@ the operators rely on (UTC session zone, AQE) and the lineage-cutting helper.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,15 +40,16 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder comes from the session configuration and must be
-    on shared storage.  Only when nothing is configured (local tests) a fresh
-    scratch folder is created.
+    On a cluster the folder must be configured, on storage that all executors
+    share; a session without one raises.  Only a local session (tests, a
+    laptop), where driver and tasks are one process, gets a scratch folder.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -53,12 +57,44 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not conf_dir:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="sparkprep-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return conf_dir
 
 
+_shipped: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application.
+
+    Functions that run in workers are pickled by reference, so the workers need
+    the code whatever folder or path the driver was started with.  It is put
+    into the shared checkpoint folder as a zip that Spark hands to executors,
+    to those that join later as well."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(root):  # the package itself was imported from a zip
+        _shipped.add(app)
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(root)):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.join("sparkprep", os.path.relpath(path, root)))
+    from ._fs import write_bytes
+    target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/code-{uuid.uuid4().hex}/sparkprep.zip"
+    spark.sparkContext.addPyFile(write_bytes(spark, target, data.getvalue()))
+    _shipped.add(app)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never a local one)."""
     ensure_checkpoint_dir(df.sparkSession)
