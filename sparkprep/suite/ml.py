@@ -324,6 +324,20 @@ def m25_score(spark, sf):
     return score(path, data).select("o_orderkey", "o_orderstatus", "predicted_label")
 
 
+@register("m25_score_linear", f"""
+WITH o AS (SELECT o_orderkey, o_custkey::DOUBLE AS x, o_totalprice, {_HASH_UNIT.format(k='o_orderkey')} >= 0.2 AS train FROM orders),
+m AS (SELECT regr_slope(o_totalprice, x) AS b, regr_intercept(o_totalprice, x) AS a FROM o WHERE train)
+SELECT o_orderkey, round(a + b * x, 2) AS prediction FROM o, m""")
+def m25_score_linear(spark, sf):
+    """A regression is trained, saved, opened again and applied to the table without its label."""
+    from ..ml.runs import save_model, score
+    import uuid
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("double").alias("o_custkey"), "o_totalprice")
+    res = M.train(o, ["o_custkey"], "o_totalprice", "linear", "regression", "o_orderkey", 0.2, "standard")
+    path = save_model(res, _shared_dir(spark, f"model-{uuid.uuid4().hex}"))
+    return score(path, o.drop("o_totalprice")).select("o_orderkey", F.round("prediction", 2).alias("prediction"))
+
+
 @register("m26_validate_inputs", """
 WITH tr AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' AND o_orderpriority <> '5-LOW'),
 sc AS (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01')

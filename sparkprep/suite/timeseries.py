@@ -173,6 +173,27 @@ def w12_pacf(spark, sf):
     return TS.pacf(table(spark, sf, "events"), "value", ["ts", "event_id"], 20, chunk_rows=4096)
 
 
+@register("w12_pacf_short", f"""
+WITH r AS ({_acf_sql(3)}),
+a AS (SELECT max(CASE WHEN lag = 1 THEN acf END) AS r1, max(CASE WHEN lag = 2 THEN acf END) AS r2, max(CASE WHEN lag = 3 THEN acf END) AS r3 FROM r)
+SELECT 0 AS lag, 1.0::DOUBLE AS pacf UNION ALL SELECT 1, round(r1, 3) FROM a UNION ALL SELECT 2, round((r2 - r1 * r1) / (1 - r1 * r1), 3) FROM a
+UNION ALL SELECT 3, round((r3 - 2 * r1 * r2 + r1 * r1 * r1 + r1 * r2 * r2 - r1 * r1 * r3) / (1 - 2 * r1 * r1 + 2 * r1 * r1 * r2 - r2 * r2), 3) FROM a""")
+def w12_pacf_short(spark, sf):
+    """Three lags, against the closed forms of Yule and Walker."""
+    got = TS.pacf(table(spark, sf, "events"), "value", ["ts", "event_id"], 3)
+    return got.select("lag", F.round("pacf", 3).alias("pacf"))
+
+
+@register("w13_adf_no_lags", """
+WITH s AS (SELECT value AS y, lag(value) OVER (ORDER BY ts, event_id) AS x FROM events),
+r AS (SELECT count(*) AS n, regr_slope(y - x, x) AS b, regr_sxx(y - x, x) AS sxx, regr_syy(y - x, x) AS syy FROM s WHERE x IS NOT NULL)
+SELECT round(b / sqrt((syy - b * b * sxx) / (n - 2) / sxx), 3) AS statistic, 0 AS used_lag, n::BIGINT AS nobs FROM r""")
+def w13_adf_no_lags(spark, sf):
+    """All events, without lagged differences: one slope and its error."""
+    got = TS.adf(table(spark, sf, "events"), "value", ["ts", "event_id"], max_lag=0)
+    return got.select(F.round("statistic", 3).alias("statistic"), "used_lag", "nobs")
+
+
 @register("w13_adf")
 def w13_adf(spark, sf):
     return TS.adf(_monthly_orders(spark, sf), "o_totalprice", "o_orderdate")
