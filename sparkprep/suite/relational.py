@@ -116,11 +116,15 @@ def j03_merge_left(spark, sf):
     return R.merge(customer_null_keys(spark, sf), table(spark, sf, "nation"), "c_nationkey", "n_nationkey", "left")
 
 
-@register("j04_merge_right", """
-SELECT o.*, c.* FROM (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') o
+_URGENT_KEY = "CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey END"
+
+
+@register("j04_merge_right", f"""
+SELECT o.*, c.* FROM (SELECT * REPLACE ({_URGENT_KEY} AS o_custkey) FROM orders) o
 RIGHT JOIN customer c ON o.o_custkey IS NOT DISTINCT FROM c.c_custkey""")
 def j04_merge_right(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
+    """Orders that are not urgent have no key: they drop out, and customers without a partner stay."""
+    o = table(spark, sf, "orders").withColumn("o_custkey", F.expr(_URGENT_KEY))
     return R.merge(o, table(spark, sf, "customer"), "o_custkey", "c_custkey", "right")
 
 
