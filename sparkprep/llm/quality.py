@@ -120,7 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
 
 
 def score(docs: DataFrame, model: Neighbours, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with one more column."""
+    """``docs`` with one more column, in place of one of that name."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
