@@ -94,12 +94,13 @@ class Net:
     def pooled(self, rows: np.ndarray, first: np.ndarray, arg: bool = False):
         """Largest answer of every filter in every text, and with ``arg`` the row where it stands."""
         x = (self.emb[rows[:, 0]] + self.emb[rows[:, 1]]) * np.float32(0.5)
-        n, tops, args = len(rows), [], []
+        n, tops, args, padding = len(rows), [], [], rows[:, 0] == 0
         for k, c, b in zip(WIDTHS, self.conv, self.bias):
             answer = np.full((n, FILTERS), 0, np.float32)
             m = n - k + 1
             if m > 0:
                 answer[:m] = sum(x[j:j + m] @ c[j * DIM:(j + 1) * DIM] for j in range(k)) + b
+                answer[padding] = 0  # a window that begins in the padding would reach into the next text
             top = np.maximum(np.maximum.reduceat(answer, first, axis=0), 0) if len(first) else answer[:0]
             tops.append(top)
             if arg:
