@@ -50,16 +50,12 @@ class EliasFano:
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Bit position of the k-th zero."""
         word = np.searchsorted(self.zeros, k, side="right") - 1
-        left, pos, open_ = k - self.zeros[word], word * 64, np.ones(len(k), dtype=bool)
-        out = np.zeros(len(k), dtype=np.int64)
-        for j in range(8):
-            byte = self.high[word * 8 + j]
-            free = 8 - _POP[byte].astype(np.int64)
-            here = open_ & (left < free)
-            out[here] = pos[here] + 8 * j + _ZERO[byte[here], left[here]]
-            open_ &= ~here
-            left = left - np.where(open_, free, 0)
-        return out
+        left, eight = (k - self.zeros[word]).astype(np.int16), self.high.reshape(-1, 8)[word]
+        free = np.cumsum(8 - _POP[eight], axis=1, dtype=np.int16)
+        j = np.minimum((free <= left[:, None]).sum(axis=1), 7)
+        row = np.arange(len(k))
+        left -= np.where(j > 0, free[row, np.maximum(j - 1, 0)], 0)
+        return word * 64 + 8 * j + _ZERO[eight[row, j], left]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -120,7 +116,7 @@ def write_levels(path: str, sequences: dict, arrays: dict) -> None:
 def map_levels(path: str) -> tuple[dict, dict]:
     """(sequences, arrays) of a file, memory-mapped."""
     import json
-    raw = np.memmap(path, dtype=np.uint8, mode="r")
+    raw = np.asarray(np.memmap(path, dtype=np.uint8, mode="r"))  # a plain view of the mapping
     size = int(raw[:8].view(np.uint64)[0])
     meta = json.loads(raw[8:8 + size].tobytes())
     get = lambda k: raw[8 + size + meta["place"][k][0]:][:np.dtype(meta["place"][k][1]).itemsize * meta["place"][k][2]].view(meta["place"][k][1])

@@ -3,14 +3,13 @@
 import collections
 import hashlib
 import math
-import zlib
 
 import duckdb
 import numpy as np
 import pytest
 
 import __spark_entry__ as E
-from sparkprep.llm import (decontaminate, elias_fano, exact_dedup, jaccard, kernels, language_model, license_scan, line_dedup, quality,
+from sparkprep.llm import (decontaminate, elias_fano, exact_dedup, jaccard, kernels, license_scan, line_dedup, quality,
                            sampling, sentence_pieces, token_count, toxicity)
 
 SF = "/root/testdata/sf0.001"
@@ -211,22 +210,6 @@ def test_license_notices_with_every_admissible_change(spark):
     assert [(x["label"], x["start"], x["end"]) for x in got[len(texts) - 1]] == [("mit", 0, 5), ("mit", 7, 13)]
 
 
-def test_language_model_brute_force(spark, odd, empty):
-    got = {r.id: r for r in language_model.score(odd.filter("doc_id is not null").dropDuplicates(["doc_id"]),
-                                                ~language_model.held_out("doc_id", 7, 2)).collect()}
-    texts = {r.doc_id: (r.text or "").encode().lower().split() + [None] for r in odd.collect() if r.doc_id is not None}
-    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
-    train = [w for i, t in texts.items() if not out[i] for w in t]
-    c = collections.Counter(train)
-    for i, t in texts.items():
-        base = sum(math.log10((c[w] + 1) / (len(train) + len(c) + 1)) for w in t)
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(t), sum(c[w] > 0 for w in t), len(train))
-        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
-    assert language_model.score(odd, language_model.held_out("doc_id", 7, 99)).count() == odd.count()
-    assert language_model.score(empty, ~language_model.held_out("doc_id", 7, 2)).count() == 0
-
-
 def test_elias_fano_successor(tmp_path):
     r = np.random.default_rng(3)
     for n, top in ((0, 10), (1, 5), (500, 600), (2000, 1 << 40), (300, (1 << 64) - 1)):
