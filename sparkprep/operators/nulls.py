@@ -114,7 +114,7 @@ def impute_for_model(df: DataFrame, order_by, cols=None, partition_by=None) -> D
     keys = set([partition_by] if isinstance(partition_by, str) else (partition_by or []))
     order = set([order_by] if isinstance(order_by, str) else order_by)
     cols = cols or [c for c in df.columns if c not in keys and c not in order]
-    return O.fill(O.fill(df, cols, order_by, partition_by, "forward"), cols, order_by, partition_by, "backward")
+    return O.fill(df, cols, order_by, partition_by, "both")
 
 
 def dropna(df: DataFrame, cols=None) -> DataFrame:

@@ -221,40 +221,41 @@ def halo(indexed: DataFrame, rows: int, keys, before: int, after: int, compute,
 
 def fill(df: DataFrame, cols, order_by, partition_by=None, direction: str = "forward",
          n_buckets: int | None = None) -> DataFrame:
-    """Forward (``ffill``) or backward (``bfill``) fill in row order, per series.
-
-    Inside each range bucket a running ``last``/``first`` ignoring nulls; the
-    value entering a bucket is carried from a table with one row per
-    (bucket, key) – ``P`` rows when there are no keys.
+    """Forward (``ffill``), backward (``bfill``) or forward-then-backward (``both``) fill in row order, per series.
+
+    Inside each range bucket a running ``last`` ignoring nulls, over the reversed
+    order to fill backward: a frame that starts at the first row grows by one row
+    a step, one that ends at the last row is read again for every row.  The value
+    entering a bucket is carried from a table with one row per (bucket, key) –
+    ``P`` rows when there are no keys.  What is still null after a forward fill
+    precedes the first value of its series, so ``both`` takes that value from the
+    same table.
     """
     keys = _as_list(partition_by)
     order = _as_list(order_by)
     cols = _as_list(cols)
-    fwd = direction in ("forward", "ffill")
+    both = direction == "both"
+    fwd = both or direction in ("forward", "ffill")
     b = with_bucket(df, order, keys, n_buckets)
     sort_t = F.struct(*[F.col(c) for c in order])
-    if fwd:
-        w_in = Window.partitionBy("__bucket", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    else:
-        w_in = Window.partitionBy("__bucket", *keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    way = (lambda c: F.col(c).asc()) if fwd else (lambda c: F.col(c).desc())
+    w_in = Window.partitionBy("__bucket", *keys).orderBy(*[way(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     edge_aggs = []
     for i, c in enumerate(cols):
         ordered_val = F.when(F.col(c).isNotNull(), sort_t)
         edge_aggs.append((F.max_by(F.col(c), ordered_val) if fwd else F.min_by(F.col(c), ordered_val))
                          .alias(f"__e{i}"))
+        if both:
+            edge_aggs.append(F.min_by(F.col(c), ordered_val).alias(f"__f{i}"))
     edges = b.groupBy("__bucket", *keys).agg(*edge_aggs)
     renamed = {"__bucket": "__cb", **{k: f"__ck{j}" for j, k in enumerate(keys)}}
-    if fwd:
-        w_carry = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-        pick = F.last
-    else:
-        w_carry = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(1, Window.unboundedFollowing)
-        pick = F.first
-    carry = edges.select(*[F.col(a).alias(b_) for a, b_ in renamed.items()],
-                         *[pick(f"__e{i}", ignorenulls=True).over(w_carry).alias(f"__k{i}")
-                           for i in range(len(cols))])
-    agg_fn = F.last if fwd else F.first
-    filled = b.withColumns({c: agg_fn(F.col(c), ignorenulls=True).over(w_in) for c in cols})
+    w_carry = Window.partitionBy(*keys).orderBy(way("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = [F.last(f"__e{i}", ignorenulls=True).over(w_carry) for i in range(len(cols))]
+    if both:
+        carried = [F.coalesce(k, F.first(f"__f{i}", ignorenulls=True).over(w_all)) for i, k in enumerate(carried)]
+    carry = edges.select(*[F.col(a).alias(b_) for a, b_ in renamed.items()], *[k.alias(f"__k{i}") for i, k in enumerate(carried)])
+    filled = b.withColumns({c: F.last(F.col(c), ignorenulls=True).over(w_in) for c in cols})
     cond = [F.col("__bucket") == F.col("__cb")] + [F.col(k).eqNullSafe(F.col(f"__ck{j}"))
                                                   for j, k in enumerate(keys)]
     joined = filled.join(carry, cond, "left")

@@ -56,6 +56,22 @@ def test_ffill_bfill_match_pandas(ev, buckets):
     assert b["value"].isna().sum() == exp.isna().sum()
 
 
+def test_no_fill_reads_the_rest_of_a_bucket_for_every_row(ev):
+    """A frame from the current row to the end of its bucket costs the square of the bucket."""
+    for df in (N.bfill(ev, ["value"], ["ts", "event_id"], n_buckets=3), N.impute_for_model(ev, ["ts", "event_id"], cols=["value"])):
+        plan = df._jdf.queryExecution().executedPlan().toString().lower().replace(" ", "")
+        assert "unboundedpreceding$(),currentrow$()" in plan and "currentrow$(),unboundedfollowing$()" not in plan
+
+
+@pytest.mark.parametrize("keys", [None, "user_id"])
+def test_imputed_is_filled_forward_then_backward(ev, keys):
+    holes = ev.withColumn("value", F.when(F.col("event_id") > 120, F.col("value")))
+    base = holes.toPandas().sort_values(["ts", "event_id"]).reset_index(drop=True)
+    want = base.groupby("user_id")["value"].transform(lambda v: v.ffill().bfill()) if keys else base["value"].ffill().bfill()
+    got = N.impute_for_model(holes, ["ts", "event_id"], ["value"], keys).toPandas().sort_values(["ts", "event_id"])["value"]
+    assert np.array_equal(got.to_numpy(), want.to_numpy(), equal_nan=True)
+
+
 def test_shift_diff_keyed(ev):
     got = W.shift(ev, "value", 2, ["ts", "event_id"], "user_id", chunk_rows=31).toPandas()
     got = got.sort_values(["ts", "event_id"]).reset_index(drop=True)
