@@ -11,9 +11,11 @@ in which no single split helps (equal features, say) stays mixed.
 from __future__ import annotations
 
 import json
+import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml import classification as MC
 from pyspark.ml import regression as MR
@@ -27,24 +29,28 @@ from ..operators.relational import q
 from ..session import cut_lineage
 
 TASK_ROWS, TOP_DEPTH, SEED = 1 << 15, 10, 42
+#: Levels of the first tree beyond those that even splits would need, and its depth at most.
+SPARE_LEVELS, MOST_DEPTH = 5, 20
 #: Rows of one grown leaf that a task scores at once.
 SCORE_ROWS = 1 << 17
 _TREE = "leaf string, feature array<int>, threshold array<double>, below array<int>, value array<double>"
 
 
-def grow(x: np.ndarray, y: np.ndarray, classes: int, depth: int | None) -> tuple:
+def grow(x: np.ndarray, y: np.ndarray, classes: int, depth: int | None, weight: np.ndarray | None = None) -> tuple:
     """(feature, threshold, first child, value) by node; feature -1 marks a leaf, the children of a node stand side by side.
 
+    ``weight`` is the number of table rows that a row stands for (1 without it).
     Splits lower the Gini impurity (``classes`` > 0) or the squared error (0) most; of equal ones the first feature and the lowest
     threshold.  A node is a leaf if its labels are equal, no feature varies, or ``depth`` is reached."""
     order = np.lexsort((y, *x.T[::-1]))
     x, y = x[order], y[order]
-    z = np.eye(classes)[y.astype(np.int64)] if classes else (y - y.mean())[:, None]
+    w = np.ones(len(y)) if weight is None else np.asarray(weight, dtype=np.float64)[order]
+    z = (np.eye(classes)[y.astype(np.int64)] if classes else (y - np.average(y, weights=w))[:, None]) * w[:, None]
     feature, threshold, below, value = [], [], [], []
 
     def node(rows):
         feature.append(-1), threshold.append(0.0), below.append(-1)
-        value.append(float(np.bincount(y[rows].astype(np.int64)).argmax()) if classes else float(y[rows].mean()))
+        value.append(float(np.bincount(y[rows].astype(np.int64), w[rows]).argmax()) if classes else float(np.average(y[rows], weights=w[rows])))
         return len(feature) - 1
 
     todo = [(node(np.arange(len(y))), np.arange(len(y)), 0)]
@@ -54,16 +60,15 @@ def grow(x: np.ndarray, y: np.ndarray, classes: int, depth: int | None) -> tuple
         if (own == own[0]).all() or (depth is not None and level >= depth):
             continue
         best = None
-        n = np.arange(1, len(rows))[:, None]
         for f in range(x.shape[1]):
             by = np.argsort(x[rows, f], kind="stable")
             v = x[rows[by], f]
             cut = np.flatnonzero(v[1:] > v[:-1])
             if not len(cut):
                 continue
-            s = np.cumsum(z[rows[by]], axis=0)
+            s, n = np.cumsum(z[rows[by]], axis=0), np.cumsum(w[rows[by]])[:, None]
             left, right = s[:-1][cut], s[-1] - s[:-1][cut]
-            gain = (left ** 2 / n[cut] + right ** 2 / (len(rows) - n[cut])).sum(axis=1)
+            gain = (left ** 2 / n[:-1][cut] + right ** 2 / (n[-1] - n[:-1][cut])).sum(axis=1)
             k = int(gain.argmax())
             if best is None or gain[k] > best[0] + 1e-12 * abs(best[0]):
                 a, b = v[cut[k]], v[cut[k] + 1]
@@ -114,7 +119,7 @@ class DeepTreeModel:
         done = sliced.where(F.col("__of").isNull()).select(*names, "prediction")
         vectors = [c for c in names if isinstance(rows.schema[c].dataType, VectorUDT)]  # Arrow knows them as arrays only
         plain = [vector_to_array(F.col(q(c))).alias(c) if c in vectors else F.col(q(c)) for c in names]
-        rest = sliced.where(F.col("__of").isNotNull()).withColumn("__slice", F.pmod(F.xxhash64("__x"), F.col("__of"))).withColumn(
+        rest = sliced.where(F.col("__of").isNotNull()).withColumn("__slice", F.pmod(F.xxhash64("__x"), F.col("__of")).cast("int")).withColumn(
             "__row", F.struct(*plain))
         copies = trees.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.col("__of") - 1)))
         shape = T.StructType([rest.schema["__row"], T.StructField("prediction", T.DoubleType())])
@@ -167,44 +172,61 @@ def _through(df: DataFrame, tops: dict, features: str) -> DataFrame:
 
 def fit_deep_tree(train: DataFrame, label: str, task: str, depth: int | None = None, n_classes: int = 0, features: str = "features",
                   task_rows: int = TASK_ROWS, top_depth: int = TOP_DEPTH) -> DeepTreeModel:
-    """A decision tree grown until its leaves are pure, or to ``depth``."""
+    """A decision tree grown until its leaves are pure, or to ``depth``.
+
+    Rows of equal features can't be told apart, so below the first Spark tree one row stands for them, with their number as its
+    weight.  The first tree is deeper where the rows ask for it, so that few leaves are left to trees of their own."""
     from .core import room_for_levels
-    first = min(top_depth, depth) if depth is not None else top_depth
     make = MC.DecisionTreeClassifier if task == "classification" else MR.DecisionTreeRegressor
     tops: dict = {}
-
-    def top(rows, path, level):
-        est = make(maxDepth=level, seed=SEED, featuresCol=features, labelCol=label, minInstancesPerNode=1)
-        room_for_levels(est, rows, features)
+    y = F.col(q(label)).cast("double")
+    plain = train.select(vector_to_array(F.col(features)).alias("x"), y.alias("y"))
+    equal = plain.groupBy("x", "y").agg(F.count("*").alias("w"), F.lit(False).alias("many")) if task == "classification" else \
+        plain.groupBy("x").agg(F.avg("y").alias("y"), F.count("*").alias("w"), (F.min("y") != F.max("y")).alias("many"))
+    equal = equal.persist(StorageLevel.MEMORY_AND_DISK)
+    units = equal.select(array_to_vector("x").alias(features), "y", "w", "many")
+    first = max(top_depth, min(MOST_DEPTH, math.ceil(math.log2(max(1, equal.count()) / task_rows)) + SPARE_LEVELS))
+    first = first if depth is None else min(first, depth)
+
+    def used(path):
+        return first + top_depth * (path.count("/") - 1) if path else 0
+
+    def top(rows, path, level, **columns):
+        est = make(maxDepth=level, seed=SEED, featuresCol=features, minInstancesPerNode=1, **columns)
+        room_for_levels(est, train, features)
         tops[path] = est.fit(rows)
 
-    top(train, "", first)
-    mixed = F.min(label) != F.max(label)
+    top(train, "", first, labelCol=label)
+    mixed = (F.min("y") != F.max("y")) | F.max("many")
     stuck: set = set()
     while True:
-        rows = _through(train.drop("prediction"), tops, features)
+        rows = _through(units, tops, features)
         sizes = rows.groupBy("__leaf").agg(F.count("*").alias("n"), mixed.alias("mixed"))
         large = [r[0] for r in sizes.where((F.col("n") > task_rows) & F.col("mixed")).select("__leaf").collect() if r[0] not in stuck]
         for path in large:
-            level = top_depth if depth is None else min(top_depth, depth - top_depth * path.count("/"))
+            level = top_depth if depth is None else min(top_depth, depth - used(path))
             if level > 0:
-                top(rows.where(F.col("__leaf") == path).drop("__leaf", "prediction"), path, level)
+                top(rows.where(F.col("__leaf") == path).drop("__leaf", "prediction"), path, level, labelCol="y", weightCol="w")
             if level <= 0 or tops[path].depth == 0:  # deep enough, or too many rows that no single split tells apart: a leaf
                 tops.pop(path, None)
                 stuck.add(path)
         if not large:
             break
-    if depth is not None and depth <= top_depth:
+    if depth is not None and depth <= first:
+        equal.unpersist()
         return DeepTreeModel(tops, None, features)
-    open_ = sizes.where("mixed").where(~F.col("__leaf").isin(sorted(stuck)) if stuck else F.lit(True)).select("__leaf")
-    todo = (rows.join(open_, "__leaf").select("__leaf", vector_to_array(F.col(features)).alias("x"), F.col(q(label)).cast("double").alias("y")))
+    open_ = sizes.where("mixed and n > 1").where(~F.col("__leaf").isin(sorted(stuck)) if stuck else F.lit(True)).select("__leaf")
+    todo = rows.join(open_, "__leaf").select("__leaf", vector_to_array(F.col(features)).alias("x"), "y", "w")
 
     def work(key, t):
-        x, y = np.array(t.column("x").to_pylist(), dtype=np.float64), t.column("y").to_numpy()
+        d = len(t.column("x")[0])
+        x = t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
         path = key[0].as_py()
-        f, thr, below, value = grow(x, y, n_classes, None if depth is None else depth - top_depth * path.count("/"))
+        f, thr, below, value = grow(x, t.column("y").to_numpy(), n_classes, None if depth is None else depth - used(path), t.column("w").to_numpy())
         return pa.table([pa.array([path]), pa.array([f], pa.list_(pa.int32())), pa.array([thr], pa.list_(pa.float64())),
                          pa.array([below], pa.list_(pa.int32())), pa.array([value], pa.list_(pa.float64()))],
                         names=["leaf", "feature", "threshold", "below", "value"])
 
-    return DeepTreeModel(tops, cut_lineage(todo.groupBy("__leaf").applyInArrow(work, _TREE)), features)
+    grown = cut_lineage(todo.groupBy("__leaf").applyInArrow(work, _TREE))
+    equal.unpersist()
+    return DeepTreeModel(tops, grown, features)

@@ -79,6 +79,24 @@ def test_trees_grow_until_they_are_pure(spark, task_rows, top):
     assert len(got) == 800 and np.allclose([got[i] for i in range(800)], [np.mean(keys[tuple(r)]) for r in x])
 
 
+def test_grown_leaves_meet_their_rows_in_every_partition(spark):
+    """Rows and trees are dealt by the same kind of key, whatever the number of partitions, and copies are one row of more weight."""
+    rng = np.random.default_rng(11)
+    x = np.repeat(rng.normal(size=(300, 2)), 3, axis=0)
+    y = np.repeat(rng.integers(0, 3, 300), 3).astype(float)
+    df = vectors(spark, x, y)
+    model = trees.fit_deep_tree(df, "y", "classification", n_classes=3, top_depth=2)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # otherwise few rows are one partition
+    try:
+        assert model.transform(df).where("prediction = y").count() == 900
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    w = np.array([1, 2, 5])
+    one = trees.grow(np.array([[0.0], [1.0], [1.0]]), np.array([0.0, 0.0, 1.0]), 2, None, w)
+    many = trees.grow(np.repeat([[0.0], [1.0], [1.0]], w, axis=0), np.repeat([0.0, 0.0, 1.0], w), 2, None)
+    assert one == many
+
+
 def test_tree_depth_is_an_argument(spark):
     x = np.arange(64.0)[:, None]
     df = vectors(spark, x, np.arange(64) // 8 % 2)  # eight blocks: one split tells few of them
