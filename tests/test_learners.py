@@ -176,3 +176,26 @@ def test_prepared_frames_are_released(spark, table):
     before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
     M.train(table, ["a", "b"], "y", "linear", "regression", "id")
     assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() <= before
+
+
+@pytest.mark.parametrize("task", ["regression", "classification"])
+def test_boosted_trees_on_cells_equal_those_on_rows(spark, task, monkeypatch):
+    """Features of few values are their own bins: the weighted cells give the model of the rows, and are far fewer."""
+    from sparkprep.ml import cells
+    rng = np.random.default_rng(12)
+    x = np.c_[rng.integers(0, 6, 3000), rng.integers(0, 5, 3000)].astype(float)
+    y = x[:, 0] * (x[:, 1] > 2) + rng.normal(0, 0.3, 3000) if task == "regression" else (x[:, 0] + rng.normal(0, 1, 3000) > x[:, 1]).astype(float)
+    df = vectors(spark, x, y).repartition(4).persist()
+    est = M.spark_estimator("gbt", task, None, 2).setFeaturesCol("features").setLabelCol("y")
+    est.setMaxIter(8)
+    seen = []
+    own = cells.cells_of
+    monkeypatch.setattr(cells, "cells_of", lambda *a: seen.append(own(*a)) or seen[-1])
+    rows, packed = est.fit(df), cells.fit_on_cells(est, df, "y", plain_rows=100)
+    assert seen[0].count() <= 30 * (1 if task == "regression" else 2) and seen[0].agg(F.sum("__w")).first()[0] == 3000
+    a, b = ({r.id: r.prediction for r in m.transform(df).select("id", "prediction").collect()} for m in (rows, packed))
+    assert len(a) == 3000 and max(abs(a[i] - b[i]) for i in a) < 1e-9
+    path = f"{ensure_checkpoint_dir(spark)}/cells-{task}-{rng.integers(1 << 60)}"
+    PipelineModel(stages=[packed]).write().overwrite().save(path)
+    again = {r.id: r.prediction for r in PipelineModel.load(path).transform(df).select("id", "prediction").collect()}
+    assert again == b
