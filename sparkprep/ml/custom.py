@@ -17,6 +17,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml import classification as MC
@@ -87,23 +88,23 @@ def fit_linear_svr(train: DataFrame, label: str, c: float = 1.0, epsilon: float
     ridge = np.append(sy / (c * n * sx * sx), 0.0)
 
     def sums(u, width):
-        def part(it):
+        def part(batches):
             total = 0.0
-            for p in it:
-                if len(p):
-                    x = (np.stack(p["x"].to_numpy()).astype(np.float64) - mx) / sx
-                    x = np.hstack([x, np.ones((len(x), 1))])
-                    r = (p["y"].to_numpy() - my) / sy - x @ u
+            for p in batches:
+                if p.num_rows:
+                    x = p.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                    x = np.hstack([(x - mx) / sx, np.ones((len(x), 1))])
+                    r = (p.column(1).to_numpy(zero_copy_only=False) - my) / sy - x @ u
                     over, under = (r - eps) / width, (-r - eps) / width
                     up, down = 0.5 + 0.5 * np.tanh(over / 2), 0.5 + 0.5 * np.tanh(under / 2)
                     loss = width * (np.logaddexp(0, over) + np.logaddexp(0, under)).sum()
                     bend = (up * (1 - up) + down * (1 - down)) / width
                     total = total + np.concatenate([[loss], x.T @ (down - up), ((x * bend[:, None]).T @ x).ravel()])
             if not np.isscalar(total):
-                yield pd.DataFrame({"i": np.arange(len(total), dtype=np.int32), "v": total})
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["i", "v"])
 
         got = np.zeros(1 + (d + 1) + (d + 1) ** 2)
-        for r in xy.mapInPandas(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        for r in xy.mapInArrow(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
             got[r["i"]] = r["v"] / n
         return (got[0] + 0.5 * (ridge * u * u).sum(), got[1:d + 2] + ridge * u,
                 got[d + 2:].reshape(d + 1, d + 1) + np.diag(ridge + 1e-10))
