@@ -54,6 +54,9 @@ GROUP_SHINGLES = 2_000_000
 ROUND, ROUND_SHINGLES = 4096, 1_000_000
 #: Slices of a large group among which the documents of a round are chosen.
 SALTS = 32
+#: Parts in which block hashes meet, at least.  A pair is linked once in every part where it shares a hash, so small tables get
+#: as many parts as large ones: links then follow the documents, not the shuffle partitions.
+PARTS = 256
 #: Two-byte counters of the frequency sketch, as a power of two, and the ranges in which tasks' sketches are summed.
 SKETCH_BITS, RANGES = 23, 64
 
@@ -262,11 +265,30 @@ def set_keys(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return _plain(docs, id_col, text_col).mapInArrow(keys, "id bigint, n bigint, k1 bigint, k2 bigint")
 
 
+def spanned(links: np.ndarray) -> np.ndarray:
+    """One link from the smallest id of every connected component of ``links`` to each other one: n - 1 links tie n ids."""
+    ids, ends = np.unique(links, return_inverse=True)
+    a, b = ends.reshape(-1, 2).T
+    label = np.arange(len(ids))
+    while (label[a] != label[b]).any():
+        low, last = np.minimum(label[a], label[b]), label
+        label = label.copy()
+        np.minimum.at(label, last[a], low)
+        np.minimum.at(label, last[b], low)
+        while (label[label] != label).any():
+            label = label[label]
+    rest = np.flatnonzero(label != np.arange(len(ids)))
+    return np.stack([ids[label[rest]], ids[rest]], axis=1)
+
+
 def candidate_links(docs: DataFrame, id_col: str, text_col: str, k: int, t: Threshold, parts: int) -> DataFrame:
-    """(a, b): stars over the documents that share a block hash.
+    """(a, b): links that connect the documents that share a block hash, directly or over others.
 
     A batch sends its block hashes as sorted arrays, one row per part; equal
-    hashes within a batch become a local star and travel once."""
+    hashes within a batch become a local star and travel once.  Only what is
+    connected counts, so a part keeps one star a component: documents that
+    share many hashes with ever other ones would else make links with the
+    square of their number."""
     shift = U(40)
     counters = docs.sparkSession.sparkContext.broadcast(column_frequencies(docs, text_col, k))
 
@@ -285,7 +307,7 @@ def candidate_links(docs: DataFrame, id_col: str, text_col: str, k: int, t: Thre
                 head[1:] = code[1:] != code[:-1]
                 lead = np.flatnonzero(head)
                 star = ids[lead][np.cumsum(head) - 1]
-                local = np.unique(np.stack([star[~head], ids[~head]], axis=1), axis=0)
+                local = spanned(np.stack([star[~head], ids[~head]], axis=1))
                 ends = np.flatnonzero(np.diff(part[lead], append=-1)) + 1
                 rows, at = [], 0
                 for e in ends if len(lead) else ():
@@ -314,8 +336,7 @@ def candidate_links(docs: DataFrame, id_col: str, text_col: str, k: int, t: Thre
             head[1:] = code[1:] != code[:-1]
             star = own[np.flatnonzero(head)][np.cumsum(head) - 1]
             links.append(np.stack([star[~head], own[~head]], axis=1))
-        e = np.unique(np.concatenate(links), axis=0)
-        e = e[e[:, 0] != e[:, 1]]
+        e = spanned(np.concatenate(links))
         return pa.table({"a": pa.array(e[:, 0], pa.int64()), "b": pa.array(e[:, 1], pa.int64())})
 
     sent = _plain(docs.filter(F.col(id_col).isNotNull()), id_col, text_col).mapInArrow(send, "part int, codes binary, ids binary")
@@ -431,7 +452,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links)."""
     spark, t = docs.sparkSession, Threshold(p, q)
     store = scratch_dir(spark, "jaccard")
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{store}/{name}")

@@ -314,3 +314,23 @@ def test_pipeline_matches_stagewise_brute_force(spark):
     sizes = {len(x) for x in wins}
     clean = {i for i, t in data for w in [words(t)] if not any(tuple(w[j:j + n]) in wins for n in sizes for j in range(len(w) - n + 1))}
     assert set(got) == clean and all(r.lossless for r in got.values())
+
+
+def test_a_part_links_what_it_connects_once(spark):
+    """40 documents, neighbours nearly alike: 39 links connect them, however many hashes they share with whom."""
+    words = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(words[2 * i:2 * i + 300])) for i in range(40)], "doc_id long, text string")
+    links = jaccard.candidate_links(docs, "doc_id", "text", 3, jaccard.Threshold(80, 100), 1).collect()
+    assert len(links) == 39 and {r["a"] for r in links} == {0} and {r["b"] for r in links} == set(range(1, 40))
+
+
+def test_spanned_links_keep_components():
+    rng = np.random.default_rng(3)
+    links = np.concatenate([rng.integers(0, 300, (250, 2)), [[900, 900], [7, 7]]])
+    root = {int(v): int(v) for v in np.unique(links)}
+    for _ in range(300):
+        for a, b in links.tolist():
+            root[a] = root[b] = min(root[a], root[b])
+    want = sorted((r, v) for v, r in root.items() if r != v)
+    assert sorted(map(tuple, jaccard.spanned(links).tolist())) == want
+    assert jaccard.spanned(np.empty((0, 2), np.int64)).shape == (0, 2)
