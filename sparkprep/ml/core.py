@@ -198,7 +198,7 @@ def prepare(df: DataFrame, x_cols, y: str, task: str, key: str, test_size: float
 
 def fit(p: Prepared, kind: str, **options) -> TrainResult:
     """Fit one model on a prepared train split and score its test split; ``options`` go to the learner (``depth`` of trees, say)."""
-    from . import cells, custom, knn, trees
+    from . import cells, custom, forest, knn, trees
     from .metrics import classification_metrics, regression_metrics
 
     tr_x, label, regression = p.train, p.label, p.task == "regression"
@@ -206,7 +206,12 @@ def fit(p: Prepared, kind: str, **options) -> TrainResult:
     if est is not None:
         est.setFeaturesCol("features").setLabelCol(label)
         room_for_levels(est, tr_x)
-        model = cells.fit_on_cells(est, tr_x, label) if kind in ("xgboost", "gbt") else est.fit(tr_x)
+        if kind in ("xgboost", "gbt"):
+            model = cells.fit_on_cells(est, tr_x, label)
+        elif kind == "forest":
+            model = forest.fit_forest(est, tr_x, label, p.n_classes or 0)
+        else:
+            model = est.fit(tr_x)
     elif kind == "tree":
         model = trees.fit_deep_tree(tr_x, label, p.task, n_classes=p.n_classes or 0, **options)
     elif kind == "knn":

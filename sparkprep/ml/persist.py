@@ -24,8 +24,9 @@ def read_arrays(spark: SparkSession, path: str) -> dict:
 
 
 def _classes() -> dict:
-    from . import custom, knn, trees
-    return {c.__name__: c for c in (custom.LinearModel, custom.NystroemModel, custom.AdaBoostModel, knn.KNNModel, trees.DeepTreeModel)}
+    from . import custom, forest, knn, trees
+    return {c.__name__: c for c in (custom.LinearModel, custom.NystroemModel, custom.AdaBoostModel, knn.KNNModel, trees.DeepTreeModel,
+                                   forest.ForestModel)}
 
 
 def save(result, path: str) -> str:
