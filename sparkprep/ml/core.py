@@ -198,7 +198,7 @@ def prepare(df: DataFrame, x_cols, y: str, task: str, key: str, test_size: float
 
 def fit(p: Prepared, kind: str, **options) -> TrainResult:
     """Fit one model on a prepared train split and score its test split; ``options`` go to the learner (``depth`` of trees, say)."""
-    from . import cells, custom, forest, knn, trees
+    from . import cells, custom, forest, knn, perceptron, trees
     from .metrics import classification_metrics, regression_metrics
 
     tr_x, label, regression = p.train, p.label, p.task == "regression"
@@ -210,6 +210,8 @@ def fit(p: Prepared, kind: str, **options) -> TrainResult:
             model = cells.fit_on_cells(est, tr_x, label)
         elif kind == "forest":
             model = forest.fit_forest(est, tr_x, label, p.n_classes or 0)
+        elif kind == "mlp":
+            model = perceptron.fit_perceptron(est, tr_x, label)
         else:
             model = est.fit(tr_x)
     elif kind == "tree":

@@ -24,9 +24,9 @@ def read_arrays(spark: SparkSession, path: str) -> dict:
 
 
 def _classes() -> dict:
-    from . import custom, forest, knn, trees
+    from . import custom, forest, knn, perceptron, trees
     return {c.__name__: c for c in (custom.LinearModel, custom.NystroemModel, custom.AdaBoostModel, knn.KNNModel, trees.DeepTreeModel,
-                                   forest.ForestModel)}
+                                   forest.ForestModel, perceptron.PerceptronModel)}
 
 
 def save(result, path: str) -> str:
