@@ -67,3 +67,35 @@ def test_concat_first_seen_order(spark):
     b = spark.createDataFrame([(2, True)], "x int, z boolean")
     out = R.concat([a, b])
     assert out.columns == ["x", "y", "z"] and out.count() == 2
+
+
+def test_merge_spreads_null_keys_and_keeps_every_row(spark):
+    """Many null keys on either side, both or none, one key or two: pandas's rows, and no task holds all of the left's."""
+    for nl, nr in ((40, 0), (40, 3), (2, 30), (0, 25), (0, 0)):
+        left = [(None, None, i) for i in range(nl)] + [(None, 5, 900), (7, None, 901), (1, 1, 902), (2, 2, 903), (2, 2, 904)]
+        right = [(None, None, -i) for i in range(nr)] + [(None, 6, -900), (None, 5, -901), (1, 1, -902), (3, 3, -903)]
+        l, r = spark.createDataFrame(left, "a int, b int, v int"), spark.createDataFrame(right, "a int, b int, w int")
+        for keys in (["a"], ["a", "b"]):
+            at = [["a", "b"].index(k) for k in keys]
+            same = lambda x, y: all(x[i] == y[i] for i in at)
+            pairs = [(x[2], y[2]) for x in left for y in right if same(x, y)]
+            lone_l = [(x[2], None) for x in left if not any(same(x, y) for y in right)]
+            lone_r = [(None, y[2]) for y in right if not any(same(x, y) for x in left)]
+            for how, want in (("inner", pairs), ("left", pairs + lone_l), ("right", pairs + lone_r), ("outer", pairs + lone_l + lone_r)):
+                got = R.merge(l, r, keys, None, how).select("v", "w").collect()
+                assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)), (nl, nr, keys, how)
+
+
+def test_null_keys_of_a_right_merge_lie_in_many_tasks(spark):
+    from pyspark.sql import functions as F
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        left = spark.range(4000).select(F.lit(None).cast("long").alias("k"), F.col("id").alias("v"))
+        right = spark.range(3).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.col("id").alias("w"))
+        held = R.merge(left, right, "k", None, "right").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in held) == 4002 and max(r["count"] for r in held) < 2500
