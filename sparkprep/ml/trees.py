@@ -40,8 +40,8 @@ def grow(x: np.ndarray, y: np.ndarray, classes: int, depth: int | None, weight:
          rng: np.random.Generator | None = None) -> tuple:
     """(feature, threshold, first child, value) by node; feature -1 marks a leaf, the children of a node stand side by side.
 
-    ``weight`` is the number of table rows that a row stands for (1 without it).  With ``tried`` a node looks at so many features
-    that vary there, drawn by ``rng``, and a class value is the shares of all classes (a tree of a forest).
+    ``weight`` is the number of table rows that a row stands for (1 without it).  With ``tried`` a node looks at so many features,
+    drawn by ``rng``, and is a leaf if none of them varies, as in Spark's forests, and a class value is the shares of all classes (a tree of a forest).
     Splits lower the Gini impurity (``classes`` > 0) or the squared error (0) most; of equal ones the first feature and the lowest
     threshold.  A node is a leaf if its labels are equal, no feature varies, or ``depth`` is reached."""
     order = np.lexsort((y, *x.T[::-1]))
@@ -69,12 +69,12 @@ def grow(x: np.ndarray, y: np.ndarray, classes: int, depth: int | None, weight:
         for f in range(x.shape[1]) if tried is None else rng.permutation(x.shape[1]).tolist():
             if seen == tried:
                 break
+            seen += 1
             by = np.argsort(x[rows, f], kind="stable")
             v = x[rows[by], f]
             cut = np.flatnonzero(v[1:] > v[:-1])
             if not len(cut):
                 continue
-            seen += 1
             s, n = np.cumsum(z[rows[by]], axis=0), np.cumsum(w[rows[by]])[:, None]
             left, right = s[:-1][cut], s[-1] - s[:-1][cut]
             gain = (left ** 2 / n[:-1][cut] + right ** 2 / (n[-1] - n[:-1][cut])).sum(axis=1)
