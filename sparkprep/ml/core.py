@@ -171,8 +171,13 @@ def _vector_size(df: DataFrame, col: str = "features") -> int:
     return df.select(F.size(vector_to_array(F.col(col)))).first()[0]
 
 
-def prepare(df: DataFrame, x_cols, y: str, task: str, key: str, test_size: float = 0.2, scaler: str | None = "standard", order_by=None) -> Prepared:
-    """Split and preparation, from one scan of ``df``: its columns are held until ``release``.
+#: Learners whose results hang on the rows only: their table is dealt evenly to tasks, however few files or row groups it is read from.
+DEALT = ("linear", "svr", "sgd", "svm")
+
+
+def prepare(df: DataFrame, x_cols, y: str, task: str, key: str, test_size: float = 0.2, scaler: str | None = "standard", order_by=None,
+            deal: bool = False) -> Prepared:
+    """Split and preparation, from one scan of ``df``: its columns are held until ``release``; ``deal`` spreads its rows over the tasks first.
 
     Nulls are filled forward then backward in ``order_by`` order when given
     (the reference's preparation), otherwise rows with nulls are dropped.
@@ -188,11 +193,16 @@ def prepare(df: DataFrame, x_cols, y: str, task: str, key: str, test_size: float
     data = data.select(*[F.col(q(c)) for c in dict.fromkeys([key] + list(x_cols) + [y])]).dropna()
     if task == "regression":
         data = data.withColumn(y, F.col(q(y)).cast("double"))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    tr, te = split(data, key, test_size)
+    if deal:
+        data = data.repartition(*data.columns)
+    # the split is held with the rows: its hash is taken once, not in every pass
+    data = data.withColumn("__test", hash_unit(key) < F.lit(test_size)).persist(StorageLevel.MEMORY_AND_DISK)
+    tr, te = (data.where(part).drop("__test") for part in (~F.col("__test"), F.col("__test")))
     prep = Pipeline(stages=prepare_stages(data, x_cols, y, task, scaler)).fit(tr)
-    tr_x = prep.transform(tr).persist(StorageLevel.MEMORY_AND_DISK)
-    return Prepared(task, key, y if task == "regression" else "label", prep, tr_x, prep.transform(te),
+    label = y if task == "regression" else "label"
+    # learners read these alone; the vectors before scaling would fill the memory that holds them
+    tr_x = prep.transform(tr).select(*[F.col(q(c)) for c in dict.fromkeys([key, label, "features"])]).persist(StorageLevel.MEMORY_AND_DISK)
+    return Prepared(task, key, label, prep, tr_x, prep.transform(te),
                     len(prep.stages[-1].labels) if task == "classification" else None, [tr_x, data])
 
 
@@ -241,7 +251,7 @@ def fit(p: Prepared, kind: str, **options) -> TrainResult:
 def train(df: DataFrame, x_cols, y: str, kind: str, task: str, key: str, test_size: float = 0.2,
           scaler: str | None = "standard", order_by=None, **options) -> TrainResult:
     """Fit one model on the train split and score the test split."""
-    prepared = prepare(df, x_cols, y, task, key, test_size, scaler, order_by)
+    prepared = prepare(df, x_cols, y, task, key, test_size, scaler, order_by, deal=kind in DEALT)
     try:
         return fit(prepared, kind, **options)
     finally:

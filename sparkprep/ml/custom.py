@@ -30,6 +30,7 @@ from ..operators.relational import q
 from ..session import cut_lineage
 from .gram import gram
 from .persist import read_arrays, write_arrays
+from .scaler import FEW
 
 
 class LinearModel:
@@ -39,6 +40,11 @@ class LinearModel:
         self.features = features
 
     def transform(self, df: DataFrame) -> DataFrame:
+        if len(self.coef) <= FEW:
+            x, total = vector_to_array(F.col(self.features)), F.lit(self.intercept)
+            for i, c in enumerate(self.coef):
+                total = total + x[i] * F.lit(float(c))
+            return df.withColumn("prediction", total)
         coef = F.array(*[F.lit(float(c)) for c in self.coef]).cast("array<double>")
         terms = F.zip_with(vector_to_array(F.col(self.features)), coef, lambda x, c: x * c)
         return df.withColumn("prediction", F.aggregate(terms, F.lit(self.intercept), lambda total, v: total + v))

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("standard", "minmax", "robust")
+#: Components that are written out one by one, which Spark compiles; more would make the plan grow, and go through a lambda.
+FEW = 64
 
 
 class AffineModel(Model, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -30,7 +32,12 @@ class AffineModel(Model, HasInputCol, HasOutputCol, DefaultParamsReadable, Defau
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        shift, factor = (F.array(*[F.lit(float(v)) for v in self.getOrDefault(p)]) for p in (self.shift, self.factor))
+        shift, factor = self.getOrDefault(self.shift), self.getOrDefault(self.factor)
+        if len(shift) <= FEW:
+            x = vector_to_array(F.col(self.getInputCol()))
+            moved = F.array(*[(x[i] - F.lit(float(s))) * F.lit(float(f)) for i, (s, f) in enumerate(zip(shift, factor))])
+            return df.withColumn(self.getOutputCol(), array_to_vector(moved))
+        shift, factor = (F.array(*[F.lit(float(v)) for v in a]) for a in (shift, factor))
         moved = F.zip_with(vector_to_array(F.col(self.getInputCol())), shift, lambda x, s: x - s)
         return df.withColumn(self.getOutputCol(), array_to_vector(F.zip_with(moved, factor, lambda x, f: x * f)))
 
