@@ -6,7 +6,8 @@
 * ``fit_linear_svr`` – ε-insensitive linear SVR (C = 1, ε = 0.1) by Newton
   steps whose sums cover the whole table.
 * ``fit_rbf_svm`` – RBF-kernel SVM over Nyström landmarks, as many as a measured
-  kernel error asks for, feeding ``LinearSVC`` (one-vs-rest when multiclass).
+  kernel error asks for, feeding ``LinearSVC`` (one-vs-rest when multiclass)
+  or, beyond ``PLAIN_ROWS`` rows, its objective over packed blocks.
 * ``fit_adaboost`` – SAMME with 50 weighted depth-1 trees; sample weights are
   a column, lineage is cut by checkpoints into the shared checkpoint folder.
 """
@@ -29,6 +30,7 @@ from pyspark.sql import types as T
 from ..operators.relational import q
 from ..session import cut_lineage
 from .gram import gram
+from .perceptron import CHUNK, PLAIN_ROWS, minimise
 from .persist import read_arrays, write_arrays
 from .scaler import FEW
 
@@ -141,8 +143,10 @@ def fit_linear_svr(train: DataFrame, label: str, c: float = 1.0, epsilon: float
 class NystroemModel:
     """Features ``K(x, landmarks) · K(landmarks, landmarks)^(−1/2)`` of the RBF kernel, then a linear SVM."""
 
-    def __init__(self, landmarks, gamma: float, svm=None, error: float = 0.0, features="features"):
+    def __init__(self, landmarks, gamma: float, svm=None, error: float = 0.0, features="features", weights=None):
         self.landmarks, self.gamma, self.svm, self.error, self.features = np.asarray(landmarks), gamma, svm, error, features
+        #: Instead of ``svm``: a margin's weight of each landmark's kernel, then the intercept; a column a class (one of two classes: of the second)
+        self.weights = weights
         values, vectors = np.linalg.eigh(rbf(self.landmarks, self.landmarks, gamma))
         good = values > 1e-10 * values.max()
         self.root = vectors[:, good] / np.sqrt(values[good])
@@ -163,18 +167,37 @@ class NystroemModel:
         # a lifted row has up to MAX_RANK numbers
         return df.withColumn("__rbf", array_to_vector(lifted(vector_to_array(F.col(self.features)))))
 
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        return rbf(x, self.landmarks, self.gamma) @ self.weights[:-1] + self.weights[-1]
+
     def transform(self, df: DataFrame) -> DataFrame:
-        out = self.svm.transform(self.lift(df))
-        return out.drop("__rbf", "rawPrediction")
+        if self.weights is None:
+            out = self.svm.transform(self.lift(df))
+            return out.drop("__rbf", "rawPrediction")
+        answered = self.margins
+
+        @F.pandas_udf(T.DoubleType())
+        def predicted(v: pd.Series) -> pd.Series:
+            if len(v) == 0:
+                return pd.Series([], dtype=np.float64)
+            x = np.stack(v.to_numpy()).astype(np.float64)
+            m = np.concatenate([answered(x[lo:lo + CHUNK]) for lo in range(0, len(x), CHUNK)])
+            return pd.Series((m[:, 0] > 0 if m.shape[1] == 1 else m.argmax(axis=1)).astype(np.float64))
+
+        return df.withColumn("prediction", predicted(vector_to_array(F.col(self.features))))
 
     def save(self, spark, path: str) -> str:
-        write_arrays(spark, f"{path}/kernel", {"landmarks": self.landmarks, "gamma": [self.gamma], "error": [self.error]})
-        PipelineModel(stages=[self.svm]).write().overwrite().save(f"{path}/svm")
+        arrays = {"landmarks": self.landmarks, "gamma": [self.gamma], "error": [self.error]}
+        write_arrays(spark, f"{path}/kernel", arrays if self.weights is None else arrays | {"weights": self.weights})
+        if self.weights is None:
+            PipelineModel(stages=[self.svm]).write().overwrite().save(f"{path}/svm")
         return self.features
 
     @classmethod
     def load(cls, spark, path: str, described: str) -> "NystroemModel":
         a = read_arrays(spark, f"{path}/kernel")
+        if "weights" in a:
+            return cls(a["landmarks"], float(a["gamma"][0]), None, float(a["error"][0]), described, a["weights"])
         return cls(a["landmarks"], float(a["gamma"][0]), PipelineModel.load(f"{path}/svm").stages[0], float(a["error"][0]), described)
 
 
@@ -210,12 +233,78 @@ def fit_rbf_svm(train: DataFrame, label: str, n_classes: int, kernel_error: floa
         if model.error <= kernel_error or rank >= min(max_rank, len(pool)):
             break
         rank = min(2 * rank, max_rank, len(pool))
+    if n > PLAIN_ROWS:
+        model.weights = _fit_margins(model, train.select(arr.alias("x"), F.col(q(label)).cast("double").alias("y")), n, n_classes)
+        return model
     svc = MC.LinearSVC(featuresCol="__rbf", labelCol=label, regParam=1.0 / max(n, 1), maxIter=100)
     est = MC.OneVsRest(classifier=svc, featuresCol="__rbf", labelCol=label) if n_classes > 2 else svc
     model.svm = est.fit(model.lift(train))
     return model
 
 
+def _fit_margins(model: NystroemModel, rows: DataFrame, n: int, n_classes: int) -> np.ndarray:
+    """The objective of ``LinearSVC`` (mean hinge loss + 1/2n·‖v‖² over lifted features of unit deviation, free intercept) for
+    all classes against the rest in one search, so that each pass over the rows serves every class.
+
+    Rows stay packed blocks of their own few numbers; a pass works out their kernels by numpy and sends one gradient a partition."""
+    landmarks, root, gamma, d = model.landmarks, model.root, model.gamma, model.landmarks.shape[1]
+    k = n_classes if n_classes > 2 else 1
+    origin = model.lift_array(landmarks).mean(axis=0)
+
+    def pack(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, CHUNK):
+                part = b.slice(lo, CHUNK)
+                x = part.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                y = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["x", "y"])
+
+    # hundreds of short jobs follow: an RDD of blocks needs no plan for each
+    packed = rows.mapInArrow(pack, "x binary, y binary").rdd.map(lambda r: (bytes(r[0]), bytes(r[1]))).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def summed(of_block):
+        def part(blocks):
+            total = None
+            for x, y in blocks:
+                got = of_block(rbf(np.frombuffer(x).reshape(-1, d), landmarks, gamma), np.frombuffer(y, dtype=np.int64))
+                total = got if total is None else total + got
+            return [] if total is None else [total]
+        return packed.mapPartitions(part).treeReduce(lambda a, b: a + b)
+
+    def moments(kernel, _):
+        z = kernel @ root - origin
+        return np.stack([z.sum(axis=0), (z * z).sum(axis=0)])
+
+    try:
+        first, second = summed(moments) / n
+        mean, spread = origin + first, np.sqrt(np.maximum(second - first * first, 0) * n / max(n - 1, 1))
+        factor = np.where(spread > 0, 1.0 / np.where(spread > 0, spread, 1.0), 0.0)
+
+        def of_kernel(u):
+            """Weights of the kernels and intercepts for the weights of unit features."""
+            v = u.reshape(-1, k)
+            w = v[:-1] * factor[:, None]
+            return np.vstack([root @ w, v[-1] - mean @ w])
+
+        def value_and_gradient(u):
+            w = of_kernel(u)
+
+            def hinge(kernel, y):
+                sign = np.where(y[:, None] == (np.arange(k) if k > 1 else 1), 1.0, -1.0)
+                short = 1.0 - sign * (kernel @ w[:-1] + w[-1])
+                back = np.where(short > 0, -sign, 0.0)
+                return np.vstack([kernel.T @ back, back.sum(axis=0), np.maximum(short, 0).sum(axis=0)])
+
+            got = summed(hinge) / n
+            v, slope = u.reshape(-1, k), got[-2]
+            grad = (root.T @ got[:-2] - np.outer(mean, slope)) * factor[:, None] + v[:-1] / n
+            return got[-1].sum() + 0.5 / n * (v[:-1] ** 2).sum(), np.vstack([grad, slope]).ravel()
+
+        return of_kernel(minimise(value_and_gradient, np.zeros((root.shape[1] + 1) * k), 100, 1e-6))
+    finally:
+        packed.unpersist()
+
+
 class AdaBoostModel:
     """Stumps are (feature, threshold, left class, right class); prediction is a
     column expression: argmax_k Σ_m α_m·[stump_m(x) = k]."""
