@@ -269,7 +269,7 @@ def _fit_margins(model: NystroemModel, rows: DataFrame, n: int, n_classes: int)
                 got = of_block(rbf(np.frombuffer(x).reshape(-1, d), landmarks, gamma), np.frombuffer(y, dtype=np.int64))
                 total = got if total is None else total + got
             return [] if total is None else [total]
-        return packed.mapPartitions(part).treeReduce(lambda a, b: a + b)
+        return sum(packed.mapPartitions(part).collect())
 
     def moments(kernel, _):
         z = kernel @ root - origin
