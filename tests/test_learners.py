@@ -97,6 +97,45 @@ def test_grown_leaves_meet_their_rows_in_every_partition(spark):
     assert one == many
 
 
+def test_large_leaves_are_split_together(spark, monkeypatch):
+    """Some thirty leaves are too large for a task: a few jobs split them all, and rows find them on both ways of scoring."""
+    rng = np.random.default_rng(13)
+    x, y = rng.random((3000, 1)), rng.integers(0, 3, 3000).astype(float)
+    df = vectors(spark, x, y).persist()
+    sc, seen = spark.sparkContext, []
+    sc.setJobGroup("large-leaves", "large leaves")
+    try:
+        model = trees.fit_deep_tree(df, "y", "classification", n_classes=3, task_rows=40, top_depth=2)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("large-leaves")) < 80
+    both = df.unionByName(vectors(spark, rng.random((500, 1)), np.full(500, -1.0))).withColumn("n", F.monotonically_increasing_id())
+    for sent in (1 << 20, 0):
+        monkeypatch.setattr(trees, "SENT_NODES", sent)
+        seen.append({r.n: (r.y, r.prediction) for r in model.transform(both).select("n", "y", "prediction").collect()})
+    assert seen[0] == seen[1] and len(seen[0]) == 3500 and all(y == p for y, p in seen[0].values() if y >= 0)
+
+
+def test_nodes_of_a_spark_tree_answer_like_it(spark):
+    rng = np.random.default_rng(15)
+    x, y = rng.random((300, 2)), rng.integers(0, 3, 300)
+    df = vectors(spark, x, y)
+    model = trees.MC.DecisionTreeClassifier(labelCol="y", maxDepth=4, seed=1).fit(df)
+    want = [r.prediction for r in model.transform(df).orderBy("id").collect()]
+    assert trees.walk(trees._spark_nodes(model), x).tolist() == want
+
+
+def test_groups_of_rows_grow_as_they_do_alone():
+    rng = np.random.default_rng(14)
+    x, y, w = rng.integers(0, 9, (300, 3)).astype(float), rng.integers(0, 3, 300).astype(float), rng.integers(1, 5, 300)
+    first = np.array([0, 1, 40, 170])
+    feature, threshold, below, value = (np.asarray(c) for c in trees.grow_groups(x, y, 3, [2] * 4, w, first))
+    for i, (a, b) in enumerate(zip(first, [1, 40, 170, 300])):
+        one = trees.grow(x[a:b], y[a:b], 3, 2, w[a:b])
+        at = trees._steps(feature, threshold, below, np.full(300, i), x)
+        assert (value[at] == trees.walk(one, x)).all()
+
+
 def test_tree_depth_is_an_argument(spark):
     x = np.arange(64.0)[:, None]
     df = vectors(spark, x, np.arange(64) // 8 % 2)  # eight blocks: one split tells few of them
