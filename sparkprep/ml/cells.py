@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from ..operators.relational import q
 
-#: Up to this many rows a learner reads the rows themselves.
-PLAIN_ROWS = 1 << 18
+#: Up to this many rows a learner reads the rows themselves; and one whose classes are boosted by a task each.
+PLAIN_ROWS, PLAIN_CLASS_ROWS = 1 << 18, 1 << 14
+#: Filled cells (told apart by class) that such a task takes at most.
+MOST_CELLS = 1 << 17
 #: Relative accuracy of the quantiles that bound the bins.
 ACCURACY = 10000
 
@@ -86,15 +88,22 @@ def cells_of(binned: DataFrame, column: str, label: str, classes: bool) -> DataF
     return got.select(array_to_vector("__x").alias(column, metadata=about), F.col("__y").alias(label), "__w")
 
 
-def fit_on_cells(est, train: DataFrame, label: str, features: str = "features", plain_rows: int = PLAIN_ROWS):
+def fit_on_cells(est, train: DataFrame, label: str, features: str = "features", plain_rows: int | None = None):
     """``est`` fitted on the rows of ``train``, or on the cells of its bins where there are more than ``plain_rows``."""
-    if train.count() <= plain_rows:
+    from .boost import can_boost, fit_boosted
+    alone = can_boost(est, train, features)
+    n_rows = train.count()
+    if n_rows <= (plain_rows if plain_rows is not None else PLAIN_CLASS_ROWS if alone else PLAIN_ROWS):
         return est.fit(train)
     inner = est.getClassifier() if isinstance(est, MC.OneVsRest) else est
     bins = bins_of(train, features, inner.getOrDefault("maxBins"), "__binned")
     classes = not inner.__class__.__name__.endswith("Regressor")
     cells = cells_of(bins.transform(train), "__binned", label, classes).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        if alone and cells.count() <= MOST_CELLS:
+            return PipelineModel(stages=[bins, fit_boosted(est, cells, "__binned", label)])
+        if plain_rows is None and n_rows <= PLAIN_ROWS:
+            return est.fit(train)
         model = est.copy().setFeaturesCol("__binned").setWeightCol("__w").fit(cells)
     finally:
         cells.unpersist()

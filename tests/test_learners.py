@@ -238,3 +238,25 @@ def test_boosted_trees_on_cells_equal_those_on_rows(spark, task, monkeypatch):
     PipelineModel(stages=[packed]).write().overwrite().save(path)
     again = {r.id: r.prediction for r in PipelineModel.load(path).transform(df).select("id", "prediction").collect()}
     assert again == b
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_classes_are_boosted_in_a_few_jobs_as_spark_boosts_them(spark, classes):
+    from sparkprep.ml import cells
+    rng = np.random.default_rng(16)
+    x = np.c_[rng.integers(0, 7, 2000), rng.integers(0, 5, 2000), rng.integers(0, 3, 2000)].astype(float)
+    y = np.clip(np.floor((x[:, 0] * (x[:, 1] > 1) + x[:, 2] + rng.normal(0, 1, 2000)) / 3), 0, classes - 1)
+    df = vectors(spark, x, y).persist()
+    est = M.spark_estimator("gbt", "classification", None, classes).setFeaturesCol("features").setLabelCol("y")
+    inner = est.getClassifier() if classes > 2 else est
+    inner.setMaxIter(10)
+    spark.sparkContext.setJobGroup(f"boost-{classes}", "boosting")
+    try:
+        mine = cells.fit_on_cells(est, df, "y", plain_rows=100)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"boost-{classes}")) < 30
+    a, b = ({r.id: (r.prediction, r.m) for r in m.transform(df).select("id", "prediction", vector_to_array("rawPrediction").alias("m")).collect()}
+            for m in (est.fit(df), mine))
+    assert len(b) == 2000 and all(a[i][0] == b[i][0] and np.allclose(a[i][1], b[i][1], atol=1e-6) for i in a)
+    assert len({p for p, _ in b.values()}) == classes
