@@ -7,7 +7,8 @@ is pure, can't be split or reaches the wanted depth; a task takes many of them
 side by side.  All larger ones of a round are split at once, each in a task over
 the filled cells of bins of its own rows, until their parts are small enough.
 Only a leaf of more rows in which no single split helps (equal features, say)
-stays mixed.
+stays mixed.  A class tree of more than ``PLAIN_ROWS`` rows has no top by Spark:
+its root is such a large leaf.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.relational import q
 from ..session import cut_lineage, default_parallelism
-from .cells import ACCURACY
+from .cells import ACCURACY, PLAIN_ROWS
 from .persist import read_arrays, write_arrays
 
 TASK_ROWS, TOP_DEPTH, SEED = 1 << 15, 10, 42
@@ -271,7 +272,7 @@ def _arrays(tree: dict) -> dict:
 
 
 class DeepTreeModel:
-    """``top``: Spark's tree; ``nodes``: those of its large leaves; ``grown``: the leaves grown to the end, in packs, ``size`` nodes and
+    """``top``: Spark's tree, if any; ``nodes``: those of its large leaves, or of the root; ``grown``: the leaves grown to the end, in packs, ``size`` nodes and
     ``slices`` slices in all."""
 
     def __init__(self, top, nodes: Nodes, grown: DataFrame | None, size: int = 0, slices: int = 0, features: str = "features"):
@@ -294,27 +295,31 @@ class DeepTreeModel:
         return self._whole
 
     def save(self, spark: SparkSession, path: str) -> str:
-        PipelineModel(stages=[self.top]).write().overwrite().save(f"{path}/top")
+        if self.top is not None:
+            PipelineModel(stages=[self.top]).write().overwrite().save(f"{path}/top")
         write_arrays(spark, f"{path}/nodes", vars(self.nodes))
         if self.grown is not None:
             self.grown.write.mode("overwrite").parquet(f"{path}/grown")
-        return json.dumps({"size": self.size, "slices": self.slices, "grown": self.grown is not None, "features": self.features})
+        return json.dumps({"size": self.size, "slices": self.slices, "top": self.top is not None, "grown": self.grown is not None, "features": self.features})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, described: str) -> "DeepTreeModel":
         about = json.loads(described)
-        top = PipelineModel.load(f"{path}/top").stages[0]
+        top = PipelineModel.load(f"{path}/top").stages[0] if about["top"] else None
         grown = spark.read.schema(_PACK).parquet(f"{path}/grown") if about["grown"] else None
         return cls(top, Nodes(**read_arrays(spark, f"{path}/nodes")), grown, about["size"], about["slices"], about["features"])
 
 
 def _through(df: DataFrame, top, nodes: Nodes, features: str) -> DataFrame:
     """Each row with its leaf ``__leaf`` and the answer ``prediction`` of the last node it reaches."""
-    model = top.copy()
-    model.setFeaturesCol(features).setPredictionCol("prediction")
-    model.set(model.leafCol, "__l")
-    extra = [c for c in ("rawPrediction", "probability") if c not in df.columns]
-    out = model.transform(df).drop(*extra).withColumn("__leaf", F.col("__l").cast("long")).drop("__l")
+    if top is None:
+        out = df.withColumn("prediction", F.lit(0.0)).withColumn("__leaf", F.lit(0).cast("long"))
+    else:
+        model = top.copy()
+        model.setFeaturesCol(features).setPredictionCol("prediction")
+        model.set(model.leafCol, "__l")
+        extra = [c for c in ("rawPrediction", "probability") if c not in df.columns]
+        out = model.transform(df).drop(*extra).withColumn("__leaf", F.col("__l").cast("long")).drop("__l")
     if not len(nodes):
         return out
     sent = df.sparkSession.sparkContext.broadcast(nodes)
@@ -439,7 +444,7 @@ def _spark_nodes(model) -> tuple:
 
 
 def fit_deep_tree(train: DataFrame, label: str, task: str, depth: int | None = None, n_classes: int = 0, features: str = "features",
-                  task_rows: int = TASK_ROWS, top_depth: int = TOP_DEPTH) -> DeepTreeModel:
+                  task_rows: int = TASK_ROWS, top_depth: int = TOP_DEPTH, plain_rows: int = PLAIN_ROWS) -> DeepTreeModel:
     """A decision tree grown until its leaves are pure, or to ``depth``.
 
     Rows of equal features can't be told apart, so below the first Spark tree one row stands for them, with their number as its
@@ -452,8 +457,10 @@ def fit_deep_tree(train: DataFrame, label: str, task: str, depth: int | None = N
         plain.groupBy("x").agg(F.avg("y").alias("y"), F.count("*").alias("w"), (F.min("y") != F.max("y")).alias("many"))
     equal = equal.persist(StorageLevel.MEMORY_AND_DISK)
     units = equal.select(array_to_vector("x").alias(features), "y", "w", "many")
-    n_units = equal.count()
-    first = max(top_depth, min(MOST_DEPTH, math.ceil(math.log2(max(1, n_units) / task_rows)) + SPARE_LEVELS))
+    labels = sorted(tuple(r) for r in equal.groupBy("y").agg(F.count("*"), F.sum("w")).collect()) if task == "classification" else []  # a row a class
+    n_units = sum(r[1] for r in labels) if labels else equal.count()
+    bare = sum(r[2] for r in labels) > plain_rows
+    first = 0 if bare else max(top_depth, min(MOST_DEPTH, math.ceil(math.log2(max(1, n_units) / task_rows)) + SPARE_LEVELS))
     first = first if depth is None else min(first, depth)
 
     def tree(rows, level, **columns):
@@ -461,7 +468,11 @@ def fit_deep_tree(train: DataFrame, label: str, task: str, depth: int | None = N
         room_for_levels(est, rows, features)
         return est.fit(rows)
 
-    top, nodes = tree(train, first, labelCol=label), Nodes()
+    if bare:
+        most = max(labels, key=lambda r: r[2])[0]
+        top, nodes = None, Nodes(entry=[0], feature=[-1], threshold=[0.0], below=[-1], value=[most], level=[0])
+    else:
+        top, nodes = tree(train, first, labelCol=label), Nodes()
 
     def left(leaf):
         """Levels that may follow a leaf."""

@@ -116,6 +116,23 @@ def test_large_leaves_are_split_together(spark, monkeypatch):
     assert seen[0] == seen[1] and len(seen[0]) == 3500 and all(y == p for y, p in seen[0].values() if y >= 0)
 
 
+def test_a_class_tree_of_many_rows_starts_at_its_root(spark):
+    """Beyond ``plain_rows`` no Spark tree reads the rows; the tree is whole, can be saved and knows a table of one class."""
+    rng = np.random.default_rng(17)
+    x = np.repeat(rng.random((600, 2)), 3, axis=0)
+    y = np.repeat(rng.integers(0, 3, 600), 3).astype(float)
+    df = vectors(spark, x, y).persist()
+    for task_rows, depth in ((50, None), (1 << 15, None), (50, 4)):
+        model = trees.fit_deep_tree(df, "y", "classification", depth, n_classes=3, task_rows=task_rows, plain_rows=1000)
+        path = f"{ensure_checkpoint_dir(spark)}/bare-{rng.integers(1 << 60)}"
+        again = trees.DeepTreeModel.load(spark, path, model.save(spark, path))
+        assert model.top is None and len(set(map(int, model._all_nodes().level))) - 1 <= (depth or 600)
+        wrong = [m.transform(df).where("prediction <> y").count() for m in (model, again)]
+        assert wrong[0] == wrong[1] and (wrong[0] == 0) == (depth is None)
+    one = trees.fit_deep_tree(df.where("y = 2"), "y", "classification", n_classes=3, plain_rows=10)
+    assert one.transform(df).where("prediction <> 2").count() == 0
+
+
 def test_nodes_of_a_spark_tree_answer_like_it(spark):
     rng = np.random.default_rng(15)
     x, y = rng.random((300, 2)), rng.integers(0, 3, 300)
